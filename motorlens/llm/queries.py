@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from . import op1_mixing, op9_chats
+from .op2_packing import op2_packing
+from .op5_simhash import op5_simhash
 from .op7_tokens import op7_token_files
+from .op10_licenses import op10_licenses
 
 QUERIES = {
+    "op1_mixing": op1_mixing.op1_mixing,
+    "op2_packing": op2_packing,
+    "op5_simhash": op5_simhash,
     "op7_token_files": op7_token_files,
+    "op9_chats": op9_chats.op9_chats,
+    "op10_licenses": op10_licenses,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mixing": op1_mixing.ORACLE,
+    "op9_chats": op9_chats.ORACLE,
+}
