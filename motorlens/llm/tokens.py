@@ -25,8 +25,15 @@ CHUNK_BYTES = 4_000_000
 
 _SPACE = r"\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Texts in which white space starts, ends or meets other white space.
-_IRREGULAR = rf"^[{_SPACE}]|[{_SPACE}]$|[{_SPACE}][{_SPACE}]"
+_IRREGULAR = rf"^[{_SPACE}]|[{_SPACE}]$|[{_SPACE}][{_SPACE}]| [.,]"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Latin letters (without the dotted capital I, which turns into two characters): a run of them is one pre-token, and a
+#: full stop or comma after one starts another.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+_POINT, _WORD = f"([{_LATIN}])([.,])", re.compile(f" ?[{_LATIN}]+")
+#: Bytes as the characters that byte-level vocabularies write them with: printable ones as they are, others from 256 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_AS_CHAR = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 
 
 class PieceEncoder:
@@ -38,6 +45,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.blank_joins = blank_joins
         self._forget()
 
@@ -49,10 +57,24 @@ class PieceEncoder:
         self.flat = np.zeros(1 << 14, np.uint32)
 
     def _learn(self, pieces: list[str]) -> None:
+        word = [_WORD.fullmatch(p) is not None for p in pieces]
+        self._remember([p for p, w in zip(pieces, word) if w], self._word_ids)
+        self._remember([p for p, w in zip(pieces, word) if not w], self._text_ids)
+
+    def _text_ids(self, pieces: list[str]) -> list[list[int]]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [e.ids for e in encode(pieces, add_special_tokens=False)]
+
+    def _word_ids(self, pieces: list[str]) -> list[list[int]]:
+        """Single pre-tokens of Latin letters need no more than the library's merges."""
+        merge = self.model.tokenize
+        shown = [p if p.isascii() and p[0] != " " else "".join(map(_AS_CHAR.__getitem__, p.encode())) for p in (pieces if self.blank_joins else map(str.lower, pieces))]
+        return [[t.id for t in merge(s)] for s in shown]
+
+    def _remember(self, pieces: list[str], encode) -> None:
         for at in range(0, len(pieces), 20_000):
             part = pieces[at : at + 20_000]
-            ids = [e.ids for e in encode(part, add_special_tokens=False)]
+            ids = encode(part)
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((x for one in ids for x in one), np.uint32, int(sizes.sum()))
             n = len(self.known)
@@ -84,10 +106,12 @@ class PieceEncoder:
         if self.blank_joins:
             odd = pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False)
             plain = pc.if_else(pa.array(~odd), texts, "") if odd.any() else texts
-            lists = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+            cut = pc.replace_substring_regex(pc.replace_substring(plain, "\n", " \n"), _POINT, r"\1 \2")
+            lists = pc.split_pattern(cut, " ")
         else:
             odd = np.zeros(len(texts), bool)
-            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+            cut = pc.replace_substring_regex(pc.ascii_lower(pc.replace_substring(texts, "\n", " ")), _POINT, r"\1 \2")
+            lists = pc.split_pattern(cut, " ")
         bounds = lists.offsets.to_numpy().astype(np.int64)
         words = lists.values
         bounds, words = bounds - bounds[0], words.slice(bounds[0], bounds[-1] - bounds[0])
@@ -95,7 +119,7 @@ class PieceEncoder:
         codes = coded.indices.to_numpy().astype(np.int64)
         unique = coded.dictionary.to_pylist()
         if self.blank_joins:
-            after = self._numbers([u if u[:1] == "\n" else " " + u for u in unique])
+            after = self._numbers([u if u[:1] in ("\n", ".", ",") else " " + u for u in unique])
             numbers = after[codes]
             first = bounds[:-1]
             heads, back = np.unique(codes[first], return_inverse=True)
