@@ -46,7 +46,7 @@ def word_count(text) -> F.Column:
 def _keyed(docs: DataFrame, bits: int) -> DataFrame:
     hexes = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
     key = F.conv(F.substring(hexes, 1, 13), 16, 10).cast("long")  # 52 bits
-    return docs.withColumn("_size", word_count("text")).withColumn("_key", key).withColumn("_block", F.expr(f"shiftright(_key, {52 - bits})").cast("int"))
+    return docs.withColumn("__size", word_count("text")).withColumn("__key", key).withColumn("__block", F.expr(f"shiftright(__key, {52 - bits})").cast("int"))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -87,12 +87,12 @@ def _split(seed: int, levels: int, root: DataFrame) -> DataFrame:
 
 def draw_blocks(keyed: DataFrame, seed: int = 1, weights=WEIGHTS, share: float = SHARE, most: int = MOST, levels: int = LEVELS) -> DataFrame:
     """(source, block) rows with ``shards`` (the shard of each pass over the whole block), ``edge_shard`` and ``edge_key``
-    (documents up to this key are drawn once more), source_size and target. ``keyed``: doc_id, source, _size, _key, _block,
+    (documents up to this key are drawn once more), source_size and target. ``keyed``: doc_id, source, __size, __key, __block,
     stored."""
-    blocks = saved(keyed.groupBy("source", "_block").agg(F.sum("_size").alias("words")), "blocks")
+    blocks = saved(keyed.groupBy("source", "__block").agg(F.sum("__size").alias("words")), "blocks")
     targets = source_targets(blocks, weights, share, most)
-    run = Window.partitionBy("source").orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    nth = Window.partitionBy("source").orderBy("_block")
+    run = Window.partitionBy("source").orderBy("__block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    nth = Window.partitionBy("source").orderBy("__block")
     laid = blocks.join(targets.withColumnRenamed("source", "_s"), blocks["source"].eqNullSafe(F.col("_s"))).drop("_s")
     laid = laid.withColumn("_nth", F.row_number().over(nth)).withColumn("_upto", F.sum("words").over(run))
     laid = laid.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(1)).cast("long"))
@@ -101,12 +101,12 @@ def draw_blocks(keyed: DataFrame, seed: int = 1, weights=WEIGHTS, share: float =
     laid = laid.withColumn("_edge", (~F.col("_whole")) & (F.col("_upto") - F.col("words") < F.col("_rest")))
     laid = saved(laid, "laid")
     # The document at which each source's edge block stops.
-    edges = laid.where("_edge").select(F.col("source").alias("_s"), F.col("_block").alias("_b"), (F.col("_rest") - (F.col("_upto") - F.col("words"))).alias("_room"))
-    inside = keyed.join(edges, keyed["source"].eqNullSafe(F.col("_s")) & (keyed["_block"] == F.col("_b")))
-    keys = inside.groupBy("source", "_key").agg(F.sum("_size").alias("_size"), F.first("_room").alias("_room"))
-    so_far = F.sum("_size").over(Window.partitionBy("source").orderBy("_key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    stops = keys.withColumn("_sum", so_far).where(F.abs(F.col("_sum") - F.col("_room")) <= F.abs(F.col("_sum") - F.col("_size") - F.col("_room")))
-    stops = stops.groupBy("source").agg(F.max("_key").alias("edge_key")).withColumnRenamed("source", "_s")
+    edges = laid.where("_edge").select(F.col("source").alias("_s"), F.col("__block").alias("_b"), (F.col("_rest") - (F.col("_upto") - F.col("words"))).alias("_room"))
+    inside = keyed.join(edges, keyed["source"].eqNullSafe(F.col("_s")) & (keyed["__block"] == F.col("_b")))
+    keys = inside.groupBy("source", "__key").agg(F.sum("__size").alias("__size"), F.first("_room").alias("_room"))
+    so_far = F.sum("__size").over(Window.partitionBy("source").orderBy("__key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    stops = keys.withColumn("_sum", so_far).where(F.abs(F.col("_sum") - F.col("_room")) <= F.abs(F.col("_sum") - F.col("__size") - F.col("_room")))
+    stops = stops.groupBy("source").agg(F.max("__key").alias("edge_key")).withColumnRenamed("source", "_s")
     # One row: the draws of each source, in the order of rank.
     quotas = laid.groupBy("rank").agg((F.first("passes") * F.count("*") + F.count_if(F.col("_whole") | F.col("_edge"))).alias("n"))
     root = quotas.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "n"))), lambda x: x["n"]).alias("quotas")).where(F.size("quotas") > 0)
@@ -118,39 +118,39 @@ def draw_blocks(keyed: DataFrame, seed: int = 1, weights=WEIGHTS, share: float =
     in_source = F.count("*").over(Window.partitionBy("source"))
     laid = laid.withColumn("_blocks", in_source)
     extra = F.when(F.col("_whole") | F.col("_edge"), F.col("passes")).otherwise(F.col("passes") - 1)
-    drawn = laid.select("rank", "_block", F.explode_outer(F.when(extra >= 0, F.sequence(F.lit(0).cast("long"), extra))).alias("_pass"), "_nth", "_blocks", "_whole", "passes")
+    drawn = laid.select("rank", "__block", F.explode_outer(F.when(extra >= 0, F.sequence(F.lit(0).cast("long"), extra))).alias("_pass"), "_nth", "_blocks", "_whole", "passes")
     drawn = drawn.where("_pass is not null").withColumn("_draw", F.col("_pass") * F.col("_blocks") + F.col("_nth"))
-    dealt = drawn.join(dealt, (drawn["rank"] == dealt["_rank"]) & (drawn["_draw"] == dealt["_draw"])).select("rank", "_block", "_pass", "shard", ((F.col("_pass") < F.col("passes")) | F.col("_whole")).alias("_all"))
-    shards = dealt.groupBy("rank", "_block").agg(F.array_sort(F.collect_list(F.when(F.col("_all"), F.struct("_pass", "shard")))).alias("_got"), F.max(F.when(~F.col("_all"), F.col("shard"))).alias("edge_shard"))
-    out = laid.select("source", "_block", "rank", "source_size", "target").join(shards, ["rank", "_block"], "left").join(stops, F.col("source").eqNullSafe(F.col("_s")), "left")
+    dealt = drawn.join(dealt, (drawn["rank"] == dealt["_rank"]) & (drawn["_draw"] == dealt["_draw"])).select("rank", "__block", "_pass", "shard", ((F.col("_pass") < F.col("passes")) | F.col("_whole")).alias("_all"))
+    shards = dealt.groupBy("rank", "__block").agg(F.array_sort(F.collect_list(F.when(F.col("_all"), F.struct("_pass", "shard")))).alias("_got"), F.max(F.when(~F.col("_all"), F.col("shard"))).alias("edge_shard"))
+    out = laid.select("source", "__block", "rank", "source_size", "target").join(shards, ["rank", "__block"], "left").join(stops, F.col("source").eqNullSafe(F.col("_s")), "left")
     got = F.coalesce(F.transform("_got", lambda g: g["shard"]), F.array().cast("array<int>"))
-    return saved(out.select(F.col("source").alias("_s"), F.col("_block").alias("_b"), "source_size", "target", got.alias("_shards"), "edge_shard", "edge_key"), "draws")
+    return saved(out.select(F.col("source").alias("__s"), F.col("__block").alias("__b"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), got.alias("__shards"), F.col("edge_shard").alias("__edge_shard"), F.col("edge_key").alias("__edge_key")), "draws")
 
 
 def with_draws(keyed: DataFrame, draws: DataFrame) -> DataFrame:
-    """Adds source_size, target and ``copies`` (the shard of each copy that the mix takes) to keyed documents."""
+    """Adds __source_size, __target and ``__copies`` (the shard of each copy that the mix takes) to keyed documents."""
     if draws.count() <= BROADCAST_ROWS:
         draws = F.broadcast(draws)
-    joined = keyed.join(draws, keyed["source"].eqNullSafe(F.col("_s")) & (keyed["_block"] == F.col("_b")), "left")
-    more = F.when(F.col("edge_shard").isNotNull() & (F.col("_key") <= F.col("edge_key")), F.array("edge_shard")).otherwise(F.array().cast("array<int>"))
-    return joined.withColumn("copies", F.concat("_shards", more)).drop("_s", "_b", "_shards", "edge_shard", "edge_key")
+    joined = keyed.join(draws, keyed["source"].eqNullSafe(F.col("__s")) & (keyed["__block"] == F.col("__b")), "left")
+    more = F.when(F.col("__edge_shard").isNotNull() & (F.col("__key") <= F.col("__edge_key")), F.array("__edge_shard")).otherwise(F.array().cast("array<int>"))
+    return joined.withColumn("__copies", F.concat("__shards", more)).drop("__s", "__b", "__shards", "__edge_shard", "__edge_key")
 
 
 def mix(docs: DataFrame, seed: int = 1, **how) -> DataFrame:
     """The mixed rows: the columns of ``docs`` with ``mix_shard``, ``mix_copy`` and ``mix_order`` (the place in the shard is
     the rank of this number). A document appears once for each copy."""
     keyed = _keyed(docs, how.pop("block_bits", BLOCK_BITS))
-    small = saved(keyed.select("doc_id", "source", "_size", "_key", "_block"), "sizes")
+    small = saved(keyed.select("doc_id", "source", "__size", "__key", "__block"), "sizes")
     taken = with_draws(keyed, draw_blocks(small, seed, **how))
-    taken = taken.select(*docs.columns, F.posexplode("copies").alias("mix_copy", "mix_shard"))
+    taken = taken.select(*docs.columns, F.posexplode("__copies").alias("mix_copy", "mix_shard"))
     return taken.withColumn("mix_order", F.xxhash64(F.lit(seed), F.col("doc_id"), "mix_copy", "mix_shard"))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    small = saved(_keyed(docs, BLOCK_BITS).select("doc_id", "source", "_size", "_key", "_block"), "sizes")
+    small = saved(_keyed(docs, BLOCK_BITS).select("doc_id", "source", "__size", "__key", "__block"), "sizes")
     taken = with_draws(small, draw_blocks(small))
-    return taken.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.size("copies")).alias("taken"))
+    return taken.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.size("__copies")).alias("taken"))
 
 
 ORACLE = rf"""

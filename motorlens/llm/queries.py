@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from . import op1_mixing, op9_chats
 from .op2_packing import op2_packing
+from .op4_quality import op4_quality
 from .op5_simhash import op5_simhash
 from .op7_tokens import op7_token_files
+from .op8_toxicity import op8_toxicity
 from .op10_licenses import op10_licenses
 
 QUERIES = {
     "op1_mixing": op1_mixing.op1_mixing,
     "op2_packing": op2_packing,
+    "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op7_token_files": op7_token_files,
+    "op8_toxicity": op8_toxicity,
     "op9_chats": op9_chats.op9_chats,
     "op10_licenses": op10_licenses,
 }
