@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_mixing, op9_chats
+from . import op1_mixing, op6_topk, op9_chats
 from .op2_packing import op2_packing
 from .op4_quality import op4_quality
 from .op5_simhash import op5_simhash
@@ -15,6 +15,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
+    "op6_topk": op6_topk.op6_topk,
     "op7_token_files": op7_token_files,
     "op8_toxicity": op8_toxicity,
     "op9_chats": op9_chats.op9_chats,
@@ -23,5 +24,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_mixing": op1_mixing.ORACLE,
+    "op6_topk": op6_topk.ORACLE,
     "op9_chats": op9_chats.ORACLE,
 }
