@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import op1_mixing, op6_topk, op9_chats
 from .op2_packing import op2_packing
+from .op3_media import op3_media
 from .op4_quality import op4_quality
 from .op5_simhash import op5_simhash
 from .op7_tokens import op7_token_files
@@ -13,6 +14,7 @@ from .op10_licenses import op10_licenses
 QUERIES = {
     "op1_mixing": op1_mixing.op1_mixing,
     "op2_packing": op2_packing,
+    "op3_media": op3_media,
     "op4_quality": op4_quality,
     "op5_simhash": op5_simhash,
     "op6_topk": op6_topk.op6_topk,
