@@ -86,7 +86,7 @@ def health_score(signals: DataFrame) -> DataFrame:
 
 def health(listings: DataFrame) -> DataFrame:
     out = health_score(health_signals(listings))
-    return out.select("dealer_id", "active_count", *(F.round(x, 3).alias(x) for x in ("liquidation", "price_trend", "volume_z", "tom_delta", "brand_hhi", "price_vs_market", "health_score")), "tier", F.array_join("risks", ",").alias("risks"))
+    return out.select("dealer_id", "active_count", *(F.round(x, 2).alias(x) for x in ("liquidation", "price_trend", "volume_z", "tom_delta", "brand_hhi", "price_vs_market", "health_score")), "tier", F.array_join("risks", ",").alias("risks"))
 
 
 _LIVE = "live AS (SELECT v.*, d.country_code FROM recent v JOIN dealer d ON v.dealer_id = d.dealer_id)"
@@ -112,7 +112,7 @@ s AS (SELECT m.dealer_id, active_count, coalesce(removed / nullif(new, 0), 0) AS
  coalesce((c1 - c0) * 100, 0) AS cd, coalesce(hhi, 0) AS brand_hhi, coalesce(own / market, 1) AS price_vs_market FROM m LEFT JOIN h USING (dealer_id) LEFT JOIN z USING (dealer_id) LEFT JOIN k USING (country_code)),
 t AS (SELECT *, 100 * (1 - (0.2 * greatest(0, least(1, (liquidation - 1) / 0.5)) + 0.15 * greatest(0, least(1, -price_trend / 10)) + 0.15 * least(1, abs(volume_z) / 2) + 0.15 * greatest(0, least(1, tom_delta / 40)) + 0.1 * greatest(0, least(1, -cd / 20))
  + 0.1 * greatest(0, least(1, (brand_hhi - 0.25) / 0.75)) + 0.15 * greatest(0, least(1, (0.85 - price_vs_market) / 0.2)))) AS score FROM s)
-SELECT dealer_id, active_count, round(liquidation, 3) AS liquidation, round(price_trend, 3) AS price_trend, round(volume_z, 3) AS volume_z, round(tom_delta, 3) AS tom_delta, round(brand_hhi, 3) AS brand_hhi, round(price_vs_market, 3) AS price_vs_market, round(score, 3) AS health_score,
+SELECT dealer_id, active_count, round(liquidation, 2) AS liquidation, round(price_trend, 2) AS price_trend, round(volume_z, 2) AS volume_z, round(tom_delta, 2) AS tom_delta, round(brand_hhi, 2) AS brand_hhi, round(price_vs_market, 2) AS price_vs_market, round(score, 2) AS health_score,
  CASE WHEN score >= 70 THEN 'healthy' WHEN score >= 50 THEN 'watch' WHEN score >= 30 THEN 'stress' ELSE 'critical' END AS tier,
  concat_ws(',', CASE WHEN liquidation > 1.5 THEN 'liquidation_pressure' END, CASE WHEN price_trend < -5 THEN 'price_erosion' END, CASE WHEN abs(volume_z) > 1.5 THEN 'volume_anomaly' END, CASE WHEN tom_delta > 20 THEN 'inventory_stagnation' END,
  CASE WHEN cd < -10 THEN 'quality_deterioration' END, CASE WHEN brand_hhi > 0.5 THEN 'brand_concentration' END, CASE WHEN price_vs_market > 0 AND price_vs_market < 0.85 THEN 'deep_discount' END) AS risks FROM t"""

@@ -61,6 +61,12 @@ FROM (SELECT *, l_partkey * 10 + l_linenumber AS n FROM {d.base("lineitem")} JOI
     "trust_signal": lambda d: f"""SELECT d.dealer_id, d.vies_status, CASE d.dealer_id % 3 WHEN 0 THEN 'registered' WHEN 1 THEN 'unchecked' ELSE 'not_found' END AS registry, d.dealer_id % 9 AS registry_age,
   coalesce(round(100 * avg(v.confidence_score), 2), 0) AS v15, coalesce(round(100 * avg(v.confidence_score), 2), 0) AS avg_score, count(CASE WHEN v.status = 'ACTIVE' THEN 1 END) AS volume, count(CASE WHEN v.price_gross_eur < 1000 THEN 1 END) AS anomalies,
   {d.between_days("d.first_discovered_at", d.now)} AS tenure_days FROM dealer d LEFT JOIN vehicle v ON v.dealer_id = d.dealer_id GROUP BY d.dealer_id, d.vies_status, d.first_discovered_at""",
+    "quality_listing": lambda d: "SELECT v.*, CASE WHEN d.status = 'ACTIVE' THEN d.confidence_score END AS dealer_confidence FROM vehicle v LEFT JOIN dealer d ON v.dealer_id = d.dealer_id",
+    "document": lambda d: f"SELECT doc_id, text, lang, source FROM {d.base('documents')}",
+    "stock": lambda d: "SELECT vehicle_id, make, model, country_code AS origin FROM listing WHERE lot % 20 = 0 AND status = 'ACTIVE'",
+    "price": lambda d: f"SELECT make, model, country_code AS country, {d.trunc('round(avg(price_gross_eur) * 100, 3)')} AS cents, count(*) AS n FROM listing WHERE dealer_status = 'ACTIVE' GROUP BY make, model, country_code",
+    "tax_request": lambda d: f"""SELECT o_orderkey AS id, a.country AS origin, b.country AS dest, CAST(round(o_totalprice * 10) AS BIGINT) AS price_cents, CAST(o_custkey % 3 * 100000 AS BIGINT) AS margin_cents, o_orderkey % 2 = 0 AS ids_valid,
+  CAST(o_orderkey % 11 AS INT) AS age_months, CAST(o_custkey % 40 * 1000 AS INT) AS km FROM {d.base("orders")} JOIN {d.values(", ".join(f"({i}, '{c}')" for i, c in enumerate(COUNTRIES)), "i, country")} a ON a.i = o_orderkey % 6 JOIN {d.values(", ".join(f"({i}, '{c}')" for i, c in enumerate(COUNTRIES)), "i, country")} b ON b.i = o_custkey % 6""",
     "finding": lambda d: f"""SELECT s_suppkey AS dealer_id, substr('ABCDEFGHIJKLMNO', 1 + CAST((s_suppkey * 7 + k * k) % 15 AS INT), 1) AS family
 FROM {d.base("supplier")} CROSS JOIN {d.values("(0), (1), (2), (3), (4)", "k")}""",
     "event": lambda d: f"SELECT event_id, ts, user_id AS listing_id, event_type, value, {d.json('props', 'k')} AS k FROM {d.base('events')}",
