@@ -5,7 +5,8 @@ vectors: of the whole word and of its first 4, 6 and 8 bytes. Filters of several
 words of the whole text; each filter's largest answer goes into one logistic unit. Scores see the text
 only. Thresholds are then set for each language on training rows that were kept out of the fit.
 
-Defined results: a null or empty text is one blank word; repeated rows get equal scores; without labels
+Defined results: a null or empty text is one blank word; repeated rows
+get scores that differ by the rounding of a matrix product at most; without labels
 of both classes every score is 0; an empty table gives no rows; extra columns stay.
 """
 
@@ -116,7 +117,6 @@ class Model:
         x, starts, most = self.laid_out(slots, counts)
         pairs = np.stack([starts, starts + most], 1).ravel()
         best = np.maximum.reduceat(self.answers(x), pairs, axis=0)[::2]
-        # One text at a time, so that equal texts get equal sums whatever else is in the batch.
         hidden = np.maximum(best + self.bias, 0).astype(np.float64)
         return sigmoid((hidden * self.out.astype(np.float64)).sum(1) + float(self.base[0]))
 
