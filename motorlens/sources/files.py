@@ -23,7 +23,9 @@ def fixed_width(lines: DataFrame, fields: list[tuple[str, int, int]], width: int
 
 
 def read_fixed_width(spark: SparkSession, path: str, fields: list[tuple[str, int, int]], width: int) -> DataFrame:
-    return fixed_width(spark.read.option("encoding", "ISO-8859-1").text(path), fields, width)
+    # The text source reads UTF-8 only; a CSV of one column takes an encoding and splits files just as well.
+    lines = spark.read.options(encoding="ISO-8859-1", sep="\u0001", quote="").schema("value string").csv(path)
+    return fixed_width(lines, fields, width)
 
 
 def zip_lines(binaries: DataFrame, skip: str = "readme") -> DataFrame:
