@@ -67,6 +67,7 @@ FROM (SELECT *, l_partkey * 10 + l_linenumber AS n FROM {d.base("lineitem")} JOI
     "price": lambda d: f"SELECT make, model, country_code AS country, {d.trunc('round(avg(price_gross_eur) * 100, 3)')} AS cents, count(*) AS n FROM listing WHERE dealer_status = 'ACTIVE' GROUP BY make, model, country_code",
     "tax_request": lambda d: f"""SELECT o_orderkey AS id, a.country AS origin, b.country AS dest, CAST(round(o_totalprice * 10) AS BIGINT) AS price_cents, CAST(o_custkey % 3 * 100000 AS BIGINT) AS margin_cents, o_orderkey % 2 = 0 AS ids_valid,
   CAST(o_orderkey % 11 AS INT) AS age_months, CAST(o_custkey % 40 * 1000 AS INT) AS km FROM {d.base("orders")} JOIN {d.values(", ".join(f"({i}, '{c}')" for i, c in enumerate(COUNTRIES)), "i, country")} a ON a.i = o_orderkey % 6 JOIN {d.values(", ".join(f"({i}, '{c}')" for i, c in enumerate(COUNTRIES)), "i, country")} b ON b.i = o_custkey % 6""",
+    "embedding": lambda d: f"SELECT vec_id, embedding, label FROM {d.base('embeddings')}",
     "finding": lambda d: f"""SELECT s_suppkey AS dealer_id, substr('ABCDEFGHIJKLMNO', 1 + CAST((s_suppkey * 7 + k * k) % 15 AS INT), 1) AS family
 FROM {d.base("supplier")} CROSS JOIN {d.values("(0), (1), (2), (3), (4)", "k")}""",
     "event": lambda d: f"SELECT event_id, ts, user_id AS listing_id, event_type, value, {d.json('props', 'k')} AS k FROM {d.base('events')}",

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from motorlens.plans import registry
 
-TABLES = "region nation customer supplier part orders lineitem events documents pages conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages conversations".split()
 
 
 @pytest.fixture(scope="module")
