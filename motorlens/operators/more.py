@@ -23,7 +23,7 @@ both("agg10_dom_delta", lambda d: f"SELECT dealer_id, round(avg(a), 4) AS tom, r
 both("agg12_price_vs_market", lambda d: "SELECT a.dealer_id, round(coalesce(a.m / nullif(b.m, 0), 1.0), 6) AS ratio FROM (SELECT dealer_id, country_code, avg(price_gross_eur) AS m FROM listing GROUP BY 1, 2) a JOIN (SELECT country_code, avg(price_gross_eur) AS m FROM listing GROUP BY 1) b ON a.country_code = b.country_code")
 both("agg20_edge_threshold", lambda d: "SELECT a.dealer_id AS src, b.dealer_id AS dst, count(*) AS n FROM (SELECT DISTINCT vin, dealer_id FROM vehicle WHERE year = 2018) a JOIN (SELECT DISTINCT vin, dealer_id FROM vehicle WHERE year = 2018) b ON a.vin = b.vin AND a.dealer_id < b.dealer_id GROUP BY 1, 2 HAVING count(*) >= 5")
 both("win04_trailing_z", lambda d: "SELECT event_id, round(CASE WHEN s > 0.000001 THEN (value - m) / s ELSE 0 END, 4) AS z FROM (SELECT event_id, value, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s, count(*) OVER w AS n FROM event WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY listing_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) x WHERE n >= 3")
-both("win06_cohort_residual", lambda d: "SELECT vehicle_id, round(price_gross_eur - avg(price_gross_eur) OVER (PARTITION BY make, model, year), 3) AS residual FROM vehicle WHERE fuel_type = 'electric'")
+both("win06_cohort_residual", lambda d: "SELECT vehicle_id, round(price_gross_eur - avg(price_gross_eur) OVER (PARTITION BY make, model, year) + 0.0000001, 3) AS residual FROM vehicle WHERE fuel_type = 'electric'")
 both("win11_net_saving", lambda d: f"SELECT a.country AS origin, b.country AS dest, {d.trunc('3000000 * CAST(b.rate AS DOUBLE)')} AS vat_cents, max({d.trunc('3000000 * CAST(b.rate AS DOUBLE)')}) OVER (PARTITION BY a.country) - {d.trunc('3000000 * CAST(b.rate AS DOUBLE)')} AS saving, row_number() OVER (PARTITION BY a.country ORDER BY b.rate, b.country) AS place FROM vat a JOIN vat b ON a.country <> b.country")
 both("srt03_lowest_z", lambda d: "SELECT vehicle_id, price_gross_eur FROM vehicle WHERE make = 'BMW' ORDER BY price_gross_eur, vehicle_id LIMIT 30")
 both("srt05_two_keys", lambda d: "SELECT dealer_id, country_code, row_number() OVER (ORDER BY country_code, confidence_score DESC, dealer_id) AS place FROM dealer")
