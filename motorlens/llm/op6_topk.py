@@ -31,8 +31,12 @@ K = 5
 SHARD = 8192
 BLOCK = 2048
 LEAF = 48
+#: A node whose children would hold fewer rows than this on average isn't split.
+SPREAD = 16
+#: Data rows multiplied with a query leaf at a time.
+COLUMNS = 2048
 #: Factor between the radii of a node's and its children's cover.
-BASE = 1.6
+BASE = 1.4
 
 
 class CoverTree:
@@ -68,23 +72,37 @@ class CoverTree:
             own, centre, parent = todo.pop()
             far = self._far(own, centre)
             radius = float(far.max())
-            leaf = len(own) <= LEAF or radius == 0
-            node = self._add(centre, radius, own if leaf else None)
+            # Children, farthest centre first, so that centres stay apart by more than the children's cover.
+            cover, left, reach, point, groups = radius / BASE, own, far, centre, []
+            most = max(8, len(own) // SPREAD) if len(own) > LEAF and radius > 0 else 0
+            while len(left) and len(groups) < most:
+                near = far <= cover
+                groups.append((left[near], point))
+                left, reach = left[~near], reach[~near]
+                if len(left):
+                    point = int(left[np.argmax(reach)])
+                    far = self._far(left, point)
+                    reach = np.minimum(reach, far)
+            # Groups of few rows are joined, or else a leaf would be a row or two; their radii are measured anew.
+            children: list[tuple[np.ndarray, int]] = []
+            held: list[np.ndarray] = []
+            for rows, point in groups:
+                if len(rows) >= LEAF:
+                    children.append((rows, point))
+                    continue
+                held.append(rows)
+                if sum(map(len, held)) >= 2 * LEAF:
+                    children.append((np.concatenate(held), int(held[0][0])))
+                    held = []
+            if held:
+                children.append((np.concatenate(held), int(held[0][0])))
+            # Rows that so few centres can't cover stay together: a leaf that is multiplied out at once.
+            split = not len(left) and len(children) > 1
+            node = self._add(centre, radius, None if split else own)
             if parent >= 0:
                 self.children[parent].append(node)
-            if leaf:
-                continue
-            cover = radius / BASE
-            near = far <= cover
-            todo.append((own[near], centre, node))
-            left, reach = own[~near], far[~near]
-            # Next centres are farthest first, so that centres stay apart by more than the children's cover.
-            while len(left):
-                point = int(left[np.argmax(reach)])
-                far = self._far(left, point)
-                near = far <= cover
-                todo.append((left[near], point, node))
-                left, reach = left[~near], np.minimum(reach, far)[~near]
+            if split:
+                todo += [(rows, point, node) for rows, point in children]
 
 
 def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,15 +132,25 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
     def bounds(q: int, nodes: np.ndarray) -> np.ndarray:
         return b.centres[nodes] @ a.centres[q] + b.radii[nodes] * a.norms[q] + a.radii[q] * b.norms[nodes] + a.radii[q] * b.radii[nodes] + slack
 
-    def leaf(q: np.ndarray, r: np.ndarray) -> None:
-        score = queries[q] @ data[r].T
-        score[query_ids[q][:, None] == data_ids[r][None, :]] = -np.inf
-        all_scores = np.concatenate([best[q], score], 1)
-        all_rows = np.concatenate([who[q], np.broadcast_to(r, (len(q), len(r)))], 1)
-        keys = np.where(all_rows < 0, np.iinfo(np.int64).max, order_key[all_rows])
-        top = np.lexsort((keys, -all_scores), axis=1)[:, :k]
-        best[q] = np.take_along_axis(all_scores, top, 1)
-        who[q] = np.where(np.isneginf(best[q]), -1, np.take_along_axis(all_rows, top, 1))
+    def leaf(q: np.ndarray, rows: np.ndarray) -> None:
+        for at in range(0, len(rows), COLUMNS):
+            r = rows[at : at + COLUMNS]
+            score = queries[q] @ data[r].T
+            score[query_ids[q][:, None] == data_ids[r][None, :]] = -np.inf
+            # What reaches a query's k-th score so far, old and new, in order of score and id.
+            least = np.maximum(best[q, -1], -np.partition(-score, k - 1, 1)[:, k - 1] if len(r) >= k else -np.inf)
+            i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+            kept = who[q] >= 0
+            old_i, old_j = np.nonzero(kept)
+            line = np.concatenate([old_i, i])
+            value = np.concatenate([best[q][kept], score[i, j]])
+            row = np.concatenate([who[q][kept], r[j]])
+            order = np.lexsort((order_key[row], -value, line))
+            line, value, row = line[order], value[order], row[order]
+            place = np.arange(len(line)) - np.searchsorted(line, line)
+            top = place < k
+            best[q[line[top]], place[top]] = value[top]
+            who[q[line[top]], place[top]] = row[top]
 
     todo = [(0, np.array([0]))]
     while todo:
