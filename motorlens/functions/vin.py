@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Place weights of ISO 3779, and values of the letters.
@@ -21,16 +21,28 @@ def normal(vin) -> Column:
     return F.when(F.octet_length(x) == 17, x)
 
 
-def check_ok(vin) -> Column:
-    """17 bytes of allowed characters whose check digit fits. Letters become digits by ``translate``, so that the sum is a
-    fixed expression of 17 places and stays in generated code."""
+def _weighed(digits: Column) -> Column:
+    return sum(((F.ascii(F.substring(digits, i + 1, 1)) - 48) * w for i, w in enumerate(WEIGHTS)), F.lit(0)) % 11
+
+
+def _fits(vin: Column, total: Column) -> Column:
     x = F.upper(vin)
-    digits = F.translate(x, _ALPHABET, _MAPPED)
-    total = sum((F.substring(digits, i + 1, 1).try_cast("int") * w for i, w in enumerate(WEIGHTS)), F.lit(0)) % 11
     want = F.when(total == 10, F.lit("X")).otherwise(total.cast("string"))
     return F.coalesce((F.octet_length(vin) == 17) & x.rlike("^[A-HJ-NPR-Z0-9]{17}$") & (F.substring(x, 9, 1) == want), F.lit(False))
 
 
+def check_ok(vin) -> Column:
+    """17 bytes of allowed characters whose check digit fits. Letters become digits by ``translate``, so that the sum is a
+    fixed expression of 17 places and stays in generated code."""
+    return _fits(vin, _weighed(F.translate(F.upper(vin), _ALPHABET, _MAPPED)))
+
+
+def with_check(df: DataFrame, column: str, out: str) -> DataFrame:
+    """``check_ok`` as a column, in steps that are each made once for a row (for use beside many other expressions)."""
+    stepped = df.withColumn("__digits", F.translate(F.upper(column), _ALPHABET, _MAPPED)).withColumn("__weighed", _weighed(F.col("__digits")))
+    return stepped.withColumn(out, _fits(F.col(column), F.col("__weighed"))).drop("__digits", "__weighed")
+
+
 def masked(vin) -> Column:
     return F.concat(F.lit("***"), F.right(vin, F.lit(4)))
 

@@ -55,7 +55,7 @@ def validators(now_year: int = NOW_YEAR) -> dict[str, tuple]:
 
 def prepared(listings: DataFrame) -> DataFrame:
     """Adds the check digit's verdict as a column, so that its long expression is made once."""
-    return listings.withColumn("__vin_ok", vin.check_ok(F.col("vin")))
+    return vin.with_check(listings, "vin", "__vin_ok")
 
 
 def findings(listings: DataFrame, now_year: int = NOW_YEAR) -> DataFrame:
@@ -110,7 +110,7 @@ _TOTAL = sum(WEIGHT[k] for k in _cases())
 frame("agg15_v20_composite", [_SOURCE], lambda d: "WITH r AS (SELECT vehicle_id, " + ", ".join(f"{v} AS {k}" for k, v in _cases().items()) + f" FROM {_SOURCE}), s AS (SELECT vehicle_id, round((" + " + ".join(f"CASE {k} WHEN 'ok' THEN {WEIGHT[k]} WHEN 'CRITICAL' THEN 0 ELSE {WEIGHT[k] // 2} END" for k in _cases()) + f") * 100.0::DOUBLE / {_TOTAL}, 4) AS score, " + " + ".join(f"CAST({k} = 'CRITICAL' AS INT)" for k in _cases()) + " AS criticals FROM r) SELECT *, CASE WHEN criticals >= 2 OR score < 60 THEN 'REJECT' WHEN score >= 80 AND criticals = 0 THEN 'PUBLISH' ELSE 'MANUAL_REVIEW' END AS decision FROM s")(composite)
 for _k in ("V01", "V06", "V07", "V08", "V13", "V15"):
     frame(f"{_k.lower()}_failures", [_SOURCE], (lambda k: lambda d: f"SELECT vehicle_id, outcome FROM (SELECT vehicle_id, {_cases()[k]} AS outcome FROM {_SOURCE}) x WHERE outcome <> 'ok'")(_k))(
-        (lambda k: lambda v: prepared(v).select("vehicle_id", _severity(*validators()[k]).alias("outcome")).where("outcome not in ('PASS', 'INFO')"))(_k)
+        (lambda k: lambda v: findings(v).where((F.col("validator") == k) & ~F.col("pass")).select("vehicle_id", F.col("severity").alias("outcome")))(_k)
     )
 both("v02_decode_table", lambda d: f"SELECT v.vehicle_id, CASE WHEN t.make IS NULL THEN 'soft pass' WHEN v.make LIKE concat('%', t.make, '%') OR t.make LIKE concat('%', v.make, '%') THEN 'pass' ELSE 'WARNING' END AS outcome FROM vehicle v LEFT JOIN {d.values(chr(44).join('(%d, %r)' % (i, m) for i, m in enumerate(BASELINE)), 'id, make')} t ON t.id = v.lot % 9 WHERE v.year = 2020")
 both("v03_first_prefix", lambda d: f"SELECT v.vin, min(t.ord) AS rule FROM (SELECT DISTINCT vin FROM vehicle) v JOIN {d.values(chr(40) + '0, ' + repr('W0L0') + '), (1, ' + repr('W0L00000X') + '), (2, ' + repr('WBA') + ')', 'ord, prefix')} t ON v.vin LIKE concat(t.prefix, '%') OR t.prefix LIKE concat(v.vin, '%') GROUP BY v.vin")

@@ -48,13 +48,13 @@ VIEWS = {
 FROM {d.base("supplier")}""",
     "vehicle": lambda d: f"""SELECT md5(concat_ws('|', CAST(l_orderkey AS STRING), CAST(l_partkey AS STRING), CAST(l_suppkey AS STRING), CAST(l_linenumber AS STRING),
     {_cents("l_quantity")}, {_cents("l_extendedprice")}, {_cents("l_discount")}, {_cents("l_tax")}, l_returnflag, l_linestatus, CAST(CAST(l_shipdate AS DATE) AS STRING))) AS vehicle_id,
-  concat('W0L00000', CASE WHEN n % 2 = 1 THEN '0' WHEN (66 + {_DIGITS}) % 11 = 10 THEN 'X' ELSE CAST((66 + {_DIGITS}) % 11 AS STRING) END, lpad(CAST(n AS STRING), 8, '0')) AS vin,
+  concat('W0L00000', CASE WHEN n % 2 = 1 THEN '0' WHEN chk = 10 THEN 'X' ELSE CAST(chk AS STRING) END, lpad(CAST(n AS STRING), 8, '0')) AS vin,
   l_suppkey AS dealer_id, {_MAKE} AS make, concat('M', CAST(CAST(length(p_brand) + p_size AS INT) % 5 AS STRING)) AS model, 2018 + CAST(p_size AS INT) % 3 AS year,
   CAST(l_quantity * 4000 AS INT) AS mileage_km, l_extendedprice AS price_gross_eur, CASE l_returnflag WHEN 'A' THEN 'electric' WHEN 'N' THEN 'diesel' ELSE 'gasoline' END AS fuel_type,
   l_shipdate AS indexed_at, l_shipdate + INTERVAL 3 DAY AS ttl_expires_at, CASE WHEN l_linestatus = 'F' THEN 'ACTIVE' ELSE 'REJECTED' END AS status, round(1 - l_discount, 2) AS confidence_score,
   CASE WHEN l_tax >= 0.04 THEN l_shipdate + INTERVAL 40 DAY END AS sold_at, l_linenumber AS photo_count, concat('src', CAST(l_orderkey % 4 AS STRING)) AS source_platform,
   concat('https://cars.example/', CAST(l_suppkey AS STRING), '/', CAST(n AS STRING)) AS source_url, l_orderkey AS lot
-FROM (SELECT *, l_partkey * 10 + l_linenumber AS n FROM {d.base("lineitem")} JOIN {d.base("part")} ON l_partkey = p_partkey) x""",
+FROM (SELECT *, (66 + {_DIGITS}) % 11 AS chk FROM (SELECT *, l_partkey * 10 + l_linenumber AS n FROM {d.base("lineitem")} JOIN {d.base("part")} ON l_partkey = p_partkey) w) x""",
     "recent": lambda d: f"SELECT * FROM vehicle WHERE indexed_at <= {d.now}",
     "listing": lambda d: "SELECT v.*, d.country_code, d.canonical_name, d.status AS dealer_status FROM vehicle v JOIN dealer d ON v.dealer_id = d.dealer_id",
     "live_listing": lambda d: "SELECT v.*, d.country_code FROM recent v JOIN dealer d ON v.dealer_id = d.dealer_id",
