@@ -49,7 +49,12 @@ class Model:
         buffer = np.zeros(int(ends[-1]) + CHUNK if len(ends) else CHUNK, np.uint8)
         shift = np.repeat(ends - chunks * CHUNK - bounds[:-1], sizes)
         buffer[np.arange(len(data)) + shift] = data
-        return buffer, chunks
+        # Each chunk with the first bytes of the text's next one, zeros after its last: no window sees another text.
+        rows = buffer[: int(chunks.sum()) * CHUNK].reshape(-1, CHUNK)
+        after = np.zeros((len(rows), SPAN - 1), np.uint8)
+        after[:-1] = rows[1:, : SPAN - 1]
+        after[np.cumsum(chunks) - 1] = 0
+        return np.concatenate([rows, after], 1), chunks
 
     def pooled(self, buffer: np.ndarray, n: int) -> np.ndarray:
         """Largest answer of each filter in each of ``n`` chunks."""
@@ -57,11 +62,11 @@ class Model:
         step = BLOCK // CHUNK
         for at in range(0, n, step):
             m = min(step, n - at)
-            part = buffer[at * CHUNK : (at + m) * CHUNK + SPAN]
-            y = self.taps[0].take(part[: m * CHUNK], 0)
+            part = buffer[at : at + m]
+            y = self.taps[0].take(part[:, :CHUNK], 0)
             for j in range(1, SPAN):
-                y += self.taps[j].take(part[j : j + m * CHUNK], 0)
-            out[at : at + m] = y.reshape(m, CHUNK, FILTERS).max(1)
+                y += self.taps[j].take(part[:, j : j + CHUNK], 0)
+            out[at : at + m] = y.max(1)
         return out
 
     def head(self, best: np.ndarray, mean: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -92,10 +97,9 @@ class Model:
                 raw = np.frombuffer(b"".join(texts[i] for i in own), np.uint8)
                 buffer, chunks = self.chunked(raw, np.concatenate([[0], np.cumsum([len(texts[i]) for i in own])]))
                 n = int(chunks.sum())
-                answers = self.taps[0].take(buffer[: n * CHUNK], 0)
+                answers = self.taps[0].take(buffer[:, :CHUNK], 0)
                 for j in range(1, SPAN):
-                    answers += self.taps[j].take(buffer[j : j + n * CHUNK], 0)
-                answers = answers.reshape(n, CHUNK, FILTERS)
+                    answers += self.taps[j].take(buffer[:, j : j + CHUNK], 0)
                 place = answers.argmax(1)
                 pre = np.take_along_axis(answers, place[:, None], 1)[:, 0] + self.bias
                 seen = np.maximum(pre, 0)
@@ -111,9 +115,9 @@ class Model:
                 share = np.add.reduceat(top.astype(np.float32), first, axis=0)
                 d_seen = top * (d_joined[:, :FILTERS] / share)[doc] + (d_joined[:, FILTERS:] / chunks[:, None])[doc]
                 d_seen = (d_seen * (pre > 0)).astype(np.float32)
-                at_byte = (np.arange(n) * CHUNK)[:, None] + place
+                line = np.arange(n)[:, None]
                 flat = np.arange(FILTERS)
-                taps = np.stack([np.bincount((buffer[at_byte + j].astype(np.int64) * FILTERS + flat).ravel(), d_seen.ravel(), 256 * FILTERS).reshape(256, FILTERS) for j in range(SPAN)])
+                taps = np.stack([np.bincount((buffer[line, place + j].astype(np.int64) * FILTERS + flat).ravel(), d_seen.ravel(), 256 * FILTERS).reshape(256, FILTERS) for j in range(SPAN)])
                 adam.step([taps + decay * self.taps, d_seen.sum(0), joined.T @ d_inner + decay * self.hidden, d_inner.sum(0), np.maximum(inner, 0).T @ error, error.sum(keepdims=True)])
 
 
