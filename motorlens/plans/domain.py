@@ -109,9 +109,15 @@ def with_views(text: str, d: Spark) -> str:
     return f"WITH {', '.join(views)} {body}"
 
 
+#: The JVM never compiles methods of more bytecode than this; below it Spark splits long projections into methods that it does.
+METHOD_BYTES = "8000"
+
+
 def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """A query over domain views and, as motorlens_<table>, the driver's tables."""
     whole = with_views(text, SPARK)
+    if spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535":  # Spark's default
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", METHOD_BYTES)
     for table in sorted(set(re.findall(r"\bmotorlens_(\w+)\b", whole))):
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"motorlens_{table}")
     return spark.sql(whole)
