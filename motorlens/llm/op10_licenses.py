@@ -1,16 +1,19 @@
 """Licence scan: Aho-Corasick for identifier tags and notice phrases, shunting-yard for licence expressions.
 
 Two automata read each whole text once: one the words (lower-cased, joined by blanks) for notices, one
-the lower-cased text for tags such as ``SPDX-License-Identifier:``, after which the rest of the line is
-parsed as an expression of identifiers, ``and``, ``or``, ``with`` and brackets.
+the lower-cased text for tags such as ``SPDX-License-Identifier:``. From the end of a tag an expression of
+identifiers, ``and``, ``or``, ``with`` and brackets is read as far as it can go on: it ends at the end of
+the line, at the first token that can't stand there, and before an operator that no identifier follows, so
+prose behind it is never read as a licence. Each byte of a text belongs to one expression at most.
 
 ``score`` says how freely the text may be used: each licence has a degree from 0 (reserved) to 1
 (permissive); ``or`` takes the larger, ``and`` the smaller, ``with`` an exception half the way to 1. The
 text's score is the smallest of its statements; 0.5 without any.
 
-Defined results: a null or empty text has no words, no labels and score 0.5; an expression that doesn't
-parse gives the identifiers in it, all required; repeated rows are scanned each; an empty table gives
-no rows; extra columns are ignored.
+Defined results: a null or empty text has no words, no labels and score 0.5; an expression whose brackets
+don't close gives the identifiers in it, all required; a tag without an identifier gives nothing; repeated rows
+are scanned each; an empty table gives no rows; extra columns are ignored. A very long text is held as
+bytes, a few times over, and matched in spans of ``SPAN`` bytes.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .op8_toxicity import _bytes
 from .store import small_batches, table
 from .tokens import chunks
 
@@ -40,7 +44,15 @@ DEGREES = {"reserved": 0.0, "cc-by-nc": 0.2, "cc-by-nd": 0.3, "agpl": 0.3, "gpl"
 _OTHER = 0.5
 _FAMILIES = sorted((x for x in DEGREES if x != "reserved"), key=len, reverse=True)
 _BINDING = {"or": 1, "and": 2, "with": 3}
-_TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+-]*")
+#: Blanks of a line, then a bracket or a word (which doesn't end with a full stop: that ends a sentence).
+_TOKEN = re.compile(rb"[ \t]*([()]|[a-z0-9](?:[a-z0-9.+:-]*[a-z0-9+])?)")
+#: Identifiers of licences without a degree: a name with a version, an own reference, or one of the usual ones without version.
+_IDENTIFIER = re.compile(r"[a-z][a-z0-9.+-]*-[0-9]+(\.[0-9]+)*[a-z]?(-(only|or-later|invariants|invariants-only|invariants-or-later))?\+?|(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+")
+# Licence identifiers without a version.
+UNVERSIONED = ("zlib", "unlicense", "wtfpl", "0bsd", "x11", "ncsa", "postgresql", "openssl", "curl", "beerware", "ftl", "ijg", "libpng", "ruby", "vim", "hpnd", "json", "imagemagick", "none", "noassertion")
+_EXCEPTION = re.compile(r"[a-z0-9.+-]*exception[a-z0-9.+-]*|(documentref-[a-z0-9.-]+:)?(additionref|licenseref)-[a-z0-9.-]+")
+#: Bytes that are matched at a time.
+SPAN = 4_000_000
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -54,6 +66,37 @@ def family(identifier: str) -> str:
     return identifier
 
 
+def _names_licence(token: str) -> bool:
+    return family(token) in DEGREES or token in UNVERSIONED or _IDENTIFIER.fullmatch(token) is not None
+
+
+def read_expression(low: bytes, at: int) -> tuple[list[str], int]:
+    """Tokens of the longest expression that begins at ``at`` (lower-cased text), and where it ends. What follows an operator
+    must be an identifier of a licence (of an exception after ``with``) or a bracket, or the operator isn't part of it."""
+    tokens: list[str] = []
+    kept, end, depth, operand = 0, at, 0, False
+    while found := _TOKEN.match(low, at):
+        t = found[1].decode("ascii")
+        if operand:
+            if t == ")" and depth:
+                depth -= 1
+            elif t in _BINDING:
+                operand = False
+            else:
+                break
+        elif t == "(":
+            depth += 1
+        elif (_EXCEPTION.fullmatch(t) if tokens and tokens[-1] == "with" else _names_licence(t)) and t not in _BINDING:
+            operand = True
+        else:
+            break
+        tokens.append(t)
+        at = found.end()
+        if operand:
+            kept, end = len(tokens), at
+    return tokens[:kept], end
+
+
 def postfix(tokens: list[str]) -> list[str] | None:
     """Shunting-yard: operands and operators in postfix order, or None if the brackets or places don't fit."""
     out, held, operand = [], [], False
@@ -87,9 +130,8 @@ def postfix(tokens: list[str]) -> list[str] | None:
     return out if operand else None
 
 
-def evaluate(expression: str) -> tuple[set[str], float] | None:
-    """Labels and score of a licence expression (lower case); None if it names no licence."""
-    tokens = _TOKEN.findall(expression)
+def evaluate(tokens: list[str]) -> tuple[set[str], float] | None:
+    """Labels and score of an expression's tokens; None if it names no licence."""
     order = postfix(tokens)
     if order is None:
         names = [t for t in tokens if t not in _BINDING and t not in "()"]
@@ -109,7 +151,7 @@ def _automata():
 
     notices, tags = ahocorasick.Automaton(), ahocorasick.Automaton()
     for phrase in dict.fromkeys([*BASE, *NOTICES]):
-        notices.add_word(f" {phrase} ", phrase)
+        notices.add_word(f" {phrase} ", f" {phrase} ")
     for tag in TAGS:
         tags.add_word(tag, tag)
     notices.make_automaton()
@@ -117,32 +159,45 @@ def _automata():
     return notices, tags
 
 
-def scan(text: str, automata) -> tuple[int, int, int | None, int | None, str, str, float]:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score of one text."""
-    raw = text.encode("utf-8", "surrogatepass")
-    words = raw.translate(_WORDS).split()
-    line = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
-    starts, base, labels, score = [], set(), set(), 0.5
-    degrees = []
-    for end, phrase in automata[0].iter(line):
+def _matches(text: bytes, automaton):
+    """(start, word) of all matches, span by span; bytes stand for characters, since all patterns are ASCII."""
+    reach = max(map(len, automaton.keys())) - 1
+    for at in range(0, len(text), SPAN):
+        for last, word in automaton.iter(text[at : at + SPAN + reach].decode("latin-1")):
+            start = last - len(word) + 1
+            if start < SPAN:
+                yield at + start, word
+
+
+def scan(raw: bytes, automata) -> tuple[int, int, int | None, int | None, str, str, float]:
+    """n_words, n_base, first_word, last_word, base_labels, labels, score of one text (UTF-8)."""
+    line = raw.translate(_WORDS).strip(b" ")
+    while b"  " in line:
+        line = line.replace(b"  ", b" ")
+    line = b" " + line + b" "
+    n_words = line.count(b" ") - 1 if len(line) > 2 else 0
+    n_base, first, last, base, labels, degrees = 0, None, None, set(), set(), []
+    for start, padded in _matches(line, automata[0]):
+        phrase = padded.strip(" ")
         if phrase in BASE:
-            starts.append(end - len(phrase) - 1)
+            n_base += 1
+            first = start if first is None else min(first, start)
+            last = start if last is None else max(last, start)
             base.add(BASE[phrase])
         label = NOTICES.get(phrase) or BASE[phrase]
         labels.add(label)
         degrees.append(DEGREES[label])
-    labels |= base
-    low = raw.translate(_LOWER).decode("utf-8", "surrogatepass")
-    for end, _ in automata[1].iter(low):
-        stop = low.find("\n", end + 1)
-        if found := evaluate(low[end + 1 : stop if stop >= 0 else len(low)]):
-            labels |= found[0]
-            degrees.append(found[1])
-    if degrees:
-        score = min(degrees)
-    first = line.count(" ", 0, min(starts)) if starts else None
-    last = line.count(" ", 0, max(starts)) if starts else None
-    return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
+    low = raw.translate(_LOWER)
+    done = 0
+    for start, tag in _matches(low, automata[1]):
+        # A tag inside an expression that was read already isn't read again.
+        if start >= done:
+            tokens, done = read_expression(low, start + len(tag))
+            if found := evaluate(tokens):
+                labels |= found[0]
+                degrees.append(found[1])
+    first, last = (x if x is None else line.count(b" ", 0, x) for x in (first, last))
+    return n_words, n_base, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), min(degrees, default=0.5)
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
@@ -153,7 +208,8 @@ def license_scan(docs: DataFrame) -> DataFrame:
     def run(batches):
         automata = _automata()
         for batch in chunks(batches):
-            rows = [scan(t, automata) for t in batch.column("text").to_pylist()]
+            data, bounds = _bytes(batch.column("text"))
+            rows = [scan(data[a:b].tobytes(), automata) for a, b in zip(bounds[:-1], bounds[1:])]
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
