@@ -1,17 +1,23 @@
 """Exact top-k search by inner product with two cover trees.
 
-Data vectors are dealt to shards by a hash of their id and queries to blocks, so that a task holds one
-shard and one block, whatever their numbers. A task builds a cover tree over each and walks pairs of
-nodes from the roots, nearest bound first. For a query node with centre q and covering radius s and a
-data node with centre r and covering radius t no product can exceed <q,r> + t|q| + s|r| + st; the pair is
-dropped if that is below the worst k-th score of the node's queries so far. Leaves are multiplied out.
-A shard sends k candidates for each query; the best of these are the result.
-
-Vectors are scaled and floored first, so that products are whole numbers and exact in doubles.
+1. A cover tree over a bounded sample of the data (``SAMPLE`` rows) gives centres. Every vector is indexed: it
+   goes down the tree to the nearest centre, and each centre keeps the number of its vectors, its covering
+   radius and the largest norm. A centre with more than ``SHARD`` vectors is dealt over several shards.
+2. A query's k-th best score among the sample is a first bound. It goes only to centres whose vectors could
+   reach that: for a vector x near centre c, <q,x> is at most <q,c> + |q| * radius.
+3. A task holds one shard and a block of at most about ``BLOCK`` queries that reach it. It builds a cover
+   tree over each and walks pairs of nodes from the roots, nearest bound first. For a query node with
+   centre q and covering radius s and a data node with centre r and covering radius t no product can exceed
+   <q,r> + t|q| + s|r| + st; the pair is dropped if that is below the worst k-th score of the node's queries
+   so far. Leaves are multiplied out. A task sends k candidates for each query; the best of these are the result.
+
+Vectors are scaled and floored first, so that products are whole numbers: exact in doubles where
+|q| * |x| stays below 2**53, in extended doubles (below 2**63) beyond.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; vectors of
 unlike length count as filled up with zeros; a null vec_id is no query but can be found; ties go to the smaller
-vec_id; repeated rows are found each, and queries that share an id are answered together; an empty table gives no rows; extra columns are ignored.
+vec_id (negative ones included, null last); repeated rows are found each, and queries that share an id are answered together; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import saved, table
+from .store import saved, small_batches, table
 
 SCALE = 256
 K = 5
 #: Data vectors of one shard and queries of one block, about.
-SHARD = 8192
-BLOCK = 2048
+SHARD = 16384
+BLOCK = 8192
+#: Rows (those with the smallest hashes) that the centres of the index are taken from: a bound on the driver's share.
+SAMPLE = 8192
 LEAF = 48
 #: A node whose children would hold fewer rows than this on average isn't split.
 SPREAD = 16
@@ -42,8 +50,8 @@ BASE = 1.4
 class CoverTree:
     """Nodes of a cover tree over the rows of ``x``: centre (a row), covering radius, children or rows."""
 
-    def __init__(self, x: np.ndarray):
-        self.x = x
+    def __init__(self, x: np.ndarray, leaf: int = LEAF):
+        self.x, self.leaf = x, leaf
         self.centre: list[int] = []
         self.radius: list[float] = []
         self.children: list[list[int]] = []
@@ -74,7 +82,7 @@ class CoverTree:
             radius = float(far.max())
             # Children, farthest centre first, so that centres stay apart by more than the children's cover.
             cover, left, reach, point, groups = radius / BASE, own, far, centre, []
-            most = max(8, len(own) // SPREAD) if len(own) > LEAF and radius > 0 else 0
+            most = max(8, len(own) // SPREAD) if len(own) > self.leaf and radius > 0 else 0
             while len(left) and len(groups) < most:
                 near = far <= cover
                 groups.append((left[near], point))
@@ -87,11 +95,11 @@ class CoverTree:
             children: list[tuple[np.ndarray, int]] = []
             held: list[np.ndarray] = []
             for rows, point in groups:
-                if len(rows) >= LEAF:
+                if len(rows) >= self.leaf:
                     children.append((rows, point))
                     continue
                 held.append(rows)
-                if sum(map(len, held)) >= 2 * LEAF:
+                if sum(map(len, held)) >= 2 * self.leaf:
                     children.append((np.concatenate(held), int(held[0][0])))
                     held = []
             if held:
@@ -105,15 +113,22 @@ class CoverTree:
                 todo += [(rows, point, node) for rows, point in children]
 
 
-def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of queries, row of data, score) of each query's k best rows with another id; ids may be -1 for none."""
+def _largest(x: np.ndarray) -> float:
+    return float(np.sqrt((x * x).sum(1).max(initial=0)))
+
+
+def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int = K, null: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of queries, row of data, score) of each query's k best rows with another id; ``null`` marks rows without an id."""
     n = len(queries)
-    best = np.full((n, k), -np.inf)
+    null = np.zeros(len(data), bool) if null is None else null
+    # Products of whole numbers are exact while they stay below what the mantissa holds.
+    kind = np.float64 if _largest(queries) * _largest(data) < 2.0**52 else np.longdouble
+    queries, data = queries.astype(kind), data.astype(kind)
+    best = np.full((n, k), -np.inf, kind)
     who = np.full((n, k), -1, np.int64)
     if not n or not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     a, b = CoverTree(queries), CoverTree(data)
-    order_key = np.where(data_ids < 0, np.iinfo(np.int64).max, data_ids)
     # Rounding of distances must not drop a pair that ties.
     slack = 1e-9 * (1 + a.norms.max(initial=0) * b.norms.max(initial=0)) + 1e-6
     under = {}
@@ -136,7 +151,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
         for at in range(0, len(rows), COLUMNS):
             r = rows[at : at + COLUMNS]
             score = queries[q] @ data[r].T
-            score[query_ids[q][:, None] == data_ids[r][None, :]] = -np.inf
+            score[(query_ids[q][:, None] == data_ids[r][None, :]) & ~null[r]] = -np.inf
             # What reaches a query's k-th score so far, old and new, in order of score and id.
             least = np.maximum(best[q, -1], -np.partition(-score, k - 1, 1)[:, k - 1] if len(r) >= k else -np.inf)
             i, j = np.nonzero((score >= least[:, None]) & (score > -np.inf))
@@ -145,7 +160,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
             line = np.concatenate([old_i, i])
             value = np.concatenate([best[q][kept], score[i, j]])
             row = np.concatenate([who[q][kept], r[j]])
-            order = np.lexsort((order_key[row], -value, line))
+            order = np.lexsort((data_ids[row], null[row], -value, line))
             line, value, row = line[order], value[order], row[order]
             place = np.arange(len(line)) - np.searchsorted(line, line)
             top = place < k
@@ -169,8 +184,6 @@ def search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_id
             continue
         # A leaf of queries: best bound first, until no node can reach the worst k-th score.
         waiting = list(zip((-bounds(q, nodes)).tolist(), nodes.tolist())) if len(nodes) else []
-
-
         heapq.heapify(waiting)
         while waiting:
             minus, i = heapq.heappop(waiting)
@@ -194,38 +207,135 @@ def usable(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * float(scale)).cast("double")).alias("v")).where(fine)
 
 
-def _matrix(column: pa.ChunkedArray, width: int | None = None) -> np.ndarray:
+def _matrix(column, width: int = 0) -> np.ndarray:
+    """Vectors as rows, filled up with zeros to ``width`` or the longest one."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     sizes = np.diff(lists.offsets.to_numpy())
-    width = max(width or 0, int(sizes.max(initial=0)))
-    out = np.zeros((len(sizes), width))
+    out = np.zeros((len(sizes), max(width, int(sizes.max(initial=0)))))
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
     return out
 
 
+def _pair(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    width = max(left.shape[1], right.shape[1])
+    return tuple(np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (left, right))
+
+
+class Index:
+    """Centres of the shards: a cover tree over a sample, whose leaves' centres attract the vectors."""
+
+    def __init__(self, sample: list, n: int):
+        self.ids = np.array([0 if r["vec_id"] is None else r["vec_id"] for r in sample], np.int64)
+        self.null = np.array([r["vec_id"] is None for r in sample], bool)
+        width = max((len(r["v"]) for r in sample), default=0)
+        self.x = np.array([[*r["v"], *[0.0] * (width - len(r["v"]))] for r in sample], np.float64).reshape(len(sample), width)
+        # A leaf of the sample stands for about half a shard of the data, or for a few rows of the sample at least.
+        tree = CoverTree(self.x, max(8, SHARD // 2 * len(sample) // max(1, n)))
+        self.children = tree.children
+        self.nodes = tree.centres
+        leaves = [i for i, rows in enumerate(tree.rows) if rows is not None]
+        self.leaf_of = {node: i for i, node in enumerate(leaves)}
+        self.centres = self.nodes[leaves]
+        self.radius = self.norm = self.shards = np.zeros(0)
+
+    def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, distance to its centre) of each row, down the tree by the nearest child."""
+        x, nodes = _pair(x, self.nodes)
+        leaf, far = np.zeros(len(x), np.int64), np.zeros(len(x))
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            node, own = todo.pop()
+            if node in self.leaf_of:
+                leaf[own] = self.leaf_of[node]
+                d = x[own] - nodes[node]
+                far[own] = np.sqrt(np.einsum("ij,ij->i", d, d))
+                continue
+            below = np.array(self.children[node])
+            near = np.argmin((nodes[below] ** 2).sum(1) - 2 * (x[own] @ nodes[below].T), 1)
+            todo += [(int(c), own[near == i]) for i, c in enumerate(below) if (near == i).any()]
+        return leaf, far
+
+    def reached(self, q: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+        """For each query and leaf whether the leaf could hold one of the query's k best rows."""
+        q, x = _pair(q, self.x)
+        low = np.full(len(q), -np.inf)
+        if len(x) >= k:
+            score = q @ x.T
+            score[(ids[:, None] == self.ids) & ~self.null] = -np.inf
+            low = -np.partition(-score, k - 1, 1)[:, k - 1]
+        q, c = _pair(q, self.centres)
+        norms = np.sqrt((q * q).sum(1))
+        slack = 1e-9 * (1 + norms[:, None] * (self.norm + self.radius)) + 1e-6
+        return (q @ c.T + norms[:, None] * self.radius + slack >= low[:, None] - slack) & (self.shards > 0)
+
+
+#: Rows multiplied with the sample at a time.
+_STEP = 1024
+
+
+def index_of(data: DataFrame) -> tuple[Index, DataFrame]:
+    """The index of (vec_id, v) rows, stored, and the rows with ``leaf`` and a running number ``nth``, stored."""
+    n = data.count()
+    index = Index(data.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).collect(), n)
+
+    def assign(batches):
+        for batch in batches:
+            x = _matrix(batch.column("v"))
+            if not len(x):
+                continue
+            leaf, far = index.nearest(x)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(leaf), pa.array(far), pa.array(np.sqrt((x * x).sum(1)))], names=["vec_id", "v", "leaf", "far", "norm"])
+
+    small_batches(data.sparkSession, 4096)
+    placed = saved(data.mapInArrow(assign, "vec_id long, v array<double>, leaf long, far double, norm double").withColumn("nth", F.monotonically_increasing_id()), "index")
+    # A row for each centre, of which there are fewer than rows in the sample.
+    found = placed.groupBy("leaf").agg(F.count("*").alias("n"), F.max("far").alias("far"), F.max("norm").alias("norm")).collect()
+    size = len(index.centres)
+    index.radius, index.norm, index.shards = np.zeros(size), np.zeros(size), np.zeros(size, np.int64)
+    for r in found:
+        index.radius[r["leaf"]], index.norm[r["leaf"]], index.shards[r["leaf"]] = r["far"], r["norm"], -(-r["n"] // SHARD)
+    return index, placed
+
+
+def routed(queries: DataFrame, index: Index, k: int) -> DataFrame:
+    """(vec_id, v, leaves): the leaves that could hold one of the query's k best rows."""
+
+    def route(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, _STEP):
+                part = batch.slice(at, _STEP)
+                hit = index.reached(_matrix(part.column("v")), part.column("vec_id").to_numpy(zero_copy_only=False), k)
+                offsets = np.concatenate([[0], np.cumsum(hit.sum(1))])
+                leaves = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.nonzero(hit)[1], pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("v"), leaves], names=["vec_id", "v", "leaves"])
+
+    return queries.mapInArrow(route, "vec_id long, v array<double>, leaves array<long>")
+
+
 def top_k(queries: DataFrame, data: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score) for queries (vec_id, v) against all of data (vec_id, v), both stored."""
-    shards = max(1, -(-data.count() // SHARD))
-    blocks = max(1, -(-queries.count() // BLOCK))
-    of_data = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards))
-    of_query = F.pmod(F.xxhash64("vec_id"), F.lit(blocks))
-    # A query goes to each shard and a vector to each block: pieces of bounded size, not pairs of rows.
-    d = data.select("vec_id", "v", of_data.alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    q = queries.select("vec_id", "v", of_query.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    spark = data.sparkSession
+    index, placed = index_of(data)
+    asked = saved(routed(queries.where("vec_id is not null"), index, k), "routes")
+    wanted = asked.select(F.explode("leaves").alias("leaf")).groupBy("leaf").count().collect()  # at most a row for each centre
+    plan = spark.createDataFrame([(int(r["leaf"]), int(index.shards[r["leaf"]]), int(-(-r["count"] // BLOCK))) for r in wanted], "leaf long, shards long, blocks long")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    # A vector goes to each block of the queries that reach its leaf, a query to each shard of the leaves it reaches.
+    d = placed.join(F.broadcast(plan), "leaf").select("vec_id", "v", "leaf", F.expr("pmod(nth, shards)").alias("shard"), upto("blocks").alias("block"))
+    q = asked.select("vec_id", "v", F.explode("leaves").alias("leaf")).join(F.broadcast(plan), "leaf")
+    q = q.select("vec_id", "v", "leaf", F.expr("pmod(xxhash64(vec_id), blocks)").alias("block"), upto("shards").alias("shard"))
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        x, y = _matrix(left.column("v")), _matrix(right.column("v"))
-        width = max(x.shape[1], y.shape[1])
-        x, y = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (x, y))
-        # Without an id no row is a query's own.
-        qid = left.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64)
-        rid = np.array([-1 if i is None else i for i in right.column("vec_id").to_pylist()], np.int64)
-        a, b, score = search(x, qid, y, rid, k)
+        x, y = _pair(_matrix(left.column("v")), _matrix(right.column("v")))
+        qid = left.column("vec_id").to_numpy()
+        null = np.asarray(right.column("vec_id").is_null())
+        rid = right.column("vec_id").fill_null(0).to_numpy()
+        a, b, score = search(x, qid, y, rid, k, null)
         ids = right.column("vec_id").combine_chunks().take(pa.array(b))
         return pa.table({"query_id": pa.array(qid[a], pa.int64()), "vec_id": ids, "score": pa.array(score.astype(np.int64), pa.int64())})
 
-    found = q.groupBy("shard", "block").cogroup(d.groupBy("shard", "block")).applyInArrow(pair, "query_id long, vec_id long, score long")
+    found = q.groupBy("leaf", "shard", "block").cogroup(d.groupBy("leaf", "shard", "block")).applyInArrow(pair, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
