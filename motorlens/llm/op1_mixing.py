@@ -1,20 +1,22 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree, in DataFrame operations.
 
-1. Each document gets a pseudo-random key (MD5 of its doc_id). The key's first bits name its block, so
+1. Each document gets a pseudo-random key (MD5 of seed and doc_id). The key's first bits name its block, so
    the blocks of a source, in order of their number, are a random permutation cut into pieces.
 2. Targets: sources share ``share`` times all words by weight; none exceeds ``most`` times its own size
    and the excess goes to the others by weight (water filling, in one window over the sources).
 3. A source's blocks are drawn in whole passes and then in order until the target would be passed; the
    block at the edge gives its documents in key order, the last one if that comes nearer to the target.
-4. The draws of all sources are dealt to output shards by a binary tree: each node holds how many draws
-   of each source it gets and splits them by exact selection sampling (a multivariate-hypergeometric
-   draw). The draws of a source go to the shards as disjoint runs of its permuted blocks.
+4. The draws of all sources are dealt to output shards by a binary tree: each node holds a number of draws
+   of each source, rows of a table, and splits them exactly in halves by a multivariate-hypergeometric
+   draw. The draws of a source go to the shards as disjoint runs of its permuted blocks.
 5. A shard's order is a hash of document, copy and shard.
 
 Documents are read once for their sizes; after that only (source, block) rows matter, of which there
-are at most ``2**block_bits`` for each source, and the block at each source's edge.
+are at most ``2**block_bits`` for each source, and the block at each source's edge. Sources may be many: they are rows
+everywhere.
 
-Defined results: a null or empty text has size 0 (it is drawn with its block); null is a source of its own and comes last;
+Defined results: a null or empty text has size 0 (it is drawn with its block, but never decides where a source
+stops); a very long text is counted by one expression, whole; null is a source of its own and comes last;
 repeated rows share a key and so are drawn together; an empty table gives no rows; extra columns stay.
 """
 
@@ -29,6 +31,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 BLOCK_BITS = 10
+#: Bits of the key that cut a source's edge block into pieces, and bits of a draw's hash that name its range.
+_PIECE_BITS = 10
+_RANGE_BITS = 14
 #: Levels of the splitting tree: 2**levels output shards.
 LEVELS = 6
 #: Rows of (source, block) up to which the draws are broadcast; with more, documents are joined by a shuffle.
@@ -43,8 +48,8 @@ def word_count(text) -> F.Column:
     return F.when(F.coalesce(F.length(inner), F.lit(0)) == 0, F.lit(0)).otherwise(F.length(F.regexp_replace(inner, f"[^{_BLANK}]+[{_BLANK}]*", "x"))).cast("long")
 
 
-def _keyed(docs: DataFrame, bits: int) -> DataFrame:
-    hexes = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+def _keyed(docs: DataFrame, bits: int, seed: int = 1) -> DataFrame:
+    hexes = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
     key = F.conv(F.substring(hexes, 1, 13), 16, 10).cast("long")  # 52 bits
     return docs.withColumn("__size", word_count("text")).withColumn("__key", key).withColumn("__block", F.expr(f"shiftright(__key, {52 - bits})").cast("int"))
 
@@ -66,29 +71,51 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return ranked.select("source", "source_size", F.col("_rank").alias("rank"), target.cast("double").alias("target"))
 
 
-def _split(seed: int, levels: int, root: DataFrame) -> DataFrame:
-    """Leaves (shard, quotas) of the tree, from one row with ``quotas``: draws of each source, in order."""
-    nodes = root.select(F.lit(1).cast("long").alias("node"), "quotas")
+def _split(seed: int, levels: int, quotas: DataFrame) -> DataFrame:
+    """(shard, rank, n): the leaves of the splitting tree over (rank, n) rows, the draws of each source.
+
+    All draws stand in one random order (by a hash). The root holds them all; a node's first half goes to its left child, the
+    rest to its right one, ``levels`` times. So each node holds an exact number of draws, and how many of these are of
+    each source is a multivariate-hypergeometric draw from its parent. A draw's place in the order is the draws in
+    the hash ranges before its own and its rank within that; then the way down is arithmetic on its row."""
+    draws = quotas.where("n > 0").select("rank", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("d"))
+    draws = draws.withColumn("u", F.xxhash64(F.lit(seed), "rank", "d")).withColumn("range", F.shiftrightunsigned("u", 64 - _RANGE_BITS))
+    # A row for each range of hashes: at most 2**_RANGE_BITS.
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = draws.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("size"))
+    nth = F.row_number().over(Window.partitionBy("range").orderBy("u", "rank", "d"))
+    at = draws.withColumn("nth", nth).join(F.broadcast(ranges), "range").select("rank", "size", (F.col("before") + F.col("nth") - 1).alias("place"), F.lit(1).cast("long").alias("node"))
     for _ in range(levels):
-        # Algorithm S over the draws of a node, source after source: a draw goes left with the chance (places left) / (draws left).
-        chance = f"(shiftrightunsigned(xxhash64({seed}L, node, i, d), 11) / 9007199254740992D) * b.all < b.left"
-        step = f"(b, d) -> if({chance}, named_struct('got', b.got + 1L, 'left', b.left - 1L, 'all', b.all - 1L), named_struct('got', b.got, 'left', b.left, 'all', b.all - 1L))"
-        draws = "if(quotas[i] > 0L, sequence(1L, quotas[i]), cast(array() as array<bigint>))"
-        inner = f"aggregate({draws}, named_struct('got', 0L, 'left', a.left, 'all', a.all), {step}, b -> named_struct('left', b.left, 'all', b.all, 'out', concat(a.out, array(b.got))))"
-        total = "aggregate(quotas, 0L, (t, q) -> t + q)"
-        start = f"named_struct('left', {total} div 2L, 'all', {total}, 'out', cast(array() as array<bigint>))"
-        taken = f"aggregate(sequence(0, size(quotas) - 1), {start}, (a, i) -> {inner}, a -> a.out)"
-        nodes = nodes.withColumn("_left", F.explode(F.array(F.expr(taken))))
-        right = F.zip_with("quotas", "_left", lambda q, x: q - x)
-        nodes = nodes.select("node", F.explode(F.array(F.struct((F.col("node") * 2).alias("n"), F.col("_left").alias("q")), F.struct((F.col("node") * 2 + 1).alias("n"), right.alias("q")))).alias("_child"))
-        nodes = nodes.select(F.col("_child.n").alias("node"), F.col("_child.q").alias("quotas"))
-    return nodes.select((F.col("node") - 2**levels).cast("int").alias("shard"), "quotas")
-
-
-def draw_blocks(keyed: DataFrame, seed: int = 1, weights=WEIGHTS, share: float = SHARE, most: int = MOST, levels: int = LEVELS) -> DataFrame:
+        left = F.expr("size div 2")
+        right = F.col("place") >= left
+        at = at.select("rank", F.when(right, F.col("size") - left).otherwise(left).alias("size"), F.when(right, F.col("place") - left).otherwise(F.col("place")).alias("place"), (2 * F.col("node") + right.cast("int")).alias("node"))
+    return at.groupBy((F.col("node") - 2**levels).cast("int").alias("shard"), "rank").agg(F.count("*").alias("n"))
+
+
+def _stops(keyed: DataFrame, laid: DataFrame, block_bits: int) -> DataFrame:
+    """(source, edge_key): the key of the last document that each source's edge block gives. The block is cut again by the next
+    bits of the key, so that only documents of one such part are put in order."""
+    edges = laid.where("_edge").select(F.col("source").alias("_s"), F.col("__block").alias("_b"), (F.col("_rest") - (F.col("_upto") - F.col("words"))).alias("_room"))
+    # A row for each source; the size of the sources' table is Spark's to weigh.
+    inside = keyed.where("__size > 0").join(edges, keyed["source"].eqNullSafe(F.col("_s")) & (keyed["__block"] == F.col("_b")))
+    keys = inside.groupBy("source", "__key").agg(F.sum("__size").alias("__size"), F.first("_room").alias("_room"))
+    # The next bits of a hash of 52: pieces within a block, in the order of keys.
+    keys = saved(keys.withColumn("_piece", F.expr(f"shiftright(__key, {52 - block_bits - _PIECE_BITS}) % {1 << _PIECE_BITS}")), "edge-keys")
+    run = lambda by: Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pieces = keys.groupBy("source", "_piece").agg(F.sum("__size").alias("n"), F.max("__key").alias("_last"), F.first("_room").alias("_room")).withColumn("_sum", F.sum("n").over(run("_piece")))
+    # Pieces that fit as a whole, up to their last key; then the piece that passes the room.
+    whole = pieces.where("_sum <= _room").groupBy("source").agg(F.max("_last").alias("edge_key"))
+    passing = pieces.where("_sum > _room and _sum - n < _room").select(F.col("source").alias("_s"), F.col("_piece").alias("_p"), (F.col("_sum") - F.col("n")).alias("_before"))
+    last = keys.join(passing, keys["source"].eqNullSafe(F.col("_s")) & (keys["_piece"] == F.col("_p"))).withColumn("_sum", F.col("_before") + F.sum("__size").over(run("__key")))
+    nearer = F.abs(F.col("_sum") - F.col("_room")) <= F.abs(F.col("_sum") - F.col("__size") - F.col("_room"))
+    last = last.where(nearer).groupBy("source").agg(F.max("__key").alias("edge_key"))
+    return whole.unionByName(last).groupBy("source").agg(F.max("edge_key").alias("edge_key"))
+
+
+def draw_blocks(keyed: DataFrame, seed: int = 1, weights=WEIGHTS, share: float = SHARE, most: int = MOST, levels: int = LEVELS, block_bits: int = BLOCK_BITS) -> DataFrame:
     """(source, block) rows with ``shards`` (the shard of each pass over the whole block), ``edge_shard`` and ``edge_key``
-    (documents up to this key are drawn once more), source_size and target. ``keyed``: doc_id, source, __size, __key, __block,
-    stored."""
+    (documents up to this key are drawn once more), source_size and target. ``keyed``: doc_id, source, __size, __key, __block
+    (the key's first ``block_bits``), stored."""
     blocks = saved(keyed.groupBy("source", "__block").agg(F.sum("__size").alias("words")), "blocks")
     targets = source_targets(blocks, weights, share, most)
     run = Window.partitionBy("source").orderBy("__block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -100,20 +127,11 @@ def draw_blocks(keyed: DataFrame, seed: int = 1, weights=WEIGHTS, share: float =
     laid = laid.withColumn("_whole", F.col("_upto") <= F.col("_rest"))
     laid = laid.withColumn("_edge", (~F.col("_whole")) & (F.col("_upto") - F.col("words") < F.col("_rest")))
     laid = saved(laid, "laid")
-    # The document at which each source's edge block stops.
-    edges = laid.where("_edge").select(F.col("source").alias("_s"), F.col("__block").alias("_b"), (F.col("_rest") - (F.col("_upto") - F.col("words"))).alias("_room"))
-    inside = keyed.join(edges, keyed["source"].eqNullSafe(F.col("_s")) & (keyed["__block"] == F.col("_b")))
-    keys = inside.groupBy("source", "__key").agg(F.sum("__size").alias("__size"), F.first("_room").alias("_room"))
-    so_far = F.sum("__size").over(Window.partitionBy("source").orderBy("__key").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    stops = keys.withColumn("_sum", so_far).where(F.abs(F.col("_sum") - F.col("_room")) <= F.abs(F.col("_sum") - F.col("__size") - F.col("_room")))
-    stops = stops.groupBy("source").agg(F.max("__key").alias("edge_key")).withColumnRenamed("source", "_s")
-    # One row: the draws of each source, in the order of rank.
+    stops = _stops(keyed, laid, block_bits).withColumnRenamed("source", "_s")
     quotas = laid.groupBy("rank").agg((F.first("passes") * F.count("*") + F.count_if(F.col("_whole") | F.col("_edge"))).alias("n"))
-    root = quotas.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "n"))), lambda x: x["n"]).alias("quotas")).where(F.size("quotas") > 0)
-    leaves = _split(seed, levels, root).select("shard", F.posexplode("quotas").alias("_at", "n"))
-    before = Window.partitionBy("_at").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    runs = leaves.withColumn("_from", F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 0")
-    dealt = runs.select((F.col("_at") + 1).alias("_rank"), "shard", F.explode(F.sequence(F.col("_from") + 1, F.col("_from") + F.col("n"))).alias("_draw"))
+    before = Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    runs = _split(seed, levels, quotas).withColumn("_from", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    dealt = runs.select(F.col("rank").alias("_rank"), "shard", F.explode(F.sequence(F.col("_from") + 1, F.col("_from") + F.col("n"))).alias("_draw"))
     # Draws of a source in order: pass after pass over all its blocks, then once more from its first block.
     in_source = F.count("*").over(Window.partitionBy("source"))
     laid = laid.withColumn("_blocks", in_source)
@@ -139,7 +157,7 @@ def with_draws(keyed: DataFrame, draws: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, seed: int = 1, **how) -> DataFrame:
     """The mixed rows: the columns of ``docs`` with ``mix_shard``, ``mix_copy`` and ``mix_order`` (the place in the shard is
     the rank of this number). A document appears once for each copy."""
-    keyed = _keyed(docs, how.pop("block_bits", BLOCK_BITS))
+    keyed = _keyed(docs, how.get("block_bits", BLOCK_BITS), seed)
     small = saved(keyed.select("doc_id", "source", "__size", "__key", "__block"), "sizes")
     taken = with_draws(keyed, draw_blocks(small, seed, **how))
     taken = taken.select(*docs.columns, F.posexplode("__copies").alias("mix_copy", "mix_shard"))
@@ -156,7 +174,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = rf"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS k
+         CAST('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS k
   FROM documents),
 b AS (SELECT source, k >> {52 - BLOCK_BITS} AS blk, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY ALL),
 s AS (SELECT source, CAST(sum(words) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM b GROUP BY source),
@@ -172,7 +190,7 @@ l AS (
 e AS (
   SELECT d.source, d.k, sum(d.size) AS size, any_value(rest - (upto - words)) AS room
   FROM d JOIN l ON d.source IS NOT DISTINCT FROM l.source AND d.k >> {52 - BLOCK_BITS} = l.blk
-  WHERE NOT upto <= rest AND upto - words < rest GROUP BY d.source, d.k),
+  WHERE NOT upto <= rest AND upto - words < rest AND d.size > 0 GROUP BY d.source, d.k),
 f AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY k) AS so_far FROM e),
 g AS (SELECT source, max(k) AS stop FROM f WHERE abs(so_far - room) <= abs(so_far - size - room) GROUP BY source)
 SELECT d.doc_id, d.size, l.source_size, l.target,
