@@ -1,12 +1,14 @@
 """Best-fit packing by exact-complement hashing.
 
 The plan depends on the histogram of piece lengths alone, which has at most ``capacity`` entries, so
-it is made on the driver whatever the number of documents: each step takes one combination of lengths
-as often as its scarcest length allows. Pieces then find their sequence from their rank among the
-pieces of their length.
+it is made on the driver whatever the number of documents. The sums of one, two and three lengths are
+indexed once; each step looks a gap up and takes the combination found as often as its scarcest length
+allows. What has no exact complement is packed by best fit. Pieces then find their sequence from their
+rank among the pieces of their length.
 
 Defined results: a null or empty text is one piece that holds the end id; repeated rows are packed
-each; an empty table gives no rows; extra columns are ignored.
+each; an empty table gives no rows; extra columns are ignored. A very long text is encoded at once, in
+memory in proportion to it, and cut into pieces.
 """
 
 from __future__ import annotations
@@ -27,37 +29,74 @@ CAPACITY = 2048
 END_ID = 0
 
 
-def _pair(free: np.ndarray, gap: int, most: int) -> tuple[int, int] | None:
-    """Two free lengths a >= b with a + b = gap and a <= most; the largest a."""
-    a = np.arange(min(most, gap - 1), (gap - 1) // 2, -1)
-    if not len(a):
+class Sums:
+    """Index of the sums of one, two and three of the lengths that occur, hashed by the sum, under counts of what is left.
+
+    Counts only fall while a plan is made, so a combination that can't be had now is never had again: each sum keeps the
+    place in its list up to which combinations are used up, and all lists together are gone through once."""
+
+    def __init__(self, free: list[int]):
+        self.free = free
+        most = len(free) - 1
+        have = np.array(free) > 0
+        #: For each sum the larger length of its pairs, the largest first.
+        self.pairs: dict[int, list[int]] = {}
+        for total in range(2, most + 1):
+            a = np.arange(total - 1, (total - 1) // 2, -1)
+            if len(a := a[have[a] & have[total - a]]):
+                self.pairs[total] = a.tolist()
+        paired = np.zeros(most + 1, bool)
+        paired[list(self.pairs)] = True
+        #: For each sum the lengths that a pair's sum completes to it, the largest first.
+        self.triples: dict[int, list[int]] = {}
+        for total in range(3, most + 1):
+            a = np.arange(total - 2, 0, -1)
+            if len(a := a[have[a] & paired[total - a]]):
+                self.triples[total] = a.tolist()
+        self.at_pair, self.at_triple = dict.fromkeys(self.pairs, 0), dict.fromkeys(self.triples, 0)
+
+    def _there(self, a: int, b: int, c: int = 0) -> bool:
+        """Whether pieces of these lengths (0: none) are left, as many of each as needed."""
+        free = self.free
+        return free[a] > (a == b) + (a == c) and free[b] > (a == b) + (b == c) and (not c or free[c] > (a == c) + (b == c))
+
+    def pair(self, total: int, other: int = 0) -> tuple[int, int] | None:
+        """The first pair with this sum that is left, beside ``other`` (a length, 0: none)."""
+        found = self.pairs.get(total, ())
+        at = self.at_pair.get(total, 0)
+        while at < len(found) and not self._there(found[at], total - found[at]):
+            at += 1
+        self.at_pair[total] = at
+        while at < len(found):
+            if self._there(found[at], total - found[at], other):
+                return found[at], total - found[at]
+            at += 1
+        return None
+
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths that are left and fill ``gap`` exactly: the fewest, then the largest."""
+        if self.free[gap] > 0:
+            return (gap,)
+        if two := self.pair(gap):
+            return two
+        found = self.triples.get(gap)
+        if not found:
+            return None
+        for at in range(self.at_triple[gap], len(found)):
+            a = found[at]
+            if self.free[a] > 0 and (two := self.pair(gap - a, a)):
+                self.at_triple[gap] = at
+                return (a, *two)
+        self.at_triple[gap] = len(found)
         return None
-    fits = (free[a] > 0) & (free[gap - a] > 0) & ((2 * a != gap) | (free[a] > 1))
-    at = int(np.argmax(fits))
-    return (int(a[at]), gap - int(a[at])) if fits[at] else None
-
-
-def _complement(free: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three free lengths that sum to ``gap``: the fewest, then the largest."""
-    if free[gap] > 0:
-        return (gap,)
-    if two := _pair(free, gap, gap):
-        return two
-    first = np.arange(gap - 2, (gap - 1) // 3, -1)
-    for a in first[free[first] > 0] if len(first) else ():
-        free[a] -= 1
-        two = _pair(free, gap - int(a), int(a))
-        free[a] += 1
-        if two:
-            return (int(a), *two)
-    return None
 
 
 def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[int]]]:
     """(times, lengths) of the sequences that hold ``counts`` pieces of each length."""
-    free = np.zeros(capacity + 1, np.int64)
+    free = [0] * (capacity + 1)
     for length, n in counts.items():
         free[length] = n
+    sums = Sums(free)
     made: list[tuple[int, list[int]]] = []
     left: list[tuple[int, int]] = []
     for length in range(capacity, 0, -1):
@@ -68,7 +107,7 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tup
                 free[length] = 0
                 break
             free[length] -= 1
-            found = _complement(free, gap)
+            found = sums.complement(gap)
             free[length] += 1
             if not found:
                 left.append((length, int(free[length])))
@@ -166,13 +205,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counted = pieces.groupBy("length").count().collect()  # at most ``capacity`` rows
     counts = {int(r["length"]): int(r["count"]) for r in counted}
     places = _places(plan_sequences(counts, capacity))
-    # Lengths that many pieces share are dealt to many groups, each ranked on its own.
+    # Lengths that many pieces share are dealt to many groups, each ranked on its own; by a stored row number, where there is
+    # one, so that rows that are alike in everything are dealt as well.
     groups = int(min(4096, max(64, sum(counts.values()) // 500_000)))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+    alike = ["_row"] if "_row" in pieces.columns else ["doc_id", "piece", "ids_crc32"]
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*alike), F.lit(groups)).cast("int"))
     sizes = dealt.groupBy("length", "_group").count()
     before = Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "_group", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy("length", "_group").orderBy("doc_id", "piece", "start", "ids_crc32")
+    own = Window.partitionBy("length", "_group").orderBy("doc_id", "piece", "start", "ids_crc32", *(["_row"] if "_row" in pieces.columns else []))
     ranked = dealt.withColumn("_own", F.row_number().over(own)).join(sizes, ["length", "_group"]).withColumn("_rank", F.col("_before") + F.col("_own") - 1)
     schema = "length long, _from long, _to long, _each long, _first long, _offset long"
     # A few rows for each step of the plan, whose number is bounded by the capacity and not by the documents.
@@ -190,7 +231,8 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 def packed_documents(docs: DataFrame) -> DataFrame:
     """Pieces of all ``docs`` with their place."""
-    return pack(saved(token_pieces(docs, keep_ids=False), "pieces"))
+    pieces = token_pieces(docs, keep_ids=False).withColumn("_row", F.monotonically_increasing_id())
+    return pack(saved(pieces, "pieces")).drop("_row")
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
