@@ -5,8 +5,10 @@ them; ``payload`` is the binary segment of ``rans`` behind a table of its docume
 ``read_token_files`` decodes them again.
 
 Defined results: a null or empty text has no ids but the end id; equal doc_ids are ordered by a hash of
-their texts; a null doc_id comes first; an empty table makes a folder without segments; extra columns
-are ignored.
+their ids; a null doc_id comes first; an empty table makes a folder without segments; extra columns
+are ignored. A very long text is encoded at once; its segment holds it whole.
+
+Texts are encoded where they are read. Only their ids, two bytes each where the vocabulary allows it, are sorted.
 """
 
 from __future__ import annotations
@@ -20,14 +22,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import rans
-from .store import new_path, small_batches, table
+from .store import dropped, new_path, saved, small_batches, table
 from .tokens import chunks, encoder, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 #: Ids of one segment, at least (it is closed after the text that passes this).
 SEGMENT_IDS = 2_000_000
-_SEGMENT = "part int, seq int, n_docs long, n_tokens long, payload binary"
+_SEGMENT = "part int, seq int, n_docs long, n_tokens long, before long, payload binary"
 
 
 def pack_segment(doc_ids: list, sizes: np.ndarray, ids: np.ndarray) -> bytes:
@@ -53,41 +55,52 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
 
     def encode(batches):
         take = encoder(file, False)
-        part, seq = TaskContext.get().partitionId(), 0
+        kind = "<u2" if max(take.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+        for batch in chunks(batches):
+            flat, bounds = take.encode(batch.column("text"))
+            full = np.insert(flat, bounds[1:], end_id).astype(kind)
+            ends = (bounds + np.arange(len(bounds))) * full.itemsize
+            # Offsets of a binary array are 32-bit; a chunk holds few megabytes or one text.
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(full.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), raw.cast(pa.binary()), pa.array(np.full(len(raw), full.itemsize, np.int8))], names=["doc_id", "ids", "bytes"])
+
+    def segments(batches):
+        part, seq, before = TaskContext.get().partitionId(), 0, 0
         keys, sizes, ids, held = [], [], [], 0
 
         def row():
             flat = np.concatenate(ids)
             payload = pack_segment(keys, np.concatenate(sizes), flat)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(keys)], pa.int64()), "n_tokens": pa.array([len(flat)], pa.int64()), "payload": pa.array([payload], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(keys)], pa.int64()), "n_tokens": pa.array([len(flat)], pa.int64()), "before": pa.array([before], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
-        for batch in chunks(batches):
-            flat, bounds = take.encode(batch.column("text"))
-            n = len(bounds) - 1
-            full = np.insert(flat, bounds[1:], end_id)
-            keys += batch.column("doc_id").to_pylist()
-            sizes.append(np.diff(bounds) + 1)
-            ids.append(full)
-            held += len(flat) + n
-            if held >= segment_ids:
-                yield row()
-                keys, sizes, ids, held, seq = [], [], [], 0, seq + 1
+        for batch in batches:
+            for key, raw, width in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("bytes").to_pylist()):
+                one = np.frombuffer(raw.as_buffer(), f"<u{width}").astype(np.uint32)
+                keys.append(key)
+                sizes.append([len(one)])
+                ids.append(one)
+                held += len(one)
+                if held >= segment_ids:
+                    yield row()
+                    keys, sizes, ids, held, seq, before = [], [], [], 0, seq + 1, before + held
         if keys:
             yield row()
 
-    tie = F.xxhash64("text")
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
-    ordered.mapInArrow(encode, _SEGMENT).write.parquet(path)
+    tie = F.xxhash64("ids")
+    # Written once: the range partitioning reads its input twice, and encoding is what costs.
+    encoded = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary, bytes byte"), "encoded")
+    ordered = encoded.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
+    ordered.mapInArrow(segments, _SEGMENT).write.parquet(path)
+    dropped(encoded)
 
 
 def read_token_files(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame:
     """Per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked, ids
     (little-endian unsigned 32-bit). Segments are decoded where they are read; only their sizes are summed up."""
     files = spark.read.schema(_SEGMENT).parquet(path)
-    # One row per segment of millions of ids.
-    order = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("part", "seq", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
+    # One row for each task that wrote segments; a segment knows what comes before it in its task.
+    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if keep_ids else "")
 
     def decode(batches):
@@ -104,7 +117,7 @@ def read_token_files(spark: SparkSession, path: str, keep_ids: bool = True) -> D
 
     # A segment's payload is some megabytes, so few of them make a batch.
     small_batches(spark, 16)
-    return files.join(starts, ["part", "seq"]).select("base", "payload").mapInArrow(decode, schema)
+    return files.join(F.broadcast(starts), "part").select((F.col("base") + F.col("before")).alias("base"), "payload").mapInArrow(decode, schema)
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,13 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset (local tests) a folder of our own is made and set, once.
+    Where it is unset, the warehouse; in local mode (tests) a folder of our own, which is set, once.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
+    if not found and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         found = "file://" + tempfile.mkdtemp(prefix="motorlens-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -2,8 +2,8 @@
 
 Both tokenizer files split a text into pre-tokens before any merge, and a single blank between two
 other characters always ends a pre-token. So a text is cut at such blanks, each different piece is
-encoded by the library once, and the ids of the pieces are strung together. The result equals
-encoding the whole text.
+encoded by the library once, and the ids of the pieces are strung together. Texts with one of the
+vocabulary's added tokens in them are encoded as a whole. The result equals encoding the whole text.
 """
 
 from __future__ import annotations
@@ -44,8 +44,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        # Texts that hold one of the vocabulary's added tokens (such as an end-of-text mark) go to the library as a whole.
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = "(?i)" + "|".join(added) if added else None
         self.blank_joins = blank_joins
         self._forget()
 
@@ -103,6 +105,19 @@ class PieceEncoder:
         """Ids of all texts in a row, and where each text starts (one more entry than texts)."""
         if len(self.known) > CACHE_WORDS:
             self._forget()
+        marked = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), bool)
+        if marked.any():
+            return self._with_marks(texts, marked)
+        return self._plain(texts)
+
+    def _with_marks(self, texts: pa.Array, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, bounds = self._plain(pc.if_else(pa.array(marked), "", texts))
+        own = np.split(ids, bounds[1:-1])
+        for i in np.flatnonzero(marked):
+            own[i] = np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(own), np.concatenate([[0], np.cumsum(list(map(len, own)))])
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.blank_joins:
             odd = pc.match_substring_regex(texts, _IRREGULAR).to_numpy(zero_copy_only=False)
             plain = pc.if_else(pa.array(~odd), texts, "") if odd.any() else texts
