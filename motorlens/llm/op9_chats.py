@@ -54,11 +54,11 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
 
 def maximal(prefixes: DataFrame) -> DataFrame:
     """(conv_id, n) of the conversations that no other one continues; ``prefixes`` must be stored."""
-    full = prefixes.where("last")
+    # Of equal conversations the smallest id stays; null is larger than any. Copies are merged before the join, in part before
+    # their shuffle, so that thousands of copies of one conversation are a row a task.
+    full = prefixes.where("last").groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"))
     within = prefixes.where("not last").select("n", "h1", "h2").distinct()
-    kept = full.join(within, ["n", "h1", "h2"], "left_anti")
-    # Of equal conversations the smallest id stays; null is larger than any.
-    return kept.groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id")).select("conv_id", "n")
+    return full.join(within, ["n", "h1", "h2"], "left_anti").select("conv_id", "n")
 
 
 def render(turns: DataFrame) -> DataFrame:
