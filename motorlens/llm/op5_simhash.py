@@ -4,15 +4,18 @@
 ``linked``: different fingerprints are dealt to shards by a vantage-point tree. A node puts the
 fingerprints within its radius of the vantage point inside and the others outside; those outside by
 no more than the link distance also go inside (triangle bound), so that every link lies in at least
-one shard. A shard grows components by exact distances and gives at most one row for each fingerprint
-that has a link, never all pairs. Small tables of such rows are then contracted across shards.
+one shard. Inside a shard the tree goes on down to small leaves, which grow components by exact distances. A
+shard gives at most one row for each fingerprint that has a link, never all pairs. Small tables of such rows are then contracted across shards.
 
 Defined results: a null, empty or blank text has fingerprint zero and is linked as any other; repeated
-rows and equal texts share a fingerprint; an empty table gives no rows; extra columns are ignored.
+rows and equal texts share a fingerprint; an empty table gives no rows; extra columns are ignored. A very
+long text is held as bytes, its words span by span.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -20,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .op8_toxicity import _bytes
 from .store import dropped, saved, small_batches, table
 from .tokens import chunks
 
@@ -28,35 +32,49 @@ DISTANCE = 2
 #: Different fingerprints sampled (those with the smallest hashes) to place vantage points: a bound on the driver's share.
 SAMPLE = 8192
 #: Fingerprints that a shard should hold. Deeper levels than the sample can place use vantage points made from the path.
-SHARD = 1500
-#: Fingerprints up to which a shard compares all with all; beyond, it splits again, and at last looks up neighbours.
-BRUTE = 20_000
-
-_LOWER = bytes(range(256)).translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256)))
-_BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
-
-
-def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+SHARD = 200_000
+#: Fingerprints of a leaf of the tree inside a shard.
+LEAF = 512
+
+#: Bytes of text whose words are held at a time.
+SPAN = 1_000_000
+#: A-Z to lower case, ASCII white space to blanks.
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
+
+
+def shingle_hashes(raw: bytes, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
+    """XXH64 of all word shingles of one text (UTF-8), repeats included; of the whole sequence, where there are fewer words.
+    Words are cut out span by span."""
+    raw = raw.translate(_FOLD)
+    words, at, some = [], 0, False
+    while at < len(raw):
+        cut = raw.find(b" ", at + SPAN)
+        cut = len(raw) if cut < 0 else cut
+        # The last words of a span begin the shingles of the next one.
+        words = words[max(0, len(words) - shingle + 1) :] + raw[at:cut].split()
+        at = cut
+        if len(words) < shingle:
+            continue
+        some = True
+        line = memoryview(b" ".join(words))
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        k = len(words) - shingle + 1
+        for i in range(0, k, 16384):
+            j = min(k, i + 16384)
+            yield np.fromiter([xxhash.xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[i:j].tolist(), ends[i + shingle - 1 : j + shingle - 1].tolist())], np.uint64, j - i)
+    if words and not some:
+        yield np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+
+
+def text_fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
     """SimHash of one text: a bit is 1 if set in over half of the shingles' hashes."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).translate(_BLANKS).split(b" ")
-    words = [w for w in words if w]
-    if not words:
-        return 0
-    line = b" ".join(words)
-    n = max(1, len(words) - shingle + 1)
-    hash_ = xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return hash_(line, 42)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-    view = memoryview(line)
-    total = np.zeros(64, np.int64)
-    ends = ends[shingle - 1 :].tolist()
-    for at in range(0, n, 16384):
-        hashes = np.fromiter([hash_(view[a:b], 42) for a, b in zip(starts[at : at + 16384], ends[at : at + 16384])], np.uint64)
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(raw, shingle):
+        n += len(hashes)
         # Most significant byte first, so that bit 63 comes first.
         total += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big") if n else 0
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -65,7 +83,8 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def hashed(batches):
         for batch in chunks(batches):
-            prints = [text_fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
+            data, bounds = _bytes(batch.column("text"))
+            prints = [text_fingerprint(data[a:b].tobytes(), shingle) for a, b in zip(bounds[:-1], bounds[1:])]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "fp": pa.array(np.array(prints, np.uint64).view(np.int64), pa.int64())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(hashed, "doc_id long, fp long")
@@ -155,35 +174,23 @@ def _grow(own: np.ndarray, prints: np.ndarray, parent: np.ndarray, distance: int
                 left = left[~near]
 
 
-def _look_up(own: np.ndarray, prints: np.ndarray, parent: np.ndarray, distance: int) -> None:
-    """Components among prints[own] (sorted, different) by looking up every neighbour within ``distance`` (at most 2)."""
-    mine = prints[own]
-    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    masks = [bits] + ([(bits[:, None] ^ bits[None, :])[np.triu_indices(64, 1)]] if distance > 1 else [])
-    for mask in np.concatenate(masks):
-        other = mine ^ mask
-        at = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
-        for i in np.flatnonzero((mine[at] == other) & (other > mine)):
-            _join(parent, int(own[i]), int(own[at[i]]))
-
-
-def shard_links(prints: np.ndarray, distance: int = DISTANCE, brute: int = BRUTE) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root) for each of the different ``prints`` that is linked to another one here, but the roots."""
+def shard_links(prints: np.ndarray, distance: int = DISTANCE, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) for each of the different ``prints`` that is linked to another one here, but the roots. A vantage-point
+    tree as that which deals to shards goes on down to leaves; branches farther from each other than the link distance never
+    meet. What no radius divides (a dense ball, where links are many and groups grow fast) is a leaf as well."""
     prints = np.sort(prints.astype(np.uint64))
     parent = np.arange(len(prints))
     todo = [np.arange(len(prints))]
     while todo:
         own = todo.pop()
-        if len(own) <= brute:
-            _grow(own, prints, parent, distance)
-            continue
-        far = np.bitwise_count(prints[own] ^ prints[own[len(own) // 2]]).astype(np.int64)
-        radius = _median(far, distance)
-        inside, outside = own[far <= radius + distance], own[far > radius]
-        if max(len(inside), len(outside)) > 0.8 * len(own):  # a dense ball: splitting no longer helps
-            (_look_up if distance <= 2 else _grow)(own, prints, parent, distance)
-        else:
-            todo += [inside, outside]
+        if len(own) > leaf:
+            far = np.bitwise_count(prints[own] ^ prints[own[len(own) // 2]]).astype(np.int64)
+            radius = _median(far, distance)
+            inside, outside = own[far <= radius + distance], own[far > radius]
+            if max(len(inside), len(outside)) <= 0.8 * len(own):
+                todo += [inside, outside]
+                continue
+        _grow(own, prints, parent, distance)
     root = parent.copy()
     while (root != (up := root[root])).any():
         root = up
