@@ -5,9 +5,9 @@ vectors: of the whole word and of its first 4, 6 and 8 bytes. Filters of several
 words of the whole text; each filter's largest answer goes into one logistic unit. Scores see the text
 only. Thresholds are then set for each language on training rows that were kept out of the fit.
 
-Defined results: a null or empty text is one blank word; repeated rows
-get scores that differ by the rounding of a matrix product at most; without labels
-of both classes every score is 0; an empty table gives no rows; extra columns stay.
+Defined results: a null or empty text is one blank word; equal texts get equal scores, bit for bit, whatever
+batch they stand in; without labels of both classes every score is 0; an empty table gives no rows; extra columns stay. A very
+long text is scored in spans of ``BYTES`` bytes cut between words, the last words of one going before the next.
 """
 
 from __future__ import annotations
@@ -74,6 +74,33 @@ def word_slots(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return out, counts
 
 
+#: Words whose products are held at a time.
+_ROWS = 1 << 14
+
+
+def _fixed_product(x: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """``x @ wide`` with its sums taken in one order for every row, so that a row's result doesn't depend on the others."""
+    out = np.empty((len(x), wide.shape[1]), np.float32)
+    for at in range(0, len(x), _ROWS):
+        part, z = x[at : at + _ROWS], out[at : at + _ROWS]
+        np.multiply(part[:, :1], wide[0], out=z)
+        for d in range(1, len(wide)):
+            z += part[:, d : d + 1] * wide[d]
+    return out
+
+
+def _word_end(data: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on where no word goes on (bytes above 0x7F and capital letters are of a word)."""
+    while at < len(data):
+        inside = np.append(_IN_WORD[_FOLD[data[at : at + 4096]]], False)
+        stop = int(np.argmin(inside))
+        if at + stop < len(data) and stop == 4096:
+            at += 4096
+            continue
+        return at + stop
+    return len(data)
+
+
 class Model:
     """Weights of the classifier; ``table`` has one vector for each slot."""
 
@@ -96,10 +123,10 @@ class Model:
         x[rows] = self.table[slots[:, 0]] + self.table[slots[:, 1]] + self.table[slots[:, 2]] + self.table[slots[:, 3]]
         return x, starts, most
 
-    def answers(self, x: np.ndarray) -> np.ndarray:
+    def answers(self, x: np.ndarray, product=None) -> np.ndarray:
         """Every filter at every row (the last ``_GAP`` rows see fewer words)."""
         wide = np.concatenate([w[j] for w in self.filters for j in range(len(w))], 1)
-        z = x @ wide
+        z = (product or _fixed_product)(x, wide)
         y = np.zeros((len(x), len(self.bias)), np.float32)
         at = to = 0
         for w in self.filters:
@@ -110,13 +137,42 @@ class Model:
             to += n
         return y
 
+    def best(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Each filter's largest answer in each text."""
+        out = np.empty((len(bounds) - 1, len(self.bias)), np.float32)
+        text = 0
+        while text < len(out):
+            upto = max(text + 1, int(np.searchsorted(bounds, bounds[text] + BYTES, "right")) - 1)
+            part = data[bounds[text] : bounds[upto]]
+            if len(part) > BYTES:
+                out[text] = self._best_of_long(part)
+            else:
+                slots, counts = word_slots(part, bounds[text : upto + 1] - bounds[text])
+                x, starts, most = self.laid_out(slots, counts)
+                pairs = np.stack([starts, starts + most], 1).ravel()
+                out[text:upto] = np.maximum.reduceat(self.answers(x), pairs, axis=0)[::2]
+            text = upto
+        return out
+
+    def _best_of_long(self, data: np.ndarray) -> np.ndarray:
+        best = np.full(len(self.bias), -np.inf, np.float32)
+        carried, at = np.zeros((0, 1 + len(PREFIXES)), np.int64), 0
+        while at < len(data):
+            cut = _word_end(data, at + BYTES)
+            slots = np.concatenate([carried, word_slots(data[at:cut], np.array([0, cut - at]))[0]])
+            # Windows that reach into the next span are answered there.
+            windows = len(slots) - (0 if cut == len(data) else _GAP)
+            at = cut
+            if windows > 0 or cut == len(data):
+                x = self.laid_out(slots, np.array([len(slots)]))[0]
+                best = np.maximum(best, self.answers(x)[: max(1, windows)].max(0))
+            carried = slots[-_GAP:]
+        return best
+
     def scores(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         if not self.fitted:
             return np.zeros(len(bounds) - 1)
-        slots, counts = word_slots(data, bounds)
-        x, starts, most = self.laid_out(slots, counts)
-        pairs = np.stack([starts, starts + most], 1).ravel()
-        best = np.maximum.reduceat(self.answers(x), pairs, axis=0)[::2]
+        best = self.best(data, bounds)
         hidden = np.maximum(best + self.bias, 0).astype(np.float64)
         return sigmoid((hidden * self.out.astype(np.float64)).sum(1) + float(self.base[0]))
 
@@ -137,7 +193,7 @@ class Model:
                 doc = np.repeat(np.arange(len(own)), counts)[keep]
                 slots, counts = slots[keep], np.bincount(doc, minlength=len(own))
                 x, starts, most = self.laid_out(slots, counts)
-                ys = self.answers(x)
+                ys = self.answers(x, np.matmul)
                 place = np.array([s + ys[s : s + m].argmax(0) for s, m in zip(starts, most)])
                 pre = np.take_along_axis(ys, place, 0) + self.bias
                 hidden = np.maximum(pre, 0)
