@@ -36,6 +36,43 @@ def test_search_handles_odd_vectors(spark):
     assert op6_topk.top_k(none, none).count() == 0
 
 
+def brute_top(rows, k=5):
+    """Each query id's best rows by whole-number products, ties to the smaller id, null last."""
+    out = {}
+    for qi, qv in rows:
+        if qi is not None and qi % 50 == 0:
+            out.setdefault(qi, []).extend((-sum(int(a) * int(b) for a, b in zip(qv, rv)), ri is None, ri or 0) for ri, rv in rows if ri != qi)
+    return {q: [(None if null else r, -s) for s, null, r in sorted(v)[:k]] for q, v in out.items()}
+
+
+@pytest.mark.parametrize("scale, shard, block", [(3, 40, 7), (200, 64, 16), (2**24, 100, 16)])
+def test_search_over_several_shards_and_blocks(spark, monkeypatch, scale, shard, block):
+    """Negative, repeated and null ids, ties, and products beyond 2**53."""
+    monkeypatch.setattr(op6_topk, "SHARD", shard)
+    monkeypatch.setattr(op6_topk, "BLOCK", block)
+    rng = np.random.default_rng(scale)
+    centres = rng.normal(size=(12, 8)) * scale
+    vectors = np.floor(centres[rng.integers(0, 12, 700)] + rng.normal(size=(700, 8)) * scale / 20)
+    vectors[::7] = vectors[0]
+    rows = [(None if i % 97 == 0 else int(i), v.tolist()) for i, v in zip(rng.integers(-600, 600, 700), vectors)]
+    data = saved(spark.createDataFrame(rows, "vec_id long, v array<double>"), "t")
+    got = {}
+    for r in sorted(op6_topk.top_k(data.where("vec_id % 50 = 0"), data).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == brute_top(rows)
+
+
+def test_clustered_queries_reach_few_leaves(spark, monkeypatch):
+    monkeypatch.setattr(op6_topk, "SHARD", 200)
+    rng = np.random.default_rng(3)
+    centres = np.eye(16) * 1000
+    rows = [(i, np.floor(centres[i % 16] + rng.normal(size=16) * 5).tolist()) for i in range(8000)]
+    data = saved(spark.createDataFrame(rows, "vec_id long, v array<double>"), "t")
+    index, placed = op6_topk.index_of(data)
+    asked = op6_topk.routed(data.where("vec_id % 50 = 0"), index, 5).selectExpr("size(leaves) AS n").toPandas()
+    assert placed.count() == 8000 and len(index.centres) >= 16 and asked.n.mean() < len(index.centres) / 4
+
+
 def test_chats_keep_the_longest(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "User ", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (4, 0, "user", "x"), (5, 0, "user", "x"), (5, 0, "user", "x"), (6, 0, "user", "a"), (6, 1, "assistant", "z"), (7, None, None, None), (None, 0, "user", "q"), (8, 0, "user", "q")]
     rows += [(9, t, "user", "long") for t in range(600)] + [(10, t, "user", "long") for t in range(599)]
@@ -46,6 +83,10 @@ def test_chats_keep_the_longest(spark):
     chat = next(r["chat"] for r in got if r["conv_id"] == 2)
     assert chat.startswith("<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb")
     assert op9_chats.formatted(table.limit(0)).count() == 0
+    # Many copies of one conversation, and rows without conv_id and turn.
+    copies = spark.range(3000).selectExpr("id AS conv_id", "0L AS turn", "'user' AS role", "'same' AS text").unionByName(spark.range(500).selectExpr("CAST(NULL AS LONG) AS conv_id", "CAST(NULL AS LONG) AS turn", "'user' AS role", "concat('n', id) AS text"))
+    got = op9_chats.formatted(copies).collect()
+    assert sorted((r["conv_id"] is None, r["n_turns"]) for r in got) == [(False, 1), (True, 500)]
 
 
 def test_sample_is_bounded_and_keeps_held_out_rows_out(spark):
