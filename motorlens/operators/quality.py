@@ -1,29 +1,254 @@
-"""Listing validators V01-V21 and the composite decision, all from one scan (a row of findings, then exploded)."""
+"""Listing validators V01-V19 and the composite decision V20.
+
+Each validator is a list of rules, first match first, over columns of a prepared listing; a listing's results are small
+numbers of rules, looked up in literal tables. What a validator needs beside its listing (decoded VINs, price and code
+tables, dealers of a VIN, photo hashes) is joined by key beforehand, and only for the validators asked for.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text, vin
-from ..plans.registry import both, frame
+from ..plans.dialect import SPARK
+from ..plans.registry import frame
+from .joins import hamming_pairs
 
 NOW_YEAR = 2021
 # Weight of each validator in the composite.
-WEIGHT = {"V01": 15, "V02": 12, "V03": 8, "V04": 8, "V05": 6, "V06": 8, "V07": 15, "V08": 12, "V09": 10, "V10": 10, "V11": 6, "V12": 12, "V13": 10, "V14": 8, "V15": 10, "V16": 6, "V17": 8, "V18": 4, "V19": 8}
-# 25th and 75th percentile of prices by make (a cut-down baseline).
-BASELINE = {"BMW": (18000, 45000), "Audi": (17000, 42000), "Volkswagen": (12000, 30000), "Renault": (9000, 22000), "Peugeot": (9500, 23000), "Toyota": (11000, 27000)}
+WEIGHT = {
+    "V01": 15, "V02": 12, "V03": 10, "V04": 10, "V05": 10, "V06": 8, "V07": 12, "V08": 10, "V09": 10, "V10": 8,
+    "V11": 8, "V12": 12, "V13": 10, "V14": 8, "V15": 10, "V16": 5, "V17": 8, "V18": 4, "V19": 6,
+}
+# Make, model, first year, last year, 25th percentile, median and 75th percentile of prices in euro, in order.
+PRICES = (
+    ("BMW", "3 SERIES", 2018, 2021, 20000, 28000, 38000),
+    ("BMW", "3 SERIES", 2015, 2017, 12000, 17000, 24000),
+    ("BMW", "3 SERIES", 2012, 2014, 7000, 10000, 15000),
+    ("BMW", "320I", 2018, 2021, 20000, 28000, 38000),
+    ("BMW", "320D", 2018, 2021, 22000, 30000, 40000),
+    ("BMW", "320I", 2015, 2017, 12000, 17000, 24000),
+    ("BMW", "320D", 2015, 2017, 13000, 18000, 26000),
+    ("BMW", "5 SERIES", 2017, 2021, 28000, 38000, 52000),
+    ("BMW", "5 SERIES", 2013, 2016, 12000, 18000, 26000),
+    ("MERCEDES-BENZ", "C-CLASS", 2018, 2022, 22000, 30000, 42000),
+    ("MERCEDES-BENZ", "C-CLASS", 2014, 2017, 14000, 19000, 28000),
+    ("MERCEDES-BENZ", "E-CLASS", 2017, 2022, 30000, 42000, 58000),
+    ("VOLKSWAGEN", "GOLF", 2020, 2023, 18000, 24000, 32000),
+    ("VOLKSWAGEN", "GOLF", 2017, 2019, 12000, 16000, 22000),
+    ("VOLKSWAGEN", "GOLF", 2013, 2016, 8000, 11000, 16000),
+    ("VW", "GOLF", 2020, 2023, 18000, 24000, 32000),
+    ("VW", "GOLF", 2017, 2019, 12000, 16000, 22000),
+    ("VOLKSWAGEN", "PASSAT", 2019, 2023, 22000, 28000, 36000),
+    ("VOLKSWAGEN", "PASSAT", 2015, 2018, 13000, 18000, 25000),
+    ("AUDI", "A3", 2020, 2023, 20000, 27000, 36000),
+    ("AUDI", "A3", 2016, 2019, 12000, 17000, 24000),
+    ("AUDI", "A4", 2019, 2023, 28000, 36000, 48000),
+    ("AUDI", "A4", 2015, 2018, 16000, 22000, 30000),
+    ("RENAULT", "CLIO", 2019, 2023, 9000, 13000, 18000),
+    ("RENAULT", "CLIO", 2015, 2018, 5000, 8000, 13000),
+    ("RENAULT", "MEGANE", 2016, 2022, 9000, 14000, 20000),
+    ("PEUGEOT", "208", 2020, 2023, 12000, 16000, 22000),
+    ("PEUGEOT", "208", 2015, 2019, 6000, 9000, 13000),
+    ("PEUGEOT", "308", 2017, 2022, 10000, 15000, 21000),
+    ("CITROEN", "C3", 2017, 2023, 7000, 11000, 16000),
+    ("TOYOTA", "YARIS", 2020, 2023, 12000, 16000, 21000),
+    ("TOYOTA", "YARIS", 2015, 2019, 6000, 9000, 13000),
+    ("TOYOTA", "COROLLA", 2019, 2023, 17000, 22000, 29000),
+    ("TOYOTA", "PRIUS", 2016, 2022, 14000, 19000, 26000),
+    ("FORD", "FOCUS", 2018, 2023, 11000, 15000, 21000),
+    ("FORD", "FOCUS", 2014, 2017, 7000, 10000, 15000),
+    ("FORD", "FIESTA", 2017, 2023, 8000, 12000, 17000),
+    ("OPEL", "ASTRA", 2016, 2022, 10000, 14000, 20000),
+    ("SEAT", "LEON", 2020, 2023, 16000, 21000, 28000),
+    ("SEAT", "LEON", 2016, 2019, 9000, 13000, 19000),
+    ("SKODA", "OCTAVIA", 2020, 2023, 18000, 24000, 32000),
+    ("SKODA", "OCTAVIA", 2016, 2019, 10000, 15000, 21000),
+    ("KIA", "SPORTAGE", 2018, 2023, 16000, 22000, 30000),
+    ("HYUNDAI", "TUCSON", 2018, 2023, 17000, 23000, 31000),
+    ("NISSAN", "QASHQAI", 2017, 2023, 14000, 20000, 28000),
+    ("FIAT", "500", 2015, 2023, 6000, 9500, 14000),
+    ("FIAT", "PANDA", 2012, 2023, 4000, 7000, 11000),
+)
+# Make, model, first year (all last to 2026) and code prefix, in order.
+CODES = (
+    ("BMW", "1 SERIES", 2017, "BMW1"), ("BMW", "2 SERIES", 2014, "BMW2"), ("BMW", "3 SERIES", 2012, "BMW3"), ("BMW", "4 SERIES", 2013, "BMW4"),
+    ("BMW", "5 SERIES", 2010, "BMW5"), ("BMW", "7 SERIES", 2008, "BMW7"), ("BMW", "X1", 2009, "BMWX"), ("BMW", "X3", 2010, "BMWX"),
+    ("BMW", "X5", 2006, "BMWX"), ("BMW", "320I", 2012, "BMW3"), ("BMW", "320D", 2012, "BMW3"),
+    ("MERCEDES-BENZ", "A-CLASS", 2012, "MBA"), ("MERCEDES-BENZ", "C-CLASS", 2014, "MBC"), ("MERCEDES-BENZ", "E-CLASS", 2009, "MBE"), ("MERCEDES-BENZ", "GLC", 2015, "MBGL"),
+    ("VOLKSWAGEN", "GOLF", 2013, "VWGO"), ("VOLKSWAGEN", "POLO", 2009, "VWPO"), ("VOLKSWAGEN", "PASSAT", 2010, "VWPA"), ("VOLKSWAGEN", "TIGUAN", 2016, "VWTI"),
+    ("VW", "GOLF", 2013, "VWGO"), ("VW", "POLO", 2009, "VWPO"), ("VW", "PASSAT", 2010, "VWPA"),
+    ("AUDI", "A3", 2012, "AUA3"), ("AUDI", "A4", 2015, "AUA4"), ("AUDI", "A6", 2010, "AUA6"), ("AUDI", "Q3", 2011, "AUQ3"), ("AUDI", "Q5", 2008, "AUQ5"),
+    ("RENAULT", "CLIO", 2012, "RECL"), ("RENAULT", "MEGANE", 2008, "REME"), ("RENAULT", "KADJAR", 2015, "REKA"),
+    ("PEUGEOT", "208", 2012, "PE20"), ("PEUGEOT", "308", 2013, "PE30"), ("PEUGEOT", "3008", 2016, "PE30"),
+    ("CITROEN", "C3", 2016, "CIC3"), ("CITROEN", "C5", 2017, "CIC5"), ("CITROEN", "BERLINGO", 2018, "CIBE"),
+    ("TOYOTA", "COROLLA", 2018, "TYCO"), ("TOYOTA", "YARIS", 2011, "TYYA"), ("TOYOTA", "PRIUS", 2015, "TYPR"), ("TOYOTA", "RAV4", 2018, "TYRA"),
+    ("FORD", "FOCUS", 2011, "FOFO"), ("FORD", "FIESTA", 2008, "FOFI"), ("FORD", "KUGA", 2012, "FOKU"),
+    ("OPEL", "ASTRA", 2015, "OPAS"), ("OPEL", "CORSA", 2014, "OPCO"), ("OPEL", "INSIGNIA", 2017, "OPIN"),
+    ("SEAT", "LEON", 2012, "SELE"), ("SEAT", "IBIZA", 2017, "SEIB"),
+    ("SKODA", "OCTAVIA", 2012, "SKOC"), ("SKODA", "FABIA", 2014, "SKFA"), ("SKODA", "SUPERB", 2015, "SKSU"),
+    ("KIA", "SPORTAGE", 2016, "KISP"), ("KIA", "CEED", 2018, "KICE"),
+    ("HYUNDAI", "TUCSON", 2015, "HYTU"), ("HYUNDAI", "I30", 2016, "HYI3"),
+    ("NISSAN", "QASHQAI", 2013, "NIQA"), ("NISSAN", "JUKE", 2019, "NIQU"),
+    ("FIAT", "500", 2007, "FI50"), ("FIAT", "PANDA", 2012, "FIPA"),
+)
+# Marks of a description that nobody wrote.
+PLACEHOLDERS = ("lorem ipsum", "describe vehicle here", "tbd", "todo", "placeholder", "insert description", "vehicle description here", "beschreibung hier", "description à compléter")
+# Language of a country's descriptions, and the languages that are fine there.
+COUNTRY_LANGUAGE = {"DE": "de", "AT": "de", "CH": "de", "FR": "fr", "BE": "fr", "ES": "es", "IT": "it", "GB": "en", "IE": "en", "US": "en", "AU": "en", "NL": "nl"}
+COUNTRY_LANGUAGES = {
+    "DE": ("de", "en"), "AT": ("de", "en"), "CH": ("de", "fr", "it", "en"), "FR": ("fr", "en"), "BE": ("fr", "nl", "de", "en"), "ES": ("es", "en"), "IT": ("it", "en"), "NL": ("nl", "en"), "GB": ("en",),
+    "IE": ("en",), "LU": ("fr", "de", "en"), "PT": ("pt", "en"), "PL": ("pl", "en"), "CZ": ("cs", "en"), "SK": ("sk", "en"), "HU": ("hu", "en"), "RO": ("ro", "en"),
+}
+# Words of pages whose vehicle is gone, and what structured data say then.
+SOLD_WORDS = (
+    "sold", "no longer available", "withdrawn", "this listing has ended", "listing expired", "vehicle sold", "item sold",
+    "verkauft", "nicht mehr verfügbar", "dieses fahrzeug wurde verkauft", "angebot abgelaufen",
+    "vendu", "non disponible", "annonce expirée", "ce véhicule est vendu",
+    "vendido", "no disponible", "anuncio caducado",
+    "verkocht", "niet meer beschikbaar", "advertentie verlopen",
+    "venduto", "non disponibile", "annuncio scaduto",
+)
+SOLD_DATA = r'"availability":("https?://schema\.org/(discontinued|soldout|outofstock)"| "https?://schema\.org/(discontinued|soldout)")'
+PHOTO_BYTES, PHOTO_SIZE = 30 * 1024, (800, 600)
+PHOTO_MAGIC = {"image/jpeg": "ffd8", "image/png": "89504e47", "image/webp": "52494646"}
+PHOTO_TYPES = (*PHOTO_MAGIC, "image/avif")
+PHOTO_DISTANCE = 4
+
+INFO, WARNING, CRITICAL = "INFO", "WARNING", "CRITICAL"
+
+
+def _trim(name: str) -> Column:
+    return F.coalesce(F.trim(name), F.lit(""))
+
+
+def matched_tokens(needles: Column, hay: Column) -> Column:
+    """How sure it is that all ``needles`` occur among ``hay``: 1 for equal tokens, 0.7 for two edits at most between tokens of
+    at least three bytes, their mean; null if one is missing."""
+    near = lambda x: F.exists(hay, lambda h: (F.octet_length(x) >= 3) & (F.octet_length(h) >= 3) & (F.levenshtein(x, h) <= 2))
+    each = F.transform(needles, lambda x: F.when(F.array_contains(hay, x), 1.0).when(near(x), 0.7))
+    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(needles) == 0, 1.0).otherwise(total / F.size(needles))
+
+
+def repeated_sentence(text_: Column, least: int = 10, most: int = 2) -> Column:
+    """Whether a sentence of at least ``least`` normalised characters occurs more than ``most`` times."""
+    norm = F.transform(F.split(F.lower(text_), "[.!?]+"), lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, "[^a-z0-9 ]+", " "), " +", " ")))
+    kept = F.filter(norm, lambda s: F.octet_length(s) >= least)
+    return F.exists(F.array_distinct(kept), lambda s: F.size(F.filter(kept, lambda t: t == s)) > most)
+
+
+def _photo(x: Column) -> tuple[Column, Column]:
+    """Whether a photo's metadata are critical, and whether they are a warning."""
+    kind = F.trim(F.split_part(F.lower(F.coalesce(x["type"], F.lit(""))), F.lit(";"), F.lit(1)))
+    size = F.coalesce(x["bytes"], F.lit(0))
+    small = (size > 0) & (size < PHOTO_BYTES)
+    flat = (x["width"] > 0) & (x["height"] > 0) & ((x["width"] < PHOTO_SIZE[0]) | (x["height"] < PHOTO_SIZE[1]))
+    fine = x["status"] == 200
+    known = kind.isin(*PHOTO_TYPES)
+    magic = F.coalesce(*(F.when(kind == k, ~F.startswith(x["magic"], F.lit(v))) for k, v in PHOTO_MAGIC.items()), F.lit(False))
+    wrong = known & ~small & ~F.coalesce(flat, F.lit(False)) & (size > 0) & (size <= 1 << 20) & F.coalesce(magic, F.lit(False))
+    return x["status"].isin(404, 410) | (fine & ~known) | (fine & wrong), (~fine & ~x["status"].isin(404, 410)) | (fine & known & (small | F.coalesce(flat, F.lit(False))))
+
+
+def validators(now_year: int = NOW_YEAR, now: str = SPARK.now) -> dict[str, tuple[list, Column | float]]:
+    """Validator -> (rules, confidence without one); a rule: (condition, pass, severity, issue, confidence), over ``prepared``
+    columns. A confidence may be a column."""
+    c = F.col
+    price, km, year = F.coalesce("price_eur", F.lit(0)), F.coalesce("mileage_km", F.lit(0)), F.coalesce("year", F.lit(0))
+    age, n_photos = F.greatest(F.lit(now_year) - year, F.lit(0)), F.coalesce("photo_count", F.lit(0))
+    loose = lambda a, b: F.contains(a, b) | F.contains(b, a)
+    make, model, vin_, title, desc = F.upper(_trim("make")), F.upper(_trim("model")), F.upper(_trim("vin")), _trim("title"), _trim("description")
+    mismatch = ((c("nhtsa_make") != "") & (make != "") & ~loose(make, c("nhtsa_make"))) | ((c("nhtsa_model") != "") & (model != "") & ~loose(model, c("nhtsa_model"))) | ((c("nhtsa_year") != 0) & (year != 0) & (year != c("nhtsa_year")))
+    in_make, in_model = matched_tokens(text.tokens(make), text.tokens(title)), matched_tokens(text.tokens(model), text.tokens(title))
+    years = F.filter(F.transform(F.regexp_extract_all(title, F.lit(r"\b(1[9][0-9]{2}|2[0-9]{3})\b"), 1), lambda y: y.cast("int")), lambda y: y.between(1980, now_year + 2))
+    other_year = F.coalesce(F.get(years, F.lit(0)) != year, F.lit(False)) | F.coalesce(c("nhtsa_year") != year, F.lit(False))
+    points = sum((F.when(x, n).otherwise(0) for x, n in ((F.octet_length(_trim("vin")) == 17, 20), (price > 0, 15), (make != "", 10), (model != "", 10), (year > 1900, 10), (km > 0, 10), (n_photos >= 3, 10), (_trim("fuel_type") != "", 5), (_trim("transmission") != "", 5), (title != "", 5))), F.lit(0))
+    low, country = F.lower(desc), F.upper(_trim("source_country"))
+    spoken = text.language(low)
+    expected = F.create_map(*(F.lit(x) for k, v in COUNTRY_LANGUAGE.items() for x in (k, v)))[country]
+    fine = F.create_map(*(x for k, v in COUNTRY_LANGUAGES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))[country]
+    unsaid = ((make != "") & ~F.contains(low, F.lower(_trim("make")))) | ((model != "") & ~F.contains(low, F.lower(_trim("model"))))
+    trust = c("dealer_confidence")
+    young = c("dealer_since") > F.expr(f"CAST({now} - INTERVAL 30 DAY AS DATE)")
+    sure = F.when(young, F.least(trust, F.lit(0.5))).otherwise(trust)
+    since = lambda hours: c("extracted_at") >= F.expr(f"{now} - INTERVAL {hours} HOUR")
+    page, status, url = F.lower(F.coalesce("body", F.lit(""))), c("http_status"), _trim("source_url")
+    any_photo = lambda i: F.coalesce(F.exists("photos", lambda x: _photo(x)[i]), F.lit(False))
+    has = lambda words, where: F.coalesce(*(F.when(F.contains(where, F.lit(w)), True) for w in words), F.lit(False))
+    return {
+        "V01": ([(~c("__vin_ok"), False, CRITICAL, "check digit", 1.0)], 1.0),
+        "V02": ([(F.octet_length(vin_) != 17, True, INFO, "VIN not of 17 characters", 1.0), (c("nhtsa_make").isNull(), True, INFO, "not decoded", 0.0), (c("nhtsa_error") != "", True, INFO, "not decodable", 0.5), (mismatch, False, WARNING, "decoded otherwise", 0.85)], 0.95),
+        "V03": ([(_trim("dat_code") == "", True, INFO, "no code", 1.0), (c("__code").isNull(), True, INFO, "not in the table", 0.5), (F.substring(F.upper(_trim("dat_code")), 1, 4) != c("__code"), False, WARNING, "other code", 0.85)], 0.9),
+        "V04": ([(title == "", True, INFO, "no title", 1.0), ((make == "") & (model == ""), True, INFO, "no make or model", 1.0), (in_make.isNotNull() & in_model.isNotNull(), True, WARNING, "", (in_make + in_model) / 2), (in_make.isNotNull(), False, WARNING, "model not in title", in_make * 0.6), (in_model.isNotNull(), False, WARNING, "make not in title", in_model * 0.6)], 0.1),
+        "V05": ([(F.coalesce(F.size("photos"), F.lit(0)) <= 0, True, INFO, "no photos", 1.0), (any_photo(0), False, CRITICAL, "not a photo", 0.9), (any_photo(1), False, WARNING, "poor photo", 0.9)], 0.9),
+        "V06": ([(n_photos == 0, False, CRITICAL, "no photos", 1.0), (n_photos < 3, False, WARNING, "few photos", 1.0), (n_photos < 6, True, INFO, "some photos", 1.0)], 1.0),
+        "V07": ([(price == 0, False, CRITICAL, "no price", 1.0), (c("__p25").isNull(), True, INFO, "no baseline", 0.5), (price < F.expr("__p25 div 2"), False, CRITICAL, "far below the market", 0.95), (price > c("__p75") * 2, False, WARNING, "far above the market", 0.8)], 0.9),
+        "V08": ([((km == 0) & (year == 0), True, INFO, "nothing to compare", 1.0), (km > 500000, False, CRITICAL, "too high", 1.0), ((year > 0) & (km > 0) & (km < 100) & (age > 5), False, CRITICAL, "too low", 0.95), ((year > 0) & (age > 0) & (km > age * 50000), False, WARNING, "above expected", 0.8), ((year > 0) & (age > 2) & (km > 0) & (km < age * 4000), False, WARNING, "below expected", 0.7)], 0.85),
+        "V09": ([(year == 0, True, INFO, "no year", 1.0), (year < 1900, False, CRITICAL, "too old", 1.0), (year > now_year + 1, False, CRITICAL, "in the future", 1.0), ((year == now_year + 1) | other_year, False, WARNING, "other year", 0.8)], 1.0),
+        "V10": ([(url == "", True, INFO, "no link", 1.0), (status == 200, True, INFO, "", 1.0), (status.isin(301, 302, 307, 308), True, INFO, "redirects", 0.9), (status == 404, False, CRITICAL, "removed", 0.95), (status == 410, False, CRITICAL, "gone", 1.0), (status >= 500, False, WARNING, "server error", 0.6), (status == -1, False, WARNING, "unreachable", 0.5)], 0.7),
+        "V11": ([(desc == "", True, INFO, "no description", 1.0), (has(PLACEHOLDERS, low), False, CRITICAL, "placeholder", 1.0), (~F.coalesce("ai_disclosed", F.lit(True)), False, CRITICAL, "disclosure incomplete", 1.0), ((F.octet_length(desc) < 50) | repeated_sentence(desc) | F.coalesce(spoken != expected, F.lit(False)) | unsaid, False, WARNING, "poor description", 0.85)], 0.9),
+        "V12": ([(vin_ == "", True, INFO, "no VIN", 1.0), (c("__dealers") > 5, False, CRITICAL, "many dealers", 0.95), (c("__dealers") >= 2, False, WARNING, "several dealers", 0.85), (c("__listings") > 1, True, INFO, "several listings of one dealer", 0.9)], 1.0),
+        "V13": ([(points < 50, False, WARNING, "gaps", points / 100.0), (points < 80, True, INFO, "acceptable", points / 100.0)], points / 100.0),
+        "V14": ([(F.coalesce("is_archive", F.lit(False)), True, INFO, "archive", 1.0), (c("extracted_at").isNull(), True, INFO, "no time", 0.0), (since(24), True, INFO, "", 1.0), (since(72), True, INFO, "recent", 0.95), (since(168), False, WARNING, "stale", 0.85)], 0.9),
+        "V15": ([(c("dealer_id").isNull(), False, CRITICAL, "no dealer", 1.0), (trust.isNull(), False, CRITICAL, "orphan", 0.95), (trust >= 0.60, True, INFO, "", sure), (trust >= 0.30, False, WARNING, "low trust", sure)], sure),
+        "V16": ([(F.coalesce("__near_photo", F.lit(False)), False, WARNING, "photos of another vehicle", 0.9)], 0.95),
+        "V17": ([(url == "", True, INFO, "no link", 1.0), (status == 410, False, CRITICAL, "gone", 1.0), (status != 200, True, INFO, "not read", 0.7), (F.rlike(page, F.lit(SOLD_DATA)), False, CRITICAL, "sold by its data", 0.98), (has(SOLD_WORDS, page), False, CRITICAL, "sold by its words", 0.88)], 0.9),
+        "V18": ([(desc == "", True, INFO, "no description", 1.0), (country == "", True, INFO, "no country", 1.0), (fine.isNull(), True, INFO, "country without languages", 1.0), (spoken.isNull(), True, INFO, "unclear", 0.5), (~F.array_contains(fine, spoken), False, WARNING, "other language", 0.85)], 0.9),
+        "V19": ([(price <= 0, False, CRITICAL, "not positive", 1.0), (price > 1000000, False, WARNING, "very high", 0.85), ((country == "CH") & (price >= 1000), True, INFO, "check the conversion", 0.8)], 1.0),
+    }
+
+
+#: What holds where the last rule doesn't: pass, severity.
+_ELSE = {"V02": (True, WARNING), "V03": (True, WARNING), "V04": (False, WARNING), "V14": (False, CRITICAL), "V15": (False, CRITICAL)}
+
+
+def _cohort_rules(listings: DataFrame, rules: list[tuple], names: list[str]) -> DataFrame:
+    """The first rule (make, model, first year, last year, values) of each make, model and year among the listings: the make is
+    the same, one model begins with the other, and the year (if there is one) lies within."""
+    spark = listings.sparkSession
+    cohorts = listings.select(F.upper(_trim("make")).alias("__make"), F.upper(_trim("model")).alias("__model"), F.coalesce("year", F.lit(0)).alias("__year")).distinct()
+    kinds = ", ".join(f"{n} {'string' if isinstance(v, str) else 'int'}" for n, v in zip(names, rules[0][4:]))
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rules)], f"__i int, make string, model string, low int, high int, {kinds}")  # a few dozen rows
+    hit = (F.col("__make") == F.col("make")) & (F.startswith("__model", F.col("model")) | F.startswith("model", F.col("__model"))) & ((F.col("__year") == 0) | F.col("__year").between(F.col("low"), F.col("high")))
+    return cohorts.join(F.broadcast(table), hit).groupBy("__make", "__model", "__year").agg(F.min_by(F.struct(*names), "__i").alias("__r")).select("__make", "__model", "__year", "__r.*")
 
 
-def _severity(*rules: tuple[Column, str, str, float]) -> Column:
-    """Severity of the first rule that holds; PASS without one. INFO passes too."""
-    out = F.lit("PASS")
-    for condition, severity, _, _ in reversed(rules):
-        out = F.when(condition, severity).otherwise(out)
+def near_photos(listings: DataFrame, distance: int = PHOTO_DISTANCE) -> DataFrame:
+    """Hash classes (phash, vehicles, neighbours): how many listings share the hash, and how many other hashes lie within the
+    distance. Pairs are made between different hashes only."""
+    classes = listings.where("phash is not null").groupBy("phash").agg(F.count_distinct("vehicle_id").alias("vehicles"))
+    pairs = hamming_pairs(classes.select(F.col("phash").alias("id"), F.col("phash").alias("h")), distance)
+    near = pairs.select(F.explode(F.array("a", "b")).alias("phash")).groupBy("phash").agg(F.count("*").alias("neighbours"))
+    return classes.join(near, "phash", "left").select("phash", "vehicles", F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
+
+
+def prepared(listings: DataFrame, decoded: DataFrame | None = None, only: Iterable[str] = tuple(WEIGHT)) -> DataFrame:
+    """Listings with the columns that the validators ``only`` need; ``decoded``: vin with what a decoder says of it."""
+    only = set(only)
+    out = listings
+    if "V01" in only:
+        out = vin.with_check(out.withColumn("__vin", F.trim("vin")), "__vin", "__vin_ok").drop("__vin")
+    if {"V02", "V09"} & only:
+        out = out.join(decoded.withColumnRenamed("vin", "__v"), F.upper(F.trim("vin")) == F.col("__v"), "left").drop("__v")
+    if "V12" in only:
+        dealers = listings.groupBy(F.col("vin").alias("__v")).agg(F.count_distinct("dealer_id").alias("__dealers"), F.count("*").alias("__listings"))
+        out = out.join(dealers, F.col("vin") == F.col("__v"), "left").drop("__v")
+    cohort = [F.upper(_trim("make")) == F.col("__make"), F.upper(_trim("model")) == F.col("__model"), F.coalesce("year", F.lit(0)) == F.col("__year")]
+    if "V03" in only:
+        out = out.join(_cohort_rules(listings, [(a, b, y, 2026, p) for a, b, y, p in CODES], ["__code"]), cohort, "left").drop("__make", "__model", "__year")
+    if "V07" in only:
+        out = out.join(_cohort_rules(listings, list(PRICES), ["__p25", "__p50", "__p75"]), cohort, "left").drop("__make", "__model", "__year")
+    if "V16" in only:
+        near = near_photos(listings).select(F.col("phash").alias("__p"), ((F.col("vehicles") > 1) | (F.col("neighbours") > 0)).alias("__near_photo"))
+        out = out.join(near, F.col("phash") == F.col("__p"), "left").drop("__p")
     return out
 
 
-def _rule(*rules: tuple[Column, str, str, float]) -> Column:
+def _number(rules: list) -> Column:
     """Number (from 1) of the first rule that holds; 0 without one."""
     out = F.lit(0)
     for i in range(len(rules), 0, -1):
@@ -31,93 +256,142 @@ def _rule(*rules: tuple[Column, str, str, float]) -> Column:
     return out
 
 
-def validators(now_year: int = NOW_YEAR) -> dict[str, tuple]:
-    """Rules of the row validators, first match first: (condition, severity, issue, confidence), over listing columns and ``__vin_ok`` (see ``prepared``)."""
-    c = F.col
-    price, km, age = c("price_gross_eur"), c("mileage_km"), F.lit(now_year) - c("year")
-    p25 = F.coalesce(*(F.when(c("make") == m, F.lit(a)) for m, (a, _) in BASELINE.items()))
-    p75 = F.coalesce(*(F.when(c("make") == m, F.lit(b)) for m, (_, b) in BASELINE.items()))
-    filled = sum((F.coalesce(x, F.lit(False)).cast("int") for x in (c("vin") != "", c("make") != "", c("model") != "", c("year") > 0, km > 0, c("fuel_type") != "", price > 0, c("photo_count") >= 3, c("sold_at").isNull(), c("source_url") != "")), F.lit(0)) * 10
-    title = F.lower(c("source_url"))
-    dealer = c("dealer_confidence")
-    return {
-        "V01": ((~c("__vin_ok"), "CRITICAL", "check digit", 1.0),),
-        "V04": ((~title.contains("cars"), "WARNING", "make and model missing from title", 0.1),),
-        "V06": ((c("photo_count") == 0, "CRITICAL", "no photos", 1.0), (c("photo_count") < 3, "WARNING", "few photos", 1.0), (c("photo_count") < 6, "INFO", "some photos", 1.0)),
-        "V07": ((price == 0, "CRITICAL", "no price", 1.0), (p25.isNull(), "INFO", "no baseline", 0.5), (price < F.floor(p25 / 2), "CRITICAL", "far below", 0.9), (price > p75 * 2, "WARNING", "far above", 0.8)),
-        "V08": ((km > 500000, "CRITICAL", "too high", 1.0), ((km > 0) & (km < 100) & (age > 5), "CRITICAL", "too low", 0.9), ((age > 0) & (km > 0) & (km > age * 50000), "WARNING", "above expected", 0.7), ((age > 2) & (km > 0) & (km < age * 4000), "WARNING", "below expected", 0.7)),
-        "V09": ((c("year") < 1900, "CRITICAL", "too old", 1.0), (c("year") > now_year + 1, "CRITICAL", "future", 1.0), (c("year") == now_year + 1, "WARNING", "next year", 0.8)),
-        "V13": ((filled < 50, "CRITICAL", "incomplete", 1.0), (filled < 80, "WARNING", "gaps", 1.0)),
-        "V15": ((dealer.isNull(), "CRITICAL", "orphan", 1.0), (dealer < 0.30, "CRITICAL", "distrusted", 1.0), (dealer < 0.60, "WARNING", "low trust", 1.0)),
-        "V19": ((price <= 0, "CRITICAL", "not positive", 1.0), (price > 1000000, "WARNING", "very high", 0.8)),
-    }
-
-
-def prepared(listings: DataFrame) -> DataFrame:
-    """Adds the check digit's verdict as a column, so that its long expression is made once."""
-    return vin.with_check(listings, "vin", "__vin_ok")
-
-
-def findings(listings: DataFrame, now_year: int = NOW_YEAR) -> DataFrame:
-    """(vehicle_id, validator, pass, severity, issue, confidence): one scan, one explode."""
-    rules = validators(now_year)
-    rows = F.array(*(F.struct(F.lit(k).alias("validator"), _rule(*v).alias("n")) for k, v in rules.items()))
-    # What a rule says is looked up in a literal map, so that the scan makes small numbers only.
-    said = [("", "INFO", "", 1.0, True)] + [(f"{k}/{i}", sev, issue, conf, sev == "INFO") for k, v in rules.items() for i, (_, sev, issue, conf) in enumerate(v, 1)]
-    texts = F.create_map(*(x for key, sev, issue, conf, ok in said for x in (F.lit(key), F.struct(F.lit(ok).alias("pass"), F.lit(sev).alias("severity"), F.lit(issue).alias("issue"), F.lit(conf).alias("confidence")))))
-    out = prepared(listings).select("vehicle_id", F.explode(rows).alias("x")).select("vehicle_id", "x.validator", "x.n")
-    return out.withColumn("r", texts[F.when(F.col("n") > 0, F.concat_ws("/", "validator", "n")).otherwise("")]).select("vehicle_id", "validator", "r.*")
-
-
-def composite(listings: DataFrame, now_year: int = NOW_YEAR) -> DataFrame:
-    """Weighted score and decision of each listing, within its row: no shuffle. A failed INFO or WARNING gives half its
-    weight (whole number), a failed CRITICAL none; without findings the score is 0."""
-    names = list(validators(now_year))
-    graded = prepared(listings).select("vehicle_id", *(_severity(*v).alias(k) for k, v in validators(now_year).items()))
-    got = sum((F.when(F.col(k).isin("PASS", "INFO"), WEIGHT[k]).when(F.col(k) == "CRITICAL", 0).otherwise(WEIGHT[k] // 2) for k in names), F.lit(0))
-    bad = sum(((F.col(k) == "CRITICAL").cast("int") for k in names), F.lit(0))
-    out = graded.select("vehicle_id", F.round(got * 100.0 / sum(WEIGHT[k] for k in names), 4).alias("score"), bad.alias("criticals"))
-    decision = F.when((F.col("criticals") >= 2) | (F.col("score") < 60), "REJECT").when((F.col("score") >= 80) & (F.col("criticals") == 0), "PUBLISH").otherwise("MANUAL_REVIEW")
-    return out.withColumn("decision", decision)
+def findings(listings: DataFrame, decoded: DataFrame | None = None, only: Iterable[str] = tuple(WEIGHT), now_year: int = NOW_YEAR) -> DataFrame:
+    """(vehicle_id, validator, pass, severity, issue, confidence) of the validators ``only``."""
+    rules = {k: v for k, v in validators(now_year).items() if k in set(only)}
+    said, sure = [], {}
+    for k, (own, rest) in rules.items():
+        ends = [(i, *r[1:]) for i, r in enumerate(own, 1)] + [(0, *_ELSE.get(k, (True, INFO)), "" if _ELSE.get(k, (True, INFO))[0] else "fails", rest)]
+        said += [(f"{k}/{i}", ok, severity, issue, None if isinstance(conf, Column) else conf) for i, ok, severity, issue, conf in ends]
+        moving = [(i, conf) for i, _, _, _, conf in ends if isinstance(conf, Column)]
+        if moving:
+            sure[k] = F.coalesce(*(F.when(F.col(k) == i, conf) for i, conf in moving))
+    texts = F.create_map(*(x for key, ok, sev, issue, conf in said for x in (F.lit(key), F.struct(F.lit(ok).alias("pass"), F.lit(sev).alias("severity"), F.lit(issue).alias("issue"), F.lit(conf).cast("double").alias("confidence")))))
+    graded = prepared(listings, decoded, rules).withColumns({k: _number(own) for k, (own, _) in rules.items()})
+    rows = F.array(*(F.struct(F.lit(k).alias("validator"), F.col(k).alias("n"), sure.get(k, F.lit(None)).cast("double").alias("own")) for k in rules))
+    out = graded.select("vehicle_id", F.explode(rows).alias("x")).select("vehicle_id", "x.*").withColumn("r", texts[F.concat_ws("/", "validator", "n")])
+    return out.select("vehicle_id", "validator", "r.pass", "r.severity", "r.issue", F.coalesce("r.confidence", "own").alias("confidence"))
+
+
+def decision(score: Column, criticals: Column) -> Column:
+    return F.when((criticals >= 2) | (score < 60), "REJECT").when((criticals == 1) | (score < 80), "MANUAL_REVIEW").otherwise("PUBLISH")
+
+
+def composite(listings: DataFrame, decoded: DataFrame | None = None, only: Iterable[str] = tuple(WEIGHT), now_year: int = NOW_YEAR) -> DataFrame:
+    """Weighted score and decision of each listing, within its row. A failed INFO or WARNING gives half its weight (whole
+    number), a failed CRITICAL none; validators that weren't run don't count."""
+    rules = {k: v for k, v in validators(now_year).items() if k in set(only)}
+    graded = prepared(listings, decoded, rules).select("vehicle_id", *(_number(own).alias(k) for k, (own, _) in rules.items()))
+    got, bad = [], []
+    for k, (own, _) in rules.items():
+        ends = [_ELSE.get(k, (True, INFO)), *(r[1:3] for r in own)]
+        points = [WEIGHT[k] if ok else 0 if severity == CRITICAL else WEIGHT[k] // 2 for ok, severity in ends]
+        got.append(F.element_at(F.array(*map(F.lit, points)), F.col(k) + 1))
+        worst = [i for i, (ok, severity) in enumerate(ends) if not ok and severity == CRITICAL]
+        bad.append(F.col(k).isin(*worst).cast("int") if worst else F.lit(0))
+    total = sum(WEIGHT[k] for k in rules)
+    return scored_results(graded.select("vehicle_id", sum(got[1:], got[0]).alias("earned"), F.lit(total).alias("possible"), sum(bad[1:], bad[0]).alias("criticals")))
+
+
+def scored_results(sums: DataFrame) -> DataFrame:
+    """Score and decision from (vehicle_id, earned, possible, criticals); nothing possible scores 0."""
+    score = F.coalesce(F.try_divide(F.col("earned") * 100.0, F.col("possible")), F.lit(0.0))
+    return sums.select("vehicle_id", F.round(score, 4).alias("score"), "criticals", decision(score, F.col("criticals")).alias("decision"))
 
 
+def composite_of_results(results: DataFrame) -> DataFrame:
+    """The same from stored results (vehicle_id, validator, pass, severity, validated_at): the latest of each validator counts."""
+    latest = results.groupBy("vehicle_id", "validator").agg(F.max_by(F.struct("pass", "severity"), "validated_at").alias("r"))
+    weight = F.create_map(*(F.lit(x) for kv in WEIGHT.items() for x in kv))[F.col("validator")]
+    known = latest.withColumn("w", weight).where("w is not null")
+    part = F.when(F.col("r.pass"), F.col("w")).when(F.col("r.severity") == CRITICAL, 0).otherwise(F.expr("w div 2"))
+    return scored_results(known.groupBy("vehicle_id").agg(F.sum(part).alias("earned"), F.sum("w").alias("possible"), F.count_if(~F.col("r.pass") & (F.col("r.severity") == CRITICAL)).alias("criticals")))
+
+
+# ---------------------------------------------------------------- queries, and their rules stated once more in DuckDB SQL
+
+_SOURCE = "quality_listing"
 _VIN_SQL = "list_sum(list_transform(range(1, 18), lambda i: CAST(translate(substr(vin, CAST(i AS INT), 1), '" + "".join(vin.VALUES) + "', '" + "".join(map(str, vin.VALUES.values())) + "') AS INT) * [" + ", ".join(map(str, vin.WEIGHTS)) + "][CAST(i AS INT)])) % 11"
 _OK = f"(CASE WHEN {_VIN_SQL} = 10 THEN 'X' ELSE CAST({_VIN_SQL} AS STRING) END = substr(vin, 9, 1))"
 
 
+def _oracle_source(d) -> str:
+    """Listings with what the rules below need, by plain SQL."""
+    words = lambda x: d.words(x)
+    sure = lambda x: f"list_transform({words(x)}, lambda x: CASE WHEN list_contains(tw, x) THEN 1.0 WHEN len(list_filter(tw, lambda h: strlen(h) >= 3 AND strlen(x) >= 3 AND levenshtein(x, h) <= 2)) > 0 THEN 0.7 ELSE 0.0 END)"
+    first = lambda rows, cols, value: f"(SELECT min_by({value}, i) FROM (VALUES {rows}) t(i, {cols}) WHERE t.mk = upper(q.make) AND (starts_with(upper(q.model), t.mo) OR starts_with(t.mo, upper(q.model))) AND (q.year = 0 OR q.year BETWEEN t.lo AND t.hi))"
+    prices = ", ".join(f"({i}, '{r[0]}', '{r[1]}', {r[2]}, {r[3]}, {r[4]}, {r[6]})" for i, r in enumerate(PRICES))
+    codes = ", ".join(f"({i}, '{a}', '{b}', {y}, 2026, '{p}')" for i, (a, b, y, p) in enumerate(CODES))
+    langs = ", ".join(f"len(list_intersect(list_distinct({words('lower(description)')}), ['" + "', '".join(stops) + f"'])) AS l_{lang}" for lang, stops in sorted(text.STOPS.items()))
+    best = "greatest(" + ", ".join(f"l_{lang}" for lang in sorted(text.STOPS)) + ")"
+    spoken = f"CASE WHEN {best} < 2 THEN NULL " + " ".join(f"WHEN l_{lang} = {best} THEN '{lang}'" for lang in sorted(text.STOPS)) + " END"
+    return f"""qa AS (SELECT q.*, {words('title')} AS tw, {langs}, list_transform(string_split_regex(lower(trim(description)), '[.!?]+'), lambda s: trim(regexp_replace(regexp_replace(s, '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))) AS sents FROM {_SOURCE} q),
+cohort AS (SELECT *, {first(prices, 'mk, mo, lo, hi, p25, p75', 'p25')} AS p25, {first(prices, 'mk, mo, lo, hi, p25, p75', 'p75')} AS p75, {first(codes, 'mk, mo, lo, hi, code', 'code')} AS code FROM (SELECT DISTINCT make, model, year FROM {_SOURCE}) q),
+dealers AS (SELECT vin, count(DISTINCT dealer_id) AS dealers, count(*) AS listings FROM {_SOURCE} GROUP BY vin), hs AS (SELECT phash, count(DISTINCT vehicle_id) AS k FROM {_SOURCE} GROUP BY phash),
+near AS (SELECT a.phash, max(a.k) > 1 OR count(b.phash) > 0 AS near_photo FROM hs a LEFT JOIN hs b ON a.phash <> b.phash AND bit_count(xor(a.phash, b.phash)) <= 4 GROUP BY a.phash),
+qb AS (SELECT qa.*, {sure('make')} AS mk, {sure('model')} AS mo, {spoken} AS spoken, nhtsa_make, nhtsa_model, nhtsa_year, nhtsa_error, p25, p75, code, dealers, listings, near_photo, len(list_filter(sents, lambda s: strlen(s) >= 10 AND len(list_filter(sents, lambda t: t = s)) > 2)) > 0 AS repeats,
+ list_filter(list_transform(regexp_extract_all(title, '\\b(1[9][0-9]{{2}}|2[0-9]{{3}})\\b', 1), lambda y: CAST(y AS INT)), lambda y: y BETWEEN 1980 AND {NOW_YEAR + 2})[1] AS title_year,
+ list_transform(photos, lambda p: {{'s': p.status, 'k': trim(split_part(lower(p.type), ';', 1)), 'b': p.bytes, 'w': p.width, 'h': p.height, 'm': p.magic}}) AS ph
+ FROM qa LEFT JOIN vin_decode USING (vin) LEFT JOIN cohort USING (make, model, year) LEFT JOIN dealers USING (vin) LEFT JOIN near USING (phash))"""
+
+
 def _cases() -> dict[str, str]:
-    p25 = "CASE make " + " ".join(f"WHEN '{m}' THEN {a}" for m, (a, _) in BASELINE.items()) + " END"
-    p75 = "CASE make " + " ".join(f"WHEN '{m}' THEN {b}" for m, (_, b) in BASELINE.items()) + " END"
-    age = f"({NOW_YEAR} - year)"
+    """Outcome of each validator: 'pass' or the severity of the failure, and its confidence, as 'outcome|confidence'."""
+    says = lambda *rules: "CASE " + " ".join(f"WHEN {a} THEN {b}" for a, b in rules[:-1]) + f" ELSE {rules[-1]} END"
+    put = lambda outcome, conf: f"'{outcome}|{conf}'"
+    num = lambda outcome, expr: f"'{outcome}|' || CAST(round({expr}, 4) AS STRING)"
+    age = f"greatest({NOW_YEAR} - year, 0)"
+    missing = lambda x: f"list_contains({x}, 0.0)"
+    mean = lambda x: f"CAST(CASE WHEN len({x}) = 0 THEN 1.0 ELSE list_sum({x}) / len({x}) END AS DOUBLE)"
+    score = "(CASE WHEN strlen(trim(vin)) = 17 THEN 20 ELSE 0 END + CASE WHEN price_eur > 0 THEN 15 ELSE 0 END + CASE WHEN make <> '' THEN 10 ELSE 0 END + CASE WHEN model <> '' THEN 10 ELSE 0 END + CASE WHEN year > 1900 THEN 10 ELSE 0 END + CASE WHEN mileage_km > 0 THEN 10 ELSE 0 END + CASE WHEN photo_count >= 3 THEN 10 ELSE 0 END + 5 + CASE WHEN transmission <> '' THEN 5 ELSE 0 END + CASE WHEN trim(title) <> '' THEN 5 ELSE 0 END)"
+    trust = "CASE WHEN dealer_since > DATE '2001-08-31' THEN least(dealer_confidence, 0.5) ELSE dealer_confidence END"
+    photo_bad = "(x.s IN (404, 410) OR (x.s = 200 AND (x.k NOT IN ('image/jpeg', 'image/png', 'image/webp', 'image/avif') OR (NOT (x.b > 0 AND x.b < 30720) AND NOT (x.w > 0 AND x.h > 0 AND (x.w < 800 OR x.h < 600)) AND x.b > 0 AND x.b <= 1048576 AND ((x.k = 'image/jpeg' AND NOT starts_with(x.m, 'ffd8')) OR (x.k = 'image/png' AND NOT starts_with(x.m, '89504e47')) OR (x.k = 'image/webp' AND NOT starts_with(x.m, '52494646')))))))"
+    photo_poor = "((x.s <> 200 AND x.s NOT IN (404, 410)) OR (x.s = 200 AND ((x.b > 0 AND x.b < 30720) OR (x.w > 0 AND x.h > 0 AND (x.w < 800 OR x.h < 600)))))"
+    some = lambda test: f"len(list_filter(ph, lambda x: {test})) > 0"
+    any_word = lambda words, x: "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
+    expect = "CASE source_country " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in COUNTRY_LANGUAGE.items()) + " END"
+    fine = "CASE source_country " + " ".join(f"WHEN '{k}' THEN ['" + "', '".join(v) + "']" for k, v in COUNTRY_LANGUAGES.items()) + " END"
     return {
-        "V01": f"CASE WHEN NOT {_OK} THEN 'CRITICAL' ELSE 'ok' END",
-        "V04": "'ok'",
-        "V06": "CASE WHEN photo_count = 0 THEN 'CRITICAL' WHEN photo_count < 3 THEN 'WARNING' ELSE 'ok' END",
-        "V07": f"CASE WHEN price_gross_eur = 0 THEN 'CRITICAL' WHEN {p25} IS NULL THEN 'ok' WHEN price_gross_eur < floor({p25} / 2) THEN 'CRITICAL' WHEN price_gross_eur > {p75} * 2 THEN 'WARNING' ELSE 'ok' END",
-        "V08": f"CASE WHEN mileage_km > 500000 THEN 'CRITICAL' WHEN mileage_km > 0 AND mileage_km < 100 AND {age} > 5 THEN 'CRITICAL' WHEN {age} > 0 AND mileage_km > {age} * 50000 THEN 'WARNING' WHEN {age} > 2 AND mileage_km > 0 AND mileage_km < {age} * 4000 THEN 'WARNING' ELSE 'ok' END",
-        "V09": "'ok'",
-        "V13": "CASE WHEN 80 + CASE WHEN photo_count >= 3 THEN 10 ELSE 0 END + CASE WHEN sold_at IS NULL THEN 10 ELSE 0 END < 80 THEN 'WARNING' ELSE 'ok' END",
-        "V15": "CASE WHEN dealer_confidence IS NULL OR dealer_confidence < 0.3 THEN 'CRITICAL' WHEN dealer_confidence < 0.6 THEN 'WARNING' ELSE 'ok' END",
-        "V19": "CASE WHEN price_gross_eur <= 0 THEN 'CRITICAL' WHEN price_gross_eur > 1000000 THEN 'WARNING' ELSE 'ok' END",
-    }
+        "V01": says((f"NOT {_OK}", put("CRITICAL", "1.0")), put("pass", "1.0")),
+        "V02": says(("nhtsa_make IS NULL", put("pass", "0.0")), ("nhtsa_error <> ''", put("pass", "0.5")), ("(NOT contains(upper(make), nhtsa_make) AND NOT contains(nhtsa_make, upper(make))) OR (NOT contains(upper(model), nhtsa_model) AND NOT contains(nhtsa_model, upper(model))) OR (nhtsa_year <> 0 AND year <> 0 AND year <> nhtsa_year)", put("WARNING", "0.85")), put("pass", "0.95")),
+        "V03": says(("dat_code = ''", put("pass", "1.0")), ("code IS NULL", put("pass", "0.5")), ("left(upper(dat_code), 4) <> code", put("WARNING", "0.85")), put("pass", "0.9")),
+        "V04": says(("trim(title) = ''", put("pass", "1.0")), ("make = '' AND model = ''", put("pass", "1.0")), (f"NOT {missing('mk')} AND NOT {missing('mo')}", num("pass", f"({mean('mk')} + {mean('mo')}) / 2")), (f"NOT {missing('mk')}", num("WARNING", f"{mean('mk')} * 0.6::DOUBLE")), (f"NOT {missing('mo')}", num("WARNING", f"{mean('mo')} * 0.6::DOUBLE")), put("WARNING", "0.1")),
+        "V05": says(("photo_count = 0", put("pass", "1.0")), (some(photo_bad), put("CRITICAL", "0.9")), (some(photo_poor), put("WARNING", "0.9")), put("pass", "0.9")),
+        "V06": says(("photo_count = 0", put("CRITICAL", "1.0")), ("photo_count < 3", put("WARNING", "1.0")), put("pass", "1.0")),
+        "V07": says(("price_eur = 0", put("CRITICAL", "1.0")), ("p25 IS NULL", put("pass", "0.5")), ("price_eur < p25 // 2", put("CRITICAL", "0.95")), ("price_eur > p75 * 2", put("WARNING", "0.8")), put("pass", "0.9")),
+        "V08": says(("mileage_km = 0 AND year = 0", put("pass", "1.0")), ("mileage_km > 500000", put("CRITICAL", "1.0")), (f"year > 0 AND mileage_km BETWEEN 1 AND 99 AND {age} > 5", put("CRITICAL", "0.95")), (f"year > 0 AND {age} > 0 AND mileage_km > {age} * 20000 * 2.5", put("WARNING", "0.8")), (f"year > 0 AND {age} > 2 AND mileage_km > 0 AND mileage_km < {age} * 20000 * 0.2", put("WARNING", "0.7")), put("pass", "0.85")),
+        "V09": says(("year = 0", put("pass", "1.0")), (f"year < 1900 OR year > {NOW_YEAR + 1}", put("CRITICAL", "1.0")), (f"year = {NOW_YEAR + 1} OR coalesce(title_year <> year, false) OR coalesce(nhtsa_year <> year, false)", put("WARNING", "0.8")), put("pass", "1.0")),
+        "V10": says(("source_url = ''", put("pass", "1.0")), ("http_status = 200", put("pass", "1.0")), ("http_status IN (301, 302, 307, 308)", put("pass", "0.9")), ("http_status = 404", put("CRITICAL", "0.95")), ("http_status = 410", put("CRITICAL", "1.0")), ("http_status >= 500", put("WARNING", "0.6")), ("http_status = -1", put("WARNING", "0.5")), put("pass", "0.7")),
+        "V11": says(("trim(description) = ''", put("pass", "1.0")), (any_word(PLACEHOLDERS, "lower(description)"), put("CRITICAL", "1.0")), ("ai_disclosed = false", put("CRITICAL", "1.0")), (f"strlen(trim(description)) < 50 OR repeats OR coalesce(spoken <> {expect}, false) OR NOT contains(lower(description), lower(make)) OR NOT contains(lower(description), lower(model))", put("WARNING", "0.85")), put("pass", "0.9")),
+        "V12": says(("dealers > 5", put("CRITICAL", "0.95")), ("dealers >= 2", put("WARNING", "0.85")), ("listings > 1", put("pass", "0.9")), put("pass", "1.0")),
+        "V13": says((f"{score} < 50", num("WARNING", f"{score} / 100.0::DOUBLE")), num("pass", f"{score} / 100.0::DOUBLE")),
+        "V14": says(("is_archive", put("pass", "1.0")), ("extracted_at >= TIMESTAMP '2001-09-29 00:00:00'", put("pass", "1.0")), ("extracted_at >= TIMESTAMP '2001-09-27 00:00:00'", put("pass", "0.95")), ("extracted_at >= TIMESTAMP '2001-09-23 00:00:00'", put("WARNING", "0.85")), put("CRITICAL", "0.9")),
+        "V15": says(("dealer_confidence IS NULL", put("CRITICAL", "0.95")), ("dealer_confidence >= 0.6", num("pass", trust)), ("dealer_confidence >= 0.3", num("WARNING", trust)), num("CRITICAL", trust)),
+        "V16": says(("near_photo", put("WARNING", "0.9")), put("pass", "0.95")),
+        "V17": says(("source_url = ''", put("pass", "1.0")), ("http_status = 410", put("CRITICAL", "1.0")), ("http_status <> 200", put("pass", "0.7")), ("contains(lower(body), '\"availability\": \"https://schema.org/soldout\"')", put("CRITICAL", "0.98")), (any_word(SOLD_WORDS, "lower(body)"), put("CRITICAL", "0.88")), put("pass", "0.9")),
+        "V18": says(("trim(description) = '' OR source_country IS NULL", put("pass", "1.0")), ("spoken IS NULL", put("pass", "0.5")), (f"NOT list_contains({fine}, spoken)", put("WARNING", "0.85")), put("pass", "0.9")),
+        "V19": says(("price_eur <= 0", put("CRITICAL", "1.0")), ("price_eur > 1000000", put("WARNING", "0.85")), ("source_country = 'CH' AND price_eur >= 1000", put("pass", "0.8")), put("pass", "1.0")),
+    }
 
 
-_SOURCE = "quality_listing"
-frame("v_all_findings", [_SOURCE], lambda d: "SELECT validator, CASE WHEN outcome = 'ok' THEN 'pass' ELSE outcome END AS outcome, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS validator, {v} AS outcome FROM {_SOURCE}" for k, v in _cases().items()) + ") x GROUP BY 1, 2")(
-    lambda v: findings(v).groupBy("validator", F.when(F.col("pass"), "pass").otherwise(F.col("severity")).alias("outcome")).agg(F.count("*").alias("n"))
+def _outcome() -> Column:
+    return F.concat_ws("|", F.when(F.col("pass"), "pass").otherwise(F.col("severity")), F.round("confidence", 4).cast("string"))
+
+
+frame("v_all_findings", [_SOURCE, "vin_decode"], lambda d: f"WITH {_oracle_source(d)} SELECT validator, outcome, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS validator, {v} AS outcome FROM qb" for k, v in _cases().items()) + ") x GROUP BY 1, 2")(
+    lambda v, decoded: findings(v, decoded).groupBy("validator", _outcome().alias("outcome")).agg(F.count("*").alias("n"))
 )
-_TOTAL = sum(WEIGHT[k] for k in _cases())
-frame("agg15_v20_composite", [_SOURCE], lambda d: "WITH r AS (SELECT vehicle_id, " + ", ".join(f"{v} AS {k}" for k, v in _cases().items()) + f" FROM {_SOURCE}), s AS (SELECT vehicle_id, round((" + " + ".join(f"CASE {k} WHEN 'ok' THEN {WEIGHT[k]} WHEN 'CRITICAL' THEN 0 ELSE {WEIGHT[k] // 2} END" for k in _cases()) + f") * 100.0::DOUBLE / {_TOTAL}, 4) AS score, " + " + ".join(f"CAST({k} = 'CRITICAL' AS INT)" for k in _cases()) + " AS criticals FROM r) SELECT *, CASE WHEN criticals >= 2 OR score < 60 THEN 'REJECT' WHEN score >= 80 AND criticals = 0 THEN 'PUBLISH' ELSE 'MANUAL_REVIEW' END AS decision FROM s")(composite)
-for _k in ("V01", "V06", "V07", "V08", "V13", "V15"):
-    frame(f"{_k.lower()}_failures", [_SOURCE], (lambda k: lambda d: f"SELECT vehicle_id, outcome FROM (SELECT vehicle_id, {_cases()[k]} AS outcome FROM {_SOURCE}) x WHERE outcome <> 'ok'")(_k))(
-        (lambda k: lambda v: findings(v).where((F.col("validator") == k) & ~F.col("pass")).select("vehicle_id", F.col("severity").alias("outcome")))(_k)
+frame("agg15_v20_composite", [_SOURCE, "vin_decode"], lambda d: f"WITH {_oracle_source(d)}, r AS (SELECT vehicle_id, " + ", ".join(f"split_part({v}, '|', 1) AS {k}" for k, v in _cases().items()) + " FROM qb), s AS (SELECT vehicle_id, (" + " + ".join(f"CASE {k} WHEN 'pass' THEN {WEIGHT[k]} WHEN 'CRITICAL' THEN 0 ELSE {WEIGHT[k] // 2} END" for k in WEIGHT) + ") * 100.0::DOUBLE / 176 AS pct, " + " + ".join(f"CAST({k} = 'CRITICAL' AS INT)" for k in WEIGHT) + " AS criticals FROM r) SELECT vehicle_id, round(pct, 4) AS score, criticals, CASE WHEN criticals >= 2 THEN 'REJECT' WHEN pct < 60 THEN 'REJECT' WHEN criticals = 1 OR pct < 80 THEN 'MANUAL_REVIEW' ELSE 'PUBLISH' END AS decision FROM s")(composite)
+#: Queries of single validators by name.
+_SINGLE = {
+    "v01_failures": "V01", "v02_decode_table": "V02", "v03_first_prefix": "V03", "v04_title_tokens": "V04", "v05_photo_metadata": "V05", "v06_failures": "V06", "v07_failures": "V07", "v08_failures": "V08", "v09_year": "V09", "v10_liveness": "V10", "v11_text_quality": "V11",
+    "v12_cross_source": "V12", "v13_failures": "V13", "v14_freshness": "V14", "v15_failures": "V15", "v16_photo_hash": "V16", "v17_sold_words": "V17", "v18_country_language": "V18", "v19_currency": "V19",
+}
+for _name, _id in _SINGLE.items():
+    _fails = _name.endswith("_failures")
+    frame(_name, [_SOURCE, "vin_decode"], (lambda k, fails: lambda d: f"WITH {_oracle_source(d)} SELECT vehicle_id, outcome FROM (SELECT vehicle_id, {_cases()[k]} AS outcome FROM qb) x" + (" WHERE NOT starts_with(outcome, 'pass')" if fails else ""))(_id, _fails))(
+        (lambda k, fails: lambda v, decoded: (lambda f: f.where(~F.col("pass")) if fails else f)(findings(v, decoded, [k])).select("vehicle_id", _outcome().alias("outcome")))(_id, _fails)
     )
-both("v02_decode_table", lambda d: f"SELECT v.vehicle_id, CASE WHEN t.make IS NULL THEN 'soft pass' WHEN v.make LIKE concat('%', t.make, '%') OR t.make LIKE concat('%', v.make, '%') THEN 'pass' ELSE 'WARNING' END AS outcome FROM vehicle v LEFT JOIN {d.values(chr(44).join('(%d, %r)' % (i, m) for i, m in enumerate(BASELINE)), 'id, make')} t ON t.id = v.lot % 9 WHERE v.year = 2020")
-both("v03_first_prefix", lambda d: f"SELECT v.vin, min(t.ord) AS rule FROM (SELECT DISTINCT vin FROM vehicle) v JOIN {d.values(chr(40) + '0, ' + repr('W0L0') + '), (1, ' + repr('W0L00000X') + '), (2, ' + repr('WBA') + ')', 'ord, prefix')} t ON v.vin LIKE concat(t.prefix, '%') OR t.prefix LIKE concat(v.vin, '%') GROUP BY v.vin")
-both("v10_liveness", lambda d: "SELECT vehicle_id, CASE WHEN s BETWEEN 200 AND 399 THEN 'pass' WHEN s IN (404, 410) THEN 'CRITICAL' ELSE 'WARNING' END AS outcome FROM (SELECT vehicle_id, CASE CAST(lot % 5 AS INT) WHEN 0 THEN 200 WHEN 1 THEN 301 WHEN 2 THEN 404 WHEN 3 THEN 500 ELSE -1 END AS s FROM vehicle) x")
-both("v12_cross_source", lambda d: "SELECT v.vehicle_id, CASE WHEN x.n > 5 THEN 'CRITICAL' WHEN x.n >= 2 THEN 'WARNING' ELSE 'pass' END AS outcome FROM vehicle v JOIN (SELECT vin, count(DISTINCT dealer_id) AS n FROM vehicle GROUP BY vin) x ON v.vin = x.vin")
-both("v14_freshness", lambda d: f"SELECT vehicle_id, CASE WHEN age <= 1 THEN 'pass' WHEN age <= 3 THEN 'pass' WHEN age <= 7 THEN 'WARNING' ELSE 'CRITICAL' END AS outcome FROM (SELECT vehicle_id, {d.between_days('indexed_at', d.now)} AS age FROM recent) x WHERE age <= 30")
-both("v17_sold_words", lambda d: f"SELECT page_id, CASE WHEN lower(html) LIKE '%sold%' OR lower(html) LIKE '%verkauft%' OR lower(html) LIKE '%vendu%' OR lower(html) LIKE '%vendido%' THEN true ELSE false END AS sold FROM {d.base('pages')}")
 frame("v18_language", ["document"], lambda d: "SELECT lang, guess, count(*) AS n FROM (SELECT lang, (SELECT CASE WHEN max(n) >= 2 THEN arg_min(l, (-n, l)) END FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS l, len(list_intersect(list_distinct({d.words('text')}), ['" + "', '".join(v) + "'])) AS n" for k, v in sorted(text.STOPS.items())) + ")) AS guess FROM document) x GROUP BY 1, 2")(
     lambda docs: docs.select("lang", text.language("text").alias("guess")).groupBy("lang", "guess").agg(F.count("*").alias("n"))
 )

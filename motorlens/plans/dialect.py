@@ -38,6 +38,25 @@ class Spark:
     def json(self, x: str, key: str) -> str:
         return f"get_json_object({x}, '$.{key}')"
 
+    def listed(self, n: str, fields: dict[str, str]) -> str:
+        """A list of ``n`` (0: none) structures of ``fields``, whose texts may name the running number ``i``."""
+        return f"CASE WHEN {n} > 0 THEN transform(sequence(1, {n}), i -> named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, v in fields.items())})) END"
+
+    def hash60(self, x: str) -> str:
+        """The first 60 bits of the MD5 of a text."""
+        return f"CAST(conv(substr(md5({x}), 1, 15), 16, 10) AS BIGINT)"
+
+    def xor(self, x: str, y: str) -> str:
+        return f"({x} ^ {y})"
+
+    def item(self, x: str, i: int) -> str:
+        """Element ``i`` (from 0) of a list."""
+        return f"{x}[{i}]"
+
+    def pcts(self, x: str, shares: tuple) -> str:
+        """Several percentiles from one buffer."""
+        return f"percentile({x}, array({', '.join(map(str, shares))}))"
+
     def rx(self, x: str, pattern: str) -> str:
         return f"{x} RLIKE '{pattern}'"
 
@@ -75,6 +94,21 @@ class Duck(Spark):
     def json(self, x: str, key: str) -> str:
         return f"json_extract_string({x}, '$.{key}')"
 
+    def listed(self, n: str, fields: dict[str, str]) -> str:
+        return f"list_transform(range(1, {n} + 1), lambda i: {{{', '.join(f'{chr(39)}{k}{chr(39)}: {v}' for k, v in fields.items())}}})"
+
+    def hash60(self, x: str) -> str:
+        return f"CAST('0x' || substr(md5({x}), 1, 15) AS BIGINT)"
+
+    def xor(self, x: str, y: str) -> str:
+        return f"xor({x}, {y})"
+
+    def item(self, x: str, i: int) -> str:
+        return f"{x}[{i + 1}]"
+
+    def pcts(self, x: str, shares: tuple) -> str:
+        return f"quantile_cont({x}, [{', '.join(map(str, shares))}])"
+
     def rx(self, x: str, pattern: str) -> str:
         return f"regexp_matches({x}, '{pattern}')"
 

@@ -39,6 +39,31 @@ def _pairs(d: Spark, pairs, names: str) -> str:
 
 _DIGITS = " + ".join(f"(CAST(floor(n / {10 ** (7 - i)}.0) AS BIGINT) % 10) * {9 - i}" for i in range(8))
 
+_MODELS = {"BMW": ("3 Series", "320d", "X5"), "Audi": ("A3", "A4", "Q5"), "Volkswagen": ("Golf", "Passat", "Polo"), "Renault": ("Clio", "Megane", "Kadjar"), "Peugeot": ("208", "308", "3008"), "Toyota": ("Yaris", "Corolla", "Prius")}
+_CODES = {"BMW": "BMW3", "Audi": "AUA4", "Volkswagen": "vwgo", "Renault": "RECL", "Peugeot": "PE20", "Toyota": "TYYA"}
+
+
+def _quality_listing(d: Spark) -> str:
+    """Listings with all that the validators look at; odd values are spread over them by lot number."""
+    model = "CASE v.make " + " ".join(f"WHEN '{m}' THEN CASE lot % 3 WHEN 0 THEN '{a}' WHEN 1 THEN '{b}' ELSE '{c}' END" for m, (a, b, c) in _MODELS.items()) + " END"
+    code = "CASE make " + " ".join(f"WHEN '{m}' THEN '{c}'" for m, c in _CODES.items()) + " END"
+    photo = {
+        "status": "CASE (lot + i) % 41 WHEN 0 THEN 404 WHEN 1 THEN 500 ELSE 200 END", "type": "CASE (lot * 3 + i) % 53 WHEN 0 THEN 'text/html' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/avif' ELSE 'Image/JPEG; q=1' END",
+        "bytes": "CASE (lot + 2 * i) % 31 WHEN 0 THEN 20000 WHEN 1 THEN 2000000 ELSE 300000 END", "width": "CASE (lot + 5 * i) % 29 WHEN 0 THEN 640 WHEN 1 THEN 0 ELSE 1200 END", "height": "900", "magic": "CASE (lot + 7 * i) % 59 WHEN 0 THEN '00000000' ELSE 'ffd8ffe0' END",
+    }
+    return f"""SELECT q.*, {d.listed("photo_count", photo)} AS photos,
+  CASE lot % 6 WHEN 0 THEN concat(make, ' ', model, ' ', CAST(year AS STRING)) WHEN 1 THEN concat(substr(make, 1, CAST(length(make) AS INT) - 1), 'x ', model, ' sport') WHEN 2 THEN concat('Voiture occasion ', model, ' diesel') WHEN 3 THEN ' ' WHEN 4 THEN concat(make, ' premium automatique') ELSE concat(upper(make), ' ', model, ' ', CAST(year + 1 AS STRING)) END AS title,
+  CASE lot % 8 WHEN 0 THEN ' ' WHEN 1 THEN concat('Lorem ipsum dolor sit amet for this ', make) WHEN 2 THEN concat('A short text, ', make) WHEN 3 THEN concat('This ', make, ' ', model, ' is for sale with the full service history from our own fleet.') WHEN 4 THEN concat('Der ', make, ' ', model, ' ist ein gepflegtes Fahrzeug und die Ausstattung ist komplett mit Klima.')
+   WHEN 5 THEN concat('Great car for the city! ', make, ' ', model, '. Great car, for the city. Great car for the CITY.') WHEN 6 THEN 'La voiture est avec les options pour la route dans le sud et un grand coffre.' ELSE concat('El ', make, ' ', model, ' con extras para la familia, por este precio, una ganga del mes.') END AS description,
+  CASE lot % 5 WHEN 0 THEN '' ELSE concat(coalesce({code}, 'XX'), CAST(lot AS STRING)) END AS dat_code, {d.xor(d.hash60("CAST(n // 10 AS STRING)" if d.name == "duckdb" else "CAST(n div 10 AS STRING)"), "CASE WHEN (n // 10) % 2 = 0 THEN 21 * (n % 10) * 1024 ELSE n % 10 END".replace("//", d.div))} AS phash
+FROM (SELECT v.vehicle_id, v.vin, v.lot, CAST(substr(v.vin, 10, 8) AS BIGINT) AS n, CASE WHEN lot % 101 = 0 THEN '' ELSE v.make END AS make, CASE WHEN lot % 101 = 0 THEN '' ELSE {model} END AS model, CAST(CASE WHEN lot % 101 = 0 THEN 0 WHEN lot % 83 = 0 THEN 0 WHEN lot % 83 = 1 THEN 1890 WHEN lot % 83 = 2 THEN 2022 WHEN lot % 83 = 3 THEN 2030 WHEN lot % 83 = 4 THEN 2010 ELSE year END AS INT) AS year,
+  CAST(CASE lot % 89 WHEN 0 THEN 0 WHEN 1 THEN 600000 WHEN 2 THEN 50 ELSE mileage_km END AS INT) AS mileage_km, CASE WHEN lot % 101 = 0 OR lot % 97 = 0 THEN 0 WHEN lot % 97 = 1 THEN -5 WHEN lot % 97 = 2 THEN 2000000 ELSE CAST(floor(price_gross_eur) AS BIGINT) END AS price_eur, fuel_type,
+  CASE lot % 3 WHEN 0 THEN '' ELSE 'manual' END AS transmission, CAST(CASE WHEN lot % 13 = 0 OR lot % 101 = 0 THEN 0 ELSE photo_count END AS INT) AS photo_count, CASE lot % 71 WHEN 0 THEN '' ELSE source_url END AS source_url, v.dealer_id, d.country_code AS source_country, v.indexed_at AS extracted_at, lot % 19 = 0 AS is_archive,
+  CASE lot % 9 WHEN 0 THEN 404 WHEN 1 THEN 410 WHEN 2 THEN 301 WHEN 3 THEN 503 WHEN 4 THEN -1 WHEN 5 THEN 403 ELSE 200 END AS http_status, CASE lot % 11 WHEN 0 THEN '<b>Vehicle SOLD</b>' WHEN 1 THEN '{{"availability": "https://schema.org/SoldOut"}}' WHEN 2 THEN 'Nicht mehr verfügbar' ELSE 'Available now' END AS body,
+  CASE lot % 17 WHEN 0 THEN true WHEN 1 THEN false END AS ai_disclosed, CASE WHEN d.status = 'ACTIVE' THEN d.confidence_score END AS dealer_confidence, CASE WHEN d.dealer_id % 11 = 0 THEN DATE'2001-09-20' ELSE d.first_discovered_at END AS dealer_since
+FROM vehicle v LEFT JOIN dealer d ON v.dealer_id = d.dealer_id) q"""
+
+
 #: name -> SQL text for a dialect. Texts name other views and, by ``d.base``, the driver's tables.
 VIEWS = {
     "dealer": lambda d: f"""SELECT s_suppkey AS dealer_id, s_name AS canonical_name, {_COUNTRY.format("s_nationkey")} AS country_code,
@@ -61,9 +86,11 @@ FROM (SELECT *, (66 + {_DIGITS}) % 11 AS chk FROM (SELECT *, l_partkey * 10 + l_
     "trust_signal": lambda d: f"""SELECT d.dealer_id, d.vies_status, CASE d.dealer_id % 3 WHEN 0 THEN 'registered' WHEN 1 THEN 'unchecked' ELSE 'not_found' END AS registry, d.dealer_id % 9 AS registry_age,
   coalesce(round(100 * avg(v.confidence_score), 2), 0) AS v15, coalesce(round(100 * avg(v.confidence_score), 2), 0) AS avg_score, count(CASE WHEN v.status = 'ACTIVE' THEN 1 END) AS volume, count(CASE WHEN v.price_gross_eur < 1000 THEN 1 END) AS anomalies,
   {d.between_days("d.first_discovered_at", d.now)} AS tenure_days FROM dealer d LEFT JOIN vehicle v ON v.dealer_id = d.dealer_id GROUP BY d.dealer_id, d.vies_status, d.first_discovered_at""",
-    "quality_listing": lambda d: "SELECT v.*, CASE WHEN d.status = 'ACTIVE' THEN d.confidence_score END AS dealer_confidence FROM vehicle v LEFT JOIN dealer d ON v.dealer_id = d.dealer_id",
+    "quality_listing": _quality_listing,
+    "vin_decode": lambda d: """SELECT vin, min(upper(make)) AS nhtsa_make, min(upper(model)) AS nhtsa_model, max(year) AS nhtsa_year, CASE WHEN min(n) % 5 = 0 THEN '1 - check digit' ELSE '' END AS nhtsa_error
+FROM quality_listing WHERE n % 3 <> 0 GROUP BY vin""",
     "document": lambda d: f"SELECT doc_id, text, lang, source FROM {d.base('documents')}",
-    "stock": lambda d: "SELECT vehicle_id, make, model, country_code AS origin FROM listing WHERE lot % 20 = 0 AND status = 'ACTIVE'",
+    "stock": lambda d: "SELECT vehicle_id, make, model, country_code AS origin FROM listing WHERE status = 'ACTIVE'",
     "price": lambda d: f"SELECT make, model, country_code AS country, {d.trunc('round(avg(price_gross_eur) * 100, 3)')} AS cents, count(*) AS n FROM listing WHERE dealer_status = 'ACTIVE' GROUP BY make, model, country_code",
     "tax_request": lambda d: f"""SELECT o_orderkey AS id, a.country AS origin, b.country AS dest, CAST(round(o_totalprice * 10) AS BIGINT) AS price_cents, CAST(o_custkey % 3 * 100000 AS BIGINT) AS margin_cents, o_orderkey % 2 = 0 AS ids_valid,
   CAST(o_orderkey % 11 AS INT) AS age_months, CAST(o_custkey % 40 * 1000 AS INT) AS km FROM {d.base("orders")} JOIN {d.values(", ".join(f"({i}, '{c}')" for i, c in enumerate(COUNTRIES)), "i, country")} a ON a.i = o_orderkey % 6 JOIN {d.values(", ".join(f"({i}, '{c}')" for i, c in enumerate(COUNTRIES)), "i, country")} b ON b.i = o_custkey % 6""",
