@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..plans.domain import duck_sql, view
-from ..plans.registry import ORACLES, QUERIES, both
+from ..plans.domain import VIEWS, duck_sql, view
+from ..plans.registry import ORACLES, QUERIES, both, frame
+from ..plans.shared import new_path, stored
 from ..sources import files
 from ..streaming import ingest
 
@@ -44,18 +44,21 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed(spark: SparkSession, sf_dir: str, table: str, job) -> DataFrame:
     """A job over a table read as a stream of files until all is read, as a table of its results."""
+    where = new_path(spark, "stream")
+    out = job(opened(spark, sf_dir, table))
+    kind = out.schema
+    out.writeStream.format("parquet").option("path", where + "/out").option("checkpointLocation", where + "/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kind).parquet(where + "/out")
+
+
+def opened(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table as a stream of its files."""
     path = f"{sf_dir}/{table}.parquet"
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="motorlens-")
-    where = f"{base.rstrip('/')}/motorlens/stream-{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder = place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     # A stream reads folders; a table in one file is picked out of its folder by name.
-    source = reader.parquet(path) if folder else reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
-    out = job(source)
-    kind = out.schema
-    out.writeStream.format("parquet").option("path", where + "/out").option("checkpointLocation", where + "/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(kind).parquet(where + "/out")
+    return reader.parquet(path) if folder else reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
 
 
 @query("st02_stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
@@ -83,7 +86,72 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("st08_rate_limit")
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streamed(spark, sf_dir, "events", lambda e: ingest.rate_limited(e.select((F.col("user_id") % 20).alias("dealer_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), F.lit(300).cast("long").alias("size"))))
+    return streamed(spark, sf_dir, "events", lambda e: ingest.rate_limited(e.select((F.col("user_id") % 20).alias("dealer_id"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_id") % 7 * 200).alias("size"))))
+
+
+_MAKES = "CASE CAST(l_partkey AS BIGINT) % 6 WHEN 0 THEN 'BMW' WHEN 1 THEN 'Audi' WHEN 2 THEN 'Renault' WHEN 3 THEN 'Peugeot' WHEN 4 THEN 'Toyota' ELSE 'Volkswagen' END"
+#: Fields of a payload, all of them made from part and line, so that listings of one fingerprint are alike.
+_FIELDS = {
+    "vin": "CASE WHEN l_linenumber % 5 = 0 THEN '' ELSE concat('V', CAST(l_partkey AS STRING), '-', CAST(l_linenumber AS STRING)) END",
+    "url": "concat('https://cars.example/', CASE WHEN l_partkey % 50 = 0 THEN '' ELSE concat(CAST(l_partkey AS STRING), '/', CAST(l_linenumber AS STRING)) END)",
+    "make": f"CASE WHEN l_partkey % 40 = 1 THEN '' ELSE {_MAKES} END", "model": "concat('M', CAST(l_linenumber AS STRING))", "year": "CAST(1900 + l_partkey % 150 AS INT)", "mileage_km": "CAST(l_partkey % 200 * 1000 AS INT)", "color": "CASE WHEN l_linenumber % 2 = 0 THEN 'Red' ELSE 'BLUE' END",
+    "price_raw": "CAST(400 + l_partkey * 37 % 60000 AS DOUBLE)", "currency": "CASE l_partkey % 4 WHEN 0 THEN 'EUR' WHEN 1 THEN 'CHF' WHEN 2 THEN 'GBP' ELSE 'XXX' END", "lat": "CAST(CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE 40 + l_partkey % 10 END AS DOUBLE)", "lng": "CAST(CASE WHEN l_partkey % 3 = 0 THEN 0 ELSE 2 + l_linenumber END AS DOUBLE)",
+    "photo": "CASE WHEN l_linenumber > 3 THEN concat('https://img.example/', CAST(l_partkey AS STRING)) END",
+}
+RATES = (("EUR", 1.0), ("CHF", 0.95), ("GBP", 1.15))
+
+
+def _known(d) -> str:
+    """Vehicles that are known before the stream starts: a third of the parts, ten per cent dearer or cheaper than the stream has them."""
+    return f"SELECT l_partkey, l_linenumber, concat('V', CAST(l_partkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS vin, CASE WHEN l_linenumber % 2 = 0 THEN 'red' ELSE 'blue' END AS color, CAST(l_partkey % 200 * 1000 AS INT) AS mileage_km, 50000.0 AS price FROM (SELECT DISTINCT l_partkey, l_linenumber FROM {d.base('lineitem')} WHERE l_partkey % 3 = 0 AND l_linenumber % 5 <> 0) x"
+
+
+VIEWS["known_vehicle"] = _known
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> tuple[ingest.Ingest, str]:
+    """Runs the listing stream end to end: decode, filter, de-duplicate, convert, merge, fan out."""
+    folder = new_path(spark, "ingest")
+    known = view(spark, sf_dir, "known_vehicle").select(F.sha2(F.concat(F.lit("vin:"), "vin", F.lit(":"), "color", F.lit(":"), F.col("mileage_km").cast("string")), 256).alias("fingerprint"), "vin", *(F.lit("").alias(c) for c in ("url", "make", "model")), F.lit(0).alias("year"), "mileage_km", *(F.col("price").cast("double").alias(c) for c in ("price_eur", "last_price_eur")), F.lit(0).alias("drops"), F.lit("ACTIVE").alias("status"), F.lit("").alias("cell"))
+    sink = ingest.Ingest(spark, folder, known)
+    lines = opened(spark, sf_dir, "lineitem")
+    texts = lines.select(F.when(F.col("l_orderkey") % 97 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(*(F.expr(x).alias(n) for n, x in _FIELDS.items()), F.lit("TEST").alias("source")))).alias("value"))
+    rates = spark.createDataFrame(list(RATES), "currency string, rate double")
+    kept = ingest.ingest_steps(texts, F.broadcast(rates))
+    kept.writeStream.foreachBatch(sink).option("checkpointLocation", folder + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return sink, folder
+
+
+_TAKEN = "k AS (SELECT DISTINCT l_partkey, l_linenumber, " + ", ".join(f"{x} AS {n}" for n, x in _FIELDS.items()) + """ FROM lineitem WHERE l_orderkey % 97 <> 0),
+t AS (SELECT *, round(price_raw * CASE currency WHEN 'EUR' THEN 1.0 WHEN 'CHF' THEN 0.95 WHEN 'GBP' THEN 1.15 END::DOUBLE, 2) AS price_eur FROM k WHERE make <> '' AND year BETWEEN 1920 AND 2027 AND l_partkey % 50 <> 0 AND currency <> 'XXX'),
+b AS (SELECT t.*, n.price AS before FROM t LEFT JOIN known_vehicle n ON n.l_partkey = t.l_partkey AND n.l_linenumber = t.l_linenumber WHERE price_eur BETWEEN 500 AND 2000000)"""
+
+
+@query("st01_ingest", f"""WITH {_TAKEN} SELECT CASE WHEN vin <> '' THEN sha256(concat('vin:', vin, ':', lower(color), ':', CAST(mileage_km AS STRING))) ELSE sha256(concat('url:', url)) END AS fingerprint, price_eur, CASE WHEN before > price_eur THEN 1 ELSE 0 END AS drops,
+ CASE WHEN before IS NOT NULL THEN '' WHEN lat <> 0 THEN concat('g0.5:', CAST(CAST(floor(lat / 0.5) AS INT) AS STRING), ':', CAST(CAST(floor(lng / 0.5) AS INT) AS STRING)) ELSE 'none' END AS cell FROM b
+ UNION ALL SELECT sha256(concat('vin:', n.vin, ':', n.color, ':', CAST(n.mileage_km AS STRING))), n.price, 0, '' FROM known_vehicle n WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.l_partkey = n.l_partkey AND b.l_linenumber = n.l_linenumber)""")
+def ingest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sink, _ = ingested(spark, sf_dir)
+    return sink.state(sink.last).select("fingerprint", "price_eur", "drops", F.coalesce("cell", F.lit("none")).alias("cell"))
+
+
+@query("st05_derived_events", f"""WITH {_TAKEN} SELECT vin, 'LISTING' AS kind, 0.95::DOUBLE AS confidence, price_eur AS value FROM b WHERE vin <> '' AND before IS NULL UNION ALL SELECT vin, 'PRICE_CHANGE', 1.0, round(before - price_eur, 2) FROM b WHERE vin <> '' AND before > price_eur UNION ALL SELECT vin, 'MILEAGE', 0.8, mileage_km FROM b WHERE vin <> '' AND mileage_km > 0""")
+def derived_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, folder = ingested(spark, sf_dir)
+    return spark.read.schema("fingerprint string, vin string, kind string, confidence double, value double").parquet(folder + "/history").select("vin", "kind", "confidence", F.round("value", 2).alias("value"))
+
+
+@query("snk11_fan_out", f"WITH {_TAKEN} SELECT 'db_write' AS sink, count(*) AS n FROM b UNION ALL SELECT 'search_sync', count(*) FROM b UNION ALL SELECT 'price_events', count(*) FROM b UNION ALL SELECT 'thumbs', count(*) FROM b WHERE photo IS NOT NULL")
+def fan_out_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, folder = ingested(spark, sf_dir)
+    parts = [spark.read.schema("fingerprint string").parquet(f"{folder}/{name}").select(F.lit(name).alias("sink")) for name in ingest.Ingest.SINKS[:4]]
+    return reduce(DataFrame.unionByName, parts).groupBy("sink").agg(F.count("*").alias("n"))
+
+
+@query("src03_malformed", "SELECT count(*) AS broken FROM lineitem WHERE l_orderkey % 97 = 0")
+def malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.when(F.col("l_orderkey") % 97 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("l_partkey").cast("string").alias("vin")))).alias("value"))
+    return ingest.decoded(texts, broken=True).agg(F.count("*").alias("broken"))
 
 
 @query("udf01_name_vectors")
@@ -91,14 +159,34 @@ def name_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "dealer").select("dealer_id", text.trigram_vector("canonical_name").alias("vector"))
 
 
-@query("jon16_similar_dealers")
-def similar_dealers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dealers of one country with name vectors of cosine 0.85 or more: blocked by country and first letters."""
-    d = view(spark, sf_dir, "dealer").select("dealer_id", "country_code", F.substring("canonical_name", -2, 1).alias("b"), text.trigram_vector("canonical_name").alias("v"))
-    other = d.select(F.col("dealer_id").alias("other"), F.col("v").alias("w"), "country_code", "b")
-    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x.cast("double"))
-    near = d.join(other, ["country_code", "b"]).where("dealer_id <> other").withColumn("cosine", F.round(dot, 4)).where("cosine >= 0.85")
-    return near.groupBy("dealer_id").agg(F.max_by("other", F.struct("cosine", -F.col("other"))).alias("match"), F.max("cosine").alias("cosine"))
+def similar(names: DataFrame, least: float = 0.85, key: str = "dealer_id", block: str = "country_code", name: str = "canonical_name") -> DataFrame:
+    """(key, match, cosine): the most similar other row of the block by the cosine of name vectors, ``least`` or more; ties to the
+    smaller key.
+
+    Equal vectors are one class. Two classes can only be that similar if they share one of the components at the head of either
+    vector, taken from the rarest on until what is left of it is shorter than ``least``: rows meet by these components, and no
+    pair is lost. Scores are exact."""
+    rows = stored(names.select(F.col(key).alias("k"), F.col(block).alias("b"), text.trigram_vector(name).alias("v")), "names")
+    classes = rows.groupBy("b", "v").agg(F.min("k").alias("first"))
+    second = rows.join(classes.select("b", "v", "first"), ["b", "v"]).where("k <> first").groupBy("b", "v").agg(F.min("k").alias("second"))
+    classes = stored(classes.join(second, ["b", "v"], "left").select("b", "v", "first", "second"), "classes")
+    parts = classes.select("b", "first", F.posexplode("v").alias("i", "w")).where("w <> 0").withColumn("w", F.col("w").cast("double"))
+    common = parts.groupBy("i").agg(F.count("*").alias("df"))  # a row for each of the vector's places
+    tail = Window.partitionBy("b", "first").orderBy("df", "i").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    head = parts.join(F.broadcast(common), "i").withColumn("left", F.sum(F.col("w") * F.col("w")).over(tail)).where(F.col("left") >= least * least - 1e-6)
+    met = head.select("b", "i", F.col("first").alias("x")).join(parts.select("b", "i", F.col("first").alias("y")), ["b", "i"]).where("x <> y").select("b", "x", "y").distinct()
+    v = lambda a: classes.select(F.col("first").alias(a), F.col("v").alias("v_" + a))
+    dot = F.aggregate(F.zip_with("v_x", "v_y", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+    near = met.join(v("x"), "x").join(v("y"), "y").select("x", "y", F.round(dot, 6).alias("cosine")).where(F.col("cosine") >= least)
+    near = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"), "cosine")).distinct()
+    best = near.groupBy("x").agg(F.min_by("y", F.struct(-F.col("cosine"), "y")).alias("match"), F.max("cosine").alias("cosine"))
+    own = rows.join(classes, ["b", "v"]).join(best.withColumnRenamed("x", "first"), "first", "left")
+    twin = F.when(F.col("k") == F.col("first"), F.col("second")).otherwise(F.col("first"))
+    found = own.select("k", F.when(F.col("second").isNotNull(), twin).otherwise(F.col("match")).alias("match"), F.when(F.col("second").isNotNull(), 1.0).otherwise(F.col("cosine")).alias("cosine"))
+    return found.where("match is not null").withColumnRenamed("k", key)
+
+
+frame("jon16_similar_dealers", ["dealer"])(similar)
 
 
 both("st07_snapshot_delta", lambda d: f"SELECT k, CASE WHEN a = 0 THEN 'SEEN' WHEN b = 0 THEN 'GONE' ELSE 'KEPT' END AS state FROM (SELECT listing_id AS k, count(CASE WHEN event_id % 2 = 0 THEN 1 END) AS a, count(CASE WHEN event_id % 2 = 1 THEN 1 END) AS b FROM event GROUP BY listing_id) x")

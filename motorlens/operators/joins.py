@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.domain import VIEWS
 from ..plans.registry import both, frame
 
 
@@ -46,7 +47,7 @@ def hamming_pairs(hashes: DataFrame, distance: int = 4) -> DataFrame:
 
 
 both("jon01_inner", lambda d: "SELECT v.vehicle_id, d.country_code FROM vehicle v JOIN dealer d ON v.dealer_id = d.dealer_id WHERE v.make = 'BMW'")
-both("jon02_left", lambda d: "SELECT v.vehicle_id, d.canonical_name FROM vehicle v LEFT JOIN dealer d ON v.dealer_id = d.dealer_id AND d.status = 'ACTIVE' WHERE v.year = 2018")
+both("jon02_left", lambda d: "SELECT v.vehicle_id, d.canonical_name FROM vehicle v LEFT JOIN dealer d ON v.dealer_id = d.dealer_id AND d.status = 'ACTIVE'")
 both("jon03_left_keep_empty", lambda d: "SELECT d.dealer_id, count(v.vehicle_id) AS n FROM dealer d LEFT JOIN vehicle v ON v.dealer_id = d.dealer_id AND v.make = 'BMW' AND v.price_gross_eur > 90000 GROUP BY d.dealer_id")
 both("jon05_chained", lambda d: f"SELECT o_orderkey, c_name, n_name FROM {d.base('orders')} LEFT JOIN {d.base('customer')} ON o_custkey = c_custkey LEFT JOIN {d.base('nation')} ON c_nationkey = n_nationkey WHERE o_totalprice > 300000")
 both("jon06_shared_vin_edges", lambda d: """WITH seen AS (SELECT vin, dealer_id, min(indexed_at) AS first_at FROM vehicle WHERE status = 'ACTIVE' GROUP BY vin, dealer_id)
@@ -64,11 +65,29 @@ frame("jon12_asof_events", ["event"], lambda d: """SELECT e.event_id, (SELECT p.
     lambda e: asof(e.where("event_type = 'view'").select("event_id", "listing_id", "ts"), e.where("event_type = 'purchase'").select("listing_id", "ts", F.col("value").alias("price")), "listing_id", "ts", "ts", "price").select("event_id", "price")
 )
 both("jon13_latest_keep_ties", lambda d: "SELECT dealer_id, vehicle_id FROM (SELECT dealer_id, vehicle_id, rank() OVER (PARTITION BY dealer_id ORDER BY indexed_at DESC) AS r FROM vehicle) x WHERE r = 1")
-both("jon17_hamming", lambda d: """WITH h AS (SELECT p_partkey AS id, CAST(p_partkey % 64 AS BIGINT) * 1000003 % 4096 AS h FROM {0})
-SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.id < b.id AND bit_count({1}) <= 1 WHERE a.id <= 400 AND b.id <= 400""".format(d.base("part"), "a.h ^ b.h" if d.name == "spark" else "xor(a.h, b.h)"))
+
+
+def hamming_links(rows: DataFrame, distance: int = 4) -> DataFrame:
+    """(id, h, class_id, links): each row of (id, h) with the smallest id of its hash and how many other hashes lie within the
+    distance. Hashes are compared once each, whatever the number of rows that share them."""
+    classes = rows.where("h is not null").groupBy("h").agg(F.min("id").alias("class_id"))
+    pairs = hamming_pairs(classes.select(F.col("h").alias("id"), "h"), distance)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("links"))
+    return rows.join(classes.join(links, "h", "left"), "h", "left").select("id", "h", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _photo_hashes(d) -> str:
+    return f"SELECT p_partkey AS id, {d.xor(d.hash60('CAST(p_partkey % 500 AS STRING)'), 'CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey % 127 END')} AS h FROM {d.base('part')}"
+
+
+VIEWS["photo_hash"] = _photo_hashes
+frame("jon17_hamming", ["photo_hash"], lambda d: """WITH c AS (SELECT h, min(id) AS class_id FROM photo_hash GROUP BY h), l AS (SELECT a.h, count(*) AS links FROM c a JOIN c b ON a.h <> b.h AND bit_count(xor(a.h, b.h)) <= 4 GROUP BY a.h)
+SELECT p.id, p.h, c.class_id, coalesce(l.links, 0) AS links FROM photo_hash p JOIN c ON c.h = p.h LEFT JOIN l ON l.h = p.h""")(hamming_links)
 both("jon18_merged_aggregates", lambda d: "SELECT country_code, round(avg(price_gross_eur), 4) AS price_mean, count(*) AS volume, round(avg(mileage_km), 4) AS km_mean FROM listing GROUP BY country_code")
-both("jon19_priority_fallback", lambda d: f"""SELECT event_id, vehicle_id, tier FROM (SELECT e.event_id, v.vehicle_id, v.tier, row_number() OVER (PARTITION BY e.event_id ORDER BY v.tier, v.vehicle_id) AS n FROM (SELECT event_id, listing_id FROM event WHERE event_id < 300) e
-JOIN (SELECT lot AS k, 1 AS tier, vehicle_id FROM vehicle UNION ALL SELECT dealer_id AS k, 2 AS tier, max(vehicle_id) AS vehicle_id FROM vehicle GROUP BY dealer_id) v ON v.k = e.listing_id) x WHERE n = 1""")
-both("jon20_mandates", lambda d: f"""SELECT m.id AS mandate, count(*) AS matches, min(v.vehicle_id) AS first_match FROM {d.values("(1, 'BMW', 20000.0, 120000), (2, 'Audi', 30000.0, 80000), (3, 'Toyota', 15000.0, 200000)", "id, make, most, km")} m
-JOIN vehicle v ON v.make = m.make AND v.price_gross_eur <= m.most AND v.mileage_km <= m.km WHERE v.status = 'ACTIVE' GROUP BY m.id""")
+both("jon19_priority_fallback", lambda d: f"""SELECT event_id, vehicle_id, tier FROM (SELECT e.event_id, v.vehicle_id, v.tier, row_number() OVER (PARTITION BY e.event_id ORDER BY v.tier, v.vehicle_id) AS n FROM event e
+JOIN (SELECT lot AS k, 1 AS tier, min(vehicle_id) AS vehicle_id FROM vehicle GROUP BY lot UNION ALL SELECT CAST(substr(vin, 10, 8) AS BIGINT) AS k, 2 AS tier, min(vehicle_id) AS vehicle_id FROM vehicle GROUP BY vin UNION ALL SELECT dealer_id AS k, 3 AS tier, max(vehicle_id) AS vehicle_id FROM vehicle GROUP BY dealer_id) v ON v.k = e.listing_id) x WHERE n = 1""")
+both("jon20_mandates", lambda d: f"""SELECT m.id AS mandate, count(*) AS matches, min(v.vehicle_id) AS first_match FROM (SELECT id, most, km, fuel, {'explode(makes)' if d.name == 'spark' else 'unnest(makes)'} AS make FROM (SELECT id, {'from_json(criteria, ' + chr(39) + 'makes array<string>, most double, km int, fuel string' + chr(39) + ')' if d.name == 'spark' else 'from_json(criteria, ' + chr(39) + '{"makes": ["VARCHAR"], "most": "DOUBLE", "km": "INT", "fuel": "VARCHAR"}' + chr(39) + ')'} AS c FROM
+ {d.values("(1, '{\"makes\": [\"BMW\", \"Audi\"], \"most\": 20000, \"km\": 120000}'), (2, '{\"makes\": [\"Audi\"], \"most\": 30000, \"km\": 80000, \"fuel\": \"diesel\"}'), (3, '{\"makes\": [\"Toyota\", \"Renault\", \"Peugeot\"], \"most\": 15000, \"km\": 200000}')", "id, criteria")} j) k
+ {'LATERAL VIEW inline(array(c)) x AS makes, most, km, fuel' if d.name == 'spark' else ', LATERAL (SELECT c.makes AS makes, c.most AS most, c.km AS km, c.fuel AS fuel) x'}) m
+JOIN vehicle v ON v.make = m.make AND (m.fuel IS NULL OR v.fuel_type = m.fuel) AND v.price_gross_eur <= m.most AND v.mileage_km <= m.km WHERE v.status = 'ACTIVE' GROUP BY m.id""")
 both("jon21_providers_merged", lambda d: f"SELECT vin, {d.joined('source_platform', 'source_platform')} AS providers, count(*) AS n FROM (SELECT DISTINCT vin, source_platform FROM vehicle) x GROUP BY vin")

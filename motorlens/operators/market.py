@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.domain import VIEWS
 from ..plans.registry import both, frame
 
 _BAND = "CASE WHEN mileage_km < 30000 THEN '0-30k' WHEN mileage_km < 80000 THEN '30-80k' ELSE '80k+' END"
@@ -35,14 +36,25 @@ frame("agg05_market_spread", ["listing"], lambda d: f"""WITH c AS (SELECT make,
 SELECT make, model, year, band, fuel_type, CAST(sum(n) AS BIGINT) AS samples, arg_min(country_code, (-cents, country_code)) AS best_country, arg_min(country_code, (cents, country_code)) AS worst_country, max(cents) - min(cents) AS spread_cents, round(1 - exp(-sum(n) / 20.0), 6) AS confidence FROM c GROUP BY ALL""")(market_spread)
 
 
-def trimmed_means(listings: DataFrame) -> DataFrame:
-    """Mean of the middle half of prices in each country."""
-    part = Window.partitionBy("country_code")
-    ranked = listings.select("country_code", "price_gross_eur", F.row_number().over(part.orderBy("price_gross_eur")).alias("rn"), F.count("*").over(part).alias("n"))
-    return ranked.where("rn > n * 0.25 and rn <= n * 0.75").groupBy("country_code").agg(F.round(F.avg("price_gross_eur") + 0.0000001, 4).alias("trimmed_mean"))
-
-
-frame("win01_trimmed_mean", ["listing"], lambda d: """SELECT country_code, round(avg(price_gross_eur) + 0.0000001, 4) AS trimmed_mean FROM (SELECT country_code, price_gross_eur, row_number() OVER (PARTITION BY country_code ORDER BY price_gross_eur) AS rn, count(*) OVER (PARTITION BY country_code) AS n FROM listing) x
+def trimmed_means(listings: DataFrame, ranges: int = 4096) -> DataFrame:
+    """Mean of the middle half of prices in each country (of rows in order of price, those after the first quarter and up to
+    the third). Equal prices are one row with a count; these are put in order by ranges of price, so that no task sorts a
+    country: counts of ranges are summed up first, then prices within their range."""
+    counts = listings.where("price_gross_eur is not null").groupBy("country_code", F.col("price_gross_eur").alias("price")).agg(F.count("*").alias("n"))
+    ends = counts.agg(F.min("price").alias("low"), F.max("price").alias("high"))
+    counts = counts.crossJoin(F.broadcast(ends)).withColumn("range", F.when(F.col("high") > F.col("low"), F.floor((F.col("price") - F.col("low")) / (F.col("high") - F.col("low")) * (ranges - 1))).otherwise(0))
+    upto = Window.partitionBy("country_code").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.groupBy("country_code", "range").agg(F.sum("n").alias("m"))
+    sums = sums.select("country_code", "range", F.coalesce(F.sum("m").over(upto), F.lit(0)).alias("before"), F.sum("m").over(Window.partitionBy("country_code")).alias("all"))
+    within = Window.partitionBy("country_code", "range").orderBy("price").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.join(sums, ["country_code", "range"]).withColumn("last", F.col("before") + F.sum("n").over(within))
+    # Rows (first, last] of a price that lie in the middle half.
+    taken = F.greatest(F.lit(0).cast("long"), F.least(F.col("last"), F.floor(F.col("all") * 0.75)) - F.greatest(F.col("last") - F.col("n"), F.floor(F.col("all") * 0.25)))
+    cents = F.round(F.col("price") * 100).cast("decimal(38,0)")
+    return placed.withColumn("taken", taken).where("taken > 0").groupBy("country_code").agg(F.round((F.sum(cents * F.col("taken")) / F.sum("taken")).cast("double") / 100, 4).alias("trimmed_mean"))
+
+
+frame("win01_trimmed_mean", ["listing"], lambda d: """SELECT country_code, round(CAST(sum(CAST(round(price_gross_eur * 100) AS BIGINT)) AS DOUBLE) / count(*) / 100, 4) AS trimmed_mean FROM (SELECT country_code, price_gross_eur, row_number() OVER (PARTITION BY country_code ORDER BY price_gross_eur) AS rn, count(*) OVER (PARTITION BY country_code) AS n FROM listing) x
 WHERE rn > n * 0.25 AND rn <= n * 0.75 GROUP BY country_code""")(trimmed_means)
 
 
@@ -81,8 +93,8 @@ frame("agg14_cohort_summary", ["listing"], lambda d: _EV + " SELECT make, countr
 
 both("agg01_country_stats", lambda d: "SELECT country_code, count(*) AS n, round(avg(coalesce(mileage_km, 0)), 4) AS avg_km, round(avg(coalesce(price_gross_eur, 0)), 4) AS avg_price FROM listing GROUP BY country_code ORDER BY n DESC, country_code")
 both("agg02_global", lambda d: "SELECT (SELECT count(*) FROM dealer WHERE status = 'ACTIVE') AS active_dealers, round(avg(confidence_score), 6) AS avg_score FROM vehicle WHERE confidence_score > 0")
-both("agg03_daily_series", lambda d: f"""SELECT country_code, make, model, year {d.div} 3 * 3 AS year_from, CAST(CAST(indexed_at AS DATE) AS STRING) AS day, round(avg(price_gross_eur) + 0.0000001, 4) AS price_mean, round({d.pct}(price_gross_eur, 0.25), 4) AS price_p25, round({d.pct}(price_gross_eur, 0.75), 4) AS price_p75, count(*) AS volume, round(avg(mileage_km), 4) AS km_mean
-FROM listing WHERE price_gross_eur > 500 AND price_gross_eur < 500000 GROUP BY 1, 2, 3, 4, 5""")
+both("agg03_daily_series", lambda d: f"""SELECT country_code, make, model, year_from, day, price_mean, round({d.item('q', 0)}, 4) AS price_p25, round({d.item('q', 1)}, 4) AS price_p75, volume, km_mean FROM (SELECT country_code, make, model, year {d.div} 3 * 3 AS year_from, CAST(CAST(indexed_at AS DATE) AS STRING) AS day, round(avg(price_gross_eur) + 0.0000001, 4) AS price_mean, {d.pcts("price_gross_eur", (0.25, 0.75))} AS q, count(*) AS volume, round(avg(mileage_km), 4) AS km_mean
+FROM listing WHERE price_gross_eur > 500 AND price_gross_eur < 500000 AND year >= 1990 GROUP BY 1, 2, 3, 4, 5) x""")
 both("agg04_long_series", lambda d: "SELECT country_code, make, n_days FROM (SELECT country_code, make, count(DISTINCT CAST(indexed_at AS DATE)) AS n_days FROM listing GROUP BY country_code, make) x WHERE n_days >= 30")
 both("agg06_active_dealers", lambda d: "SELECT country_code, count(*) AS n FROM dealer WHERE status = 'ACTIVE' GROUP BY country_code")
 both("agg26_field_coverage", lambda d: "SELECT coalesce(country_code, 'all') AS country, count(*) AS n, count(CASE WHEN price_gross_eur > 0 THEN 1 END) AS with_price, count(CASE WHEN sold_at IS NOT NULL THEN 1 END) AS with_sale, count(CASE WHEN photo_count >= 3 THEN 1 END) AS with_photos FROM listing GROUP BY ROLLUP (country_code)")
@@ -92,11 +104,24 @@ both("agg30_daily_volume", lambda d: "SELECT country_code, CAST(CAST(indexed_at
 both("agg31_tax_distribution", lambda d: "SELECT country_code, CASE WHEN confidence_score >= 0.95 THEN 'deductible' ELSE 'margin' END AS tax_status, count(*) AS n FROM listing GROUP BY 1, 2")
 both("agg32_platform_coverage", lambda d: "SELECT source_platform, country_code, count(*) AS n, count(CASE WHEN sold_at IS NOT NULL THEN 1 END) AS sold FROM listing GROUP BY 1, 2")
 both("agg33_volatility", lambda d: "SELECT make, model, year(w) * 10000 + month(w) * 100 + day(w) AS week, n, round(CASE WHEN m > 0 THEN s / m ELSE 0 END, 6) AS volatility FROM (SELECT make, model, date_trunc('week', indexed_at + INTERVAL 1 DAY) - INTERVAL 1 DAY AS w, count(*) AS n, avg(price_gross_eur) AS m, stddev_pop(price_gross_eur) AS s FROM vehicle GROUP BY 1, 2, 3) x WHERE n > 1")
-both("agg34_price_index", lambda d: "SELECT make, model, year, CASE WHEN mileage_km < 50000 THEN '0-50' WHEN mileage_km < 100000 THEN '50-100' WHEN mileage_km < 150000 THEN '100-150' ELSE '150+' END AS band, country_code, count(*) AS volume, " + ", ".join(f"round({d.pct}(price_gross_eur, {p}), 4) AS p{int(100 * p)}" for p in (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)) + ", round(avg(price_gross_eur) + 0.0000001, 4) AS price_avg FROM listing GROUP BY 1, 2, 3, 4, 5")
+_SHARES = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
+both("agg34_price_index", lambda d: "SELECT make, model, year, band, country_code, volume, " + ", ".join(f"round({d.item('q', i)}, 4) AS p{int(100 * p)}" for i, p in enumerate(_SHARES)) + f", price_avg FROM (SELECT make, model, year, CASE WHEN mileage_km < 50000 THEN '0-50' WHEN mileage_km < 100000 THEN '50-100' WHEN mileage_km < 150000 THEN '100-150' ELSE '150+' END AS band, country_code, count(*) AS volume, {d.pcts('price_gross_eur', _SHARES)} AS q, round(avg(price_gross_eur) + 0.0000001, 4) AS price_avg FROM listing GROUP BY 1, 2, 3, 4, 5) x")
 both("agg35_market_depth", lambda d: "SELECT make, country_code, CAST(floor(price_gross_eur / 1000) * 1000 AS BIGINT) AS tier, count(*) AS n FROM listing WHERE status = 'ACTIVE' GROUP BY 1, 2, 3")
 both("agg36_days_on_market", lambda d: f"SELECT make, country_code, count(*) AS n, round({d.pct}(dom, 0.5), 4) AS dom_p50, round({d.pct}(dom, 0.9), 4) AS dom_p90 FROM (SELECT make, country_code, {d.between_days('indexed_at', 'coalesce(sold_at, indexed_at + INTERVAL 60 DAY)')} AS dom FROM listing) x GROUP BY 1, 2")
-_CANDLE = lambda d: f"SELECT make, model, 'M' AS period, year(indexed_at) * 100 + month(indexed_at) AS start, price_gross_eur FROM vehicle UNION ALL SELECT make, model, 'W' AS period, year(date_trunc('week', indexed_at)) * 10000 + month(date_trunc('week', indexed_at)) * 100 + day(date_trunc('week', indexed_at)) AS start, price_gross_eur FROM vehicle"
-both("agg37_candles", lambda d: f"SELECT make, model, period, start, round({d.pct}(price_gross_eur, 0.1), 4) AS open, round({d.pct}(price_gross_eur, 0.9), 4) AS high, round({d.pct}(price_gross_eur, 0.05), 4) AS low, round({d.pct}(price_gross_eur, 0.5), 4) AS close, count(*) AS volume FROM ({_CANDLE(d)}) x GROUP BY 1, 2, 3, 4")
+
+
+def candles(listings: DataFrame) -> DataFrame:
+    """Prices of each make and model by month and week: open, high, low and close as percentiles 10, 90, 5 and 50. One scan, each
+    row in both periods, one buffer a group."""
+    at, week = F.col("indexed_at"), F.date_trunc("week", "indexed_at")
+    day = lambda x: F.year(x) * 10000 + F.month(x) * 100 + F.day(x)
+    both_ = F.inline(F.array(F.struct(F.lit("M").alias("period"), (F.year(at) * 100 + F.month(at)).alias("start")), F.struct(F.lit("W").alias("period"), day(week).alias("start"))))
+    grouped = listings.select("make", "model", "price_gross_eur", both_).groupBy("make", "model", "period", "start").agg(F.percentile("price_gross_eur", F.array(*map(F.lit, (0.1, 0.9, 0.05, 0.5)))).alias("q"), F.count("*").alias("volume"))
+    return grouped.select("make", "model", "period", "start", *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("open", "high", "low", "close"))), "volume")
+
+
+frame("agg37_candles", ["vehicle"], lambda d: """WITH p AS (SELECT make, model, 'M' AS period, year(indexed_at) * 100 + month(indexed_at) AS start, price_gross_eur AS p FROM vehicle UNION ALL SELECT make, model, 'W', CAST(strftime(date_trunc('week', indexed_at), '%Y%m%d') AS INT), price_gross_eur FROM vehicle)
+SELECT make, model, period, start, round(quantile_cont(p, 0.1), 4) AS open, round(quantile_cont(p, 0.9), 4) AS high, round(quantile_cont(p, 0.05), 4) AS low, round(median(p), 4) AS close, count(*) AS volume FROM p GROUP BY ALL""")(candles)
 both("agg38_ticker", lambda d: f"""WITH c AS (SELECT make, model, year(indexed_at) * 12 + month(indexed_at) AS m, {d.pct}(price_gross_eur, 0.5) AS close, count(*) AS volume FROM recent GROUP BY 1, 2, 3),
 t AS (SELECT *, lag(close, 1) OVER w AS c1, lag(close, 3) OVER w AS c3, row_number() OVER (PARTITION BY make, model ORDER BY m DESC) AS r FROM c WINDOW w AS (PARTITION BY make, model ORDER BY m))
 SELECT make, model, round(close, 4) AS last_price, volume, round(100 * (close - c1) / c1, 4) AS change_1m, round(100 * (close - c3) / c3, 4) AS change_3m FROM t WHERE r = 1""")
@@ -108,7 +133,7 @@ SELECT a.country_code AS origin, b.country_code AS dest, count(*) AS n, round(av
 both("agg41_demand", lambda d: "SELECT listing_id % 50 AS cohort, event_type, count(*) AS n FROM event GROUP BY 1, 2")
 both("agg42_coverage", lambda d: f"""WITH o AS (SELECT country_code, count(*) AS observed, avg({d.between_days('indexed_at', 'coalesce(sold_at, indexed_at + INTERVAL 60 DAY)')}) AS dom FROM listing GROUP BY 1)
 SELECT country_code, observed, round(200000 * 0.25 * dom / 365, 4) AS expected_for_sale, round(observed / (200000 * 0.25 * dom / 365), 6) AS coverage FROM o""")
-both("agg43_capture_recapture", lambda d: """WITH s AS (SELECT DISTINCT vin, source_platform AS src FROM vehicle WHERE mileage_km < 60000), n AS (SELECT src, count(*) AS n FROM s GROUP BY src),
+both("agg43_capture_recapture", lambda d: """WITH s AS (SELECT DISTINCT vin, source_platform AS src FROM vehicle), n AS (SELECT src, count(*) AS n FROM s GROUP BY src),
 m AS (SELECT a.src AS a, b.src AS b, count(*) AS m FROM s a JOIN s b ON a.vin = b.vin AND a.src < b.src GROUP BY 1, 2)
 SELECT m.a AS source_a, m.b AS source_b, x.n AS n1, y.n AS n2, m, round(CAST(x.n AS DOUBLE) * y.n / m, 4) AS lincoln_petersen, round(CAST(x.n + 1 AS DOUBLE) * (y.n + 1) / (m + 1) - 1, 4) AS chapman,
  round(CAST(x.n + 1 AS DOUBLE) * (y.n + 1) * (x.n - m) * (y.n - m) / (CAST(m + 1 AS DOUBLE) * (m + 1) * (m + 2)), 3) AS variance FROM m JOIN n x ON x.src = m.a JOIN n y ON y.src = m.b""")
@@ -117,8 +142,19 @@ both("agg45_facts", lambda d: "SELECT e.event_type, e.listing_id % 25 AS dealer_
 both("win02_latest", lambda d: "SELECT dealer_id, vehicle_id FROM (SELECT dealer_id, vehicle_id, row_number() OVER (PARTITION BY dealer_id ORDER BY indexed_at DESC, vehicle_id) AS r FROM vehicle) x WHERE r = 1")
 both("win03_mileage_gaps", lambda d: f"""SELECT event_id, CASE WHEN mileage < p THEN 'rollback' ELSE 'high_gap' END AS issue FROM (SELECT *, lag(mileage) OVER w AS p, lag(ts) OVER w AS t FROM mileage WINDOW w AS (PARTITION BY vin ORDER BY ts, event_id)) x
 WHERE (mileage > 0 AND p > 0 AND mileage < p) OR (p > 0 AND {d.between_days('t', 'ts')} > 0 AND (mileage - p) * 365.0 / {d.between_days('t', 'ts')} > 50000)""")
-both("win05_trend", lambda d: """WITH m AS (SELECT dealer_id, year(indexed_at) * 12 + month(indexed_at) AS mth, 100 * avg(confidence_score) AS score FROM vehicle GROUP BY 1, 2)
-SELECT dealer_id, mth, CASE WHEN n < 2 THEN 'stable' WHEN score - prior > 1 THEN 'improving' WHEN score - prior < -1 THEN 'deteriorating' ELSE 'stable' END AS trend FROM (SELECT *, avg(score) OVER w AS prior, count(*) OVER w AS n FROM m WINDOW w AS (PARTITION BY dealer_id ORDER BY mth ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) x WHERE abs(abs(score - prior) - 1) > 0.000001""")
+def trends(history: DataFrame, key: str = "dealer_id", at: str = "mth", score: str = "score", band: float = 5.0) -> DataFrame:
+    """Each point against the mean of up to three points before it: improving or deteriorating by more than ``band``, stable
+    otherwise and with fewer than two points before. Differences are rounded, so that sums in another order don't move a point
+    over the threshold."""
+    before = Window.partitionBy(key).orderBy(at).rowsBetween(-3, -1)
+    far = F.round(F.col(score) - F.avg(score).over(before), 6)
+    moved = history.select(key, at, F.when(F.count(score).over(before) >= 2, far).alias("far"))
+    return moved.select(key, at, F.when(F.col("far") > band, "improving").when(F.col("far") < -band, "deteriorating").otherwise("stable").alias("trend"))
+
+
+VIEWS["dealer_month"] = lambda d: "SELECT dealer_id, mth, 100 * s / n AS score FROM (SELECT dealer_id, year(indexed_at) * 12 + month(indexed_at) AS mth, CAST(sum(CAST(round(confidence_score * 100) AS BIGINT)) AS DOUBLE) / 100 AS s, count(*) AS n FROM vehicle WHERE price_gross_eur > 60000 GROUP BY 1, 2) x"
+frame("win05_trend", ["dealer_month"], lambda d: """SELECT m.dealer_id, m.mth, CASE WHEN count(h.score) < 2 THEN 'stable' WHEN round(m.score - avg(h.score), 6) > 5 THEN 'improving' WHEN round(m.score - avg(h.score), 6) < -5 THEN 'deteriorating' ELSE 'stable' END AS trend
+FROM dealer_month m LEFT JOIN (SELECT a.dealer_id, a.mth AS at, b.score, row_number() OVER (PARTITION BY a.dealer_id, a.mth ORDER BY b.mth DESC) AS r FROM dealer_month a JOIN dealer_month b ON a.dealer_id = b.dealer_id AND b.mth < a.mth) h ON h.dealer_id = m.dealer_id AND h.at = m.mth AND h.r <= 3 GROUP BY m.dealer_id, m.mth, m.score""")(trends)
 both("win07_temporal_split", lambda d: f"SELECT event_id, CASE WHEN r > n - greatest(1, n {d.div} 10) THEN 'test' WHEN r > n - 2 * greatest(1, n {d.div} 10) THEN 'validation' ELSE 'train' END AS part FROM (SELECT event_id, row_number() OVER (PARTITION BY listing_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY listing_id) AS n FROM event) x")
 both("win09_naive_error", lambda d: "SELECT listing_id, round(avg(abs(value - p)), 6) AS naive_mae FROM (SELECT listing_id, value, lag(value) OVER (PARTITION BY listing_id ORDER BY ts, event_id) AS p FROM event WHERE event_type = 'purchase') x WHERE p IS NOT NULL GROUP BY listing_id")
 both("win12_price_drop", lambda d: "SELECT event_id, round(value - p, 6) AS delta, round(100 * (value - p) / p, 4) AS delta_pct, CAST(sum(CASE WHEN value < p THEN 1 ELSE 0 END) OVER (PARTITION BY listing_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS drops FROM (SELECT *, lag(value) OVER (PARTITION BY listing_id ORDER BY ts, event_id) AS p FROM event WHERE event_type = 'purchase') x WHERE p > 0")

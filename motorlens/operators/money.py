@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.domain import TRANSPORT, VAT
 from ..plans.registry import both, frame
 from .joins import interval_asof
+from .storage import stored
 
 
 def in_euro(ledger: DataFrame, fx: DataFrame) -> DataFrame:
@@ -139,36 +142,65 @@ frame("agg29_fleet_summary", ["stock", "price", "dealer"], lambda d: f"SELECT co
 )
 both("sco05_vat_cost", lambda d: f"SELECT a.country AS origin, b.country AS dest, CASE WHEN a.country = b.country OR (a.country <> 'CH' AND b.country <> 'CH') THEN 0 ELSE {d.trunc('2500000 * CAST(b.rate AS DOUBLE)')} + CASE WHEN b.country = 'CH' THEN 50000 ELSE 40000 END END AS vat_cents FROM vat a CROSS JOIN vat b")
 both("sco06_transport", lambda d: "SELECT a.country AS origin, b.country AS dest, CASE WHEN a.country = b.country THEN 0 ELSE coalesce(t.cost, 300000) END AS cost FROM country a CROSS JOIN country b LEFT JOIN transport t ON t.origin = a.country AND t.dest = b.country")
-both("sco08_gain_share", lambda d: f"SELECT vehicle_id, {d.trunc('0.1 * greatest(0, price_gross_eur * 100 - 2000000)')} AS fee_cents FROM vehicle WHERE year = 2018")
+both("sco08_gain_share", lambda d: f"SELECT vehicle_id, {d.trunc('0.1 * greatest(0, price_gross_eur * 100 - 2000000)')} AS fee_cents FROM vehicle")
 both("sco12_dossier", lambda d: "SELECT vin, CASE WHEN n >= 4 THEN 'full' WHEN n >= 2 THEN 'partial' ELSE 'unavailable' END AS section FROM (SELECT vin, count(DISTINCT source_platform) AS n FROM vehicle GROUP BY vin) x")
 both("sco14_nlc_taxes", lambda d: "SELECT lot, round(CASE WHEN co2 > 117 THEN least(power(co2 - 117, 2) * 10, 60000) * (1 - 0.10 * age) ELSE 0 END, 2) AS malus, round(price_gross_eur * CASE WHEN co2 < 121 THEN 0 WHEN co2 < 160 THEN 0.0475 WHEN co2 < 200 THEN 0.0975 ELSE 0.1475 END + 0.000001, 2) AS registration FROM (SELECT lot, price_gross_eur, 90 + CAST(mileage_km / 1000 AS INT) % 150 AS co2, 2021 - year AS age FROM vehicle WHERE make = 'BMW') x")
 both("sco15_sdi", lambda d: f"SELECT vehicle_id, dom FROM (SELECT vehicle_id, {d.between_days('indexed_at', d.now)} AS dom FROM recent) x WHERE dom BETWEEN 58 AND 65 OR dom BETWEEN 88 AND 95")
-both("sco16_composite", lambda d: "SELECT vehicle_id, round(0.35 * m + 0.25 * confidence_score + 0.25 * (CAST(photo_count AS DOUBLE) / 7) + 0.15 * CASE WHEN sold_at IS NULL THEN 1 ELSE 0 END + 0.0000001, 4) AS score FROM (SELECT *, percent_rank() OVER (PARTITION BY make, year ORDER BY price_gross_eur) AS m FROM vehicle) x WHERE model = 'M1'")
-both("sco18_rollback", lambda d: "SELECT m.event_id FROM mileage m WHERE EXISTS (SELECT 1 FROM mileage h WHERE h.vin = m.vin AND h.ts < m.ts AND h.mileage > m.mileage + 500)")
+both("sco16_composite", lambda d: "SELECT vehicle_id, round(0.35 * m + 0.25 * confidence_score + 0.25 * (CAST(photo_count AS DOUBLE) / 7) + 0.15 * CASE WHEN sold_at IS NULL THEN 1 ELSE 0 END + 0.0000001, 4) AS score FROM (SELECT *, percent_rank() OVER (PARTITION BY make, year ORDER BY price_gross_eur) AS m FROM vehicle) x")
+both("sco18_rollback", lambda d: f"""SELECT event_id FROM (SELECT event_id, mileage, max(mileage) OVER (PARTITION BY vin ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND {'INTERVAL 1 MICROSECOND' if d.name == 'duckdb' else "INTERVAL '0.000001' SECOND"} PRECEDING) AS high FROM mileage) x WHERE high > mileage + 500""")
 both("sco19_frontier", lambda d: "SELECT k AS shard, round(CAST(1 + sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS DOUBLE) / (2 + count(*)), 6) AS posterior_mean FROM event GROUP BY k")
 
 
-def capped(best: DataFrame, share: float = 0.20) -> DataFrame:
-    """Greedy assignment under a cap of vehicles for each destination: rounds of set-based steps instead of one loop. Each
-    vehicle bids for its best open route; a destination keeps its highest bids up to the cap; the rest bid again. The number
-    of rounds is bounded by the number of destinations. ``best``: vehicle_id, country, net_cents."""
-    total = best.select("vehicle_id").distinct().count()
-    cap = int(total * share + 0.999)
-    routes = best.groupBy("vehicle_id", "country").agg(F.max("net_cents").alias("net_cents"))
-    rank = Window.partitionBy("vehicle_id").orderBy(F.desc("net_cents"), "country")
-    keep = Window.partitionBy("country").orderBy(F.desc("net_cents"), "vehicle_id")
-    out, closed = None, []
-    for _ in range(6):
-        bids = routes.where(~F.col("country").isin(closed)) if closed else routes
-        bids = bids.withColumn("r", F.row_number().over(rank)).where("r = 1").withColumn("k", F.row_number().over(keep))
-        taken = bids.where(F.col("k") <= cap).select("vehicle_id", "country", "net_cents")
-        full = [r["country"] for r in bids.groupBy("country").count().where(F.col("count") > cap).collect()]  # at most one row a country
-        out = taken if out is None else out.unionByName(taken)
-        if not full:
+def capped(routes: DataFrame, share: float = 0.20) -> DataFrame:
+    """Assignment of vehicles to destinations, at most ``share`` of them (rounded up) to each. In order of their best
+    unconstrained profit (ties: vehicle_id) vehicles take their best route to a destination with room; when all of a vehicle's
+    destinations are full it keeps its best route. ``routes``: vehicle_id, country, net_cents and others.
+
+    One vehicle after another would be a loop; instead, the vehicle that fills the next destination is looked up, which closes
+    it for all after that vehicle. There are as many such steps as destinations, each a few counts over the vehicles in order,
+    and none moves a row: where each vehicle goes follows from its number and the steps before it."""
+    best = routes.groupBy("vehicle_id", "country").agg(F.max("net_cents").alias("net_cents"))
+    wishes = best.groupBy("vehicle_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("net_cents")).alias("loss"), "country"))).alias("wishes"))
+    # Numbers in order: of a range partition of the sorted rows, then within it.
+    ordered = stored(wishes.orderBy(F.col("wishes")[0]["loss"], "vehicle_id").withColumn("at", F.monotonically_increasing_id()), "ordered")
+    cap = max(1, int(ordered.count() * share + 0.999))
+    steps: list[tuple[int, tuple[str, ...]]] = []  # (last number, destinations closed for the vehicles up to it)
+    full: list[str] = []
+    left: dict[str, int] = {}
+    done = -1
+    while True:
+        waiting = ordered.where(F.col("at") > done).withColumn("to", _open(full)).where("to is not null").withColumn("part", F.shiftright("at", 33))
+        counts = waiting.groupBy("to", "part").count().collect()  # a row for each destination and range partition
+        ends = {}
+        for to in {r["to"] for r in counts}:
+            room = left.setdefault(to, cap)
+            for r in sorted((r for r in counts if r["to"] == to), key=lambda r: r["part"]):
+                if room <= r["count"]:
+                    ends[to] = (r["part"], room)
+                    break
+                room -= r["count"]
+        if not ends:
             break
-        closed = closed + [c for c in full if c not in closed]
-        routes = routes.join(taken.select("vehicle_id"), "vehicle_id", "left_anti")
-    return out
+        # The vehicle that takes the last place of each destination; the first of these ends the step.
+        in_part = Window.partitionBy("to", "part").orderBy("at")
+        hit = reduce(lambda x, y: x | y, [(F.col("to") == to) & (F.col("part") == part) & (F.col("nth") == nth) for to, (part, nth) in ends.items()])
+        near = waiting.where(reduce(lambda x, y: x | y, [(F.col("to") == to) & (F.col("part") == part) for to, (part, _) in ends.items()]))
+        at, closed = min((r["at"], r["to"]) for r in near.withColumn("nth", F.row_number().over(in_part)).where(hit).collect())
+        steps.append((at, tuple(full)))
+        for r in waiting.where(F.col("at") <= at).groupBy("to").count().collect():
+            left[r["to"]] -= r["count"]
+        full.append(closed)
+        done = at
+    to = F.coalesce(_open(full), F.col("wishes")[0]["country"])
+    for at, closed in reversed(steps):
+        to = F.when(F.col("at") <= at, F.coalesce(_open(list(closed)), F.col("wishes")[0]["country"])).otherwise(to)
+    gone = ordered.withColumn("country", to).withColumn("hit", F.filter("wishes", lambda w: w["country"] == F.col("country"))[0])
+    return gone.select("vehicle_id", "country", (-F.col("hit.loss")).alias("net_cents"), (F.col("country") != F.col("wishes")[0]["country"]).alias("rerouted"))
+
+
+def _open(full: list[str]) -> Column:
+    """The best destination of a vehicle's wishes that isn't among ``full``."""
+    return F.get(F.filter("wishes", lambda w: ~w["country"].isin(full)) if full else F.col("wishes"), F.lit(0))["country"]
 
 
 frame("srt14_capped_assignment", ["stock", "price", "dealer"])(lambda s, p, d: capped(disposition(s, p, d)))

@@ -14,14 +14,14 @@ both("flt11_photo_cleanup", lambda d: f"SELECT page_id, count(*) AS photos FROM
 both("jon04_left_primary", lambda d: "SELECT d.dealer_id, f.family FROM dealer d LEFT JOIN (SELECT dealer_id, min(family) AS family FROM finding GROUP BY dealer_id) f ON f.dealer_id = d.dealer_id AND f.family = 'A'")
 both("jon14_prefix_baseline", lambda d: f"""SELECT vehicle_id, p25, p75 FROM (SELECT v.vehicle_id, b.p25, b.p75, row_number() OVER (PARTITION BY v.vehicle_id ORDER BY b.ord) AS r FROM vehicle v
 JOIN {d.values("(0, 'BMW', 'M1', 18000, 45000), (1, 'BMW', 'M', 15000, 40000), (2, 'Audi', 'M', 17000, 42000)", "ord, make, model, p25, p75")} b ON b.make = v.make AND (v.model LIKE concat(b.model, '%') OR b.model LIKE concat(v.model, '%'))) x WHERE r = 1""")
-both("jon15_vehicle_country_channel", lambda d: f"SELECT s.vehicle_id, c.country, h.channel FROM (SELECT * FROM stock WHERE make = 'BMW') s CROSS JOIN country c CROSS JOIN {d.values(chr(44).join(repr(x).join('()') for x in ('dealer_direct', 'auction', 'export')), 'channel')} h WHERE NOT (s.origin = c.country AND h.channel = 'export')")
+both("jon15_vehicle_country_channel", lambda d: f"SELECT s.vehicle_id, c.country, h.channel FROM stock s CROSS JOIN country c CROSS JOIN {d.values(chr(44).join(repr(x).join('()') for x in ('dealer_direct', 'auction', 'export')), 'channel')} h WHERE NOT (s.origin = c.country AND h.channel = 'export')")
 both("agg08_price_trend", lambda d: f"SELECT dealer_id, round(100 * (p1 - p0) / p0, 3) AS trend FROM (SELECT dealer_id, avg(CASE WHEN indexed_at >= {d.now} - INTERVAL 90 DAY THEN price_gross_eur END) AS p1, avg(CASE WHEN indexed_at >= {d.now} - INTERVAL 180 DAY AND indexed_at < {d.now} - INTERVAL 90 DAY THEN price_gross_eur END) AS p0 FROM recent WHERE price_gross_eur > 0 GROUP BY dealer_id) x WHERE p0 > 0")
 both("agg09_week_z", lambda d: f"""WITH w AS (SELECT dealer_id, date_trunc('week', indexed_at) AS wk, CAST(count(*) AS DOUBLE) AS n FROM recent WHERE indexed_at >= {d.now} - INTERVAL 365 DAY GROUP BY 1, 2),
 z AS (SELECT *, avg(n) OVER p AS m, stddev_pop(n) OVER p AS s, row_number() OVER (PARTITION BY dealer_id ORDER BY wk DESC) AS r FROM w WINDOW p AS (PARTITION BY dealer_id ORDER BY wk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT dealer_id, round(CASE WHEN s > 0.000001 THEN (n - m) / s ELSE 0 END, 4) AS z FROM z WHERE r = 1""")
-both("agg10_dom_delta", lambda d: f"SELECT dealer_id, round(avg(a), 4) AS tom, round(avg(CASE WHEN a BETWEEN 300 AND 600 THEN a END), 4) AS tom_cohort FROM (SELECT dealer_id, {d.between_days('indexed_at', d.now)} AS a FROM recent WHERE status = 'ACTIVE') x GROUP BY dealer_id")
+both("agg10_dom_delta", lambda d: f"SELECT dealer_id, round(avg(a), 4) AS tom, round(avg(CASE WHEN a BETWEEN 30 AND 60 THEN a END), 4) AS tom_cohort FROM (SELECT dealer_id, {d.between_days('indexed_at', d.now)} AS a FROM recent WHERE status = 'ACTIVE') x GROUP BY dealer_id")
 both("agg12_price_vs_market", lambda d: "SELECT a.dealer_id, round(coalesce(a.m / nullif(b.m, 0), 1.0), 6) AS ratio FROM (SELECT dealer_id, country_code, avg(price_gross_eur) AS m FROM listing GROUP BY 1, 2) a JOIN (SELECT country_code, avg(price_gross_eur) AS m FROM listing GROUP BY 1) b ON a.country_code = b.country_code")
-both("agg20_edge_threshold", lambda d: "SELECT a.dealer_id AS src, b.dealer_id AS dst, count(*) AS n FROM (SELECT DISTINCT vin, dealer_id FROM vehicle WHERE year = 2018) a JOIN (SELECT DISTINCT vin, dealer_id FROM vehicle WHERE year = 2018) b ON a.vin = b.vin AND a.dealer_id < b.dealer_id GROUP BY 1, 2 HAVING count(*) >= 5")
+both("agg20_edge_threshold", lambda d: "SELECT a.dealer_id AS src, b.dealer_id AS dst, count(*) AS n FROM (SELECT DISTINCT vin, dealer_id FROM vehicle) a JOIN (SELECT DISTINCT vin, dealer_id FROM vehicle) b ON a.vin = b.vin AND a.dealer_id < b.dealer_id GROUP BY 1, 2 HAVING count(*) >= 5")
 both("win04_trailing_z", lambda d: "SELECT event_id, round(CASE WHEN s > 0.000001 THEN (value - m) / s ELSE 0 END, 4) AS z FROM (SELECT event_id, value, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s, count(*) OVER w AS n FROM event WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY listing_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) x WHERE n >= 3")
 both("win06_cohort_residual", lambda d: "SELECT vehicle_id, round(price_gross_eur - avg(price_gross_eur) OVER (PARTITION BY make, model, year) + 0.0000001, 3) AS residual FROM vehicle WHERE fuel_type = 'electric'")
 both("win11_net_saving", lambda d: f"SELECT a.country AS origin, b.country AS dest, {d.trunc('3000000 * CAST(b.rate AS DOUBLE)')} AS vat_cents, max({d.trunc('3000000 * CAST(b.rate AS DOUBLE)')}) OVER (PARTITION BY a.country) - {d.trunc('3000000 * CAST(b.rate AS DOUBLE)')} AS saving, row_number() OVER (PARTITION BY a.country ORDER BY b.rate, b.country) AS place FROM vat a JOIN vat b ON a.country <> b.country")
@@ -32,10 +32,6 @@ both("sco02_risk_labels", lambda d: "SELECT dealer_id, concat_ws(',', CASE WHEN
 both("sco04_trust_inputs", lambda d: "SELECT dealer_id, CASE WHEN vies_status = 'valid' AND status = 'ACTIVE' THEN 'valid' WHEN vies_status = 'none' THEN 'none' ELSE 'unchecked' END AS vies, CASE WHEN first_discovered_at IS NOT NULL THEN 'registered' ELSE 'unchecked' END AS registry FROM dealer")
 both("sco13_inquiry_dedup", lambda d: f"SELECT c_custkey, n, first_key FROM (SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS first_key FROM {d.base('customer')}) x")
 both("sco17_tax_cascade", lambda d: f"SELECT doc_id, CASE WHEN lower(text) LIKE '%private%' THEN 'REBU' WHEN lower(text) LIKE '%vat%' OR lower(text) LIKE '%mwst%' THEN 'DEDUCTIBLE' ELSE 'UNKNOWN' END AS tax_status FROM {d.base('documents')}")
-both("stg04_monthly_partitions", lambda d: "SELECT year(indexed_at) * 100 + month(indexed_at) AS part, count(*) AS n FROM vehicle WHERE indexed_at >= " + d.now + " - INTERVAL 200 DAY GROUP BY 1")
-both("v05_photo_metadata", lambda d: "SELECT vehicle_id, CASE WHEN bytes < 30000 THEN 'WARNING' WHEN w < 800 OR h < 600 THEN 'WARNING' ELSE 'pass' END AS outcome FROM (SELECT vehicle_id, lot % 7 * 10000 AS bytes, 400 + lot % 5 * 200 AS w, 300 + lot % 4 * 200 AS h FROM vehicle) x")
-both("v11_text_quality", lambda d: f"SELECT doc_id, CASE WHEN length(text) < 50 THEN 'short' WHEN {d.size(d.words('text'))} > 3 * {d.size(('array_distinct(' if d.name == 'spark' else 'list_distinct(') + d.words('text') + ')')} THEN 'repetitive' ELSE 'pass' END AS outcome FROM {d.base('documents')}")
-both("v16_photo_hash", lambda d: "WITH h AS (SELECT p_partkey AS id, p_partkey * 2654435761 % 65536 AS h FROM {0}) SELECT a.id AS photo, min(b.id) AS other FROM h a JOIN h b ON a.h % 16 = b.h % 16 AND a.id <> b.id AND bit_count({1}) <= 2 GROUP BY a.id".format(d.base("part"), "a.h ^ b.h" if d.name == "spark" else "xor(a.h, b.h)"))
 both("qry02_review_queue", lambda d: "SELECT vehicle_id FROM vehicle WHERE status = 'REJECTED' ORDER BY indexed_at DESC, vehicle_id LIMIT 40")
 both("qry03_pending", lambda d: "SELECT count(*) AS pending FROM vehicle WHERE status = 'REJECTED' AND confidence_score >= 0.95")
 both("qry06_checkpoint", lambda d: "SELECT listing_id AS k, max(event_id) AS position FROM event GROUP BY listing_id")
@@ -49,9 +45,9 @@ both("qry17_auto_events", lambda d: "SELECT type, 'inspection' AS made, count(*)
 both("qry18_published", lambda d: "SELECT source_platform, count(*) AS n FROM vehicle WHERE status = 'ACTIVE' AND sold_at IS NULL GROUP BY source_platform")
 both("qry19_exact_vin", lambda d: "SELECT vehicle_id, dealer_id FROM vehicle WHERE vin = (SELECT min(vin) FROM vehicle)")
 both("qry20_cache", lambda d: f"SELECT count(CASE WHEN ttl_expires_at > {d.now} THEN 1 END) AS fresh, count(CASE WHEN ttl_expires_at <= {d.now} THEN 1 END) AS expired FROM vehicle")
-both("qry22_enriched", lambda d: "SELECT source_url, max(price_gross_eur) AS price, 'ENRICHED' AS event FROM vehicle WHERE mileage_km < 20000 GROUP BY source_url")
-both("qry25_name_tokens", lambda d: "SELECT d.dealer_id, c.listing_id FROM dealer d JOIN (SELECT DISTINCT listing_id FROM event) c ON d.canonical_name LIKE concat('%', CAST(c.listing_id AS STRING)) WHERE c.listing_id >= 10")
-both("qry28_created_at", lambda d: "SELECT vehicle_id, CAST(CAST(coalesce(sold_at, indexed_at) AS DATE) AS STRING) AS created FROM vehicle WHERE lot < 100")
+both("qry22_enriched", lambda d: "SELECT source_url, max(price_gross_eur) AS price, 'ENRICHED' AS event FROM vehicle GROUP BY source_url")
+both("qry25_name_tokens", lambda d: "SELECT d.dealer_id, c.listing_id FROM dealer d JOIN (SELECT DISTINCT listing_id FROM event) c ON CAST(substr(d.canonical_name, 10, 9) AS BIGINT) = c.listing_id")
+both("qry28_created_at", lambda d: "SELECT vehicle_id, CAST(CAST(coalesce(sold_at, indexed_at) AS DATE) AS STRING) AS created FROM vehicle")
 both("src13_alias_csv", lambda d: f"SELECT c_custkey AS id, upper(trim(c_mktsegment)) AS segment FROM {d.base('customer')}")
 both("src20_distinct_left_joins", lambda d: f"SELECT DISTINCT s_suppkey, n_name, r_name FROM {d.base('supplier')} LEFT JOIN {d.base('nation')} ON s_nationkey = n_nationkey LEFT JOIN {d.base('region')} ON n_regionkey = r_regionkey")
 both("st03_backpressure_counts", lambda d: "SELECT listing_id % 10 AS lane, count(*) AS waiting, count(*) > 1000 AS paused FROM event GROUP BY 1")
