@@ -1,14 +1,16 @@
 """Operators of the market engine on small hand-made tables."""
 
 import datetime
+import json
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from motorlens.functions import text, vin
-from motorlens.operators import dealers, joins, market, money, quality, search, storage
+from motorlens.operators import dealers, feeds, joins, market, money, quality, search, storage
 from motorlens.sources import files
 from motorlens.streaming import ingest
 
@@ -33,7 +35,7 @@ def test_text_functions(spark):
     assert one(spark, text.language, "xyz") is None
     assert one(spark, text.redacted, "mail a.b@c.de or +49 30 1234567") == "mail [email] or [phone]"
     assert [one(spark, text.number, x) for x in ("1.234,5", "1,234.5 EUR", "12.000", "7")] == [1234.5, 1234.5, 12000.0, 7.0]
-    assert [one(spark, text.fuel, x) for x in ("Diesel", "Benzin E10", "plug-in hybrid", "steam", None)] == ["diesel", "gasoline", "hybrid", None, None]
+    assert [one(spark, text.fuel, x) for x in ("Diesel", "Benzin E10", "plug-in hybrid", "steam", None)] == ["diesel", "gasoline", "hybrid", "steam", None]
     assert one(spark, text.clean_photos, ["a.jpg", "data:x", "a.jpg#1", "p/pixel.gif", "b.svg", "b.jpg"], "array<string>") == ["a.jpg", "b.jpg"]
 
 
@@ -94,7 +96,7 @@ def test_vat_regimes(spark):
     assert got[4, 1] == ("EXPORT_IMPORT", 81_000, 1_081_000) and got[5, 1] == ("EXPORT_IMPORT", 210_000, 1_210_000)
 
 
-def test_pnl_and_cap(spark):
+def test_pnl(spark):
     day = datetime.date
     ledger = spark.createDataFrame([(1, "purchase", 1000, "EUR", day(2001, 1, 1)), (1, "reconditioning", 200, "CHF", day(2001, 1, 5)), (1, "sale", 1100, "EUR", day(2001, 1, 11)), (2, "purchase", 500, "EUR", day(2001, 1, 1))], "tenant_vehicle long, type string, amount_cents long, currency string, day date")
     fx = spark.createDataFrame([("CHF", day(2000, 1, 1), 0.5)], "from_currency string, valid_from date, rate double")
@@ -102,11 +104,6 @@ def test_pnl_and_cap(spark):
     a, b = pnl.orderBy("tenant_vehicle").collect()
     assert (a["cost_cents"], a["margin_cents"], a["days"], a["cost_per_day"]) == (1100, 0, 10, 110)
     assert b["days"] == 272 and {tuple(r) for r in money.alerts(pnl).collect()} == {(1, "reconditioning_high"), (2, "stock_too_long")}
-    routes = spark.createDataFrame([(f"v{i}", c, 100 - j) for i in range(10) for j, c in enumerate(("DE", "FR", "ES", "NL", "BE", "CH"))], "vehicle_id string, country string, net_cents int")
-    got = money.capped(routes).groupBy("country").count().collect()
-    assert sum(r["count"] for r in got) == 10 and max(r["count"] for r in got) == 2
-
-
 def test_trust_ramp(spark):
     base = "dealer_id long, vies_status string, registry string, registry_age int, v15 double, avg_score double, volume long, anomalies long, tenure_days int"
     rows = [(1, "valid", "registered", 9, 100.0, 100.0, 80, 0, 400), (2, "valid", "registered", 9, 100.0, 100.0, 80, 0, 10), (3, "none", "none", 0, 0.0, 0.0, 0, 9, 0)]
@@ -114,16 +111,6 @@ def test_trust_ramp(spark):
     assert got[1] == (100.0, "platinum") and got[2][0] < 90.5 - 6 and got[3] == (0.0, "unverified")
 
 
-def test_validator_branches(spark):
-    base = "vehicle_id string, vin string, make string, model string, year int, mileage_km int, price_gross_eur double, fuel_type string, photo_count int, sold_at timestamp, source_url string, dealer_confidence double"
-    good = ("g", "1M8GDM9AXKP042788", "BMW", "X", 2019, 40000, 30000.0, "diesel", 8, None, "https://cars.example/1", 0.9)
-    bad = ("b", "1M8GDM9A1KP042788", "BMW", "X", 2010, 50, 1000.0, "diesel", 0, None, "x", None)
-    got = {r["vehicle_id"]: (r["score"], r["decision"]) for r in quality.composite(spark.createDataFrame([good, bad], base)).collect()}
-    assert got["g"] == (100.0, "PUBLISH") and got["b"][1] == "REJECT"
-    issues = {r["validator"]: r["issue"] for r in quality.findings(spark.createDataFrame([bad], base)).where("not pass").collect()}
-    assert issues["V01"] == "check digit" and issues["V15"] == "orphan" and issues["V08"] == "too low" and issues["V06"] == "no photos"
-
-
 def test_search_and_pages(spark):
     rows = spark.createDataFrame([(i, "Audi" if i % 2 else "BMW", "M1") for i in range(60)], "id int, make string, model string")
     assert [r["id"] for r in search.page(rows, 2, 25, F.asc("id")).collect()] == list(range(25, 50))
@@ -161,4 +148,292 @@ def test_stream_steps(spark):
     kept = ingest.viable(ingest.decoded(raw))
     assert kept.count() == 2 and ingest.deduplicated(kept, None).count() == 1
     assert ingest.converted(kept, spark.createDataFrame([("EUR", 1.0)], "currency string, rate double")).count() == 2
+    assert ingest.decoded(raw, broken=True).count() == 1
     assert ingest.converted(kept, spark.createDataFrame([("CHF", 1.0)], "currency string, rate double")).count() == 0
+
+
+LISTING = "vehicle_id string, vin string, make string, model string, year int, mileage_km int, price_eur long, fuel_type string, transmission string, photo_count int, source_url string, dealer_id long, source_country string, title string, description string, dat_code string, extracted_at timestamp_ntz, is_archive boolean, http_status int, body string, ai_disclosed boolean, dealer_confidence double, dealer_since date, phash long, photos array<struct<status:int,type:string,bytes:long,width:int,height:int,magic:string>>"
+DECODED = "vin string, nhtsa_make string, nhtsa_model string, nhtsa_year int, nhtsa_error string"
+GOOD = {
+    "vehicle_id": "g", "vin": "1M8GDM9AXKP042788", "make": "BMW", "model": "320d", "year": 2019, "mileage_km": 40000, "price_eur": 30000, "fuel_type": "diesel", "transmission": "manual", "photo_count": 8, "source_url": "https://a.example/1", "dealer_id": 1, "source_country": "DE",
+    "title": "BMW 320d Sport 2019", "description": "Der BMW 320d ist ein gepflegtes Fahrzeug und die Ausstattung ist komplett mit Klima.", "dat_code": "BMW3001", "extracted_at": datetime.datetime(2001, 9, 29, 12), "is_archive": False, "http_status": 200, "body": "on offer", "ai_disclosed": None,
+    "dealer_confidence": 0.9, "dealer_since": datetime.date(2000, 1, 1), "phash": 0, "photos": [(200, "image/jpeg", 200000, 1200, 900, "ffd8ffe0")],
+}
+
+
+def judged(spark, *changes, decoded=(), only=None):
+    names = [f.split(" ")[0] for f in LISTING.split(", ")]
+    rows = [tuple({**GOOD, "vehicle_id": f"v{i}", "phash": 2**40 * (i + 1) * 341, "vin": GOOD["vin"] if i == 0 else f"{GOOD['vin'][:13]}{i:04d}", **c}[n] for n in names) for i, c in enumerate(changes)]
+    frame, known = spark.createDataFrame(rows, LISTING), spark.createDataFrame(list(decoded), DECODED)
+    return {(r["vehicle_id"], r["validator"]): r for r in quality.findings(frame, known, only or tuple(quality.WEIGHT)).collect()}, frame, known
+
+
+def test_weights_add_up():
+    assert sum(quality.WEIGHT.values()) == 176 and len(quality.WEIGHT) == 19 and len(quality.PRICES) == 47
+
+
+def test_a_good_listing_passes_everything(spark):
+    got, frame, known = judged(spark, {})
+    assert all(r["pass"] for r in got.values()), {k: r["issue"] for k, r in got.items() if not r["pass"]}
+    assert [tuple(r) for r in quality.composite(frame, known).collect()] == [("v0", 100.0, 0, "PUBLISH")]
+
+
+@pytest.mark.parametrize("changes, passes, least, most", [
+    ({"make": "BMW", "model": "320i", "title": "BMW 320i Sport Line 2020 48000km"}, True, 0.9, 1.0), ({"make": "BMW", "model": "320", "title": "BMV 320 sport 2020"}, True, 0.1, 0.99), ({"make": "BMW", "model": "320i", "title": "Voiture occasion 320i diesel 2020"}, False, 0.6, 0.6),
+    ({"make": "BMW", "model": "M5", "title": "Voiture de sport premium automatique"}, False, 0.0, 0.2), ({"title": ""}, True, 1.0, 1.0), ({"model": "3 Series", "title": "bmw-series: the 3"}, True, 1.0, 1.0), ({"make": "", "model": ""}, True, 1.0, 1.0),
+])
+def test_make_and_model_in_title(spark, changes, passes, least, most):
+    r = judged(spark, changes, only=["V04"])[0]["v0", "V04"]
+    assert r["pass"] == passes and least <= r["confidence"] <= most and (r["pass"] or r["severity"] == "WARNING")
+
+
+@pytest.mark.parametrize("changes, rule, outcome, confidence", [
+    ({"price_eur": 10999}, "V07", "CRITICAL", 0.95), ({"price_eur": 11000}, "V07", "pass", 0.9), ({"price_eur": 80001}, "V07", "WARNING", 0.8), ({"price_eur": 0}, "V07", "CRITICAL", 1.0), ({"model": "X9"}, "V07", "pass", 0.5), ({"make": "bmw ", "model": "320D xDrive", "year": 0, "price_eur": 10999}, "V07", "CRITICAL", 0.95),
+    ({"year": 2016, "price_eur": 6499}, "V07", "CRITICAL", 0.95), ({"dat_code": "bmw3xx"}, "V03", "pass", 0.9), ({"dat_code": "VWGO"}, "V03", "WARNING", 0.85), ({"make": "MERCEDES-BENZ", "model": "A-CLASS", "dat_code": "MBA1"}, "V03", "WARNING", 0.85), ({"model": "Isetta"}, "V03", "pass", 0.5),
+    ({"photos": [(404, "image/jpeg", 1, 0, 0, "")]}, "V05", "CRITICAL", 0.9), ({"photos": [(500, "image/jpeg", 1, 0, 0, "")]}, "V05", "WARNING", 0.9), ({"photos": [(200, "text/html", 99999, 0, 0, "")]}, "V05", "CRITICAL", 0.9), ({"photos": [(200, "image/jpeg", 20000, 0, 0, "00")]}, "V05", "WARNING", 0.9),
+    ({"photos": [(200, "image/jpeg", 99999, 640, 900, "00")]}, "V05", "WARNING", 0.9), ({"photos": [(200, "image/png; x", 99999, 0, 0, "ffd8")]}, "V05", "CRITICAL", 0.9), ({"photos": [(200, "image/avif", 99999, 0, 0, "00")]}, "V05", "pass", 0.9), ({"photos": []}, "V05", "pass", 1.0),
+    ({"year": 2022}, "V09", "WARNING", 0.8), ({"year": 2023}, "V09", "CRITICAL", 1.0), ({"year": 1899}, "V09", "CRITICAL", 1.0), ({"title": "BMW 320d 2018"}, "V09", "WARNING", 0.8), ({"title": "BMW 1979 320d"}, "V09", "pass", 1.0), ({"year": 0}, "V09", "pass", 1.0),
+    ({"http_status": 404}, "V10", "CRITICAL", 0.95), ({"http_status": 307}, "V10", "pass", 0.9), ({"http_status": 502}, "V10", "WARNING", 0.6), ({"http_status": -1}, "V10", "WARNING", 0.5), ({"http_status": 403}, "V10", "pass", 0.7),
+    ({"description": "TODO"}, "V11", "CRITICAL", 1.0), ({"ai_disclosed": False}, "V11", "CRITICAL", 1.0), ({"description": "Kurz, BMW 320d."}, "V11", "WARNING", 0.85), ({"description": "BMW 320d. " + "Sehr guter Wagen! sehr guter  wagen. SEHR GUTER WAGEN? und der die"}, "V11", "WARNING", 0.85), ({"description": "The BMW 320d has been serviced and comes with the papers for this car."}, "V11", "WARNING", 0.85),
+    ({"extracted_at": datetime.datetime(2001, 9, 29)}, "V14", "pass", 1.0), ({"extracted_at": datetime.datetime(2001, 9, 27)}, "V14", "pass", 0.95), ({"extracted_at": datetime.datetime(2001, 9, 26, 23)}, "V14", "WARNING", 0.85), ({"extracted_at": datetime.datetime(2001, 9, 22)}, "V14", "CRITICAL", 0.9), ({"is_archive": True, "extracted_at": None}, "V14", "pass", 1.0),
+    ({"dealer_confidence": 0.7, "dealer_since": datetime.date(2001, 9, 20)}, "V15", "pass", 0.5), ({"dealer_confidence": 0.3}, "V15", "WARNING", 0.3), ({"dealer_confidence": 0.29}, "V15", "CRITICAL", 0.29), ({"dealer_confidence": None}, "V15", "CRITICAL", 0.95),
+    ({"body": "an UNSOLD car"}, "V17", "CRITICAL", 0.88), ({"body": '{"availability":"http://schema.org/OutOfStock"}'}, "V17", "CRITICAL", 0.98), ({"body": "Annonce expirée"}, "V17", "CRITICAL", 0.88), ({"http_status": 404, "body": "sold"}, "V17", "pass", 0.7), ({"http_status": 410}, "V17", "CRITICAL", 1.0),
+    ({"source_country": "FR"}, "V18", "WARNING", 0.85), ({"source_country": "CH"}, "V18", "pass", 0.9), ({"source_country": "JP"}, "V18", "pass", 1.0), ({"description": "xyz"}, "V18", "pass", 0.5), ({"source_country": "CH"}, "V19", "pass", 0.8), ({"price_eur": 1000001}, "V19", "WARNING", 0.85), ({"price_eur": -1}, "V19", "CRITICAL", 1.0),
+    ({"make": "", "model": "", "price_eur": 0, "year": 0, "photo_count": 0}, "V13", "WARNING", 0.45),
+])
+def test_rules(spark, changes, rule, outcome, confidence):
+    r = judged(spark, changes, only=[rule])[0]["v0", rule]
+    assert ("pass" if r["pass"] else r["severity"], r["confidence"]) == (outcome, pytest.approx(confidence))
+
+
+def test_rules_across_listings(spark):
+    same = GOOD["vin"]
+    got, _, _ = judged(spark, {}, {"vin": same, "dealer_id": 2, "phash": 2**40 * 341 ^ 0b1111}, {"phash": 2**40 * 341 ^ 0b11111}, decoded=[(same, "BMW", "320D", 2020, "")], only=["V02", "V09", "V12", "V16"])
+    assert not got["v0", "V02"]["pass"] and got["v2", "V02"]["confidence"] == 0.0 and not got["v0", "V09"]["pass"]
+    assert got["v0", "V12"]["severity"] == "WARNING" and got["v2", "V12"]["pass"]
+    assert [got[f"v{i}", "V16"]["pass"] for i in range(3)] == [False, False, False]
+    assert judged(spark, {}, {"phash": 2**40 * 341 ^ 0b11111}, only=["V16"])[0]["v0", "V16"]["pass"]
+
+
+def test_decisions_from_stored_results(spark):
+    full = [(k, True, "INFO") for k in quality.WEIGHT]
+
+    def decided(*changes, keep=tuple(quality.WEIGHT)):
+        rows = [("v", k, ok, sev, 1) for k, ok, sev in full if k in keep] + [("v", k, ok, sev, 2) for k, ok, sev in changes]
+        r = quality.composite_of_results(spark.createDataFrame(rows, "vehicle_id string, validator string, pass boolean, severity string, validated_at int")).first()
+        return r["score"], r["decision"]
+
+    assert decided() == (100.0, "PUBLISH")
+    assert decided(("V01", False, "CRITICAL"), ("V02", False, "CRITICAL"))[1] == "REJECT"
+    assert decided(("V01", False, "CRITICAL")) == (pytest.approx(100 * 161 / 176, abs=1e-4), "MANUAL_REVIEW")
+    assert decided(("V16", False, "WARNING"), ("V18", False, "INFO")) == (pytest.approx(100 * 171 / 176, abs=1e-4), "PUBLISH")  # 5 gives 2, 4 gives 2
+    assert decided(*((k, False, "WARNING") for k in quality.WEIGHT))[1] == "REJECT"
+    assert decided(keep=("V01", "V02")) == (100.0, "PUBLISH")
+
+
+@pytest.mark.parametrize("scores, last", [([50, 55, 58, 70], "improving"), ([80, 75, 72, 60], "deteriorating"), ([65, 66, 67], "stable"), ([80], "stable"), ([70, 80], "stable"), ([0, 60, 60, 60, 64], "stable"), ([60, 60, 60, 65], "stable")])
+def test_trends(spark, scores, last):
+    rows = spark.createDataFrame([(1, i, float(s)) for i, s in enumerate(scores)], "dealer_id int, mth int, score double")
+    got = {r["mth"]: r["trend"] for r in market.trends(rows).collect()}
+    assert len(got) == len(scores) and got[len(scores) - 1] == last
+
+
+def greedy(routes, share=0.2):
+    """One vehicle after another."""
+    best = {}
+    for v, c, net in routes:
+        best.setdefault(v, {})
+        best[v][c] = max(net, best[v].get(c, net))
+    wishes = {v: sorted(((-n, c) for c, n in own.items())) for v, own in best.items()}
+    cap, used, out = max(1, int(len(wishes) * share + 0.999)), {}, {}
+    for v in sorted(wishes, key=lambda v: (wishes[v][0][0], v)):
+        to = next((c for _, c in wishes[v] if used.get(c, 0) < cap), wishes[v][0][1])
+        used[to] = used.get(to, 0) + 1
+        out[v] = to
+    return out, cap, used
+
+
+def test_capped_assignment(spark):
+    rng = np.random.default_rng(2)
+    cases = [[(f"v{i}", c, 100 - j) for i in range(10) for j, c in enumerate(("DE", "FR", "ES", "NL", "BE", "CH"))], [("a", "DE", 5)], [(f"v{i}", "DE", i) for i in range(7)]]
+    cases += [[(f"v{i}", c, int(rng.integers(0, 20))) for i in range(60) for c in rng.permutation(["DE", "FR", "ES", "NL", "BE", "CH"])[: rng.integers(1, 7)]] for _ in range(3)]
+    for routes in cases:
+        got = {r["vehicle_id"]: r["country"] for r in money.capped(spark.createDataFrame(routes, "vehicle_id string, country string, net_cents int")).collect()}
+        want, cap, used = greedy(routes)
+        assert got == want
+    got = money.capped(spark.createDataFrame(cases[0], "vehicle_id string, country string, net_cents int")).groupBy("country").count().collect()
+    assert sum(r["count"] for r in got) == 10 and max(r["count"] for r in got) == 2
+
+
+def test_hamming_links(spark):
+    values = [5, 5, 5 ^ 0b1111, 5 ^ 0b11111, 0xFFFF << 40, None]
+    got = {r["id"]: (r["class_id"], r["links"]) for r in joins.hamming_links(spark.createDataFrame(list(enumerate(values)), "id long, h long")).collect()}
+    assert got == {0: (0, 1), 1: (0, 1), 2: (2, 2), 3: (3, 1), 4: (4, 0), 5: (None, 0)}
+
+
+def trigrams(name):
+    def fnv(raw):
+        h = 2166136261
+        for b in raw:
+            h = ((h ^ b) * 16777619) % 2**32
+        return h
+
+    clean = "".join(c for c in name.lower() if c.isalpha() or c.isdecimal() or c.isspace()).strip()
+    out = np.zeros(256)
+    for i in range(len(clean) - 2):
+        out[fnv(clean[i : i + 3].encode()) % 256] += 1
+    return out / max(1e-12, np.sqrt((out**2).sum()))
+
+
+def test_similar_names_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    words = ["Autohaus", "Garage", "Müller", "Meyer", "Dupont", "Nord", "Süd", "GmbH", "Automobiles", "Motors"]
+    names = [(i, "DE" if i % 3 else "FR", " ".join(rng.choice(words, rng.integers(1, 5))) + ("!" if i % 4 == 0 else "")) for i in range(90)] + [(90, "DE", ""), (91, "DE", None)]
+    table = spark.createDataFrame(names, "dealer_id long, country_code string, canonical_name string")
+    vectors = {r["dealer_id"]: r["v"] for r in table.select("dealer_id", text.trigram_vector("canonical_name").alias("v")).collect()}
+    assert all(np.allclose(vectors[i], trigrams(n or ""), atol=1e-6) for i, _, n in names)
+    want = {}
+    for i, b, n in names:
+        best = sorted((-round(float(np.dot(trigrams(n or ""), trigrams(m or ""))), 5), j) for j, c, m in names if j != i and c == b)
+        if n and best[0][0] <= -0.85:
+            want[i] = best[0]
+    got = {r["dealer_id"]: (r["cosine"], r["match"]) for r in feeds.similar(table).collect() if r["dealer_id"] < 90}
+    assert set(got) == set(want)
+    for i, (cosine, match) in got.items():
+        assert abs(cosine + want[i][0]) < 2e-5 and (match == want[i][1] or abs(np.dot(vectors[i], vectors[match]) + want[i][0]) < 2e-5)
+
+
+def test_rate_limits(spark):
+    def allowed(batches, limit=1000, seconds=60):
+        start, used, out = None, 0, []
+        for at, n in batches:
+            if start is None or at > start + seconds:
+                start, used = at, n
+                out.append(n <= limit)
+            elif used + n > limit:
+                out.append(False)
+            else:
+                used += n
+                out.append(True)
+        return out
+
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        batches = sorted((int(a), int(n)) for a, n in zip(rng.integers(0, 400, 60), rng.integers(0, 700, 60)))
+        state, got = State(), []
+        for at in range(0, 60, 13):  # over several micro-batches
+            part = pd.DataFrame(batches[at : at + 13], columns=["at", "size"])
+            got += next(ingest._limited(1000, 60)((1,), iter([part[:5], part[5:]]), state))["accepted"].tolist()
+        assert got == allowed(batches)
+    state = State()
+    first = pd.DataFrame([(0, 1500), (1, 10), (60, 10), (61, 10)], columns=["at", "size"])
+    assert next(ingest._limited(1000, 60)((1,), iter([first]), state))["accepted"].tolist() == [False, False, False, True]
+
+
+def test_merges(spark):
+    old = spark.createDataFrame([(1, 100.0, 0, "a"), (2, 50.0, 3, "b"), (None, 7.0, 0, "n")], "k int, price double, drops int, note string")
+    new = spark.createDataFrame([(1, 90.0, None), (2, 60.0, "B"), (3, 10.0, "c"), (None, 8.0, "m")], "k int, price double, note string")
+    changes = {"price": F.col("new.price"), "note": F.coalesce("new.note", "old.note"), "drops": F.col("old.drops") + (F.col("new.price") < F.col("old.price")).cast("int")}
+    got = sorted(map(tuple, storage.merge(old, new, ["k"], changes, inserted={"drops": F.lit(0)}).collect()), key=str)
+    assert got == sorted([(1, 90.0, 1, "a", "updated"), (2, 60.0, 3, "B", "updated"), (3, 10.0, 0, "c", "inserted"), (None, 7.0, 0, "n", "kept"), (None, 8.0, 0, "m", "inserted")], key=str)
+    guarded = storage.merge(old, new, ["k"], changes, when=F.col("old.price") > 60, inserted={"drops": F.lit(0)}).where("k = 2").first()
+    assert (guarded["price"], guarded["__state"]) == (50.0, "kept")
+
+
+def test_feed_files(spark, tmp_path):
+    row = spark.createDataFrame([("v1", "BMW", 'the "M"; x', 100, ["a", "b"], ["p1", "p2", "p3", "p4"]), ("v2", "BMW", "", 100, [], []), ("v3", "BMW", "x", 0, [], [])], "vehicle_id string, make string, model string, price_cents long, features array<string>, photo_urls array<string>")
+    storage.write_feed(row, f"file://{tmp_path}/csv")
+    back = spark.read.option("header", True).option("escape", '"').csv(f"file://{tmp_path}/csv")
+    assert tuple(back.columns) == storage.FEED and len(storage.FEED) == 24 and back.count() == 1
+    r = back.first()
+    assert (r["model"], r["features"], r["photo_url_3"], r["vin"]) == ('the "M"; x', "a|b", "p3", None)
+    storage.write_feed(row, f"file://{tmp_path}/xml", "xml")
+    x = spark.read.format("xml").option("rowTag", "listing").load(f"file://{tmp_path}/xml").first()
+    assert (x["vehicleId"], x["priceCents"], list(x["photos"]["photo"]), list(x["features"]["feature"])) == ("v1", 100, ["p1", "p2", "p3"], ["a", "b"])
+
+
+def test_claims_are_apart(spark):
+    queue = spark.range(300).selectExpr("id", "300 - id AS created_at", "CASE WHEN id % 5 = 0 THEN 'x' END AS claimed_by")
+    got = storage.claimed(queue, 4, 20).collect()
+    assert len(got) == 80 and len({r["id"] for r in got}) == 80 and all(r["id"] % 5 for r in got)
+
+
+def test_trimmed_mean(spark):
+    rng = np.random.default_rng(1)
+    prices = {c: np.round(rng.exponential(20000, n), 2).tolist() + [5.0] * t for c, n, t in (("DE", 101, 40), ("FR", 3, 0), ("ES", 50, 500), ("NL", 1, 0))}
+    rows = spark.createDataFrame([(c, p) for c, own in prices.items() for p in own], "country_code string, price_gross_eur double")
+    for ranges in (4096, 3, 1):
+        got = {r["country_code"]: r["trimmed_mean"] for r in market.trimmed_means(rows, ranges).collect()}
+        for c, own in prices.items():
+            own = sorted(own)
+            mid = [p for i, p in enumerate(own, 1) if len(own) * 0.25 < i <= len(own) * 0.75]
+            assert (got.get(c) is None) == (not mid) and (not mid or abs(got[c] - np.mean(mid)) < 1e-3)
+
+
+def test_normalisers(spark):
+    cases = [
+        (text.fuel, {"Diesel": "diesel", " Électrique ": "electric", "Plug-in Hybrid": "hybrid", "GNV / essence": "gasoline", "steam": "steam"}), (text.transmission, {"Semi-Automatic": "semi-automatic", "7-Gang DSG": "automatic", "Schaltgetriebe": "manual", "x": "x"}),
+        (text.body, {"Kombi": "estate", "Coupé 2T": "coupe", "Pick-Up": "pickup", "SUV": "suv"}), (text.fuel_code, {"Blue HDi 130": "DIESEL", "chevy": "ELECTRIC", "something rather long indeed": "SOMETHING RATHER LON"}), (text.transmission_code, {"BVA6": "AUTOMATIC", "manuelle": "MANUAL", "retreat": "AUTOMATIC", "x": "X"}),
+        (text.title_case, {"mercedes-benz": "Mercedes-Benz", " ALFA romeo ": "Alfa Romeo", "": ""}), (text.dealer_name, {"Autohaus Müller & Söhne GmbH & Co. KG": "müller  söhne", "Garage du Lac SARL": "du lac", "X1 Motors": "x motors"}),
+    ]
+    for function, examples in cases:
+        for raw, want in examples.items():
+            assert one(spark, function, raw) == want, (function.__name__, raw)
+
+
+def test_dealer_names_in_text(spark):
+    article = "Das Autohaus Muster GmbH, sowie Müller Auto AG und Garage Dupont SARL. Auch Mueller Motors und Mueller Motors sind da."
+    got = [r["normal"] for r in one(spark, text.dealer_names, article)]
+    assert got == ["muster", "müller auto", "dupont", "auch mueller motors", "mueller motors"]
+
+
+def test_listing_document(spark):
+    row = spark.createDataFrame([("BMW", None, "", 5)], "a string, b string, c string, d int")
+    doc = row.select(text.listing_document({"": F.col("a"), "model": F.col("b"), "fuel": F.col("c"), "km": F.col("d")}).alias("x")).first()["x"]
+    assert doc == "BMW km 5"
+
+
+def test_stream_windows_drop_late_rows(spark, tmp_path):
+    """Rows later than the watermark allows change no window that is closed."""
+    folder, out = f"{tmp_path}/in", f"file://{tmp_path}/out"
+    at = lambda minutes: (datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minutes)).isoformat(sep=" ")
+    batches = [[(0, 1.0), (70, 1.0)], [(400, 1.0)], [(10, 5.0), (405, 1.0)], [(1000, 1.0)], [(1001, 1.0)]]
+    import os
+
+    os.mkdir(folder)
+
+    def run():
+        stream = spark.readStream.schema("ts timestamp, event_type string, value double").json(f"file://{folder}")
+        query = ingest.windowed(stream, "1 hour").writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    for i, rows in enumerate(batches):
+        with open(f"{folder}/{i}.json", "w") as f:
+            f.write("\n".join(json.dumps({"ts": at(m), "event_type": "view", "value": v}) for m, v in rows))
+        run()
+    got = {r["start"] % 86400 // 3600: (r["n"], r["value"]) for r in spark.read.parquet(out).collect()}
+    assert got == {0: (1, 1.0), 1: (1, 1.0), 6: (2, 2.0)}
+
+
+def test_stream_ingest_over_several_batches(spark, tmp_path):
+    """A price that falls from one micro-batch to the next is one event and one drop; a batch that is run again counts once."""
+    listing = lambda vin, price, km=5: {"vin": vin, "url": f"https://a/{vin}", "make": "A", "model": "B", "year": 2000, "mileage_km": km, "color": "Red", "price_raw": price, "currency": "EUR", "lat": 48.2, "lng": 2.3, "photo": "p"}
+    sink = ingest.Ingest(spark, f"file://{tmp_path}/ingest")
+    rates = spark.createDataFrame([("EUR", 1.0)], "currency string, rate double")
+    for number, rows in enumerate(([listing("V1", 1000), listing("V2", 2000)], [listing("V1", 900), listing("V3", 100)], [listing("V1", 950)])):
+        batch = ingest.ingest_steps(spark.createDataFrame([(json.dumps(r),) for r in rows], "value string"), rates)
+        sink(batch, number)
+        sink(batch, number)
+    state = {r["vin"]: (r["price_eur"], r["drops"], r["cell"]) for r in sink.state(2).collect()}
+    assert state == {"V1": (950.0, 1, "g0.5:96:4"), "V2": (2000.0, 0, "g0.5:96:4")}
+    events = sorted((r["vin"], r["kind"], r["value"]) for r in spark.read.parquet(f"file://{tmp_path}/ingest/history").collect())
+    assert events == sorted([("V1", "LISTING", 1000.0), ("V2", "LISTING", 2000.0), ("V1", "PRICE_CHANGE", 100.0)] + [("V1", "MILEAGE", 5.0)] * 3 + [("V2", "MILEAGE", 5.0)])
+    assert spark.read.parquet(f"file://{tmp_path}/ingest/thumbs").count() == 4
