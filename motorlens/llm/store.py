@@ -25,11 +25,11 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/motorlens/{label}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and rereads it: cuts the lineage, survives lost executors."""
+def saved(df: DataFrame, label: str, **options) -> DataFrame:
+    """Writes ``df`` to the shared folder and rereads it: cuts the lineage, survives lost executors. ``options``: the writer's."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._saved_path = path
     return out
