@@ -1,5 +1,6 @@
 """Operators on documents against brute force, with nulls, empty and very long texts, ties, repeated rows, clashing columns."""
 
+import hashlib
 import re
 import struct
 import time
@@ -265,16 +266,39 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 200: 100, 150: 100}
 
 
-def test_media_round_trip(spark, docs, empty):
-    rows = op3_media.media_columns(docs).collect()
+@pytest.mark.parametrize("part", [op3_media.PART, 64 * 300])
+def test_media_round_trip(spark, docs, empty, part):
+    stored = op3_media.saved(op3_media.media_streams(docs, part), "t")
     texts = {r[0]: (r[1] or "").encode() for r in some_docs()}
-    for r in rows:
-        raw = texts[r["doc_id"]]
-        assert r["n_bytes"] == len(raw) and bytes(r["payload"]) == raw + b"\0" * (-len(raw) % 64 if raw else 64)
+    whole = {i: raw + b"\0" * (-len(raw) % 64 if raw else 64) for i, raw in texts.items()}
+    read = {}
+    for r in op3_media.payloads(stored).where("doc_id is null or doc_id not in (13, 14)").orderBy("doc_id", "part").collect():
+        read[r["doc_id"]] = read.get(r["doc_id"], b"") + bytes(r["payload"])
+    assert read == {i: p for i, p in whole.items() if i not in (13, 14)}
+    images = {}
+    for r in op3_media.tensors(stored).orderBy("part").collect():
         assert len(r["rgb"]) == 3 * r["height"] * r["width"]
-        assert struct.unpack(">H", bytes(r["media"])[:2])[0] == 0xFFD8
+        images.setdefault(r["doc_id"], []).append(np.frombuffer(r["rgb"], np.uint8).reshape(-1, 3).astype(np.int64))
+    rows = op3_media.media_features(stored).collect()
+    assert len(rows) == len(some_docs())
+    streams = {r["doc_id"]: b"".join(map(bytes, r["media"])) for r in stored.collect()}
+    for r in rows:
+        i = r["doc_id"]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(texts[i]), len(whole[i]), hashlib.sha256(whole[i]).hexdigest())
+        assert r["tail_crc32"] == zlib.crc32(whole[i][-64:]) and r["media_sha256"] == hashlib.sha256(streams[i]).hexdigest()
+        assert struct.unpack(">H", streams[i][:2])[0] == 0xFFD8 and r["media_bytes"] == len(streams[i])
+        if i not in (13, 14):
+            rgb = np.concatenate(images[i])
+            light = rgb @ np.array([77, 150, 29]) >> 8
+            n, shapes = len(rgb), r["feature"].split(";")[0].split("+")
+            want = ",".join(str(c * 100 // n) for c in rgb.sum(0)), (int((light**2).sum()) * n - int(light.sum()) ** 2) * 100 // (n * n), ",".join(str(1000 * x // n) for x in np.bincount(light >> 5, minlength=8))
+            assert r["feature"] == ";".join([r["feature"].split(";")[0], f"rgb={want[0]}", f"var={want[1]}", f"hist={want[2]}"])
+            assert len(shapes) == max(1, -(-len(texts[i]) // part)) and sum(int(a) * int(b) for a, b in (x.split("x") for x in shapes)) == n
     assert len({r["feature"] for r in rows if texts[r["doc_id"]] == b""}) == 1
-    assert op3_media.media_columns(empty).count() == 0
+    path = new_path(spark, "t")
+    op3_media.write_tensors(stored, path)
+    assert spark.read.parquet(path).count() == sum(map(len, images.values()))
+    assert op3_media.media_features(op3_media.saved(op3_media.media_streams(empty), "t")).count() == 0
 
 
 def scalar_refinement(new, old, ss, se):
