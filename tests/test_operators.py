@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from motorlens.functions import text, vin
 from motorlens.operators import dealers, feeds, joins, market, money, quality, search, storage
-from motorlens.sources import files
+from motorlens.sources import dumps, files
 from motorlens.streaming import ingest
 
 
@@ -437,3 +437,107 @@ def test_stream_ingest_over_several_batches(spark, tmp_path):
     events = sorted((r["vin"], r["kind"], r["value"]) for r in spark.read.parquet(f"file://{tmp_path}/ingest/history").collect())
     assert events == sorted([("V1", "LISTING", 1000.0), ("V2", "LISTING", 2000.0), ("V1", "PRICE_CHANGE", 100.0)] + [("V1", "MILEAGE", 5.0)] * 3 + [("V2", "MILEAGE", 5.0)])
     assert spark.read.parquet(f"file://{tmp_path}/ingest/thumbs").count() == 4
+
+
+ANSWERS = {
+    "sirene": ({"etablissements": [{"siret": "1", "uniteLegale": {"denominationUniteLegale": "GARAGE UN", "etatAdministratifUniteLegale": "A"}, "adresseEtablissement": {"numeroVoieEtablissement": "12", "typeVoieEtablissement": "RUE", "libelleVoieEtablissement": "X", "codePostalEtablissement": "75001", "libelleCommuneEtablissement": "PARIS"}}, {"siret": "2", "uniteLegale": {"denominationUniteLegale": "ZU", "etatAdministratifUniteLegale": "C"}}]}, [("A", "GARAGE UN", "1", "12 RUE X", "FR")]),
+    "kvk": ({"resultaten": [{"kvkNummer": "9", "naam": "Auto BV", "adres": {"binnenlandsAdres": {"straatnaam": "Weg", "huisnummer": 4}}}]}, [("A", "Auto BV", "9", "Weg 4", "NL")]),
+    "overpass": ({"elements": [{"type": "node", "id": 5, "lat": 50.1, "lon": 8.5, "tags": {"name": "Auto M", "addr:street": "S", "addr:country": "DE"}}, {"type": "way", "id": 6}]}, [("B", "Auto M", "node 5", "S", "DE"), ("B", None, "way 6", None, None)]),
+    "wikidata": ({"results": {"bindings": [{"dealer": {"value": "Q1"}, "dealerLabel": {"value": "Auto W"}, "coords": {"value": "Point(8.5 50.25)"}}]}}, [("B", "Auto W", "Q1", None, None)]),
+    "archive": ({"archived_snapshots": {"closest": {"timestamp": "2023"}, "url": "u"}}, [("C", None, None, None, None)]),
+    "mobilians": ({"hits": [{"id": "M1", "title": "Garage D", "street": "1 R"}]}, [("G", "Garage D", "M1", "1 R", "FR")]),
+    "makers": ({"result": {"dealers": [{"dealerId": "T2", "name": "Toyota U", "address": {"street": "V", "zipCode": "1", "country": "NL"}}]}}, [("H", "Toyota U", "T2", "V", "NL")]),
+    "rdw": ([{"volgnummer": 7, "handelsnaam": "APK", "straat": "L", "huisnummer": 2}], [("I", "APK", "7", "L 2", "NL")]),
+    "utac": ({"results": [{"no_agrement": "S1", "nom_centre": "CT", "adresse": "A"}]}, [("I", "CT", "S1", "A", "FR")]),
+    "pappers": ({"resultats": [{"siren": "3", "nom_entreprise": "P", "siege": {"adresse_ligne_1": "Q"}}]}, [("J", "P", "3", "Q", "FR")]),
+    "searxng": ({"results": [{"title": "T", "url": "https://t"}]}, [("K", "T", None, None, None)]),
+    "youtube": ({"items": [{"id": {"channelId": "c"}, "snippet": {"title": "Y", "country": "DE"}}]}, [("L", "Y", "c", None, "DE")]),
+    "vies": ({"isValid": True, "vatNumber": "V", "name": "N", "address": "A", "countryCode": "BE"}, [("M", "N", "V", "A", "BE")]),
+    "censys": ({"result": {"hits": [{"ip": "1.2.3.4"}]}}, [("N", None, "1.2.3.4", None, None)]),
+    "shodan": ({"matches": [{"ip_str": "1.2.3.5", "hostnames": ["h.example"]}]}, [("N", None, "1.2.3.5", None, None)]),
+    "gdelt": ({"articles": [{"title": "Autohaus Meyer GmbH, neu", "url": "https://n", "sourcecountry": "Germany"}]}, [("O", "Autohaus Meyer GmbH, neu", None, None, "Germany")]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(ANSWERS))
+def test_answers_of_dealer_sources(spark, name):
+    answer, want = ANSWERS[name]
+    rows = spark.createDataFrame([(json.dumps(answer),), ("no json",), ("{}",), (None,)], "body string")
+    got = dumps.dealers(rows, name)
+    assert tuple(got.columns) == dumps.SCHEMA
+    assert sorted((tuple(r[c] for c in ("family", "name", "identifier", "street", "country")) for r in got.collect()), key=str) == sorted(want, key=str)
+    if name == "wikidata":
+        assert (got.first()["lat"], got.first()["lng"]) == (50.25, 8.5)
+    if name == "gdelt":
+        assert [r["normal"] for r in dumps.article_dealers(got).collect()] == ["meyer"]
+
+
+def test_pages_of_dealer_sources(spark):
+    page = '<script id="__NEXT_DATA__" type="application/json"> {"props": {"pageProps": {"page": {"name": "A", "kvkNumber": "1", "address": {"street": "T", "housenumber": 42}}}}} </script>'
+    r = dumps.dealers(spark.createDataFrame([(page,), ("<p>",)], "body string"), "bovag").collect()
+    assert [(x["name"], x["identifier"], x["street"], x["country"]) for x in r] == [("A", "1", "T 42", "NL")]
+    hosts = [{"id": 1, "common_name": "a.de", "name_value": "a.de\nwww.a.de\n*.a.de"}, {"id": 2, "common_name": "a.de", "name_value": "a.de"}]
+    assert {x["website"] for x in dumps.dealers(spark.createDataFrame([(json.dumps(hosts),)], "body string"), "certificates").collect()} == {"a.de", "www.a.de"}
+    xml = '<sumario><empresa id="B-1"><nombre_empresa> AUTO SL </nombre_empresa><acto>Alta</acto><provincia>Madrid</provincia></empresa><empresa id="B-2"><nombre_empresa>Z</nombre_empresa></empresa></sumario>'
+    assert [tuple(x) for x in dumps.registry_xml(spark.createDataFrame([(xml,)], "xml string")).collect()] == [("B-1", "AUTO SL", "Alta", "Madrid"), ("B-2", "Z", None, None)]
+    cards = '<div class="dealerItem"><h3><a href="/h/1">Auto M</a></h3> Weg 1, 12345 B <a href="https://m.de" class="dealerWebsite">x</a></div>'
+    assert [tuple(x) for x in dumps.directory_cards(spark.createDataFrame([(cards,)], "html string"), *dumps.CARDS["mobile"]).collect()] == [("Auto M", "Weg 1, 12345 B", "https://m.de")]
+    assert one(spark, dumps.content_system, '<meta name="generator" content="WordPress 6.1">') == ("wordpress", "6.1") and one(spark, dumps.content_system, "<p>") is None
+    shared = spark.createDataFrame([("h", 1, None), ("h", 2, "p"), ("i", 3, "q")], "host string, dealer_id int, provider string")
+    assert [tuple(r) for r in dumps.shared_hosts(shared).collect()] == [("h", [1, 2], "p")]
+
+
+def test_confidence_by_families(spark):
+    table = lambda family, names: spark.createDataFrame([(family, n) for n in names], "family string, name string")
+    got = {r["normal"]: (r["confidence"], r["families"]) for r in dumps.confirmed([table("A", ["Auto X GmbH", "AUTO X"]), table("H", ["auto x", "Y AG"])], {"A": 0.35, "H": 0.25}).collect()}
+    assert got == {"auto x": (0.6, 2), "y": (0.25, 1)}
+
+
+def test_json_bodies_and_posts(spark):
+    bodies = ['[{"Marke": "VW", "modell": "Golf", "KM": "5"}]', '{"total": 1, "vehicles": [], "items": [{"brand": "BMW", "price": 7}]}', '{"x": 1}', "junk", None]
+    got = files.json_vehicles(spark.createDataFrame([(b,) for b in bodies], "body string")).collect()
+    assert sorted((r["make"], r["model"], r["mileage_km"], r["price_eur"]) for r in got) == [("BMW", None, None, 7.0), ("VW", "Golf", 5, None)]
+    posts = '[{"id": 3, "title": {"rendered": "A <b>Golf</b>"}, "link": "https://a/3", "meta": {"_make": "VW", "_year": "2019"}}]'
+    r = files.posts(spark.createDataFrame([(posts,), (None,)], "body string")).collect()
+    assert [(x["post_id"], x["title"], x["make"], x["year"], x["url"]) for x in r] == [(3, "A Golf", "VW", 2019, "https://a/3")]
+    push = spark.createDataFrame([("1M8GDM9AXKP042788", "A", "B", 2020), ("x", "A", "B", 2020), ("", "A", "B", 2020), ("1M8GDM9AXKP042788", "A", "B", 2030)], "vin string, make string, model string, year int")
+    assert [r["error"] for r in files.pushed(push, 2021).collect()] == [None, "vin must be 17 characters", "vin required", "year out of range"]
+    assert files.pending(spark.range(5), spark.range(2)).count() == 3
+
+
+def workbook(rows):
+    buffer = io.BytesIO()
+    cell = lambda i, j, v: f'<c r="{chr(65 + j)}{i + 1}" t="inlineStr"><is><t>{v}</t></is></c>' if not v.isdigit() else f'<c r="{chr(65 + j)}{i + 1}"><v>{v}</v></c>'
+    sheet = "".join(f'<row r="{i + 1}">' + "".join(cell(i, j, v) for j, v in enumerate(r) if v) + "</row>" for i, r in enumerate(rows))
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{sheet}</sheetData></worksheet>')
+    return bytearray(buffer.getvalue())
+
+
+def test_tables_in_documents(spark):
+    rows = [["Fahrzeug-Marke", "Modell", "Baujahr", "", "Preis (EUR)"], ["VW", "Golf", "2018", "", "12.500,00"], ["", "", "", "", ""], ["BMW", "X1", "18", "", "x"]]
+    want = [("VW", "Golf", 2018, 12500.0), ("BMW", "X1", None, None)]
+    got = files.workbook_vehicles(spark.createDataFrame([(workbook(rows),)], "content binary")).collect()
+    assert [(r["make"], r["model"], r["year"], r["price_eur"]) for r in got] == want
+    page = "Our stock\n\nMake   Model   Year | Price\nVW\tGolf\t2018\t12500\nBMW   X1   18   x\n"
+    got = files.document_vehicles(spark.createDataFrame([(page,), (None,), ("nothing here",)], "text string")).collect()
+    assert [(r["make"], r["model"], r["year"], r["price_eur"]) for r in got] == want
+
+
+def test_marked_up_pages(spark):
+    page = """<div itemscope itemtype="https://schema.org/Car"><span itemprop="brand">BMW</span><b itemprop="model">X <i>1</i></b><meta itemprop="vehicleModelDate" content="2019"><span itemprop="mileageFromOdometer">45,000 km</span>
+ <div itemprop="offers" itemscope itemtype="https://schema.org/Offer"><span itemprop="price">21,900</span></div><a itemprop="url" href="/c/1">x</a></div><div itemscope itemtype="https://schema.org/Car"><span itemprop="model">no make</span></div>
+ <div typeof="schema:Vehicle"><span property="schema:brand">VW</span><span property="schema:fuelType" content="diesel"></span></div><p itemprop="brand">outside</p>"""
+    got = files.marked_pages(spark.createDataFrame([(page,), (None,)], "html string")).collect()
+    assert [tuple(r) for r in got] == [("BMW", "X 1", 2019, 45000, 21900.0, None, "/c/1"), ("VW", None, None, None, None, "diesel", None)]
+    two = '<script type="application/ld+json">[{"@type": "Car", "model": "X1"}, {"@type": "Car", "model": "X2", "brand": "BMW"}]</script>'
+    r = files.first_json_ld_pages(spark.createDataFrame([(two,), ("<p>",)], "html string")).collect()
+    assert len(r) == 1 and r[0]["make"] == "BMW" and r[0]["model"] in ("X1", "X2")
+
+
+def test_links(spark):
+    xml = [("<sitemapindex><sitemap><loc>https://a/s.xml</loc></sitemap></sitemapindex>",), ("<urlset><url><loc> https://a/c/1 </loc></url></urlset>",)]
+    assert {tuple(r) for r in files.sitemaps(spark.createDataFrame(xml, "xml string")).collect()} == {("sitemap", "https://a/s.xml"), ("page", "https://a/c/1")}
+    for link, want in {"b.html": "https://h.de/x/b.html", "/b": "https://h.de/b", "//c.fr/d": "https://c.fr/d", "http://e": "http://e"}.items():
+        assert one(spark, lambda c: files.resolved(F.lit("https://h.de/x/a.html?q=1"), c), link) == want
+    assert [one(spark, files.country_of, u) for u in ("https://www.a.de/x", "http://a.fr:80", "https://a.com", None)] == ["DE", "FR", None, None]
