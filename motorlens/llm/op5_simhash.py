@@ -32,7 +32,7 @@ DISTANCE = 2
 #: Different fingerprints sampled (those with the smallest hashes) to place vantage points: a bound on the driver's share.
 SAMPLE = 8192
 #: Fingerprints that a shard should hold. Deeper levels than the sample can place use vantage points made from the path.
-SHARD = 200_000
+SHARD = 100_000
 #: Fingerprints of a leaf of the tree inside a shard.
 LEAF = 512
 

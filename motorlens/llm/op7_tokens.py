@@ -88,7 +88,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, en
 
     tie = F.xxhash64("ids")
     # Written once: the range partitioning reads its input twice, and encoding is what costs.
-    encoded = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary, bytes byte"), "encoded")
+    encoded = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary, bytes byte"), "encoded", compression="zstd")
     ordered = encoded.repartitionByRange(F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
     ordered.mapInArrow(segments, _SEGMENT).write.parquet(path)
     dropped(encoded)
