@@ -236,4 +236,4 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_documents(table(spark, sf_dir, "documents"))
+    return packed_documents(table(spark, sf_dir, "documents", spread=True))

@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread=True)
     model = train(docs, table(spark, sf_dir, "labels"))
     out = scored(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

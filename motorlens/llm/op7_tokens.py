@@ -122,5 +122,5 @@ def read_token_files(spark: SparkSession, path: str, keep_ids: bool = True) -> D
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
-    write_token_files(table(spark, sf_dir, "documents"), path)
+    write_token_files(table(spark, sf_dir, "documents", spread=True), path)
     return read_token_files(spark, path, keep_ids=False)

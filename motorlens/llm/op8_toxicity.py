@@ -285,7 +285,7 @@ def language_threshold(model: Model) -> F.Column:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text", "lang")
     model = train(docs, table(spark, sf_dir, "labels"))
     out = scored(docs, model).withColumn("threshold", language_threshold(model))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("flagged"))

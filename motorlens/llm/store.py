@@ -56,5 +56,12 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of the folder. ``spread``: where it is a single file, which one task would read, its rows are dealt to all cores."""
+    path = f"{sf_dir}/{name}.parquet"
+    rows = spark.read.parquet(path)
+    if spread:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+            return rows.repartition(spark.sparkContext.defaultParallelism)
+    return rows
