@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.dialect import SPARK
 from ..plans.registry import both, frame
+from ..plans.shared import stored
 
 # Weights of the stress signals.
 WEIGHTS = {"liquidation": 0.20, "price": 0.15, "volume": 0.15, "tom": 0.15, "composite": 0.10, "hhi": 0.10, "market": 0.15}
@@ -19,8 +20,9 @@ def clamp01(x: Column) -> Column:
 
 
 def health_signals(listings: DataFrame, week_order: str = "chronological") -> DataFrame:
-    """All signals of all dealers from one scan: conditional aggregates by dealer, one pass for weeks, one for makes, one
-    for countries. ``listings`` are those up to now; ``week_order='lexical'`` orders weeks by their text key."""
+    """All signals of all dealers from one scan: sums and counts by dealer, make and week are written once, and dealers, their
+    makes and weeks, and countries are rolled up from these few rows. ``listings`` are those up to now; ``week_order='lexical'``
+    orders weeks by their text key."""
     now = F.expr(SPARK.now)
 
     def since(days: int) -> Column:
@@ -32,30 +34,32 @@ def health_signals(listings: DataFrame, week_order: str = "chronological") -> Da
     active, price = F.col("status") == "ACTIVE", F.col("price_gross_eur")
     counted = ~F.col("status").isin("REJECTED", "DUPLICATE")
     age = F.expr(f"(unix_micros(CAST({SPARK.now} AS TIMESTAMP)) - unix_micros(CAST(indexed_at AS TIMESTAMP))) / 86400000000.0")
-    main = listings.groupBy("dealer_id", "country_code").agg(
-        F.count_if(active).alias("active_count"),
-        F.count_if(counted & (F.col("ttl_expires_at") >= F.expr(f"{SPARK.now} - INTERVAL 14 DAY")) & (F.col("ttl_expires_at") <= now)).alias("removed"),
-        F.count_if(counted & since(14)).alias("new"),
-        F.avg(F.when(active & (price > 0) & since(7), price)).alias("p1"),
-        F.avg(F.when(active & (price > 0) & since(14) & ~since(7), price)).alias("p0"),
-        F.avg(F.when(active, age)).alias("tom"),
-        F.avg(F.when(active & since(60) & ~since(30), age)).alias("tom0"),
-        F.avg(F.when(active & since(14), F.col("confidence_score"))).alias("c1"),
-        F.avg(F.when(active & since(28) & ~since(14), F.col("confidence_score"))).alias("c0"),
-        F.avg(F.when(active & (price > 0), price)).alias("own"),
+    # Name -> (rows, value): their mean is wanted.
+    means = {
+        "p1": (active & (price > 0) & since(7), price), "p0": (active & (price > 0) & since(14) & ~since(7), price), "tom": (active, age), "tom0": (active & since(60) & ~since(30), age),
+        "c1": (active & since(14), F.col("confidence_score")), "c0": (active & since(28) & ~since(14), F.col("confidence_score")), "own": (active & (price > 0), price),
+    }
+    counts = {
+        "active_count": active, "removed": counted & (F.col("ttl_expires_at") >= F.expr(f"{SPARK.now} - INTERVAL 14 DAY")) & (F.col("ttl_expires_at") <= now), "new": counted & since(14), "lately": counted & since(90),
+    }
+    week = F.date_trunc("week", "indexed_at")
+    key = F.date_format(week, "yyyy-MM-dd") if week_order == "chronological" else F.date_format(week, "MMdd-yyyy")
+    base = listings.groupBy("dealer_id", "country_code", "make", F.when(since(90), key).alias("wk")).agg(
+        *(F.count_if(x).alias(n) for n, x in counts.items()), *(F.sum(F.when(x, v)).alias(n + "_sum") for n, (x, v) in means.items()), *(F.count(F.when(x, v)).alias(n + "_n") for n, (x, v) in means.items())
     )
-    makes = listings.where(active & F.col("make").isNotNull()).groupBy("dealer_id", "make").count()
+    base = stored(base, "signals")
+    mean = lambda n: F.try_divide(F.sum(n + "_sum"), F.sum(n + "_n")).alias(n)
+    main = base.groupBy("dealer_id", "country_code").agg(*(F.sum(n).alias(n) for n in ("active_count", "removed", "new")), *map(mean, means))
+    makes = base.where("make is not null").groupBy("dealer_id", "make").agg(F.sum("active_count").alias("count")).where("count > 0")
     hhi = makes.groupBy("dealer_id").agg((F.sum(F.col("count") * F.col("count")) / F.pow(F.sum("count"), F.lit(2))).alias("brand_hhi"))
-    market = listings.where(active & (price > 0)).groupBy("country_code").agg(F.avg(price).alias("market"))
+    market = base.groupBy("country_code").agg(mean("own").alias("market"))
     # Weeks from Monday; a week's count only where there is one, the last of them against the others.
-    week = F.date_trunc("week", "indexed_at")
-    key = F.date_format(week, "yyyy-MM-dd") if week_order == "chronological" else F.date_format(week, "MMdd-yyyy")
-    weeks = listings.where(counted & since(90)).groupBy("dealer_id", key.alias("wk")).agg(F.count("*").alias("n"))
+    weeks = base.where("wk is not null").groupBy("dealer_id", "wk").agg(F.sum("lately").alias("n")).where("n > 0")
     runs = weeks.groupBy("dealer_id").agg(F.max_by("n", "wk").alias("last"), F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("w"))
-    base = F.col("w") - 1
-    mean = F.try_divide(F.col("s") - F.col("last"), base)
-    sd = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("q") - F.col("last") * F.col("last"), base) - mean * mean))
-    volume = runs.select("dealer_id", F.when((F.col("w") >= 2) & (sd > 1e-9), (F.col("last") - mean) / sd).otherwise(0.0).alias("volume_z"))
+    rest = F.col("w") - 1
+    usual = F.try_divide(F.col("s") - F.col("last"), rest)
+    sd = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("q") - F.col("last") * F.col("last"), rest) - usual * usual))
+    volume = runs.select("dealer_id", F.when((F.col("w") >= 2) & (sd > 1e-9), (F.col("last") - usual) / sd).otherwise(0.0).alias("volume_z"))
     joined = main.join(hhi, "dealer_id", "left").join(volume, "dealer_id", "left").join(market, "country_code", "left")
     return joined.select(
         "dealer_id", "country_code", "active_count",
@@ -141,12 +145,12 @@ SELECT dealer_id, CAST(trust_score AS DOUBLE) AS trust_score, CASE WHEN trust_sc
 
 both("agg07_liquidation", lambda d: f"SELECT dealer_id, count(CASE WHEN ttl_expires_at >= {d.now} - INTERVAL 14 DAY AND ttl_expires_at <= {d.now} THEN 1 END) AS removed, count(CASE WHEN indexed_at >= {d.now} - INTERVAL 14 DAY THEN 1 END) AS added FROM recent WHERE status NOT IN ('REJECTED', 'DUPLICATE') GROUP BY dealer_id")
 both("agg11_brand_hhi", lambda d: "SELECT dealer_id, round(sum(n * n) / (sum(n) * sum(n)), 6) AS hhi FROM (SELECT dealer_id, make, CAST(count(*) AS DOUBLE) AS n FROM vehicle WHERE status = 'ACTIVE' GROUP BY dealer_id, make) x GROUP BY dealer_id")
-both("agg16_vin_dealers", lambda d: f"SELECT vin, n, dealers, CASE WHEN dealers > 5 THEN 'CRITICAL' WHEN dealers >= 2 THEN 'WARNING' ELSE 'INFO' END AS severity FROM (SELECT vin, count(*) AS n, count(DISTINCT dealer_id) AS dealers FROM vehicle GROUP BY vin) x")
 both("agg17_trust_signals", lambda d: "SELECT d.dealer_id, count(v.vehicle_id) AS volume, round(100 * avg(v.confidence_score) + 0.0000001, 4) AS avg_score, count(CASE WHEN v.status = 'REJECTED' THEN 1 END) AS rejected FROM dealer d LEFT JOIN vehicle v ON v.dealer_id = d.dealer_id GROUP BY d.dealer_id")
 both("agg18_confidence", lambda d: "SELECT f.dealer_id, round(CAST(least(sum(w.weight), 1.0) AS DOUBLE), 4) AS confidence, count(*) AS families FROM (SELECT DISTINCT dealer_id, family FROM finding) f JOIN family_weight w ON f.family = w.family GROUP BY f.dealer_id")
 both("agg19_host_clusters", lambda d: f"SELECT host, n, members, min(provider) AS provider FROM (SELECT host, count(*) OVER (PARTITION BY host) AS n, members, provider FROM (SELECT k AS host, {d.joined('CAST(listing_id AS STRING)', 'listing_id')} AS members, min(event_type) AS provider, count(*) AS c FROM (SELECT DISTINCT k, listing_id, event_type FROM event WHERE event_type = 'error') x GROUP BY k HAVING count(*) >= 2) y) z GROUP BY host, n, members")
-both("agg21_graph_features", lambda d: """WITH f AS (SELECT d.dealer_id, d.country_code, d.confidence_score AS trust, ln(1 + count(v.vehicle_id)) AS volume, avg(v.price_gross_eur) AS price, avg(v.mileage_km) AS km FROM dealer d LEFT JOIN vehicle v ON v.dealer_id = d.dealer_id GROUP BY 1, 2, 3)
-SELECT dealer_id, dense_rank() OVER (ORDER BY country_code) - 1 AS country_index, """ + ", ".join(f"round(CASE WHEN max({c}) OVER () > min({c}) OVER () THEN ({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) ELSE 0 END, 6) AS {c}" for c in ("trust", "volume", "price", "km")) + " FROM f")
+both("agg21_graph_features", lambda d: """WITH f AS (SELECT d.dealer_id, d.country_code, d.confidence_score AS trust, ln(1 + count(v.vehicle_id)) AS volume, avg(v.price_gross_eur) AS price, avg(v.mileage_km) AS km FROM dealer d LEFT JOIN vehicle v ON v.dealer_id = d.dealer_id GROUP BY 1, 2, 3),
+e AS (SELECT """ + ", ".join(f"min({c}) AS {c}_low, max({c}) AS {c}_high" for c in ("trust", "volume", "price", "km")) + """ FROM f), c AS (SELECT country_code, row_number() OVER (ORDER BY country_code) - 1 AS country_index FROM (SELECT DISTINCT country_code FROM f) x)
+SELECT f.dealer_id, c.country_index, """ + ", ".join(f"round(CASE WHEN {c}_high > {c}_low THEN (f.{c} - {c}_low) / ({c}_high - {c}_low) ELSE 0 END, 6) AS {c}" for c in ("trust", "volume", "price", "km")) + " FROM f CROSS JOIN e JOIN c ON c.country_code = f.country_code")
 both("agg21_brand_entropy", lambda d: "SELECT dealer_id, round(-sum(n / t * ln(n / t)), 6) AS entropy FROM (SELECT dealer_id, n, sum(n) OVER (PARTITION BY dealer_id) AS t FROM (SELECT dealer_id, make, CAST(count(*) AS DOUBLE) AS n FROM vehicle GROUP BY dealer_id, make) x) y GROUP BY dealer_id")
 both("agg43_source_overlap", lambda d: "SELECT count(CASE WHEN a AND b THEN 1 END) AS overlap, count(CASE WHEN a AND NOT b THEN 1 END) AS only_a, count(CASE WHEN b AND NOT a THEN 1 END) AS only_b FROM (SELECT vin, max(CASE WHEN source_platform = 'src0' THEN 1 ELSE 0 END) = 1 AS a, max(CASE WHEN source_platform = 'src1' THEN 1 ELSE 0 END) = 1 AS b FROM vehicle GROUP BY vin) x")
 both("srt08_watchlist", lambda d: "SELECT dealer_id, score FROM (SELECT dealer_id, round(100 * avg(confidence_score) + 0.0000001, 4) AS score FROM vehicle GROUP BY dealer_id) x WHERE score < 95 ORDER BY score, dealer_id LIMIT 20")

@@ -189,5 +189,3 @@ def similar(names: DataFrame, least: float = 0.85, key: str = "dealer_id", block
 frame("jon16_similar_dealers", ["dealer"])(similar)
 
 
-both("st07_snapshot_delta", lambda d: f"SELECT k, CASE WHEN a = 0 THEN 'SEEN' WHEN b = 0 THEN 'GONE' ELSE 'KEPT' END AS state FROM (SELECT listing_id AS k, count(CASE WHEN event_id % 2 = 0 THEN 1 END) AS a, count(CASE WHEN event_id % 2 = 1 THEN 1 END) AS b FROM event GROUP BY listing_id) x")
-both("st10_incremental_view", lambda d: "SELECT year(ts) * 10000 + month(ts) * 100 + day(ts) AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM event GROUP BY 1, 2")

@@ -52,7 +52,6 @@ both("jon03_left_keep_empty", lambda d: "SELECT d.dealer_id, count(v.vehicle_id)
 both("jon05_chained", lambda d: f"SELECT o_orderkey, c_name, n_name FROM {d.base('orders')} LEFT JOIN {d.base('customer')} ON o_custkey = c_custkey LEFT JOIN {d.base('nation')} ON c_nationkey = n_nationkey WHERE o_totalprice > 300000")
 both("jon06_shared_vin_edges", lambda d: """WITH seen AS (SELECT vin, dealer_id, min(indexed_at) AS first_at FROM vehicle WHERE status = 'ACTIVE' GROUP BY vin, dealer_id)
 SELECT a.dealer_id AS src, b.dealer_id AS dst, count(*) AS shared, min(b.first_at) AS first_time FROM seen a JOIN seen b ON a.vin = b.vin AND a.dealer_id <> b.dealer_id AND a.first_at < b.first_at GROUP BY a.dealer_id, b.dealer_id HAVING count(*) >= 2""")
-both("jon07_anti", lambda d: "SELECT d.dealer_id FROM dealer d WHERE NOT EXISTS (SELECT 1 FROM vehicle v WHERE v.dealer_id = d.dealer_id AND v.price_gross_eur > 95000)")
 both("jon08_anti_extra", lambda d: f"SELECT c.conv_id, c.turn FROM {d.base('conversations')} c WHERE c.role = 'user' AND NOT EXISTS (SELECT 1 FROM {d.base('conversations')} r WHERE r.conv_id = c.conv_id AND r.role = 'assistant' AND r.turn > c.turn)")
 both("jon09_semi", lambda d: "SELECT round(avg(price_gross_eur), 4) AS avg_price, count(*) AS n FROM vehicle WHERE dealer_id IN (SELECT dealer_id FROM dealer WHERE country_code = 'ES')")
 both("jon10_correlated_count", lambda d: "SELECT d.dealer_id, d.country_code FROM dealer d WHERE (SELECT count(*) FROM vehicle v WHERE v.dealer_id = d.dealer_id AND v.status = 'ACTIVE') >= 300")
@@ -90,4 +89,3 @@ both("jon20_mandates", lambda d: f"""SELECT m.id AS mandate, count(*) AS matches
  {d.values("(1, '{\"makes\": [\"BMW\", \"Audi\"], \"most\": 20000, \"km\": 120000}'), (2, '{\"makes\": [\"Audi\"], \"most\": 30000, \"km\": 80000, \"fuel\": \"diesel\"}'), (3, '{\"makes\": [\"Toyota\", \"Renault\", \"Peugeot\"], \"most\": 15000, \"km\": 200000}')", "id, criteria")} j) k
  {'LATERAL VIEW inline(array(c)) x AS makes, most, km, fuel' if d.name == 'spark' else ', LATERAL (SELECT c.makes AS makes, c.most AS most, c.km AS km, c.fuel AS fuel) x'}) m
 JOIN vehicle v ON v.make = m.make AND (m.fuel IS NULL OR v.fuel_type = m.fuel) AND v.price_gross_eur <= m.most AND v.mileage_km <= m.km WHERE v.status = 'ACTIVE' GROUP BY m.id""")
-both("jon21_providers_merged", lambda d: f"SELECT vin, {d.joined('source_platform', 'source_platform')} AS providers, count(*) AS n FROM (SELECT DISTINCT vin, source_platform FROM vehicle) x GROUP BY vin")

@@ -87,6 +87,7 @@ frame("agg13_ev_anomalies", ["listing"], lambda d: _EV + " SELECT vehicle_id, ma
 frame("flt14_ev_watch_list", ["listing"], lambda d: _EV + " SELECT vehicle_id, z, country_code FROM z WHERE z <= -1.5 AND n >= 30 ORDER BY z, vehicle_id LIMIT 50")(
     lambda v: ev_scores(v).where("z <= -1.5 and n >= 30").orderBy("z", "vehicle_id").limit(50).select("vehicle_id", "z", "country_code")
 )
+frame("srt03_lowest_z", ["listing"], lambda d: _EV + " SELECT vehicle_id, z FROM z ORDER BY z, vehicle_id LIMIT 30")(lambda v: ev_scores(v).orderBy("z", "vehicle_id").limit(30).select("vehicle_id", "z"))
 frame("agg14_cohort_summary", ["listing"], lambda d: _EV + " SELECT make, country_code, count(*) AS n, min(z) AS min_z, max(z) AS max_z, count(*) FILTER (WHERE z <= -1.5) AS anomalies FROM z GROUP BY make, country_code")(
     lambda v: ev_scores(v).groupBy("make", "country_code").agg(F.count("*").alias("n"), F.min("z").alias("min_z"), F.max("z").alias("max_z"), F.count_if(F.col("z") <= -1.5).alias("anomalies"))
 )
@@ -122,22 +123,12 @@ def candles(listings: DataFrame) -> DataFrame:
 
 frame("agg37_candles", ["vehicle"], lambda d: """WITH p AS (SELECT make, model, 'M' AS period, year(indexed_at) * 100 + month(indexed_at) AS start, price_gross_eur AS p FROM vehicle UNION ALL SELECT make, model, 'W', CAST(strftime(date_trunc('week', indexed_at), '%Y%m%d') AS INT), price_gross_eur FROM vehicle)
 SELECT make, model, period, start, round(quantile_cont(p, 0.1), 4) AS open, round(quantile_cont(p, 0.9), 4) AS high, round(quantile_cont(p, 0.05), 4) AS low, round(median(p), 4) AS close, count(*) AS volume FROM p GROUP BY ALL""")(candles)
-both("agg38_ticker", lambda d: f"""WITH c AS (SELECT make, model, year(indexed_at) * 12 + month(indexed_at) AS m, {d.pct}(price_gross_eur, 0.5) AS close, count(*) AS volume FROM recent GROUP BY 1, 2, 3),
-t AS (SELECT *, lag(close, 1) OVER w AS c1, lag(close, 3) OVER w AS c3, row_number() OVER (PARTITION BY make, model ORDER BY m DESC) AS r FROM c WINDOW w AS (PARTITION BY make, model ORDER BY m))
-SELECT make, model, round(close, 4) AS last_price, volume, round(100 * (close - c1) / c1, 4) AS change_1m, round(100 * (close - c3) / c3, 4) AS change_3m FROM t WHERE r = 1""")
 both("agg39_arbitrage", lambda d: f"""WITH m AS (SELECT make, model, year, country_code, {d.pct}(price_gross_eur, 0.5) AS med, count(*) AS n FROM listing GROUP BY 1, 2, 3, 4)
 SELECT a.make, a.model, a.year, a.country_code AS origin, b.country_code AS dest, round(b.med - a.med - t.cost / 100.0, 4) AS gross_margin, round(100 * (b.med - a.med - t.cost / 100.0) / a.med, 4) AS margin_pct
 FROM m a JOIN m b ON a.make = b.make AND a.model = b.model AND a.year = b.year AND a.country_code <> b.country_code JOIN transport t ON t.origin = a.country_code AND t.dest = b.country_code WHERE b.med - a.med - t.cost / 100.0 > 0""")
 both("agg40_route_stats", lambda d: f"""WITH m AS (SELECT make, model, country_code, {d.pct}(price_gross_eur, 0.5) AS med FROM listing GROUP BY 1, 2, 3)
 SELECT a.country_code AS origin, b.country_code AS dest, count(*) AS n, round(avg(b.med - a.med - t.cost / 100.0), 4) AS avg_margin FROM m a JOIN m b ON a.make = b.make AND a.model = b.model AND a.country_code <> b.country_code JOIN transport t ON t.origin = a.country_code AND t.dest = b.country_code GROUP BY 1, 2""")
 both("agg41_demand", lambda d: "SELECT listing_id % 50 AS cohort, event_type, count(*) AS n FROM event GROUP BY 1, 2")
-both("agg42_coverage", lambda d: f"""WITH o AS (SELECT country_code, count(*) AS observed, avg({d.between_days('indexed_at', 'coalesce(sold_at, indexed_at + INTERVAL 60 DAY)')}) AS dom FROM listing GROUP BY 1)
-SELECT country_code, observed, round(200000 * 0.25 * dom / 365, 4) AS expected_for_sale, round(observed / (200000 * 0.25 * dom / 365), 6) AS coverage FROM o""")
-both("agg43_capture_recapture", lambda d: """WITH s AS (SELECT DISTINCT vin, source_platform AS src FROM vehicle), n AS (SELECT src, count(*) AS n FROM s GROUP BY src),
-m AS (SELECT a.src AS a, b.src AS b, count(*) AS m FROM s a JOIN s b ON a.vin = b.vin AND a.src < b.src GROUP BY 1, 2)
-SELECT m.a AS source_a, m.b AS source_b, x.n AS n1, y.n AS n2, m, round(CAST(x.n AS DOUBLE) * y.n / m, 4) AS lincoln_petersen, round(CAST(x.n + 1 AS DOUBLE) * (y.n + 1) / (m + 1) - 1, 4) AS chapman,
- round(CAST(x.n + 1 AS DOUBLE) * (y.n + 1) * (x.n - m) * (y.n - m) / (CAST(m + 1 AS DOUBLE) * (m + 1) * (m + 2)), 3) AS variance FROM m JOIN n x ON x.src = m.a JOIN n y ON y.src = m.b""")
-both("agg44_pricing_cube", lambda d: "SELECT coalesce(make, 'all') AS make, coalesce(country_code, 'all') AS country, count(*) AS n, round(sum(price_gross_eur), 2) AS price_sum, min(price_gross_eur) AS price_min, max(price_gross_eur) AS price_max FROM listing GROUP BY CUBE (make, country_code)")
 both("agg45_facts", lambda d: "SELECT e.event_type, e.listing_id % 25 AS dealer_id, year(e.ts) * 10000 + month(e.ts) * 100 + day(e.ts) AS day, count(*) AS n, round(sum(e.value), 4) AS value FROM event e GROUP BY 1, 2, 3")
 both("win02_latest", lambda d: "SELECT dealer_id, vehicle_id FROM (SELECT dealer_id, vehicle_id, row_number() OVER (PARTITION BY dealer_id ORDER BY indexed_at DESC, vehicle_id) AS r FROM vehicle) x WHERE r = 1")
 both("win03_mileage_gaps", lambda d: f"""SELECT event_id, CASE WHEN mileage < p THEN 'rollback' ELSE 'high_gap' END AS issue FROM (SELECT *, lag(mileage) OVER w AS p, lag(ts) OVER w AS t FROM mileage WINDOW w AS (PARTITION BY vin ORDER BY ts, event_id)) x
@@ -158,7 +149,6 @@ FROM dealer_month m LEFT JOIN (SELECT a.dealer_id, a.mth AS at, b.score, row_num
 both("win07_temporal_split", lambda d: f"SELECT event_id, CASE WHEN r > n - greatest(1, n {d.div} 10) THEN 'test' WHEN r > n - 2 * greatest(1, n {d.div} 10) THEN 'validation' ELSE 'train' END AS part FROM (SELECT event_id, row_number() OVER (PARTITION BY listing_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY listing_id) AS n FROM event) x")
 both("win09_naive_error", lambda d: "SELECT listing_id, round(avg(abs(value - p)), 6) AS naive_mae FROM (SELECT listing_id, value, lag(value) OVER (PARTITION BY listing_id ORDER BY ts, event_id) AS p FROM event WHERE event_type = 'purchase') x WHERE p IS NOT NULL GROUP BY listing_id")
 both("win12_price_drop", lambda d: "SELECT event_id, round(value - p, 6) AS delta, round(100 * (value - p) / p, 4) AS delta_pct, CAST(sum(CASE WHEN value < p THEN 1 ELSE 0 END) OVER (PARTITION BY listing_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS drops FROM (SELECT *, lag(value) OVER (PARTITION BY listing_id ORDER BY ts, event_id) AS p FROM event WHERE event_type = 'purchase') x WHERE p > 0")
-both("win13_rolling_month", lambda d: "SELECT make, day, n, CAST(sum(n) OVER (PARTITION BY make ORDER BY k RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) AS BIGINT) AS volume_30d FROM (SELECT make, CAST(CAST(indexed_at AS DATE) AS STRING) AS day, {0} AS k, count(*) AS n FROM recent GROUP BY 1, 2, 3) x".format(d.between_days("DATE'1990-01-01'", "indexed_at")))
 both("win14_margin_rank", lambda d: "SELECT vehicle_id, round(percent_rank() OVER (PARTITION BY make, model, year ORDER BY price_gross_eur), 6) AS margin_score FROM vehicle")
 both("win08_tail_split", lambda d: "SELECT event_id, r > n - greatest(1, CAST(floor(n * 0.2) AS BIGINT)) AS held_out FROM (SELECT event_id, row_number() OVER (PARTITION BY listing_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY listing_id) AS n FROM event) x")
 both("metrics_mase_smape", lambda d: """WITH s AS (SELECT listing_id, value AS y, lag(value) OVER (PARTITION BY listing_id ORDER BY ts, event_id) AS f FROM event WHERE event_type = 'view')

@@ -72,10 +72,6 @@ both("agg24_monthly_pnl", lambda d: f"""WITH m AS (SELECT year(day) * 12 + month
 b AS (SELECT min(mth) AS a, max(mth) AS z FROM m), spine AS (SELECT {'explode(sequence(a, z))' if d.name == 'spark' else 'unnest(range(a, z + 1))'} AS mth FROM b),
 f AS (SELECT s.mth, coalesce(cost, 0) AS cost, coalesce(rev, 0) AS rev FROM spine s LEFT JOIN m ON s.mth = m.mth), g AS (SELECT *, lag(rev) OVER (ORDER BY mth) AS prev_rev, lag(rev - cost) OVER (ORDER BY mth) AS prev_margin FROM f)
 SELECT mth, cost AS cost_cents, rev AS revenue_cents, rev - cost AS margin_cents, CASE WHEN prev_rev > 0 THEN round(CAST(rev - prev_rev AS DOUBLE) / prev_rev * 100, 4) ELSE 0 END AS rev_growth_pct, CASE WHEN prev_margin <> 0 THEN round(CAST(rev - cost - prev_margin AS DOUBLE) / abs(prev_margin) * 100, 4) ELSE 0 END AS margin_growth_pct FROM g""")
-both("agg25_wip", lambda d: "SELECT type, count(*) AS cards, count(*) > 10000 AS over_limit FROM ledger GROUP BY type")
-both("qry21_ledger_month", lambda d: "SELECT tenant_vehicle, type, amount_cents FROM ledger WHERE year(day) = 1997 AND month(day) = 3")
-both("sco11_transitions", lambda d: f"""WITH s AS (SELECT tenant_vehicle, type, lag(type) OVER (PARTITION BY tenant_vehicle ORDER BY day, type, amount_cents) AS p FROM ledger)
-SELECT s.p AS from_state, s.type AS to_state, count(*) AS n, max(CASE WHEN t.a IS NULL THEN 1 ELSE 0 END) AS invalid FROM s LEFT JOIN {d.values("('purchase', 'reconditioning'), ('reconditioning', 'transport'), ('transport', 'sale'), ('purchase', 'sale'), ('reconditioning', 'sale')", "a, b")} t ON t.a = s.p AND t.b = s.type WHERE s.p IS NOT NULL GROUP BY s.p, s.type""")
 
 
 def vat_regimes(requests: DataFrame) -> DataFrame:
@@ -122,29 +118,39 @@ def disposition(vehicles: DataFrame, prices: DataFrame, dealers: DataFrame) -> D
     days = F.when(c("ch.name") == "auction", F.floor(base / 2)).when(c("ch.name") == "export", base + 21).otherwise(base)
     confidence = F.when(c("n") >= 50, 1.0).otherwise(1 - 1 / (c("n") + 1.0))
     full = routes.withColumn("vat_cents", vat.cast("long")).withColumn("transport_cents", cost.cast("long")).withColumn("net_cents", c("cents") - c("vat_cents") - c("transport_cents"))
-    place = F.row_number().over(Window.partitionBy("vehicle_id").orderBy(F.desc("net_cents"), "country", "ch.i"))
+    own = Window.partitionBy("vehicle_id")
+    place = F.row_number().over(own.orderBy(F.desc("net_cents"), "country", "ch.i"))
+    # What the best route brings over the price where the vehicle is; nothing without a price there.
+    uplift = F.coalesce(F.max("net_cents").over(own) - F.max(F.when(c("country") == c("origin"), c("cents"))).over(own), F.lit(0))
     active = dealers.where("status = 'ACTIVE'").groupBy(c("country_code").alias("country")).agg(F.count("*").alias("dealers"))
-    return full.join(active, "country", "left").select("vehicle_id", "origin", "country", c("ch.name").alias("channel"), "net_cents", "vat_cents", "transport_cents", days.cast("long").alias("days"), F.round(confidence, 6).alias("confidence"), F.coalesce("dealers", F.lit(0)).alias("dealers"), place.alias("place"))
+    return full.join(active, "country", "left").select("vehicle_id", "origin", "country", c("ch.name").alias("channel"), "net_cents", "vat_cents", "transport_cents", days.cast("long").alias("days"), F.round(confidence, 6).alias("confidence"), F.coalesce("dealers", F.lit(0)).alias("dealers"), place.alias("place"), uplift.alias("uplift_cents"))
 
 
 _ROUTES = """WITH r AS (SELECT vehicle_id, k.origin AS origin, p.country, n, cents, ch.i, ch.name AS channel, CASE WHEN k.origin = p.country OR (k.origin <> 'CH' AND p.country <> 'CH') THEN 0 ELSE CAST(trunc(cents * v.rate::DOUBLE) AS BIGINT) + CASE WHEN p.country = 'CH' THEN 50000 ELSE 40000 END END AS vat_cents,
  CASE WHEN k.origin = p.country THEN 0 ELSE coalesce(t.cost, 300000) END + CASE WHEN ch.name = 'auction' THEN cents * 3 // 100 ELSE 0 END AS transport_cents, CASE ch.name WHEN 'auction' THEN s.days // 2 WHEN 'export' THEN s.days + 21 ELSE s.days END AS days
  FROM stock k JOIN price p USING (make, model) JOIN vat v ON v.country = p.country JOIN sell_days s ON s.country = p.country LEFT JOIN transport t ON t.origin = k.origin AND t.dest = p.country CROSS JOIN (VALUES (0, 'dealer_direct'), (1, 'auction'), (2, 'export')) ch(i, name) WHERE cents > 0 AND NOT (k.origin = p.country AND ch.name = 'export')),
 f AS (SELECT *, cents - vat_cents - transport_cents AS net_cents FROM r)
-SELECT vehicle_id, origin, f.country, channel, net_cents, vat_cents, transport_cents, days, round(CASE WHEN n >= 50 THEN 1.0::DOUBLE ELSE 1 - 1 / (n + 1.0::DOUBLE) END, 6) AS confidence, coalesce(a.dealers, 0) AS dealers, row_number() OVER (PARTITION BY vehicle_id ORDER BY net_cents DESC, f.country, i) AS place
+SELECT vehicle_id, origin, f.country, channel, net_cents, vat_cents, transport_cents, days, round(CASE WHEN n >= 50 THEN 1.0::DOUBLE ELSE 1 - 1 / (n + 1.0::DOUBLE) END, 6) AS confidence, coalesce(a.dealers, 0) AS dealers, row_number() OVER (PARTITION BY vehicle_id ORDER BY net_cents DESC, f.country, i) AS place, coalesce(max(net_cents) OVER (PARTITION BY vehicle_id) - max(CASE WHEN f.country = origin THEN cents END) OVER (PARTITION BY vehicle_id), 0) AS uplift_cents
 FROM f LEFT JOIN (SELECT country_code AS country, count(*) AS dealers FROM dealer WHERE status = 'ACTIVE' GROUP BY 1) a ON a.country = f.country"""
 frame("sco07_disposition", ["stock", "price", "dealer"], lambda d: _ROUTES)(disposition)
-frame("srt04_best_routes", ["stock", "price", "dealer"], lambda d: f"SELECT vehicle_id, country, channel, net_cents FROM ({_ROUTES}) WHERE place = 1")(
-    lambda s, p, d: disposition(s, p, d).where("place = 1").select("vehicle_id", "country", "channel", "net_cents")
+frame("srt04_best_routes", ["stock", "price", "dealer"], lambda d: f"SELECT vehicle_id, country, channel, net_cents, uplift_cents FROM ({_ROUTES}) WHERE place = 1")(
+    lambda s, p, d: disposition(s, p, d).where("place = 1").select("vehicle_id", "country", "channel", "net_cents", "uplift_cents")
 )
 frame("agg29_fleet_summary", ["stock", "price", "dealer"], lambda d: f"SELECT country, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 4) AS pct FROM ({_ROUTES}) WHERE place = 1 GROUP BY country")(
     lambda s, p, d: disposition(s, p, d).where("place = 1").groupBy("country").agg(F.count("*").alias("n")).withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
 )
 both("sco05_vat_cost", lambda d: f"SELECT a.country AS origin, b.country AS dest, CASE WHEN a.country = b.country OR (a.country <> 'CH' AND b.country <> 'CH') THEN 0 ELSE {d.trunc('2500000 * CAST(b.rate AS DOUBLE)')} + CASE WHEN b.country = 'CH' THEN 50000 ELSE 40000 END END AS vat_cents FROM vat a CROSS JOIN vat b")
-both("sco06_transport", lambda d: "SELECT a.country AS origin, b.country AS dest, CASE WHEN a.country = b.country THEN 0 ELSE coalesce(t.cost, 300000) END AS cost FROM country a CROSS JOIN country b LEFT JOIN transport t ON t.origin = a.country AND t.dest = b.country")
-both("sco08_gain_share", lambda d: f"SELECT vehicle_id, {d.trunc('0.1 * greatest(0, price_gross_eur * 100 - 2000000)')} AS fee_cents FROM vehicle")
+both("sco06_transport", lambda d: f"SELECT a.country AS origin, b.country AS dest, CASE WHEN a.country = b.country THEN 0 ELSE coalesce(o.cost, t.cost, 300000) END AS cost FROM country a CROSS JOIN country b LEFT JOIN transport t ON t.origin = a.country AND t.dest = b.country LEFT JOIN {d.values('(' + repr('DE') + ', ' + repr('FR') + ', 70000)', 'origin, dest, cost')} o ON o.origin = a.country AND o.dest = b.country")
+
+
+def gain_share(plans: DataFrame, share: float = 0.1) -> DataFrame:
+    """Fee of each plan: a share of its uplift in whole cents, nothing where there is none."""
+    gain = F.greatest(F.lit(0).cast("long"), F.col("uplift_cents"))
+    return plans.select("vehicle_id", gain.alias("uplift_cents"), (gain * share).cast("long").alias("fee_cents"))
+
+
+frame("sco08_gain_share", ["stock", "price", "dealer"], lambda d: f"SELECT vehicle_id, greatest(0, uplift_cents) AS uplift_cents, CAST(trunc(greatest(0, uplift_cents) * 0.1::DOUBLE) AS BIGINT) AS fee_cents FROM ({_ROUTES}) WHERE place = 1")(lambda s, p, d: gain_share(disposition(s, p, d).where("place = 1")))
 both("sco12_dossier", lambda d: "SELECT vin, CASE WHEN n >= 4 THEN 'full' WHEN n >= 2 THEN 'partial' ELSE 'unavailable' END AS section FROM (SELECT vin, count(DISTINCT source_platform) AS n FROM vehicle GROUP BY vin) x")
-both("sco14_nlc_taxes", lambda d: "SELECT lot, round(CASE WHEN co2 > 117 THEN least(power(co2 - 117, 2) * 10, 60000) * (1 - 0.10 * age) ELSE 0 END, 2) AS malus, round(price_gross_eur * CASE WHEN co2 < 121 THEN 0 WHEN co2 < 160 THEN 0.0475 WHEN co2 < 200 THEN 0.0975 ELSE 0.1475 END + 0.000001, 2) AS registration FROM (SELECT lot, price_gross_eur, 90 + CAST(mileage_km / 1000 AS INT) % 150 AS co2, 2021 - year AS age FROM vehicle WHERE make = 'BMW') x")
 both("sco15_sdi", lambda d: f"SELECT vehicle_id, dom FROM (SELECT vehicle_id, {d.between_days('indexed_at', d.now)} AS dom FROM recent) x WHERE dom BETWEEN 58 AND 65 OR dom BETWEEN 88 AND 95")
 both("sco16_composite", lambda d: "SELECT vehicle_id, round(0.35 * m + 0.25 * confidence_score + 0.25 * (CAST(photo_count AS DOUBLE) / 7) + 0.15 * CASE WHEN sold_at IS NULL THEN 1 ELSE 0 END + 0.0000001, 4) AS score FROM (SELECT *, percent_rank() OVER (PARTITION BY make, year ORDER BY price_gross_eur) AS m FROM vehicle) x")
 both("sco18_rollback", lambda d: f"""SELECT event_id FROM (SELECT event_id, mileage, max(mileage) OVER (PARTITION BY vin ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND {'INTERVAL 1 MICROSECOND' if d.name == 'duckdb' else "INTERVAL '0.000001' SECOND"} PRECEDING) AS high FROM mileage) x WHERE high > mileage + 500""")
@@ -217,4 +223,3 @@ def naive_forecast(series: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"make": s["make"].iloc[0], "step": list(steps), "p10": [y[-1] + drift * h - 1.2816 * err * h**0.5 for h in steps], "p50": [y[-1] + drift * h for h in steps], "p90": [y[-1] + drift * h + 1.2816 * err * h**0.5 for h in steps]})
 
 
-frame("sco20_forecast", ["recent"])(lambda v: v.groupBy("make", F.to_date("indexed_at").alias("day")).agg(F.avg("price_gross_eur").alias("price")).groupBy("make").applyInPandas(naive_forecast, "make string, step int, p10 double, p50 double, p90 double"))

@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import both, frame
 
-both("flt11_photo_cleanup", lambda d: f"SELECT page_id, count(*) AS photos FROM (SELECT page_id, {'explode(array_distinct(regexp_extract_all(html, ' + chr(39) + '<img[^>]*>' + chr(39) + ', 0)))' if d.name == 'spark' else 'unnest(list_distinct(regexp_extract_all(html, ' + chr(39) + '<img[^>]*>' + chr(39) + ')))'} AS tag FROM {d.base('pages')}) x WHERE lower(tag) NOT LIKE '%data:%' AND lower(tag) NOT LIKE '%1x1%' AND lower(tag) NOT LIKE '%pixel%' AND lower(tag) NOT LIKE '%.svg%' GROUP BY page_id")
 both("jon04_left_primary", lambda d: "SELECT d.dealer_id, f.family FROM dealer d LEFT JOIN (SELECT dealer_id, min(family) AS family FROM finding GROUP BY dealer_id) f ON f.dealer_id = d.dealer_id AND f.family = 'A'")
-both("jon14_prefix_baseline", lambda d: f"""SELECT vehicle_id, p25, p75 FROM (SELECT v.vehicle_id, b.p25, b.p75, row_number() OVER (PARTITION BY v.vehicle_id ORDER BY b.ord) AS r FROM vehicle v
-JOIN {d.values("(0, 'BMW', 'M1', 18000, 45000), (1, 'BMW', 'M', 15000, 40000), (2, 'Audi', 'M', 17000, 42000)", "ord, make, model, p25, p75")} b ON b.make = v.make AND (v.model LIKE concat(b.model, '%') OR b.model LIKE concat(v.model, '%'))) x WHERE r = 1""")
 both("jon15_vehicle_country_channel", lambda d: f"SELECT s.vehicle_id, c.country, h.channel FROM stock s CROSS JOIN country c CROSS JOIN {d.values(chr(44).join(repr(x).join('()') for x in ('dealer_direct', 'auction', 'export')), 'channel')} h WHERE NOT (s.origin = c.country AND h.channel = 'export')")
 both("agg08_price_trend", lambda d: f"SELECT dealer_id, round(100 * (p1 - p0) / p0, 3) AS trend FROM (SELECT dealer_id, avg(CASE WHEN indexed_at >= {d.now} - INTERVAL 90 DAY THEN price_gross_eur END) AS p1, avg(CASE WHEN indexed_at >= {d.now} - INTERVAL 180 DAY AND indexed_at < {d.now} - INTERVAL 90 DAY THEN price_gross_eur END) AS p0 FROM recent WHERE price_gross_eur > 0 GROUP BY dealer_id) x WHERE p0 > 0")
 both("agg09_week_z", lambda d: f"""WITH w AS (SELECT dealer_id, date_trunc('week', indexed_at) AS wk, CAST(count(*) AS DOUBLE) AS n FROM recent WHERE indexed_at >= {d.now} - INTERVAL 365 DAY GROUP BY 1, 2),
@@ -23,35 +20,23 @@ both("agg10_dom_delta", lambda d: f"SELECT dealer_id, round(avg(a), 4) AS tom, r
 both("agg12_price_vs_market", lambda d: "SELECT a.dealer_id, round(coalesce(a.m / nullif(b.m, 0), 1.0), 6) AS ratio FROM (SELECT dealer_id, country_code, avg(price_gross_eur) AS m FROM listing GROUP BY 1, 2) a JOIN (SELECT country_code, avg(price_gross_eur) AS m FROM listing GROUP BY 1) b ON a.country_code = b.country_code")
 both("agg20_edge_threshold", lambda d: "SELECT a.dealer_id AS src, b.dealer_id AS dst, count(*) AS n FROM (SELECT DISTINCT vin, dealer_id FROM vehicle) a JOIN (SELECT DISTINCT vin, dealer_id FROM vehicle) b ON a.vin = b.vin AND a.dealer_id < b.dealer_id GROUP BY 1, 2 HAVING count(*) >= 5")
 both("win04_trailing_z", lambda d: "SELECT event_id, round(CASE WHEN s > 0.000001 THEN (value - m) / s ELSE 0 END, 4) AS z FROM (SELECT event_id, value, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s, count(*) OVER w AS n FROM event WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY listing_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) x WHERE n >= 3")
-both("win06_cohort_residual", lambda d: "SELECT vehicle_id, round(price_gross_eur - avg(price_gross_eur) OVER (PARTITION BY make, model, year) + 0.0000001, 3) AS residual FROM vehicle WHERE fuel_type = 'electric'")
 both("win11_net_saving", lambda d: f"SELECT a.country AS origin, b.country AS dest, {d.trunc('3000000 * CAST(b.rate AS DOUBLE)')} AS vat_cents, max({d.trunc('3000000 * CAST(b.rate AS DOUBLE)')}) OVER (PARTITION BY a.country) - {d.trunc('3000000 * CAST(b.rate AS DOUBLE)')} AS saving, row_number() OVER (PARTITION BY a.country ORDER BY b.rate, b.country) AS place FROM vat a JOIN vat b ON a.country <> b.country")
-both("srt03_lowest_z", lambda d: "SELECT vehicle_id, price_gross_eur FROM vehicle WHERE make = 'BMW' ORDER BY price_gross_eur, vehicle_id LIMIT 30")
-both("srt05_two_keys", lambda d: "SELECT dealer_id, country_code, row_number() OVER (ORDER BY country_code, confidence_score DESC, dealer_id) AS place FROM dealer")
 both("srt11_mileage_order", lambda d: "SELECT vin, event_id, row_number() OVER (PARTITION BY vin ORDER BY ts, event_id) AS nth FROM mileage")
 both("sco02_risk_labels", lambda d: "SELECT dealer_id, concat_ws(',', CASE WHEN hhi > 0.25 THEN 'brand_concentration' END, CASE WHEN low > 0.05 THEN 'deep_discount' END) AS risks FROM (SELECT dealer_id, max(share) AS hhi, max(low) AS low FROM (SELECT dealer_id, make, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY dealer_id) AS share, avg(CASE WHEN price_gross_eur < 5000 THEN 1.0 ELSE 0.0 END) AS low FROM vehicle GROUP BY dealer_id, make) x GROUP BY dealer_id) y")
 both("sco04_trust_inputs", lambda d: "SELECT dealer_id, CASE WHEN vies_status = 'valid' AND status = 'ACTIVE' THEN 'valid' WHEN vies_status = 'none' THEN 'none' ELSE 'unchecked' END AS vies, CASE WHEN first_discovered_at IS NOT NULL THEN 'registered' ELSE 'unchecked' END AS registry FROM dealer")
-both("sco13_inquiry_dedup", lambda d: f"SELECT c_custkey, n, first_key FROM (SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS first_key FROM {d.base('customer')}) x")
-both("sco17_tax_cascade", lambda d: f"SELECT doc_id, CASE WHEN lower(text) LIKE '%private%' THEN 'REBU' WHEN lower(text) LIKE '%vat%' OR lower(text) LIKE '%mwst%' THEN 'DEDUCTIBLE' ELSE 'UNKNOWN' END AS tax_status FROM {d.base('documents')}")
-both("qry02_review_queue", lambda d: "SELECT vehicle_id FROM vehicle WHERE status = 'REJECTED' ORDER BY indexed_at DESC, vehicle_id LIMIT 40")
 both("qry03_pending", lambda d: "SELECT count(*) AS pending FROM vehicle WHERE status = 'REJECTED' AND confidence_score >= 0.95")
-both("qry06_checkpoint", lambda d: "SELECT listing_id AS k, max(event_id) AS position FROM event GROUP BY listing_id")
 both("qry07_key_updates", lambda d: "SELECT d.dealer_id, coalesce(u.score, d.confidence_score) AS confidence FROM dealer d LEFT JOIN (SELECT dealer_id, round(max(confidence_score), 2) AS score FROM vehicle WHERE price_gross_eur > 95000 GROUP BY dealer_id) u ON u.dealer_id = d.dealer_id")
-both("qry08_profile", lambda d: "SELECT dealer_id, md5(concat(CAST(dealer_id AS STRING), ':', country_code)) AS hash FROM dealer WHERE dealer_id = 42")
 both("qry10_contact_deals", lambda d: f"SELECT c_custkey, coalesce(n, 0) AS deals FROM {d.base('customer')} LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {d.base('orders')} GROUP BY o_custkey) x ON o_custkey = c_custkey ORDER BY c_custkey LIMIT 50")
 both("qry11_deals", lambda d: f"SELECT o_orderkey, c_name, coalesce(l_partkey, -1) AS l_partkey FROM {d.base('orders')} LEFT JOIN {d.base('customer')} ON c_custkey = o_custkey LEFT JOIN {d.base('lineitem')} ON l_orderkey = o_orderkey AND l_linenumber = 1 WHERE o_orderstatus = 'P'")
 both("qry14_templates", lambda d: f"SELECT n_name, CASE WHEN n_regionkey = 0 THEN 'system' ELSE 'tenant' END AS owner FROM {d.base('nation')} WHERE n_regionkey IN (0, 2) ORDER BY CASE WHEN n_regionkey = 0 THEN 0 ELSE 1 END, n_name")
 both("qry15_overdue", lambda d: f"SELECT count(*) AS overdue FROM (SELECT conv_id, max(turn) AS t FROM {d.base('conversations')} GROUP BY conv_id) x JOIN {d.base('conversations')} c ON c.conv_id = x.conv_id AND c.turn = x.t WHERE c.role = 'user'")
-both("qry17_auto_events", lambda d: "SELECT type, 'inspection' AS made, count(*) AS n FROM ledger WHERE type = 'purchase' GROUP BY type UNION ALL SELECT type, 'handover' AS made, count(*) AS n FROM ledger WHERE type = 'sale' GROUP BY type")
 both("qry18_published", lambda d: "SELECT source_platform, count(*) AS n FROM vehicle WHERE status = 'ACTIVE' AND sold_at IS NULL GROUP BY source_platform")
 both("qry19_exact_vin", lambda d: "SELECT vehicle_id, dealer_id FROM vehicle WHERE vin = (SELECT min(vin) FROM vehicle)")
-both("qry20_cache", lambda d: f"SELECT count(CASE WHEN ttl_expires_at > {d.now} THEN 1 END) AS fresh, count(CASE WHEN ttl_expires_at <= {d.now} THEN 1 END) AS expired FROM vehicle")
 both("qry22_enriched", lambda d: "SELECT source_url, max(price_gross_eur) AS price, 'ENRICHED' AS event FROM vehicle GROUP BY source_url")
 both("qry25_name_tokens", lambda d: "SELECT d.dealer_id, c.listing_id FROM dealer d JOIN (SELECT DISTINCT listing_id FROM event) c ON CAST(substr(d.canonical_name, 10, 9) AS BIGINT) = c.listing_id")
 both("qry28_created_at", lambda d: "SELECT vehicle_id, CAST(CAST(coalesce(sold_at, indexed_at) AS DATE) AS STRING) AS created FROM vehicle")
-both("src13_alias_csv", lambda d: f"SELECT c_custkey AS id, upper(trim(c_mktsegment)) AS segment FROM {d.base('customer')}")
 both("src20_distinct_left_joins", lambda d: f"SELECT DISTINCT s_suppkey, n_name, r_name FROM {d.base('supplier')} LEFT JOIN {d.base('nation')} ON s_nationkey = n_nationkey LEFT JOIN {d.base('region')} ON n_regionkey = r_regionkey")
 both("st03_backpressure_counts", lambda d: "SELECT listing_id % 10 AS lane, count(*) AS waiting, count(*) > 1000 AS paused FROM event GROUP BY 1")
-both("win10_prior_month", lambda d: "SELECT m, n, n - lag(n, 1, 0) OVER (ORDER BY m) AS change FROM (SELECT year(day) * 12 + month(day) AS m, count(*) AS n FROM ledger GROUP BY 1) x")
 
 
 def top_then_filter(vectors: DataFrame, k: int = 50, keep: int = 20) -> DataFrame:

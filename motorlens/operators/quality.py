@@ -154,6 +154,21 @@ def _photo(x: Column) -> tuple[Column, Column]:
     return x["status"].isin(404, 410) | (fine & ~known) | (fine & wrong), (~fine & ~x["status"].isin(404, 410)) | (fine & known & (small | F.coalesce(flat, F.lit(False))))
 
 
+def _derived(now_year: int) -> list[tuple[set[str], dict[str, Column]]]:
+    """Columns that rules name more than once, in steps, and the validators that need them: each is made once for a row."""
+    c = F.col
+    seen = F.filter(F.transform(F.regexp_extract_all("__title", F.lit(r"\b(1[9][0-9]{2}|2[0-9]{3})\b"), 1), lambda y: y.cast("int")), lambda y: y.between(1980, now_year + 2))
+    photos = lambda i: F.coalesce(F.exists("photos", lambda x: _photo(x)[i]), F.lit(False))
+    return [
+        ({"V02", "V04", "V09", "V11", "V13"}, {"__title": _trim("title"), "__mk": F.upper(_trim("make")), "__mo": F.upper(_trim("model"))}),
+        ({"V11", "V18"}, {"__desc": _trim("description")}), ({"V11", "V18"}, {"__low": F.lower("__desc")}), ({"V11", "V18"}, {"__spoken": text.language("__low")}), ({"V11"}, {"__repeats": repeated_sentence(c("__desc"))}),
+        ({"V04"}, {"__words": text.tokens("__title"), "__make_words": text.tokens("__mk"), "__model_words": text.tokens("__mo")}),
+        ({"V04"}, {"__in_make": matched_tokens(c("__make_words"), c("__words")), "__in_model": matched_tokens(c("__model_words"), c("__words"))}),
+        ({"V09"}, {"__title_year": F.get(seen, F.lit(0))}), ({"V05"}, {"__photo_bad": photos(0), "__photo_poor": photos(1)}), ({"V17"}, {"__page": F.lower(F.coalesce("body", F.lit("")))}),
+        ({"V13"}, {"__points": sum((F.when(x, n).otherwise(0) for x, n in ((F.octet_length(_trim("vin")) == 17, 20), (c("price_eur") > 0, 15), (c("__mk") != "", 10), (c("__mo") != "", 10), (c("year") > 1900, 10), (c("mileage_km") > 0, 10), (c("photo_count") >= 3, 10), (_trim("fuel_type") != "", 5), (_trim("transmission") != "", 5), (c("__title") != "", 5))), F.lit(0))}),
+    ]
+
+
 def validators(now_year: int = NOW_YEAR, now: str = SPARK.now) -> dict[str, tuple[list, Column | float]]:
     """Validator -> (rules, confidence without one); a rule: (condition, pass, severity, issue, confidence), over ``prepared``
     columns. A confidence may be a column."""
@@ -161,14 +176,11 @@ def validators(now_year: int = NOW_YEAR, now: str = SPARK.now) -> dict[str, tupl
     price, km, year = F.coalesce("price_eur", F.lit(0)), F.coalesce("mileage_km", F.lit(0)), F.coalesce("year", F.lit(0))
     age, n_photos = F.greatest(F.lit(now_year) - year, F.lit(0)), F.coalesce("photo_count", F.lit(0))
     loose = lambda a, b: F.contains(a, b) | F.contains(b, a)
-    make, model, vin_, title, desc = F.upper(_trim("make")), F.upper(_trim("model")), F.upper(_trim("vin")), _trim("title"), _trim("description")
+    make, model, vin_, title, desc, low = c("__mk"), c("__mo"), F.upper(_trim("vin")), c("__title"), c("__desc"), c("__low")
     mismatch = ((c("nhtsa_make") != "") & (make != "") & ~loose(make, c("nhtsa_make"))) | ((c("nhtsa_model") != "") & (model != "") & ~loose(model, c("nhtsa_model"))) | ((c("nhtsa_year") != 0) & (year != 0) & (year != c("nhtsa_year")))
-    in_make, in_model = matched_tokens(text.tokens(make), text.tokens(title)), matched_tokens(text.tokens(model), text.tokens(title))
-    years = F.filter(F.transform(F.regexp_extract_all(title, F.lit(r"\b(1[9][0-9]{2}|2[0-9]{3})\b"), 1), lambda y: y.cast("int")), lambda y: y.between(1980, now_year + 2))
-    other_year = F.coalesce(F.get(years, F.lit(0)) != year, F.lit(False)) | F.coalesce(c("nhtsa_year") != year, F.lit(False))
-    points = sum((F.when(x, n).otherwise(0) for x, n in ((F.octet_length(_trim("vin")) == 17, 20), (price > 0, 15), (make != "", 10), (model != "", 10), (year > 1900, 10), (km > 0, 10), (n_photos >= 3, 10), (_trim("fuel_type") != "", 5), (_trim("transmission") != "", 5), (title != "", 5))), F.lit(0))
-    low, country = F.lower(desc), F.upper(_trim("source_country"))
-    spoken = text.language(low)
+    in_make, in_model, spoken, points, page = c("__in_make"), c("__in_model"), c("__spoken"), c("__points"), c("__page")
+    other_year = F.coalesce(c("__title_year") != year, F.lit(False)) | F.coalesce(c("nhtsa_year") != year, F.lit(False))
+    country = F.upper(_trim("source_country"))
     expected = F.create_map(*(F.lit(x) for k, v in COUNTRY_LANGUAGE.items() for x in (k, v)))[country]
     fine = F.create_map(*(x for k, v in COUNTRY_LANGUAGES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))[country]
     unsaid = ((make != "") & ~F.contains(low, F.lower(_trim("make")))) | ((model != "") & ~F.contains(low, F.lower(_trim("model"))))
@@ -176,21 +188,20 @@ def validators(now_year: int = NOW_YEAR, now: str = SPARK.now) -> dict[str, tupl
     young = c("dealer_since") > F.expr(f"CAST({now} - INTERVAL 30 DAY AS DATE)")
     sure = F.when(young, F.least(trust, F.lit(0.5))).otherwise(trust)
     since = lambda hours: c("extracted_at") >= F.expr(f"{now} - INTERVAL {hours} HOUR")
-    page, status, url = F.lower(F.coalesce("body", F.lit(""))), c("http_status"), _trim("source_url")
-    any_photo = lambda i: F.coalesce(F.exists("photos", lambda x: _photo(x)[i]), F.lit(False))
+    status, url = c("http_status"), _trim("source_url")
     has = lambda words, where: F.coalesce(*(F.when(F.contains(where, F.lit(w)), True) for w in words), F.lit(False))
     return {
         "V01": ([(~c("__vin_ok"), False, CRITICAL, "check digit", 1.0)], 1.0),
         "V02": ([(F.octet_length(vin_) != 17, True, INFO, "VIN not of 17 characters", 1.0), (c("nhtsa_make").isNull(), True, INFO, "not decoded", 0.0), (c("nhtsa_error") != "", True, INFO, "not decodable", 0.5), (mismatch, False, WARNING, "decoded otherwise", 0.85)], 0.95),
         "V03": ([(_trim("dat_code") == "", True, INFO, "no code", 1.0), (c("__code").isNull(), True, INFO, "not in the table", 0.5), (F.substring(F.upper(_trim("dat_code")), 1, 4) != c("__code"), False, WARNING, "other code", 0.85)], 0.9),
         "V04": ([(title == "", True, INFO, "no title", 1.0), ((make == "") & (model == ""), True, INFO, "no make or model", 1.0), (in_make.isNotNull() & in_model.isNotNull(), True, WARNING, "", (in_make + in_model) / 2), (in_make.isNotNull(), False, WARNING, "model not in title", in_make * 0.6), (in_model.isNotNull(), False, WARNING, "make not in title", in_model * 0.6)], 0.1),
-        "V05": ([(F.coalesce(F.size("photos"), F.lit(0)) <= 0, True, INFO, "no photos", 1.0), (any_photo(0), False, CRITICAL, "not a photo", 0.9), (any_photo(1), False, WARNING, "poor photo", 0.9)], 0.9),
+        "V05": ([(F.coalesce(F.size("photos"), F.lit(0)) <= 0, True, INFO, "no photos", 1.0), (c("__photo_bad"), False, CRITICAL, "not a photo", 0.9), (c("__photo_poor"), False, WARNING, "poor photo", 0.9)], 0.9),
         "V06": ([(n_photos == 0, False, CRITICAL, "no photos", 1.0), (n_photos < 3, False, WARNING, "few photos", 1.0), (n_photos < 6, True, INFO, "some photos", 1.0)], 1.0),
         "V07": ([(price == 0, False, CRITICAL, "no price", 1.0), (c("__p25").isNull(), True, INFO, "no baseline", 0.5), (price < F.expr("__p25 div 2"), False, CRITICAL, "far below the market", 0.95), (price > c("__p75") * 2, False, WARNING, "far above the market", 0.8)], 0.9),
         "V08": ([((km == 0) & (year == 0), True, INFO, "nothing to compare", 1.0), (km > 500000, False, CRITICAL, "too high", 1.0), ((year > 0) & (km > 0) & (km < 100) & (age > 5), False, CRITICAL, "too low", 0.95), ((year > 0) & (age > 0) & (km > age * 50000), False, WARNING, "above expected", 0.8), ((year > 0) & (age > 2) & (km > 0) & (km < age * 4000), False, WARNING, "below expected", 0.7)], 0.85),
         "V09": ([(year == 0, True, INFO, "no year", 1.0), (year < 1900, False, CRITICAL, "too old", 1.0), (year > now_year + 1, False, CRITICAL, "in the future", 1.0), ((year == now_year + 1) | other_year, False, WARNING, "other year", 0.8)], 1.0),
         "V10": ([(url == "", True, INFO, "no link", 1.0), (status == 200, True, INFO, "", 1.0), (status.isin(301, 302, 307, 308), True, INFO, "redirects", 0.9), (status == 404, False, CRITICAL, "removed", 0.95), (status == 410, False, CRITICAL, "gone", 1.0), (status >= 500, False, WARNING, "server error", 0.6), (status == -1, False, WARNING, "unreachable", 0.5)], 0.7),
-        "V11": ([(desc == "", True, INFO, "no description", 1.0), (has(PLACEHOLDERS, low), False, CRITICAL, "placeholder", 1.0), (~F.coalesce("ai_disclosed", F.lit(True)), False, CRITICAL, "disclosure incomplete", 1.0), ((F.octet_length(desc) < 50) | repeated_sentence(desc) | F.coalesce(spoken != expected, F.lit(False)) | unsaid, False, WARNING, "poor description", 0.85)], 0.9),
+        "V11": ([(desc == "", True, INFO, "no description", 1.0), (has(PLACEHOLDERS, low), False, CRITICAL, "placeholder", 1.0), (~F.coalesce("ai_disclosed", F.lit(True)), False, CRITICAL, "disclosure incomplete", 1.0), ((F.octet_length(desc) < 50) | c("__repeats") | F.coalesce(spoken != expected, F.lit(False)) | unsaid, False, WARNING, "poor description", 0.85)], 0.9),
         "V12": ([(vin_ == "", True, INFO, "no VIN", 1.0), (c("__dealers") > 5, False, CRITICAL, "many dealers", 0.95), (c("__dealers") >= 2, False, WARNING, "several dealers", 0.85), (c("__listings") > 1, True, INFO, "several listings of one dealer", 0.9)], 1.0),
         "V13": ([(points < 50, False, WARNING, "gaps", points / 100.0), (points < 80, True, INFO, "acceptable", points / 100.0)], points / 100.0),
         "V14": ([(F.coalesce("is_archive", F.lit(False)), True, INFO, "archive", 1.0), (c("extracted_at").isNull(), True, INFO, "no time", 0.0), (since(24), True, INFO, "", 1.0), (since(72), True, INFO, "recent", 0.95), (since(168), False, WARNING, "stale", 0.85)], 0.9),
@@ -226,7 +237,7 @@ def near_photos(listings: DataFrame, distance: int = PHOTO_DISTANCE) -> DataFram
     return classes.join(near, "phash", "left").select("phash", "vehicles", F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
 
 
-def prepared(listings: DataFrame, decoded: DataFrame | None = None, only: Iterable[str] = tuple(WEIGHT)) -> DataFrame:
+def prepared(listings: DataFrame, decoded: DataFrame | None = None, only: Iterable[str] = tuple(WEIGHT), now_year: int = NOW_YEAR) -> DataFrame:
     """Listings with the columns that the validators ``only`` need; ``decoded``: vin with what a decoder says of it."""
     only = set(only)
     out = listings
@@ -245,6 +256,9 @@ def prepared(listings: DataFrame, decoded: DataFrame | None = None, only: Iterab
     if "V16" in only:
         near = near_photos(listings).select(F.col("phash").alias("__p"), ((F.col("vehicles") > 1) | (F.col("neighbours") > 0)).alias("__near_photo"))
         out = out.join(near, F.col("phash") == F.col("__p"), "left").drop("__p")
+    for needed, columns in _derived(now_year):
+        if needed & only:
+            out = out.withColumns(columns)
     return out
 
 
@@ -267,7 +281,7 @@ def findings(listings: DataFrame, decoded: DataFrame | None = None, only: Iterab
         if moving:
             sure[k] = F.coalesce(*(F.when(F.col(k) == i, conf) for i, conf in moving))
     texts = F.create_map(*(x for key, ok, sev, issue, conf in said for x in (F.lit(key), F.struct(F.lit(ok).alias("pass"), F.lit(sev).alias("severity"), F.lit(issue).alias("issue"), F.lit(conf).cast("double").alias("confidence")))))
-    graded = prepared(listings, decoded, rules).withColumns({k: _number(own) for k, (own, _) in rules.items()})
+    graded = prepared(listings, decoded, rules, now_year).withColumns({k: _number(own) for k, (own, _) in rules.items()})
     rows = F.array(*(F.struct(F.lit(k).alias("validator"), F.col(k).alias("n"), sure.get(k, F.lit(None)).cast("double").alias("own")) for k in rules))
     out = graded.select("vehicle_id", F.explode(rows).alias("x")).select("vehicle_id", "x.*").withColumn("r", texts[F.concat_ws("/", "validator", "n")])
     return out.select("vehicle_id", "validator", "r.pass", "r.severity", "r.issue", F.coalesce("r.confidence", "own").alias("confidence"))
@@ -281,7 +295,7 @@ def composite(listings: DataFrame, decoded: DataFrame | None = None, only: Itera
     """Weighted score and decision of each listing, within its row. A failed INFO or WARNING gives half its weight (whole
     number), a failed CRITICAL none; validators that weren't run don't count."""
     rules = {k: v for k, v in validators(now_year).items() if k in set(only)}
-    graded = prepared(listings, decoded, rules).select("vehicle_id", *(_number(own).alias(k) for k, (own, _) in rules.items()))
+    graded = prepared(listings, decoded, rules, now_year).select("vehicle_id", *(_number(own).alias(k) for k, (own, _) in rules.items()))
     got, bad = [], []
     for k, (own, _) in rules.items():
         ends = [_ELSE.get(k, (True, INFO)), *(r[1:3] for r in own)]
