@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from motorlens.functions import text, vin
-from motorlens.operators import dealers, feeds, joins, market, money, quality, search, storage
+from motorlens.operators import dealers, desk, feeds, joins, market, money, quality, search, storage
 from motorlens.sources import dumps, files
 from motorlens.streaming import ingest
 
@@ -541,3 +541,41 @@ def test_links(spark):
     for link, want in {"b.html": "https://h.de/x/b.html", "/b": "https://h.de/b", "//c.fr/d": "https://c.fr/d", "http://e": "http://e"}.items():
         assert one(spark, lambda c: files.resolved(F.lit("https://h.de/x/a.html?q=1"), c), link) == want
     assert [one(spark, files.country_of, u) for u in ("https://www.a.de/x", "http://a.fr:80", "https://a.com", None)] == ["DE", "FR", None, None]
+
+
+def test_filters_that_are_not_set(spark):
+    rows = spark.createDataFrame([("DE", 100.0, 5, 2020, "Diesel"), ("FR", 900.0, 50, 2010, "electric")], "country_code string, price_gross_eur double, mileage_km int, year int, fuel_type string")
+    assert desk.post_filters(rows, price_max=0, km_max=0, country="").count() == 2
+    assert desk.post_filters(rows, price_max=500, fuel_type="diesel", country="de").count() == 1
+    with pytest.raises(ValueError):
+        desk.scoped(rows, None)
+
+
+def test_rerank_falls_back_to_the_first_order(spark):
+    hits = spark.createDataFrame([(1, "audi petrol"), (2, "bmw diesel"), (3, "BMW petrol"), (4, "bmw petrol")], "rank int, doc string")
+    order = lambda df: [r["rank"] for r in df.orderBy("place").collect()]
+    assert order(desk.reranked(hits, desk.lexical_score("bmw diesel", F.col("doc")))) == [2, 3, 4, 1]
+    assert order(desk.reranked(hits, None)) == [1, 2, 3, 4] and order(desk.reranked(hits, desk.lexical_score("", F.col("doc")))) == [1, 2, 3, 4]
+
+
+def test_frontier_draws_repeat(spark):
+    shards = spark.createDataFrame([("a", 1, 1), ("b", 500, 1), ("c", 1, 500)], "shard string, alpha int, beta int")
+    first, again, other = ({r["shard"]: r["draw"] for r in desk.sampled_frontier(shards, s).collect()} for s in (1, 1, 2))
+    assert first == again != other and first["b"] > 0.9 > 0.1 > first["c"]
+
+
+def test_perceptual_hash(spark):
+    rng = np.random.default_rng(3)
+    base = np.kron(rng.integers(0, 200, (8, 8)), np.ones((16, 16))).astype(np.uint8)
+    dark, noisy, other = (base * 0.8).astype(np.uint8), np.clip(base + rng.normal(0, 3, base.shape), 0, 255).astype(np.uint8), np.kron(rng.integers(0, 200, (8, 8)), np.ones((16, 16))).astype(np.uint8)
+    rows = spark.createDataFrame([(i, bytearray(x.tobytes()), x.shape[1], x.shape[0]) for i, x in enumerate((base, dark, noisy, other, base[:20, :20]))] + [(9, None, 1, 1)], "id int, pixels binary, w int, h int")
+    got = {r["id"]: r["h"] for r in rows.select("id", desk.photo_hash("pixels", "w", "h").alias("h")).collect()}
+    apart = lambda a, b: ((got[a] ^ got[b]) % 2**64).bit_count()
+    assert apart(0, 1) <= 4 and apart(0, 2) <= 8 and apart(0, 3) > 12 and got[9] is None and got[4] is not None
+
+
+def test_week_order_of_health(spark):
+    rows = [("v", 1, "DE", "BMW", "ACTIVE", 10000.0, 0.9, datetime.datetime(2001, 9, 30) - datetime.timedelta(days=7 * (i // 2) + 1), datetime.datetime(2001, 9, 30)) for i in range(12)]
+    table = spark.createDataFrame(rows, "vehicle_id string, dealer_id long, country_code string, make string, status string, price_gross_eur double, confidence_score double, indexed_at timestamp_ntz, ttl_expires_at timestamp_ntz")
+    r = dealers.health(table).first()
+    assert (r["active_count"], r["brand_hhi"], r["price_vs_market"], r["volume_z"]) == (12, 1.0, 1.0, 0.0)
