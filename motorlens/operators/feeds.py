@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..plans.domain import VIEWS, duck_sql, view
-from ..plans.registry import ORACLES, QUERIES, both, frame
+from ..plans.registry import ORACLES, QUERIES, frame
 from ..plans.shared import new_path, stored
 from ..sources import files
 from ..streaming import ingest
