@@ -38,6 +38,8 @@ LEAF = 512
 
 #: Bytes of text whose words are held at a time.
 SPAN = 1_000_000
+#: Shingles of a text hashed at a time.
+PART = 16_384
 #: A-Z to lower case, ASCII white space to blanks.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 
@@ -46,25 +48,27 @@ def shingle_hashes(raw: bytes, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
     """XXH64 of all word shingles of one text (UTF-8), repeats included; of the whole sequence, where there are fewer words.
     Words are cut out span by span."""
     raw = raw.translate(_FOLD)
-    words, at, some = [], 0, False
+    words, at, some, hash_ = [], 0, False, xxhash.xxh64_intdigest
     while at < len(raw):
         cut = raw.find(b" ", at + SPAN)
         cut = len(raw) if cut < 0 else cut
         # The last words of a span begin the shingles of the next one.
-        words = words[max(0, len(words) - shingle + 1) :] + raw[at:cut].split()
+        kept = words[max(0, len(words) - shingle + 1) :]
+        words = raw[at:cut].split()
+        if kept:
+            words = kept + words
         at = cut
         if len(words) < shingle:
             continue
         some = True
         line = memoryview(b" ".join(words))
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        k = len(words) - shingle + 1
-        for i in range(0, k, 16384):
-            j = min(k, i + 16384)
-            yield np.fromiter([xxhash.xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[i:j].tolist(), ends[i + shingle - 1 : j + shingle - 1].tolist())], np.uint64, j - i)
+        starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
+        ends = ends[shingle - 1 :].tolist()
+        for i in range(0, len(ends), PART):
+            yield np.fromiter([hash_(line[a:b], 42) for a, b in zip(starts[i : i + PART], ends[i : i + PART])], np.uint64)
     if words and not some:
-        yield np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+        yield np.array([hash_(b" ".join(words), 42)], np.uint64)
 
 
 def text_fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
