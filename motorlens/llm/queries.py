@@ -10,6 +10,7 @@ from .op5_simhash import op5_simhash
 from .op7_tokens import op7_token_files
 from .op8_toxicity import op8_toxicity
 from .op10_licenses import op10_licenses
+from .op11_language import op11_language
 
 QUERIES = {
     "op1_mixing": op1_mixing.op1_mixing,
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_chats": op9_chats.op9_chats,
     "op10_licenses": op10_licenses,
+    "op11_language": op11_language,
 }
 
 ORACLES: dict[str, str] = {
