@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_mixing, op6_topk, op9_chats, op12_repair
+from . import op1_mixing, op6_topk, op9_chats, op12_repair, op13_ranked
 from .op2_packing import op2_packing
 from .op3_media import op3_media
 from .op4_quality import op4_quality
@@ -25,6 +25,7 @@ QUERIES = {
     "op10_licenses": op10_licenses,
     "op11_language": op11_language,
     "op12_repair": op12_repair.op12_repair,
+    "op13_ranked": op13_ranked.op13_ranked,
 }
 
 ORACLES: dict[str, str] = {
@@ -32,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op6_topk": op6_topk.ORACLE,
     "op9_chats": op9_chats.ORACLE,
     "op12_repair": op12_repair.ORACLE,
+    "op13_ranked": op13_ranked.ORACLE,
 }
