@@ -62,7 +62,7 @@ class Model:
     def __init__(self, languages: list[str], contexts: list[tuple[int, int]], counts: list[tuple[int, int, int, int, int]]):
         """``contexts``: (order, bytes, latest lowest), parents first; ``counts``: (order, bytes, language, byte, times)."""
         self.languages = languages
-        size = len(contexts) + 1
+        size = max(1, len(contexts)) + 1
         self.child = np.zeros((size + 1, WIDTH), np.int32)
         node_of, parent, depth = {}, np.zeros(size, np.int64), np.zeros(size, np.int64)
         for node, (order, context) in enumerate(contexts, 1):
@@ -152,8 +152,10 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, nodes: int = NODES) -> Model
     spark = docs.sparkSession
     small_batches(spark)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    chosen = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h")).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= rows)
+    # In two steps, so that one task gets at most so many rows of each of 64 parts of the input.
+    chosen = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h"), F.pmod(F.spark_partition_id(), F.lit(64)).alias("_part"))
+    for keys in (["lang", "_part"], ["lang"]):
+        chosen = chosen.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("_h", "doc_id"))).where(F.col("_n") <= rows)
     languages = sorted(r["lang"] for r in chosen.where("_n = 1").select("lang").collect())
     if not languages:
         return Model([], [], [])

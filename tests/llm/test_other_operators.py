@@ -122,7 +122,7 @@ def test_pipeline_on_an_empty_table(spark, data):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql_equivalents(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "conversations"):
+    for t in ("documents", "embeddings", "conversations", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     want = con.sql(queries.ORACLES[name]).df()
     got = queries.QUERIES[name](spark, data).toPandas()
