@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .store import saved, table
+from .store import packed, saved, table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -156,12 +156,14 @@ def with_draws(keyed: DataFrame, draws: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = 1, **how) -> DataFrame:
     """The mixed rows: the columns of ``docs`` with ``mix_shard``, ``mix_copy`` and ``mix_order`` (the place in the shard is
-    the rank of this number). A document appears once for each copy."""
-    keyed = _keyed(docs, how.get("block_bits", BLOCK_BITS), seed)
+    the rank of this number), which take the place of columns of these names. A document appears once for each copy."""
+    columns = [c for c in docs.columns if c not in ("mix_shard", "mix_copy", "mix_order")]
+    own = ("doc_id", "source", "text")
+    keyed = _keyed(packed(docs.select(*columns), *own), how.get("block_bits", BLOCK_BITS), seed)
     small = saved(keyed.select("doc_id", "source", "__size", "__key", "__block"), "sizes")
-    taken = with_draws(keyed, draw_blocks(small, seed, **how))
-    taken = taken.select(*docs.columns, F.posexplode("__copies").alias("mix_copy", "mix_shard"))
-    return taken.withColumn("mix_order", F.xxhash64(F.lit(seed), F.col("doc_id"), "mix_copy", "mix_shard"))
+    taken = with_draws(keyed, draw_blocks(small, seed, **how)).select("*", F.posexplode("__copies").alias("mix_copy", "mix_shard"))
+    order = F.xxhash64(F.lit(seed), F.col("doc_id"), "mix_copy", "mix_shard").alias("mix_order")
+    return taken.select(*(F.col(c) if c in own else F.col("row").getField(c).alias(c) for c in columns), "mix_copy", "mix_shard", order)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

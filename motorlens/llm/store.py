@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +45,17 @@ def dropped(df: DataFrame | None) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns ``own`` and one structure ``row`` of all others, whose names then can't clash with an operator's."""
+    rest = [docs[c] for c in docs.columns if c not in own]
+    return docs.select(*own, *([F.struct(*rest).alias("row")] if rest else []))
+
+
+def unpacked(rows: DataFrame, columns: list[str], *own: str) -> DataFrame:
+    """``columns`` as they were before ``packed``."""
+    return rows.select(*(F.col(c) if c in own else F.col("row").getField(c).alias(c) for c in columns))
+
+
 #: Rows of text in one Arrow batch; long documents would otherwise make batches of over a gigabyte.
 BATCH_ROWS = 256
 

@@ -100,7 +100,7 @@ def test_sample_is_bounded_and_keeps_held_out_rows_out(spark):
 
 
 def test_pipeline_stages(spark, data):
-    docs = spark.read.parquet(f"{data}/documents.parquet").withColumns({c: F.lit("x") for c in ("score", "target", "fp", "piece", "length", "copies", "threshold")})
+    docs = spark.read.parquet(f"{data}/documents.parquet").withColumns({c: F.lit("x") for c in ("score", "target", "fp", "piece", "length", "copies", "threshold", "row", "n", "kept", "__n", "__kept", "__size", "__s", "__key", "mix_copy", "mix_order", "__toxicity", "__quality")})
     odd = docs.limit(3).withColumn("text", F.lit(None).cast("string")).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
     docs = docs.unionByName(odd)
     columns, counts = docs.columns, [docs.count()]
