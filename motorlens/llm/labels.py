@@ -8,10 +8,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows of each class that a classifier is fitted on, at most (those with the smallest hashes).
 SAMPLE_ROWS = 1500
-#: Characters of a text in that sample: of a longer one ``CHUNKS`` evenly spaced chunks of that many in all. It bounds what the
-#: driver holds; scoring reads whole texts of any length.
-SAMPLE_CHARS = 20_000
-CHUNKS = 4
+#: Bytes of their texts, of each class, at most: whole texts, in order of the hash, each that still fits. It bounds what the driver holds.
+SAMPLE_BYTES = 6_000_000
 
 
 def held_out(doc_id="doc_id") -> F.Column:
@@ -19,16 +17,19 @@ def held_out(doc_id="doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _bounded(most: int) -> F.Column:
-    """The text, or evenly spaced chunks of it, the first and the last characters among them."""
-    each = most // CHUNKS
-    places = [F.floor((F.length("text") - each) * i / (CHUNKS - 1)).cast("int") + 1 for i in range(CHUNKS)]
-    return F.when(F.length("text") <= most, F.col("text")).otherwise(F.concat_ws(" ", *(F.substring("text", at, F.lit(each)) for at in places)))
+def fitting(rows: list, most: int) -> list:
+    """Of rows with ``size``, in their order, each that fits into what is left of ``most`` bytes."""
+    out = []
+    for r in rows:
+        if r["size"] <= most:
+            most -= r["size"]
+            out.append(r)
+    return out
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, most_chars: int = SAMPLE_CHARS) -> tuple[list[bytes], list, np.ndarray, float]:
-    """Texts (UTF-8), languages and labels of at most ``rows`` rows of each class, and by how much the log-odds of label 1
-    among all labelled rows exceed those in the sample. A doc_id with several labels has the largest."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], list, np.ndarray, float]:
+    """Whole texts (UTF-8), languages and labels of at most ``rows`` rows and ``most_bytes`` bytes of each class, and by how much the log-odds of
+    label 1 among all labelled rows exceed those in the sample. A doc_id with several labels has the largest."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("_y"))
     # Of the labelled documents that are there, those with the smallest hashes.
     there = known.join(docs.where("text is not null").select("doc_id"), "doc_id", "left_semi")
@@ -37,10 +38,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
     if not ids:
         return [], [], np.zeros(0), 0.0
     wanted = docs.sparkSession.createDataFrame(ids, "_id long, _y int")
-    found = docs.select(F.col("doc_id").alias("_doc"), "text", "lang").join(F.broadcast(wanted), F.col("_doc") == F.col("_id")).where("text is not null").withColumn("text", _bounded(most_chars))
-    found = [found.where(F.col("_y") == y).select("text", "lang", "_y", F.xxhash64("_id").alias("_h"), "_id").orderBy("_h", "_id", "text").limit(rows) for y in (0, 1)]
-    got = found[0].union(found[1]).collect()
-    got.sort(key=lambda r: (r["_h"], r["_id"], r["text"]))
+    found = docs.select(F.col("doc_id").alias("_doc"), "text", "lang").join(F.broadcast(wanted), F.col("_doc") == F.col("_id")).where("text is not null")
+    found = found.select("text", "lang", "_y", "_id", F.xxhash64("_id").alias("_h"), F.xxhash64("text").alias("_t"), F.octet_length("text").alias("size"))
+    sizes = [found.where(F.col("_y") == y).select("_y", "_id", "_h", "_t", "size").orderBy("_h", "_id", "_t").limit(rows).collect() for y in (0, 1)]
+    kept = [(r["_id"], r["_t"]) for part in sizes for r in fitting(part, most_bytes)]
+    if not kept:
+        return [], [], np.zeros(0), 0.0
+    kept = docs.sparkSession.createDataFrame(sorted(set(kept)), "_id long, _t long")
+    got = found.join(F.broadcast(kept), ["_id", "_t"], "left_semi").groupBy("_y", "_h", "_id", "_t", "lang").agg(F.first("text").alias("text")).collect()
+    got.sort(key=lambda r: (r["_h"], r["_id"], r["_t"], r["lang"] or ""))
     y = np.array([r["_y"] for r in got], np.float64)
     all_ = {r["_y"]: r["count"] for r in known.groupBy("_y").count().where("_y in (0, 1)").collect()}
     odds = [all_.get(1, 0) / max(1, all_.get(0, 0)), (y == 1).sum() / max(1, (y == 0).sum())]

@@ -7,7 +7,8 @@ chunk is pooled over the text by largest and by mean, and a hidden layer turns b
 probability.
 
 Defined results: a null or empty text is one chunk of zero bytes; repeated rows get equal scores;
-without labels of both classes every score is 0; an empty table gives no rows; extra columns stay.
+texts that score alike are ranked nowhere; without labels of both classes every score is 0; an empty table gives no rows; extra columns stay.
+A very long text is scored whole, chunk by chunk, and held in memory a few times over.
 """
 
 from __future__ import annotations
@@ -97,11 +98,15 @@ class Model:
                 raw = np.frombuffer(b"".join(texts[i] for i in own), np.uint8)
                 buffer, chunks = self.chunked(raw, np.concatenate([[0], np.cumsum([len(texts[i]) for i in own])]))
                 n = int(chunks.sum())
-                answers = self.taps[0].take(buffer[:, :CHUNK], 0)
-                for j in range(1, SPAN):
-                    answers += self.taps[j].take(buffer[:, j : j + CHUNK], 0)
-                place = answers.argmax(1)
-                pre = np.take_along_axis(answers, place[:, None], 1)[:, 0] + self.bias
+                place, pre = np.empty((n, FILTERS), np.int64), np.empty((n, FILTERS), np.float32)
+                for lo in range(0, n, BLOCK // CHUNK):
+                    part = buffer[lo : min(n, lo + BLOCK // CHUNK)]
+                    answers = self.taps[0].take(part[:, :CHUNK], 0)
+                    for j in range(1, SPAN):
+                        answers += self.taps[j].take(part[:, j : j + CHUNK], 0)
+                    place[lo : lo + len(part)] = answers.argmax(1)
+                    pre[lo : lo + len(part)] = answers.max(1)
+                pre += self.bias
                 seen = np.maximum(pre, 0)
                 first = np.cumsum(chunks) - chunks
                 doc = np.repeat(np.arange(len(own)), chunks)

@@ -97,6 +97,10 @@ def test_sample_is_bounded_and_keeps_held_out_rows_out(spark):
     import zlib
 
     assert all(zlib.crc32(t[1:]) % 4 != 2 for t in texts)
+    # Texts are whole; what doesn't fit any more is passed over.
+    long = docs.withColumn("text", F.when(F.col("id" if "id" in docs.columns else "doc_id") % 10 == 0, F.repeat(F.lit("w "), 5000)).otherwise(F.col("text")))
+    texts, _, y, _ = sample(long, labels, "toxic", rows=100, most_bytes=25_000)
+    assert {len(t) for t in texts if len(t) > 10} == {10_000} and sum(len(t) for t in texts if len(t) > 10) == 20_000 and y.sum() > 50
 
 
 def test_pipeline_stages(spark, data):
