@@ -69,8 +69,33 @@ def test_clustered_queries_reach_few_leaves(spark, monkeypatch):
     rows = [(i, np.floor(centres[i % 16] + rng.normal(size=16) * 5).tolist()) for i in range(8000)]
     data = saved(spark.createDataFrame(rows, "vec_id long, v array<double>"), "t")
     index, placed = op6_topk.index_of(data)
-    asked = op6_topk.routed(data.where("vec_id % 50 = 0"), index, 5).selectExpr("size(leaves) AS n").toPandas()
-    assert placed.count() == 8000 and len(index.centres) >= 16 and asked.n.mean() < len(index.centres) / 4
+    asked = data.where("vec_id % 50 = 0").withColumns({"least": F.lit(900_000).cast("long"), "been": F.lit(None).cast("long")})
+    reached = op6_topk.routed(asked, index).selectExpr("size(leaves) AS n").toPandas()
+    assert placed.count() == 8000 and len(index.centres) >= 16 and reached.n.mean() < len(index.centres) / 4
+
+
+@pytest.mark.parametrize("spread, dropped", [(0.02, 0.8), (0.3, 0.05), (None, 0.0)])
+def test_trees_have_levels_on_any_data(spread, dropped):
+    """Depth whatever the rows; how much is dropped depends on clusters. Children's balls hold their rows, centres of a node lie apart."""
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=(40, 24))
+    x = rng.normal(size=(3000, 24)) if spread is None else centre[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 24)) * spread
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    tree = op6_topk.CoverTree(x)
+    assert len(tree.centre) > 3000 / (4 * op6_topk.LEAF)
+    held = np.concatenate([r for r in tree.rows if r is not None])
+    assert sorted(held.tolist()) == list(range(3000))
+    for node, rows in enumerate(tree.rows):
+        if rows is not None:
+            assert np.linalg.norm(x[rows] - tree.centres[node], axis=1).max() <= tree.radii[node] + 1e-9 and np.linalg.norm(x[rows], axis=1).max() <= tree.most[node] + 1e-9
+        assert all(tree.radii[c] <= 2 * tree.radii[node] for c in tree.children[node])
+    seen = {}
+    ids = np.arange(3000)
+    a, b, score = op6_topk.search(x[::50], ids[::50], x, ids, 5, seen=seen)
+    full = x[::50] @ x.T
+    full[np.arange(60), ids[::50]] = -np.inf
+    assert sorted(score.tolist()) == sorted(np.sort(full, 1)[:, -5:].ravel().tolist())
+    assert seen["multiplied"] <= (1 - dropped) * seen["pairs"] and min(seen["nodes"]) >= 1 < max(seen["nodes"])
 
 
 def test_chats_keep_the_longest(spark):
