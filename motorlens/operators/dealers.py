@@ -147,7 +147,6 @@ both("agg07_liquidation", lambda d: f"SELECT dealer_id, count(CASE WHEN ttl_expi
 both("agg11_brand_hhi", lambda d: "SELECT dealer_id, round(sum(n * n) / (sum(n) * sum(n)), 6) AS hhi FROM (SELECT dealer_id, make, CAST(count(*) AS DOUBLE) AS n FROM vehicle WHERE status = 'ACTIVE' GROUP BY dealer_id, make) x GROUP BY dealer_id")
 both("agg17_trust_signals", lambda d: "SELECT d.dealer_id, count(v.vehicle_id) AS volume, round(100 * avg(v.confidence_score) + 0.0000001, 4) AS avg_score, count(CASE WHEN v.status = 'REJECTED' THEN 1 END) AS rejected FROM dealer d LEFT JOIN vehicle v ON v.dealer_id = d.dealer_id GROUP BY d.dealer_id")
 both("agg18_confidence", lambda d: "SELECT f.dealer_id, round(CAST(least(sum(w.weight), 1.0) AS DOUBLE), 4) AS confidence, count(*) AS families FROM (SELECT DISTINCT dealer_id, family FROM finding) f JOIN family_weight w ON f.family = w.family GROUP BY f.dealer_id")
-both("agg19_host_clusters", lambda d: f"SELECT host, n, members, min(provider) AS provider FROM (SELECT host, count(*) OVER (PARTITION BY host) AS n, members, provider FROM (SELECT k AS host, {d.joined('CAST(listing_id AS STRING)', 'listing_id')} AS members, min(event_type) AS provider, count(*) AS c FROM (SELECT DISTINCT k, listing_id, event_type FROM event WHERE event_type = 'error') x GROUP BY k HAVING count(*) >= 2) y) z GROUP BY host, n, members")
 both("agg21_graph_features", lambda d: """WITH f AS (SELECT d.dealer_id, d.country_code, d.confidence_score AS trust, ln(1 + count(v.vehicle_id)) AS volume, avg(v.price_gross_eur) AS price, avg(v.mileage_km) AS km FROM dealer d LEFT JOIN vehicle v ON v.dealer_id = d.dealer_id GROUP BY 1, 2, 3),
 e AS (SELECT """ + ", ".join(f"min({c}) AS {c}_low, max({c}) AS {c}_high" for c in ("trust", "volume", "price", "km")) + """ FROM f), c AS (SELECT country_code, row_number() OVER (ORDER BY country_code) - 1 AS country_index FROM (SELECT DISTINCT country_code FROM f) x)
 SELECT f.dealer_id, c.country_index, """ + ", ".join(f"round(CASE WHEN {c}_high > {c}_low THEN (f.{c} - {c}_low) / ({c}_high - {c}_low) ELSE 0 END, 6) AS {c}" for c in ("trust", "volume", "price", "km")) + " FROM f CROSS JOIN e JOIN c ON c.country_code = f.country_code")

@@ -159,6 +159,7 @@ frame("srt02_dealers_by_confidence", ["trust_signal"], lambda d: f"SELECT dealer
 
 # ---------------------------------------------------------------- tax status, inquiries, frontier
 
+# Words that say the margin scheme holds.
 MARGIN_WORDS = ("§25a", "ustg", "margeregeling", "mwst nicht ausweisbar", "rebu", "margen")
 
 
@@ -179,22 +180,6 @@ frame("sco17_tax_cascade", ["sale_text", "tax_cache"], lambda d: r"SELECT s.id,
 both("sco14_nlc_taxes", lambda d: "SELECT vehicle_id, CASE WHEN rebu THEN 0 ELSE round(CASE WHEN co2 > 117 THEN least(power(co2 - 117, 2) * 10, 60000) * (1 - 0.10 * age) ELSE 0 END, 2) END AS fr_malus, CASE WHEN rebu THEN 0 ELSE cents * CASE WHEN co2 >= 200 THEN 1475 WHEN co2 >= 160 THEN 975 WHEN co2 >= 120 THEN 475 ELSE 0 END DIVIDE 10000 END AS es_cents, CASE WHEN rebu THEN 0 ELSE round(co2 * 130 * (1 - least(age * 12 * 0.01, 0.90)), 2) END AS nl_bpm FROM (SELECT vehicle_id, CAST(round(price_gross_eur * 100) AS BIGINT) AS cents, CAST(90 + CAST(mileage_km / 1000 AS INT) % 150 AS DOUBLE) AS co2, CAST(2021 - year AS DOUBLE) AS age, lot % 10 = 0 AS rebu FROM vehicle) x".replace("DIVIDE", d.div))
 
 
-def inquiries(rows: DataFrame) -> DataFrame:
-    """Contact, conversation and deal of each inquiry (id, email, phone, external_id, vehicle_id, state): contacts are one by mail
-    address, or by telephone where there is none; conversations one by external id (without one: the inquiry's own); an open deal of
-    a contact and vehicle is used again. A listed vehicle turns to inquiry with its first one."""
-    person = F.coalesce(F.nullif(F.lower(F.trim("email")), F.lit("")), F.nullif(F.regexp_replace("phone", r"[^0-9+]", ""), F.lit("")), F.concat(F.lit("#"), F.col("id").cast("string")))
-    keyed = rows.withColumn("__p", person).withColumn("__c", F.coalesce(F.nullif(F.trim("external_id"), F.lit("")), F.concat(F.lit("#"), F.col("id").cast("string"))))
-    first = lambda *by: F.min("id").over(Window.partitionBy(*by))
-    moves = (F.col("state") == "listed") & (F.col("id") == first("vehicle_id"))
-    return keyed.select("id", first("__p").alias("contact_id"), first("__c").alias("conversation_id"), first("__p", "vehicle_id").alias("deal_id"), moves.alias("moves"))
-
-
-VIEWS["inquiry"] = lambda d: "SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN '' ELSE concat('User', CAST(listing_id AS STRING), '@x.example ') END AS email, concat('+49 ', CAST(listing_id AS STRING)) AS phone, CASE WHEN event_id % 4 = 0 THEN '' ELSE concat('c', CAST(event_id % 50 AS STRING)) END AS external_id, event_id % 20 AS vehicle_id, CASE WHEN event_id % 20 < 10 THEN 'listed' ELSE 'sold' END AS state FROM event"
-frame("sco13_inquiry_dedup", ["inquiry"], lambda d: """WITH k AS (SELECT id, vehicle_id, state, CASE WHEN trim(email) <> '' THEN lower(trim(email)) ELSE replace(phone, ' ', '') END AS p, CASE WHEN external_id <> '' THEN external_id ELSE '#' || id END AS c FROM inquiry)
-SELECT k.id, a.i AS contact_id, b.i AS conversation_id, e.i AS deal_id, k.state = 'listed' AND k.id = f.i AS moves FROM k JOIN (SELECT p, min(id) AS i FROM k GROUP BY p) a USING (p) JOIN (SELECT c, min(id) AS i FROM k GROUP BY c) b USING (c) JOIN (SELECT p, vehicle_id, min(id) AS i FROM k GROUP BY 1, 2) e USING (p, vehicle_id) JOIN (SELECT vehicle_id, min(id) AS i FROM k GROUP BY 1) f USING (vehicle_id)""")(inquiries)
-
-
 @F.pandas_udf(T.DoubleType())
 def _beta(shard: pd.Series, alpha: pd.Series, beta: pd.Series, seed: pd.Series) -> pd.Series:
     import zlib
@@ -207,8 +192,6 @@ def sampled_frontier(shards: DataFrame, seed: int = 1) -> DataFrame:
     return shards.withColumn("draw", _beta(F.col("shard").cast("string"), F.col("alpha").cast("double"), F.col("beta").cast("double"), F.lit(seed)))
 
 
-both("sco11_transitions", lambda d: f"""WITH s AS (SELECT tenant_vehicle, type, lag(type) OVER (PARTITION BY tenant_vehicle ORDER BY day, type, amount_cents) AS p FROM ledger), n AS (SELECT type, count(*) AS cards FROM ledger GROUP BY type)
-SELECT s.p AS from_state, s.type AS to_state, count(*) AS n, max(CASE WHEN t.a IS NULL THEN 1 ELSE 0 END) AS invalid, max(CASE WHEN n.cards > 1500 THEN 1 ELSE 0 END) AS column_full FROM s JOIN n ON n.type = s.type LEFT JOIN {d.values("('purchase', 'reconditioning'), ('reconditioning', 'transport'), ('transport', 'sale'), ('purchase', 'sale'), ('reconditioning', 'sale')", "a, b")} t ON t.a = s.p AND t.b = s.type WHERE s.p IS NOT NULL GROUP BY s.p, s.type""")
 frame("sco20_forecast", ["recent"], lambda d: """WITH s AS (SELECT make, CAST(indexed_at AS DATE) AS day, avg(price_gross_eur) AS y FROM recent GROUP BY 1, 2), e AS (SELECT *, y - lag(y) OVER (PARTITION BY make ORDER BY day) AS step, row_number() OVER (PARTITION BY make ORDER BY day) AS i, count(*) OVER (PARTITION BY make) AS n FROM s),
 f AS (SELECT make, max(CASE WHEN i = n THEN y END) AS last, (max(CASE WHEN i = n THEN y END) - max(CASE WHEN i = 1 THEN y END)) / (max(n) - 1) AS drift, stddev_pop(step) AS err FROM e WHERE n >= 10 GROUP BY make)
 SELECT make, CAST(h AS INT) AS step, round(last + drift * h - 1.2816 * err * sqrt(h), 3) AS p10, round(last + drift * h, 3) AS p50, round(last + drift * h + 1.2816 * err * sqrt(h), 3) AS p90 FROM f, range(1, 8) t(h)""")(

@@ -83,8 +83,6 @@ VIEWS["photo_hash"] = _photo_hashes
 frame("jon17_hamming", ["photo_hash"], lambda d: """WITH c AS (SELECT h, min(id) AS class_id FROM photo_hash GROUP BY h), l AS (SELECT a.h, count(*) AS links FROM c a JOIN c b ON a.h <> b.h AND bit_count(xor(a.h, b.h)) <= 4 GROUP BY a.h)
 SELECT p.id, p.h, c.class_id, coalesce(l.links, 0) AS links FROM photo_hash p JOIN c ON c.h = p.h LEFT JOIN l ON l.h = p.h""")(hamming_links)
 both("jon18_merged_aggregates", lambda d: "SELECT country_code, round(avg(price_gross_eur), 4) AS price_mean, count(*) AS volume, round(avg(mileage_km), 4) AS km_mean FROM listing GROUP BY country_code")
-both("jon19_priority_fallback", lambda d: f"""SELECT event_id, vehicle_id, tier FROM (SELECT e.event_id, v.vehicle_id, v.tier, row_number() OVER (PARTITION BY e.event_id ORDER BY v.tier, v.vehicle_id) AS n FROM event e
-JOIN (SELECT lot AS k, 1 AS tier, min(vehicle_id) AS vehicle_id FROM vehicle GROUP BY lot UNION ALL SELECT CAST(substr(vin, 10, 8) AS BIGINT) AS k, 2 AS tier, min(vehicle_id) AS vehicle_id FROM vehicle GROUP BY vin UNION ALL SELECT dealer_id AS k, 3 AS tier, max(vehicle_id) AS vehicle_id FROM vehicle GROUP BY dealer_id) v ON v.k = e.listing_id) x WHERE n = 1""")
 both("jon20_mandates", lambda d: f"""SELECT m.id AS mandate, count(*) AS matches, min(v.vehicle_id) AS first_match FROM (SELECT id, most, km, fuel, {'explode(makes)' if d.name == 'spark' else 'unnest(makes)'} AS make FROM (SELECT id, {'from_json(criteria, ' + chr(39) + 'makes array<string>, most double, km int, fuel string' + chr(39) + ')' if d.name == 'spark' else 'from_json(criteria, ' + chr(39) + '{"makes": ["VARCHAR"], "most": "DOUBLE", "km": "INT", "fuel": "VARCHAR"}' + chr(39) + ')'} AS c FROM
  {d.values("(1, '{\"makes\": [\"BMW\", \"Audi\"], \"most\": 20000, \"km\": 120000}'), (2, '{\"makes\": [\"Audi\"], \"most\": 30000, \"km\": 80000, \"fuel\": \"diesel\"}'), (3, '{\"makes\": [\"Toyota\", \"Renault\", \"Peugeot\"], \"most\": 15000, \"km\": 200000}')", "id, criteria")} j) k
  {'LATERAL VIEW inline(array(c)) x AS makes, most, km, fuel' if d.name == 'spark' else ', LATERAL (SELECT c.makes AS makes, c.most AS most, c.km AS km, c.fuel AS fuel) x'}) m

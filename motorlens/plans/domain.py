@@ -131,6 +131,8 @@ def with_views(text: str, d: Spark) -> str:
     if not views:
         return text
     body = text.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {', '.join(views)}, {body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {', '.join(views)}, {body[5:]}"
     return f"WITH {', '.join(views)} {body}"

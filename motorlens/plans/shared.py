@@ -26,4 +26,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` and rereads it: cuts the lineage, and is there when executors get lost."""
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table of ``stored`` that nothing reads any more."""
+    path = getattr(df, "_stored_path", None)
+    if path:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
