@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.storage import merge
+from .state import BucketedState
 
 PAYLOAD = "vin string, url string, make string, model string, year int, mileage_km int, color string, price_raw double, currency string, lat double, lng double, photo string, source string, status string, ts timestamp_ntz"
 _BROKEN = "_broken"
@@ -73,23 +74,28 @@ def history_events(merged: DataFrame) -> DataFrame:
 class Ingest:
     """Sink of the listing stream for ``foreachBatch``: merges a micro-batch into the state table and fans it out.
 
-    ``folder`` gets ``state/<version>`` and, for each sink, ``<sink>/batch=<number>``. A batch that is run again after a failure
-    overwrites what it wrote, so each batch counts once. The state is cut into ``parts`` by fingerprint; a batch rewrites it as a
-    whole here, since plain files can't be changed in place."""
+    ``folder`` gets ``state`` (see ``BucketedState``: only buckets that a batch touches are read, merged and rewritten) and, for each sink,
+    ``<sink>/batch=<number>``. A batch that is run again after a failure overwrites what it wrote, so each batch counts once."""
 
     SINKS = ("db_write", "search_sync", "price_events", "thumbs", "history")
 
-    def __init__(self, spark, folder: str, state: DataFrame | None = None):
+    def __init__(self, spark, folder: str, state: DataFrame | None = None, buckets: int = 64):
         self.spark, self.folder = spark, folder
-        (state if state is not None else spark.createDataFrame([], STATE)).write.mode("overwrite").parquet(f"{folder}/state/-1")
+        self.store = BucketedState(spark, folder + "/state", STATE, "fingerprint", buckets)
+        self.last = -1
+        if state is not None:
+            self.store.write(-1, state)
 
     def state(self, version: int) -> DataFrame:
-        return self.spark.read.schema(STATE).parquet(f"{self.folder}/state/{version}")
+        return self.store.read(version)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.schema(STATE).parquet(f"{self.folder}/state/{number - 1}")
+        path = f"{self.folder}/fresh/batch={number}"
         fresh = batch.select("fingerprint", "vin", "url", "make", "model", "year", "mileage_km", "price_eur", F.coalesce("status", F.lit("ACTIVE")).alias("status"), grid_key("lat", "lng", 0.5).alias("cell"), "photo", "source", "ts")
+        fresh.write.mode("overwrite").parquet(path)
+        fresh = spark.read.schema(fresh.schema).parquet(path)
+        old = self.store.read(self.store.before(number), self.store.touched(fresh))
         # Written once, read by all sinks; a persisted copy would be lost with its executors.
         path = f"{self.folder}/merged/batch={number}"
         prior = old.withColumn("__before", F.col("last_price_eur"))
@@ -100,7 +106,7 @@ class Ingest:
         merged.write.mode("overwrite").parquet(path)
         merged = spark.read.schema(merged.schema).parquet(path)
         names = [f.split(" ")[0] for f in STATE.split(", ")]
-        merged.select(*names).write.mode("overwrite").parquet(f"{self.folder}/state/{number}")
+        self.store.write(number, merged.select(*names))
         touched = merged.where("__state <> 'kept'")
         outs = {
             "db_write": touched.select("fingerprint"), "search_sync": touched.select("fingerprint", F.to_json(F.struct("make", "model", "year", "mileage_km", "price_eur", "status", "cell")).alias("payload")),
