@@ -154,4 +154,4 @@ both("agg21_brand_entropy", lambda d: "SELECT dealer_id, round(-sum(n / t * ln(n
 both("agg43_source_overlap", lambda d: "SELECT count(CASE WHEN a AND b THEN 1 END) AS overlap, count(CASE WHEN a AND NOT b THEN 1 END) AS only_a, count(CASE WHEN b AND NOT a THEN 1 END) AS only_b FROM (SELECT vin, max(CASE WHEN source_platform = 'src0' THEN 1 ELSE 0 END) = 1 AS a, max(CASE WHEN source_platform = 'src1' THEN 1 ELSE 0 END) = 1 AS b FROM vehicle GROUP BY vin) x")
 both("srt08_watchlist", lambda d: "SELECT dealer_id, score FROM (SELECT dealer_id, round(100 * avg(confidence_score) + 0.0000001, 4) AS score FROM vehicle GROUP BY dealer_id) x WHERE score < 95 ORDER BY score, dealer_id LIMIT 20")
 both("qry05_presences", lambda d: "SELECT country_code, vies_status, count(*) AS n FROM dealer GROUP BY country_code, vies_status")
-both("qry24_backfill_country", lambda d: "SELECT v.vehicle_id, coalesce(CASE WHEN d.status = 'ACTIVE' THEN d.country_code END, CASE WHEN v.source_url LIKE '%.example/%' THEN 'EU' END) AS country FROM vehicle v LEFT JOIN dealer d ON v.dealer_id = d.dealer_id WHERE v.make = 'Audi'")
+both("qry24_backfill_country", lambda d: "SELECT v.vehicle_id, coalesce(CASE WHEN d.status = 'ACTIVE' THEN d.country_code END, CASE WHEN v.source_url LIKE '%.example/%' THEN 'EU' END) AS country FROM vehicle v LEFT JOIN dealer d ON v.dealer_id = d.dealer_id")

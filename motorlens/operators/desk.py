@@ -140,7 +140,7 @@ def reranked(hits: DataFrame, score: Column | None, order: str = "rank") -> Data
     return hits.withColumn("__score", score if score is not None else F.lit(0.0)).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*by))).drop("__score")
 
 
-VIEWS["hit"] = lambda d: "SELECT vehicle_id, rank, concat_ws(' ', make, model, fuel_type, country_code) AS doc FROM (SELECT vehicle_id, make, model, fuel_type, country_code, row_number() OVER (ORDER BY price_gross_eur DESC, vehicle_id) AS rank FROM listing WHERE price_gross_eur > 90000) x WHERE rank <= 50"
+VIEWS["hit"] = lambda d: "SELECT vehicle_id, rank, concat_ws(' ', make, model, fuel_type, country_code) AS doc FROM (SELECT vehicle_id, make, model, fuel_type, country_code, row_number() OVER (ORDER BY price_gross_eur DESC, vehicle_id) AS rank FROM listing) x WHERE rank <= 50"
 frame("srt07_rerank", ["hit"], lambda d: "SELECT vehicle_id, rank, row_number() OVER (ORDER BY CASE WHEN doc LIKE '%BMW%' THEN 1 ELSE 0 END + CASE WHEN doc LIKE '%diesel%' THEN 1 ELSE 0 END DESC, rank) AS place FROM hit")(lambda h: reranked(h, lexical_score("bmw diesel suv", F.col("doc"))).select("vehicle_id", "rank", "place"))
 
 

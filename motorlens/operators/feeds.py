@@ -25,11 +25,13 @@ def query(name: str, oracle: str | None = None):
     return put
 
 
-@query("src17_fixed_width", "SELECT o_orderkey % 2 = 7 AS short, CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS status FROM orders")
+@query("src17_fixed_width", "SELECT o_orderkey % 7 = 0 AS short, CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE replace(o_orderpriority, ' ', '_') END AS priority FROM orders")
 def fixed_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    lines = orders.select(F.concat(F.rpad(F.col("o_orderkey").cast("string"), 12, " "), F.rpad("o_orderstatus", 4, " ")).alias("value"))
-    return files.fixed_width(lines, [("key", 1, 12), ("status", 13, 4)], 16)
+    whole = F.concat(F.rpad(F.col("o_orderkey").cast("string"), 12, " "), F.rpad("o_orderstatus", 4, " "), F.rpad(F.replace("o_orderpriority", F.lit(" "), F.lit("_")), 16, " "))
+    # Every seventh line breaks off within its key's field.
+    lines = orders.select(F.when(F.col("o_orderkey") % 7 == 0, F.substring(whole, 1, 11)).otherwise(whole).alias("value"))
+    return files.fixed_width(lines, [("key", 1, 12), ("status", 13, 4), ("priority", 17, 16)], 32)
 
 
 @query("src04_page_fields", "SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, len(regexp_extract_all(html, '(?i)<a\\s')) AS n_links FROM pages")

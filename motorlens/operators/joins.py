@@ -46,10 +46,10 @@ def hamming_pairs(hashes: DataFrame, distance: int = 4) -> DataFrame:
     return near.select("a", "b", F.bit_count(F.col("h").bitwiseXOR(F.col("g"))).alias("distance")).distinct()
 
 
-both("jon01_inner", lambda d: "SELECT v.vehicle_id, d.country_code FROM vehicle v JOIN dealer d ON v.dealer_id = d.dealer_id WHERE v.make = 'BMW'")
+both("jon01_inner", lambda d: "SELECT v.vehicle_id, d.country_code FROM vehicle v JOIN dealer d ON v.dealer_id = d.dealer_id")
 both("jon02_left", lambda d: "SELECT v.vehicle_id, d.canonical_name FROM vehicle v LEFT JOIN dealer d ON v.dealer_id = d.dealer_id AND d.status = 'ACTIVE'")
 both("jon03_left_keep_empty", lambda d: "SELECT d.dealer_id, count(v.vehicle_id) AS n FROM dealer d LEFT JOIN vehicle v ON v.dealer_id = d.dealer_id AND v.make = 'BMW' AND v.price_gross_eur > 90000 GROUP BY d.dealer_id")
-both("jon05_chained", lambda d: f"SELECT o_orderkey, c_name, n_name FROM {d.base('orders')} LEFT JOIN {d.base('customer')} ON o_custkey = c_custkey LEFT JOIN {d.base('nation')} ON c_nationkey = n_nationkey WHERE o_totalprice > 300000")
+both("jon05_chained", lambda d: f"SELECT o_orderkey, c_name, n_name FROM {d.base('orders')} LEFT JOIN {d.base('customer')} ON o_custkey = c_custkey LEFT JOIN {d.base('nation')} ON c_nationkey = n_nationkey")
 both("jon06_shared_vin_edges", lambda d: """WITH seen AS (SELECT vin, dealer_id, min(indexed_at) AS first_at FROM vehicle WHERE status = 'ACTIVE' GROUP BY vin, dealer_id)
 SELECT a.dealer_id AS src, b.dealer_id AS dst, count(*) AS shared, min(b.first_at) AS first_time FROM seen a JOIN seen b ON a.vin = b.vin AND a.dealer_id <> b.dealer_id AND a.first_at < b.first_at GROUP BY a.dealer_id, b.dealer_id HAVING count(*) >= 2""")
 both("jon08_anti_extra", lambda d: f"SELECT c.conv_id, c.turn FROM {d.base('conversations')} c WHERE c.role = 'user' AND NOT EXISTS (SELECT 1 FROM {d.base('conversations')} r WHERE r.conv_id = c.conv_id AND r.role = 'assistant' AND r.turn > c.turn)")

@@ -143,7 +143,7 @@ def trends(history: DataFrame, key: str = "dealer_id", at: str = "mth", score: s
     return moved.select(key, at, F.when(F.col("far") > band, "improving").when(F.col("far") < -band, "deteriorating").otherwise("stable").alias("trend"))
 
 
-VIEWS["dealer_month"] = lambda d: "SELECT dealer_id, mth, 100 * s / n AS score FROM (SELECT dealer_id, year(indexed_at) * 12 + month(indexed_at) AS mth, CAST(sum(CAST(round(confidence_score * 100) AS BIGINT)) AS DOUBLE) / 100 AS s, count(*) AS n FROM vehicle WHERE price_gross_eur > 60000 GROUP BY 1, 2) x"
+VIEWS["dealer_month"] = lambda d: "SELECT dealer_id, mth, 100 * s / n AS score FROM (SELECT dealer_id, year(indexed_at) * 12 + month(indexed_at) AS mth, CAST(sum(CAST(round(confidence_score * 100) AS BIGINT)) AS DOUBLE) / 100 AS s, count(*) AS n FROM vehicle GROUP BY 1, 2) x"
 frame("win05_trend", ["dealer_month"], lambda d: """SELECT m.dealer_id, m.mth, CASE WHEN count(h.score) < 2 THEN 'stable' WHEN round(m.score - avg(h.score), 6) > 5 THEN 'improving' WHEN round(m.score - avg(h.score), 6) < -5 THEN 'deteriorating' ELSE 'stable' END AS trend
 FROM dealer_month m LEFT JOIN (SELECT a.dealer_id, a.mth AS at, b.score, row_number() OVER (PARTITION BY a.dealer_id, a.mth ORDER BY b.mth DESC) AS r FROM dealer_month a JOIN dealer_month b ON a.dealer_id = b.dealer_id AND b.mth < a.mth) h ON h.dealer_id = m.dealer_id AND h.at = m.mth AND h.r <= 3 GROUP BY m.dealer_id, m.mth, m.score""")(trends)
 both("win07_temporal_split", lambda d: f"SELECT event_id, CASE WHEN r > n - greatest(1, n {d.div} 10) THEN 'test' WHEN r > n - 2 * greatest(1, n {d.div} 10) THEN 'validation' ELSE 'train' END AS part FROM (SELECT event_id, row_number() OVER (PARTITION BY listing_id ORDER BY ts, event_id) AS r, count(*) OVER (PARTITION BY listing_id) AS n FROM event) x")

@@ -139,8 +139,8 @@ frame("srt04_best_routes", ["stock", "price", "dealer"], lambda d: f"SELECT vehi
 frame("agg29_fleet_summary", ["stock", "price", "dealer"], lambda d: f"SELECT country, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 4) AS pct FROM ({_ROUTES}) WHERE place = 1 GROUP BY country")(
     lambda s, p, d: disposition(s, p, d).where("place = 1").groupBy("country").agg(F.count("*").alias("n")).withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
 )
-both("sco05_vat_cost", lambda d: f"SELECT a.country AS origin, b.country AS dest, CASE WHEN a.country = b.country OR (a.country <> 'CH' AND b.country <> 'CH') THEN 0 ELSE {d.trunc('2500000 * CAST(b.rate AS DOUBLE)')} + CASE WHEN b.country = 'CH' THEN 50000 ELSE 40000 END END AS vat_cents FROM vat a CROSS JOIN vat b")
-both("sco06_transport", lambda d: f"SELECT a.country AS origin, b.country AS dest, CASE WHEN a.country = b.country THEN 0 ELSE coalesce(o.cost, t.cost, 300000) END AS cost FROM country a CROSS JOIN country b LEFT JOIN transport t ON t.origin = a.country AND t.dest = b.country LEFT JOIN {d.values('(' + repr('DE') + ', ' + repr('FR') + ', 70000)', 'origin, dest, cost')} o ON o.origin = a.country AND o.dest = b.country")
+both("sco05_vat_cost", lambda d: f"SELECT r.id, r.origin, r.dest, CASE WHEN r.origin = r.dest OR (r.origin <> 'CH' AND r.dest <> 'CH') THEN 0 ELSE {d.trunc('r.price_cents * CAST(b.rate AS DOUBLE)')} + CASE WHEN r.dest = 'CH' THEN 50000 ELSE 40000 END END AS vat_cents FROM tax_request r JOIN vat b ON b.country = r.dest")
+both("sco06_transport", lambda d: f"SELECT s.vehicle_id, s.origin, b.country AS dest, CASE WHEN s.origin = b.country THEN 0 ELSE coalesce(o.cost, t.cost, 300000) END AS cost FROM stock s CROSS JOIN country b LEFT JOIN transport t ON t.origin = s.origin AND t.dest = b.country LEFT JOIN {d.values('(' + repr('DE') + ', ' + repr('FR') + ', 70000)', 'origin, dest, cost')} o ON o.origin = s.origin AND o.dest = b.country")
 
 
 def gain_share(plans: DataFrame, share: float = 0.1) -> DataFrame:

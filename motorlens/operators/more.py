@@ -17,14 +17,14 @@ both("agg10_dom_delta", lambda d: f"SELECT dealer_id, round(avg(a), 4) AS tom, r
 both("agg12_price_vs_market", lambda d: "SELECT a.dealer_id, round(coalesce(a.m / nullif(b.m, 0), 1.0), 6) AS ratio FROM (SELECT dealer_id, country_code, avg(price_gross_eur) AS m FROM listing GROUP BY 1, 2) a JOIN (SELECT country_code, avg(price_gross_eur) AS m FROM listing GROUP BY 1) b ON a.country_code = b.country_code")
 both("agg20_edge_threshold", lambda d: "SELECT a.dealer_id AS src, b.dealer_id AS dst, count(*) AS n FROM (SELECT DISTINCT vin, dealer_id FROM vehicle) a JOIN (SELECT DISTINCT vin, dealer_id FROM vehicle) b ON a.vin = b.vin AND a.dealer_id < b.dealer_id GROUP BY 1, 2 HAVING count(*) >= 5")
 both("win04_trailing_z", lambda d: "SELECT event_id, round(CASE WHEN s > 0.000001 THEN (value - m) / s ELSE 0 END, 4) AS z FROM (SELECT event_id, value, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s, count(*) OVER w AS n FROM event WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY listing_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) x WHERE n >= 3")
-both("win11_net_saving", lambda d: f"SELECT a.country AS origin, b.country AS dest, {d.trunc('3000000 * CAST(b.rate AS DOUBLE)')} AS vat_cents, max({d.trunc('3000000 * CAST(b.rate AS DOUBLE)')}) OVER (PARTITION BY a.country) - {d.trunc('3000000 * CAST(b.rate AS DOUBLE)')} AS saving, row_number() OVER (PARTITION BY a.country ORDER BY b.rate, b.country) AS place FROM vat a JOIN vat b ON a.country <> b.country")
+both("win11_net_saving", lambda d: f"SELECT r.id, b.country AS dest, {d.trunc('r.price_cents * CAST(b.rate AS DOUBLE)')} AS vat_cents, max({d.trunc('r.price_cents * CAST(b.rate AS DOUBLE)')}) OVER (PARTITION BY r.id) - {d.trunc('r.price_cents * CAST(b.rate AS DOUBLE)')} AS saving, row_number() OVER (PARTITION BY r.id ORDER BY b.rate, b.country) AS place FROM tax_request r JOIN vat b ON b.country <> r.origin")
 both("srt11_mileage_order", lambda d: "SELECT vin, event_id, row_number() OVER (PARTITION BY vin ORDER BY ts, event_id) AS nth FROM mileage")
 both("sco02_risk_labels", lambda d: "SELECT dealer_id, concat_ws(',', CASE WHEN hhi > 0.25 THEN 'brand_concentration' END, CASE WHEN low > 0.05 THEN 'deep_discount' END) AS risks FROM (SELECT dealer_id, max(share) AS hhi, max(low) AS low FROM (SELECT dealer_id, make, CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY dealer_id) AS share, avg(CASE WHEN price_gross_eur < 5000 THEN 1.0 ELSE 0.0 END) AS low FROM vehicle GROUP BY dealer_id, make) x GROUP BY dealer_id) y")
 both("sco04_trust_inputs", lambda d: "SELECT dealer_id, CASE WHEN vies_status = 'valid' AND status = 'ACTIVE' THEN 'valid' WHEN vies_status = 'none' THEN 'none' ELSE 'unchecked' END AS vies, CASE WHEN first_discovered_at IS NOT NULL THEN 'registered' ELSE 'unchecked' END AS registry FROM dealer")
 both("qry03_pending", lambda d: "SELECT count(*) AS pending FROM vehicle WHERE status = 'REJECTED' AND confidence_score >= 0.95")
-both("qry07_key_updates", lambda d: "SELECT d.dealer_id, coalesce(u.score, d.confidence_score) AS confidence FROM dealer d LEFT JOIN (SELECT dealer_id, round(max(confidence_score), 2) AS score FROM vehicle WHERE price_gross_eur > 95000 GROUP BY dealer_id) u ON u.dealer_id = d.dealer_id")
+both("qry07_key_updates", lambda d: "SELECT d.dealer_id, coalesce(u.score, d.confidence_score) AS confidence FROM dealer d LEFT JOIN (SELECT dealer_id, round(max(confidence_score), 2) AS score FROM vehicle WHERE status = 'ACTIVE' GROUP BY dealer_id) u ON u.dealer_id = d.dealer_id")
 both("qry10_contact_deals", lambda d: f"SELECT c_custkey, coalesce(n, 0) AS deals FROM {d.base('customer')} LEFT JOIN (SELECT o_custkey, count(*) AS n FROM {d.base('orders')} GROUP BY o_custkey) x ON o_custkey = c_custkey ORDER BY c_custkey LIMIT 50")
-both("qry11_deals", lambda d: f"SELECT o_orderkey, c_name, coalesce(l_partkey, -1) AS l_partkey FROM {d.base('orders')} LEFT JOIN {d.base('customer')} ON c_custkey = o_custkey LEFT JOIN {d.base('lineitem')} ON l_orderkey = o_orderkey AND l_linenumber = 1 WHERE o_orderstatus = 'P'")
+both("qry11_deals", lambda d: f"SELECT o_orderkey, c_name, coalesce(l_partkey, -1) AS l_partkey FROM {d.base('orders')} LEFT JOIN {d.base('customer')} ON c_custkey = o_custkey LEFT JOIN {d.base('lineitem')} ON l_orderkey = o_orderkey AND l_linenumber = 1")
 both("qry14_templates", lambda d: f"SELECT n_name, CASE WHEN n_regionkey = 0 THEN 'system' ELSE 'tenant' END AS owner FROM {d.base('nation')} WHERE n_regionkey IN (0, 2) ORDER BY CASE WHEN n_regionkey = 0 THEN 0 ELSE 1 END, n_name")
 both("qry15_overdue", lambda d: f"SELECT count(*) AS overdue FROM (SELECT conv_id, max(turn) AS t FROM {d.base('conversations')} GROUP BY conv_id) x JOIN {d.base('conversations')} c ON c.conv_id = x.conv_id AND c.turn = x.t WHERE c.role = 'user'")
 both("qry18_published", lambda d: "SELECT source_platform, count(*) AS n FROM vehicle WHERE status = 'ACTIVE' AND sold_at IS NULL GROUP BY source_platform")
@@ -33,7 +33,6 @@ both("qry22_enriched", lambda d: "SELECT source_url, max(price_gross_eur) AS pri
 both("qry25_name_tokens", lambda d: "SELECT d.dealer_id, c.listing_id FROM dealer d JOIN (SELECT DISTINCT listing_id FROM event) c ON CAST(substr(d.canonical_name, 10, 9) AS BIGINT) = c.listing_id")
 both("qry28_created_at", lambda d: "SELECT vehicle_id, CAST(CAST(coalesce(sold_at, indexed_at) AS DATE) AS STRING) AS created FROM vehicle")
 both("src20_distinct_left_joins", lambda d: f"SELECT DISTINCT s_suppkey, n_name, r_name FROM {d.base('supplier')} LEFT JOIN {d.base('nation')} ON s_nationkey = n_nationkey LEFT JOIN {d.base('region')} ON n_regionkey = r_regionkey")
-both("st03_backpressure_counts", lambda d: "SELECT listing_id % 10 AS lane, count(*) AS waiting, count(*) > 1000 AS paused FROM event GROUP BY 1")
 
 
 def top_then_filter(vectors: DataFrame, k: int = 50, keep: int = 20) -> DataFrame:

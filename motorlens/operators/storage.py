@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,18 +13,16 @@ from ..plans.shared import new_path, stored  # noqa: F401
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], order: Column, keep_old: tuple[str, ...] = ()) -> DataFrame:
-    """Latest row of each key; ``keep_old`` columns stay as they were first. Rows with a null key are always appended. One
-    aggregation by the keys: rows of a task are merged before they are shuffled."""
+    """Latest row of each key; ``keep_old`` columns stay as they were first. Rows with a null key are always appended (each has a number of its
+    own beside the keys). One aggregation by the keys: rows of a task are merged before they are shuffled, and both inputs are read once."""
     both_ = existing.withColumn("__new", F.lit(0)).unionByName(incoming.withColumn("__new", F.lit(1))).withColumn("__order", order)
-    known = F.lit(True)
-    for k in keys:
-        known = known & F.col(k).isNotNull()
+    null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    both_ = both_.withColumn("__alone", F.when(null, F.monotonically_increasing_id()))
     rest = [c for c in existing.columns if c not in keys]
     latest = F.min_by(F.struct(*rest), F.struct((-F.col("__new")).alias("a"), F.col("__order").alias("b"))).alias("__r")
     first = [F.min_by(F.struct(c), F.when(F.col(c).isNotNull(), F.struct("__new", "__order")))[c].alias("__first_" + c) for c in keep_old]
-    merged = both_.where(known).groupBy(*keys).agg(latest, *first)
-    kept = merged.select(*keys, *((F.col("__first_" + c) if c in keep_old else F.col("__r")[c]).alias(c) for c in rest)).select(existing.columns)
-    return kept.unionByName(both_.where(~known).select(existing.columns))
+    merged = both_.groupBy(*keys, "__alone").agg(latest, *first)
+    return merged.select(*keys, *((F.col("__first_" + c) if c in keep_old else F.col("__r")[c]).alias(c) for c in rest)).select(existing.columns)
 
 
 def merge(existing: DataFrame, incoming: DataFrame, keys: list[str], changes: dict[str, Column], when: Column | None = None, inserted: dict[str, Column] | None = None) -> DataFrame:
@@ -130,7 +130,7 @@ frame("set01_delta", ["vehicle"], lambda d: f"SELECT coalesce(a.vin, b.vin) AS v
 )
 frame("stg02_summing", ["event"], lambda d: "SELECT k, event_type, CAST(sum(1) AS BIGINT) AS n FROM event GROUP BY k, event_type")(lambda e: compacted(e.withColumn("n", F.lit(1)), ["k", "event_type"], ["n"]))
 both("snk08_retention", lambda d: f"SELECT dealer_id, count(*) AS kept FROM recent WHERE indexed_at >= {d.now} - INTERVAL 365 DAY GROUP BY dealer_id")
-both("snk14_no_personal_data", lambda d: "SELECT vehicle_id, make, model, year, fuel_type, source_platform FROM vehicle WHERE status = 'ACTIVE' AND make = 'Toyota'")
+both("snk14_no_personal_data", lambda d: "SELECT vehicle_id, make, model, year, fuel_type, source_platform FROM vehicle WHERE status = 'ACTIVE'")
 both("set02_incremental", lambda d: f"SELECT v.vehicle_id FROM vehicle v LEFT JOIN (SELECT DISTINCT vin FROM vehicle WHERE {_OLD}) k ON v.vin = k.vin WHERE k.vin IS NULL")
 both("set04_distinct", lambda d: "SELECT DISTINCT make, model, fuel_type FROM vehicle")
 both("set05_overlap", lambda d: f"SELECT count(CASE WHEN a.vin IS NOT NULL AND b.vin IS NOT NULL THEN 1 END) AS both_n, count(CASE WHEN b.vin IS NULL THEN 1 END) AS only_a, count(CASE WHEN a.vin IS NULL THEN 1 END) AS only_b FROM (SELECT DISTINCT vin FROM vehicle WHERE {_OLD}) a FULL JOIN (SELECT DISTINCT vin FROM vehicle WHERE {_NEW}) b ON a.vin = b.vin")

@@ -63,3 +63,101 @@ def bucketed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     in_files(events, "ts", 4, folder + "/in").writeStream.foreachBatch(add).option("checkpointLocation", folder + "/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return state.read(last["n"]).select("k", "n", "cents", "latest")
+
+
+# ---------------------------------------------------------------- rates that change
+
+
+class Versions:
+    """A small table that changes while a stream runs: ``folder/<version>``, whole versions only. A batch takes the newest one there is when it first
+    runs and notes it, so that it takes the same one when it is run again."""
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str):
+        self.spark, self.folder, self.schema = spark, folder, schema
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def put(self, version: int, rows: DataFrame) -> None:
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/{version}")
+
+    def newest(self) -> int:
+        fs = self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+        found = [f.getPath().getName() for f in fs.listStatus(self._path(""))]
+        return max(int(n) for n in found if n.isdigit() and fs.exists(self._path(f"{n}/_SUCCESS")))
+
+    def taken_by(self, number: int) -> DataFrame:
+        """The version that batch ``number`` works with."""
+        fs, notes = self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration()), self._path("batches")
+        names = [f.getPath().getName().split("-") for f in fs.listStatus(notes)] if fs.exists(notes) else []
+        noted = [int(version) for batch, version in names if batch == str(number)]
+        version = min(noted) if noted else self.newest()
+        if not noted:
+            fs.mkdirs(self._path(f"batches/{number}-{version}"))
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{version}")
+
+
+_RATES = "(VALUES ('purchase', 0.9), ('view', 1.1), ('click', 1.0)) r(event_type, rate)"
+
+
+@query("st04_changing_rates", f"""WITH s AS (SELECT *, epoch_us(ts) AS us FROM events), b AS (SELECT min(us) AS low, max(us) AS high FROM s), n AS (SELECT s.*, CAST((us - low) * 4 // (high - low + 1) AS INT) AS batch FROM s, b)
+SELECT event_id, batch, round(value * (rate::DOUBLE + 0.5 * batch), 4) AS euro FROM n JOIN {_RATES} USING (event_type)""")
+def changing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values in euro by the rates that hold when a micro-batch runs; they change after each of four. A kind without a rate drops out."""
+    folder, schema = new_path(spark, "rates"), "event_type string, rate double"
+    rates = Versions(spark, folder + "/rates", schema)
+    table = lambda n: spark.createDataFrame([("purchase", 0.9 + 0.5 * n), ("view", 1.1 + 0.5 * n), ("click", 1.0 + 0.5 * n)], schema)
+    rates.put(0, table(0))
+
+    def convert(batch: DataFrame, number: int) -> None:
+        out = batch.join(F.broadcast(rates.taken_by(number)), "event_type")  # a row for each kind
+        out.select("event_id", F.lit(number).alias("batch"), F.round(F.col("value") * F.col("rate"), 4).alias("euro")).write.mode("overwrite").parquet(f"{folder}/out/part={number}")
+        rates.put(number + 1, table(number + 1))
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "value")
+    in_files(events, "ts", 4, folder + "/in").writeStream.foreachBatch(convert).option("checkpointLocation", folder + "/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, batch int, euro double").parquet(*[f"{folder}/out/part={i}" for i in range(4)])
+
+
+# ---------------------------------------------------------------- states by day
+
+#: Binary logarithm of registers of a distinct sketch, and size of a quantile sketch: errors of about 1.6 % of the number and 0.7 % of ranks.
+LG, K = 12, 400
+
+
+def day_states(events: DataFrame) -> DataFrame:
+    """(day, event_type, n, cents, users, prices): counts, sums and two sketches of (ts, event_type, user_id, value), which merge to any period."""
+    cents = F.round(F.col("value") * 100).cast("long")
+    day = (F.year("ts") * 10000 + F.month("ts") * 100 + F.dayofmonth("ts")).alias("day")
+    return events.groupBy(day, "event_type").agg(F.count("*").alias("n"), F.sum(cents).alias("cents"), F.hll_sketch_agg("event_id", LG).alias("users"), F.kll_sketch_agg_bigint(cents, K).alias("prices"))
+
+
+def add_days(states: DataFrame, folder: str) -> None:
+    """Writes the days of ``states``; those that are there already are replaced, no other day is touched."""
+    states.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(folder)
+
+
+def over(states: DataFrame, *keys: str) -> DataFrame:
+    """States merged over ``keys``: counts and sums exactly, distinct numbers and quantiles within the sketches' errors."""
+    merged = states.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"), F.hll_union_agg("users").alias("users"), F.kll_merge_agg_bigint("prices").alias("prices"))
+    quantile = lambda q: F.kll_sketch_get_quantile_bigint("prices", F.lit(q))
+    return merged.select(*keys, "n", "cents", F.hll_sketch_estimate("users").alias("distinct"), quantile(0.25).alias("p25"), quantile(0.5).alias("p50"), quantile(0.75).alias("p75"))
+
+
+@query("agg44_day_states", "SELECT event_type, count(*) AS n, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents, true AS distinct_fits, true AS quartiles_fit FROM events GROUP BY event_type")
+def merged_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of each day, stored; the last day comes later and again; then the month of each kind, and whether its estimates lie within the
+    stated errors (three times the distinct sketch's, twice the quantile sketch's) of the exact numbers."""
+    folder = new_path(spark, "days")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "event_type", "user_id", "value")
+    last = events.agg(F.to_date(F.max("ts")).alias("d")).first()["d"]
+    add_days(day_states(events.where(F.to_date("ts") < F.lit(last))), folder)
+    for part in (events.where(F.to_date("ts") == F.lit(last)).limit(1), events.where(F.to_date("ts") == F.lit(last))):
+        add_days(day_states(part), folder)
+    month = over(spark.read.parquet(folder), "event_type")
+    cents = F.round(F.col("value") * 100).cast("long")
+    exact = events.groupBy("event_type").agg(F.count_distinct("event_id").alias("_d"))
+    near = events.join(month.select("event_type", "p25", "p50", "p75"), "event_type").groupBy("event_type").agg(*(F.avg((cents <= F.col(p)).cast("double")).alias("_" + p) for p in ("p25", "p50", "p75")))
+    fits = lambda p, q: F.abs(F.col("_" + p) - q) < 0.014 + 1 / F.col("n")
+    out = month.join(exact, "event_type").join(near, "event_type")
+    return out.select("event_type", "n", "cents", (F.abs(F.col("distinct") - F.col("_d")) <= 1 + 3 * 1.04 / 2 ** (LG / 2) * F.col("_d")).alias("distinct_fits"), (fits("p25", 0.25) & fits("p50", 0.5) & fits("p75", 0.75)).alias("quartiles_fit"))
