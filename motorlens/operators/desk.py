@@ -192,19 +192,6 @@ def sampled_frontier(shards: DataFrame, seed: int = 1) -> DataFrame:
     return shards.withColumn("draw", _beta(F.col("shard").cast("string"), F.col("alpha").cast("double"), F.col("beta").cast("double"), F.lit(seed)))
 
 
-frame("sco20_forecast", ["recent"], lambda d: """WITH s AS (SELECT make, CAST(indexed_at AS DATE) AS day, avg(price_gross_eur) AS y FROM recent GROUP BY 1, 2), e AS (SELECT *, y - lag(y) OVER (PARTITION BY make ORDER BY day) AS step, row_number() OVER (PARTITION BY make ORDER BY day) AS i, count(*) OVER (PARTITION BY make) AS n FROM s),
-f AS (SELECT make, max(CASE WHEN i = n THEN y END) AS last, (max(CASE WHEN i = n THEN y END) - max(CASE WHEN i = 1 THEN y END)) / (max(n) - 1) AS drift, stddev_pop(step) AS err FROM e WHERE n >= 10 GROUP BY make)
-SELECT make, CAST(h AS INT) AS step, round(last + drift * h - 1.2816 * err * sqrt(h), 3) AS p10, round(last + drift * h, 3) AS p50, round(last + drift * h + 1.2816 * err * sqrt(h), 3) AS p90 FROM f, range(1, 8) t(h)""")(
-    lambda v: _forecasts(v).select("make", "step", *(F.round(c, 3).alias(c) for c in ("p10", "p50", "p90")))
-)
-
-
-def _forecasts(recent: DataFrame) -> DataFrame:
-    return recent.groupBy("make", F.to_date("indexed_at").alias("day")).agg(F.avg("price_gross_eur").alias("price")).groupBy("make").applyInPandas(money.naive_forecast, "make string, step int, p10 double, p50 double, p90 double")
-
-
-frame("qry26_forecast_summary", ["recent"], lambda d: f"SELECT count(*) AS series, round(max(p50), 2) AS highest, round(min(p50), 2) AS lowest FROM ({ORACLES['sco20_forecast']}) f WHERE step = 7")(lambda v: _forecasts(v).where("step = 7").agg(F.count("*").alias("series"), F.round(F.max(F.round("p50", 3)), 2).alias("highest"), F.round(F.min(F.round("p50", 3)), 2).alias("lowest")))
-
 # ---------------------------------------------------------------- look-ups, states and events
 
 both("qry01_detail", lambda d: f"""SELECT v.vehicle_id, v.make, v.vin, d.canonical_name, d.country_code, {'get_json_object(badge, ' + repr('$.level') + ')' if d.name == 'spark' else 'json_extract_string(badge, ' + repr('$.level') + ')'} AS badge FROM (SELECT *, concat('{{"level": "', CASE WHEN confidence_score >= 0.95 THEN 'A' ELSE 'B' END, '"}}') AS badge FROM vehicle) v LEFT JOIN dealer d ON v.dealer_id = d.dealer_id WHERE v.lot = 1""")

@@ -212,14 +212,4 @@ def _open(full: list[str]) -> Column:
 frame("srt14_capped_assignment", ["stock", "price", "dealer"])(lambda s, p, d: capped(disposition(s, p, d)))
 
 
-def naive_forecast(series: pd.DataFrame) -> pd.DataFrame:
-    """Statistical stand-in for a forecasting model: drift with residual quantiles; needs ten rows."""
-    s = series.sort_values("day")
-    if len(s) < 10:
-        return pd.DataFrame({"make": [], "step": [], "p10": [], "p50": [], "p90": []})
-    y = s["price"].to_numpy()
-    drift, err = (y[-1] - y[0]) / (len(y) - 1), (y[1:] - y[:-1]).std()
-    steps = range(1, 8)
-    return pd.DataFrame({"make": s["make"].iloc[0], "step": list(steps), "p10": [y[-1] + drift * h - 1.2816 * err * h**0.5 for h in steps], "p50": [y[-1] + drift * h for h in steps], "p90": [y[-1] + drift * h + 1.2816 * err * h**0.5 for h in steps]})
-
 

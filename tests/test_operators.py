@@ -393,6 +393,12 @@ def test_dealer_names_in_text(spark):
     article = "Das Autohaus Muster GmbH, sowie Müller Auto AG und Garage Dupont SARL. Auch Mueller Motors und Mueller Motors sind da."
     got = [r["normal"] for r in one(spark, text.dealer_names, article)]
     assert got == ["muster", "müller auto", "dupont", "auch mueller motors", "mueller motors"]
+    read = lambda text_: [r["normal"] for r in one(spark, text.dealer_names, text_)]
+    assert "muster" in read("Der Automobilhändler Autohaus Muster GmbH hat heute eine neue Filiale in Berlin eröffnet.")
+    assert read("Le Garage Dupont SARL a été racheté par Garage Martin SAS, dit-on.") == ["dupont", "martin"]
+    assert read("The weather in Berlin was sunny yesterday. No dealers mentioned here.") == []
+    assert read("Autohaus Muster GmbH hat eröffnet. Das AUTOHAUS Muster GmbH dankt; Talleres García SL y el Garage de la Gare") == ["muster", "garcía", "de la gare"]
+    assert read("") == [] and read("Garage") == []
 
 
 def test_listing_document(spark):
