@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,16 +37,32 @@ def first_match(left: DataFrame, rules: DataFrame, condition, ordinal: str, id_c
     return joined.groupBy(*left.columns).agg(F.min_by(F.struct(*rules.columns), ordinal).alias("rule"))
 
 
-def hamming_pairs(hashes: DataFrame, distance: int = 4) -> DataFrame:
-    """(a, b) with at most ``distance`` differing bits: two such hashes agree in one of distance + 1 slices, so only rows that
-    share a slice meet. ``hashes``: id, h."""
-    n = distance + 1
+def hamming_plan(n: int, distance: int, bits: int = 64) -> tuple[int, int]:
+    """(slices, flips) for n hashes: of any pair one of the slices differs in no more than ``flips`` bits, so a hash is looked up under each of its
+    slices with so many bits turned. The plan with the fewest look-ups and, on even hashes, pairs compared: more hashes mean fewer and
+    wider slices, so that pairs grow about as hashes do."""
+
+    def cost(slices: int) -> float:
+        width, flips = bits // slices, distance // slices
+        return slices * sum(math.comb(width, k) for k in range(flips + 1)) * (10 + n / 2**width)  # a look-up costs about ten comparisons
+
+    best = min(range(1, distance + 2), key=lambda s: cost(s) if sum(math.comb(bits // s, k) for k in range(distance // s + 1)) <= 4096 else math.inf)
+    return best, distance // best
+
+
+def hamming_pairs(hashes: DataFrame, distance: int = 4, plan: tuple[int, int] | None = None) -> DataFrame:
+    """(a, b, distance) of all pairs with at most ``distance`` differing bits; none is lost whatever the ``plan`` (see ``hamming_plan``). ``hashes``: id, h."""
+    n, flips = plan or hamming_plan(hashes.count(), distance)
     width = -(-64 // n)
-    slices = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", i * width).bitwiseAND(F.lit((1 << min(width, 64 - i * width)) - 1)).alias("s")) for i in range(n)))
-    cut = hashes.select("id", "h", F.explode(slices).alias("__s")).select("id", "h", F.col("__s.i").alias("i"), F.col("__s.s").alias("s"))
-    other = cut.select(F.col("id").alias("b"), F.col("h").alias("g"), "i", "s")
-    near = cut.withColumnRenamed("id", "a").join(other, ["i", "s"]).where((F.col("a") < F.col("b")) & (F.bit_count(F.col("h").bitwiseXOR(F.col("g"))) <= distance))
-    return near.select("a", "b", F.bit_count(F.col("h").bitwiseXOR(F.col("g"))).alias("distance")).distinct()
+    sizes = [min(width, 64 - i * width) for i in range(n)]
+    slices = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", i * width).bitwiseAND(F.lit((1 << sizes[i]) - 1 if sizes[i] < 64 else -1)).alias("s")) for i in range(n)))
+    cut = hashes.select("id", "h", F.inline(slices))
+    turned = [[0] + [sum(1 << k for k in at) for f in range(1, flips + 1) for at in itertools.combinations(range(size), f)] for size in sizes]
+    masks = hashes.sparkSession.createDataFrame([(i, m if m < 2**63 else m - 2**64) for i, own in enumerate(turned) for m in own], "i int, mask long")  # at most some thousand rows
+    asked = cut.join(F.broadcast(masks), "i").select(F.col("id").alias("b"), F.col("h").alias("g"), "i", F.col("s").bitwiseXOR(F.col("mask")).alias("s"))
+    far = F.bit_count(F.col("h").bitwiseXOR(F.col("g")))
+    near = cut.withColumnRenamed("id", "a").join(asked, ["i", "s"]).where((F.col("a") < F.col("b")) & (far <= distance))
+    return near.select("a", "b", far.alias("distance")).distinct()
 
 
 both("jon01_inner", lambda d: "SELECT v.vehicle_id, d.country_code FROM vehicle v JOIN dealer d ON v.dealer_id = d.dealer_id")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text, vin
 from ..plans.dialect import SPARK
 from ..plans.registry import frame
+from ..plans.shared import stored
 from .joins import hamming_pairs
 
 NOW_YEAR = 2021
@@ -231,7 +232,7 @@ def _cohort_rules(listings: DataFrame, rules: list[tuple], names: list[str]) ->
 def near_photos(listings: DataFrame, distance: int = PHOTO_DISTANCE) -> DataFrame:
     """Hash classes (phash, vehicles, neighbours): how many listings share the hash, and how many other hashes lie within the
     distance. Pairs are made between different hashes only."""
-    classes = listings.where("phash is not null").groupBy("phash").agg(F.count_distinct("vehicle_id").alias("vehicles"))
+    classes = stored(listings.where("phash is not null").groupBy("phash").agg(F.count_distinct("vehicle_id").alias("vehicles")), "photo-classes")
     pairs = hamming_pairs(classes.select(F.col("phash").alias("id"), F.col("phash").alias("h")), distance)
     near = pairs.select(F.explode(F.array("a", "b")).alias("phash")).groupBy("phash").agg(F.count("*").alias("neighbours"))
     return classes.join(near, "phash", "left").select("phash", "vehicles", F.coalesce("neighbours", F.lit(0)).alias("neighbours"))
@@ -241,12 +242,14 @@ def prepared(listings: DataFrame, decoded: DataFrame | None = None, only: Iterab
     """Listings with the columns that the validators ``only`` need; ``decoded``: vin with what a decoder says of it."""
     only = set(only)
     out = listings
+    # What is aggregated over all listings is aggregated from one table of keys, written once; listings themselves are read for their rows only.
+    listings = stored(listings.select("vehicle_id", "vin", "dealer_id", "make", "model", "year", "phash"), "listing-keys") if len({"V03", "V07", "V12", "V16"} & only) > 1 else listings
     if "V01" in only:
         out = vin.with_check(out.withColumn("__vin", F.trim("vin")), "__vin", "__vin_ok").drop("__vin")
     if {"V02", "V09"} & only:
         out = out.join(decoded.withColumnRenamed("vin", "__v"), F.upper(F.trim("vin")) == F.col("__v"), "left").drop("__v")
     if "V12" in only:
-        dealers = listings.groupBy(F.col("vin").alias("__v")).agg(F.count_distinct("dealer_id").alias("__dealers"), F.count("*").alias("__listings"))
+        dealers = listings.where("vin <> ''").groupBy(F.col("vin").alias("__v")).agg(F.count_distinct("dealer_id").alias("__dealers"), F.count("*").alias("__listings"))
         out = out.join(dealers, F.col("vin") == F.col("__v"), "left").drop("__v")
     cohort = [F.upper(_trim("make")) == F.col("__make"), F.upper(_trim("model")) == F.col("__model"), F.coalesce("year", F.lit(0)) == F.col("__year")]
     if "V03" in only:

@@ -55,7 +55,10 @@ def test_first_match_and_hamming(spark):
     values = [0, 0b1111, 0b11111, 1 << 63, (1 << 63) | 7, -1]
     hashes = spark.createDataFrame([(i, v - 2**64 if v >= 2**63 else v) for i, v in enumerate(values)], "id long, h long")
     want = {(i, j) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and ((a ^ b) % 2**64).bit_count() <= 4}
-    assert {(r["a"], r["b"]) for r in joins.hamming_pairs(hashes).collect()} == want
+    for plan in (None, (5, 0), (4, 1), (3, 1), (2, 2)):
+        assert {(r["a"], r["b"]) for r in joins.hamming_pairs(hashes, plan=plan).collect()} == want
+    # Pairs compared on even hashes: about as many for each of a billion hashes as for each of a thousand.
+    assert [joins.hamming_plan(n, 4)[0] for n in (10, 1_000_000, 10**9)] == [5, 3, 2]
 
 
 def test_upsert_and_delta(spark):
