@@ -43,6 +43,16 @@ _MODELS = {"BMW": ("3 Series", "320d", "X5"), "Audi": ("A3", "A4", "Q5"), "Volks
 _CODES = {"BMW": "BMW3", "Audi": "AUA4", "Volkswagen": "vwgo", "Renault": "RECL", "Peugeot": "PE20", "Toyota": "TYYA"}
 
 
+def _first_words(d: Spark, n: int) -> str:
+    """The first words of a document, by single blanks."""
+    return f"array_join(slice(split(text, ' '), 1, {n}), ' ')" if d.name == "spark" else f"array_to_string(string_split(text, ' ')[1:{n}], ' ')"
+
+
+def _letters(d: Spark, x: str) -> str:
+    """Lower-case ASCII letters only."""
+    return f"regexp_replace(lower({x}), '[^a-z]', ''{'' if d.name == 'spark' else ", 'g'"})"
+
+
 def _quality_listing(d: Spark) -> str:
     """Listings with all that the validators look at; odd values are spread over them by lot number."""
     model = "CASE v.make " + " ".join(f"WHEN '{m}' THEN CASE lot % 3 WHEN 0 THEN '{a}' WHEN 1 THEN '{b}' ELSE '{c}' END" for m, (a, b, c) in _MODELS.items()) + " END"
@@ -97,6 +107,10 @@ FROM quality_listing WHERE n % 3 <> 0 GROUP BY vin""",
     "embedding": lambda d: f"SELECT vec_id, embedding, label FROM {d.base('embeddings')}",
     "finding": lambda d: f"""SELECT s_suppkey AS dealer_id, substr('ABCDEFGHIJKLMNO', 1 + CAST((s_suppkey * 7 + k * k) % 15 AS INT), 1) AS family
 FROM {d.base("supplier")} CROSS JOIN {d.values("(0), (1), (2), (3), (4)", "k")}""",
+    "trade_name": lambda d: f"""SELECT doc_id AS id, concat({_first_words(d, 3)}, CASE doc_id % 4 WHEN 0 THEN ' GmbH' WHEN 1 THEN ' S.A.' WHEN 2 THEN ' Garage' ELSE '' END) AS name,
+  CASE lang WHEN 'de' THEN 'DE' WHEN 'fr' THEN 'FR' WHEN 'es' THEN 'ES' ELSE CASE doc_id % 3 WHEN 0 THEN 'BE' WHEN 1 THEN 'CH' ELSE 'NL' END END AS country FROM {d.base("documents")}""",
+    "certificate_name": lambda d: f"""SELECT concat(CASE id % 3 WHEN 0 THEN '*.' WHEN 1 THEN 'www.' ELSE '' END, {_letters(d, _first_words(d, 2))}, CASE id % 5 WHEN 0 THEN '-cars' ELSE '' END, '.', lower(country)) AS name_value
+FROM (SELECT n.id, x.text, n.country FROM trade_name n JOIN {d.base("documents")} x ON x.doc_id = n.id) y UNION ALL SELECT regexp_extract(url, '^https?://([^/:]+)', 1) FROM {d.base("pages")}""",
     "event": lambda d: f"SELECT event_id, ts, user_id AS listing_id, event_type, value, {d.json('props', 'k')} AS k FROM {d.base('events')}",
     "ledger": lambda d: f"""SELECT l_orderkey AS tenant_vehicle, CASE WHEN l_linenumber = 1 THEN 'purchase' WHEN l_linenumber = 2 THEN 'reconditioning' WHEN l_linenumber = 3 THEN 'transport' ELSE 'sale' END AS type,
   CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_cents, CASE l_linenumber % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'CHF' ELSE 'GBP' END AS currency, CAST(l_shipdate AS DATE) AS day
