@@ -125,7 +125,7 @@ SELECT dealer_id, active_count, round(liquidation, 2) AS liquidation, round(pric
 frame("sco01_dealer_health", ["live_listing"], _health_sql)(health)
 
 
-def trust(signals: DataFrame) -> DataFrame:
+def trust(signals: DataFrame, *keep: str) -> DataFrame:
     """Trust points 20+15+20+25+20 and tier from dealer signals."""
     c = F.col
     vies = F.when(c("vies_status") == "valid", 20.0).when(c("vies_status") == "unchecked", 10.0).otherwise(0.0)
@@ -136,12 +136,24 @@ def trust(signals: DataFrame) -> DataFrame:
     total = F.greatest(F.lit(0.0), F.least(F.lit(100.0), vies + registry + v15 + behaviour + F.greatest(F.lit(0.0), 20.0 - c("anomalies") * 4)))
     out = signals.withColumn("trust_score", F.round(total + 1e-7, 4))
     tier = F.when(c("trust_score") >= 85, "platinum").when(c("trust_score") >= 70, "gold").when(c("trust_score") >= 50, "silver").otherwise("unverified")
-    return out.select("dealer_id", "trust_score", tier.alias("tier"))
+    return out.select("dealer_id", "trust_score", tier.alias("tier"), *keep)
+
+
+#: Days for which a profile holds.
+VALID_DAYS = 90
+
+
+def profiles(signals: DataFrame, now: str = "2001-09-30") -> DataFrame:
+    """Trust of each dealer with the day its profile, issued on ``issued_at``, ends and whether that is past at ``now``: at the very end it still
+    holds. A profile without a day has no end and doesn't hold."""
+    ends = F.date_add("issued_at", VALID_DAYS)
+    over = F.coalesce(F.lit(now).cast("timestamp_ntz") > ends.cast("timestamp_ntz"), F.lit(True))
+    return trust(signals, "issued_at").select("dealer_id", "trust_score", "tier", ends.cast("string").alias("expires_at"), over.alias("expired"))
 
 
 frame("sco03_trust", ["trust_signal"], lambda d: """WITH t AS (SELECT dealer_id, round(greatest(0, least(100, CASE vies_status WHEN 'valid' THEN 20 WHEN 'unchecked' THEN 10 ELSE 0 END + CASE registry WHEN 'registered' THEN 12 + least(3, registry_age / 5.0 * 3) WHEN 'unchecked' THEN 7 ELSE 0 END
- + CASE WHEN tenure_days < 30 THEN least(10, v15 / 5.0) ELSE v15 / 5.0 END + least(8, volume / 50.0 * 8) + avg_score / 10.0 + least(7, tenure_days / 365.0 * 7) + greatest(0, 20 - anomalies * 4))) + 1e-7, 4) AS trust_score FROM trust_signal)
-SELECT dealer_id, CAST(trust_score AS DOUBLE) AS trust_score, CASE WHEN trust_score >= 85 THEN 'platinum' WHEN trust_score >= 70 THEN 'gold' WHEN trust_score >= 50 THEN 'silver' ELSE 'unverified' END AS tier FROM t""")(trust)
+ + CASE WHEN tenure_days < 30 THEN least(10, v15 / 5.0) ELSE v15 / 5.0 END + least(8, volume / 50.0 * 8) + avg_score / 10.0 + least(7, tenure_days / 365.0 * 7) + greatest(0, 20 - anomalies * 4))) + 1e-7, 4) AS trust_score, CAST(issued_at + INTERVAL 90 DAY AS DATE) AS ends FROM trust_signal)
+SELECT dealer_id, CAST(trust_score AS DOUBLE) AS trust_score, CASE WHEN trust_score >= 85 THEN 'platinum' WHEN trust_score >= 70 THEN 'gold' WHEN trust_score >= 50 THEN 'silver' ELSE 'unverified' END AS tier, CAST(ends AS VARCHAR) AS expires_at, ends < DATE '2001-09-30' AS expired FROM t""")(profiles)
 
 both("agg07_liquidation", lambda d: f"SELECT dealer_id, count(CASE WHEN ttl_expires_at >= {d.now} - INTERVAL 14 DAY AND ttl_expires_at <= {d.now} THEN 1 END) AS removed, count(CASE WHEN indexed_at >= {d.now} - INTERVAL 14 DAY THEN 1 END) AS added FROM recent WHERE status NOT IN ('REJECTED', 'DUPLICATE') GROUP BY dealer_id")
 both("agg11_brand_hhi", lambda d: "SELECT dealer_id, round(sum(n * n) / (sum(n) * sum(n)), 6) AS hhi FROM (SELECT dealer_id, make, CAST(count(*) AS DOUBLE) AS n FROM vehicle WHERE status = 'ACTIVE' GROUP BY dealer_id, make) x GROUP BY dealer_id")

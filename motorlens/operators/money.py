@@ -21,7 +21,7 @@ def in_euro(ledger: DataFrame, fx: DataFrame) -> DataFrame:
 
 
 def vehicle_pnl(euro: DataFrame) -> DataFrame:
-    """Costs (any type but sale), revenue, margin, days in stock of each vehicle; one aggregation."""
+    """Costs (any type but sale), revenue, margin, return on costs, days in stock of each vehicle; one aggregation."""
     sale, buy = F.col("type") == "sale", F.col("type") == "purchase"
     sums = euro.groupBy("tenant_vehicle").agg(
         F.sum(F.when(~sale, F.col("eur_cents")).otherwise(0)).alias("cost_cents"), F.sum(F.when(sale, F.col("eur_cents")).otherwise(0)).alias("revenue_cents"),
@@ -29,9 +29,21 @@ def vehicle_pnl(euro: DataFrame) -> DataFrame:
         F.sum(F.when(buy, F.col("amount_cents")).otherwise(0)).alias("buy_cents"), F.sum(F.when(F.col("type") == "reconditioning", F.col("amount_cents")).otherwise(0)).alias("recon_cents"),
     )
     margin = F.col("revenue_cents") - F.col("cost_cents")
-    days = F.when(F.col("bought").isNotNull(), F.greatest(F.lit(0), F.datediff(F.coalesce("sold", F.lit("2001-09-30").cast("date")), "bought"))).otherwise(0)
+    days = F.when(F.col("bought").isNotNull(), F.greatest(F.lit(0), F.datediff(F.coalesce("sold", F.lit(TODAY).cast("date")), "bought"))).otherwise(0)
     out = sums.withColumn("margin_cents", margin).withColumn("days", days)
-    return out.withColumn("margin_pct", F.coalesce(F.round(F.try_divide(F.col("margin_cents") * 100.0, F.col("revenue_cents")), 4), F.lit(0.0))).withColumn("cost_per_day", F.when(F.col("days") > 0, F.expr("cost_cents div days")).otherwise(0))
+    for name, base in (("margin_pct", "revenue_cents"), ("roi_pct", "cost_cents")):
+        out = out.withColumn(name, F.when(F.col(base) > 0, F.round(F.col("margin_cents") * 100.0 / F.col(base), 4)).otherwise(0.0))
+    return out.withColumn("cost_per_day", F.when(F.col("days") > 0, F.expr("cost_cents div days")).otherwise(0))
+
+
+#: The day that stands for today.
+TODAY = "2001-09-30"
+
+
+def trailing_year(ledger: DataFrame, today: str = TODAY) -> DataFrame:
+    """Entries of the year up to ``today``, both days included: what alerts look at."""
+    day = F.lit(today).cast("date")
+    return ledger.where(F.col("day").between(F.add_months(day, -12), day))
 
 
 def alerts(pnl: DataFrame) -> DataFrame:
@@ -47,11 +59,12 @@ _EUR = "e AS (SELECT l.*, CAST(round(amount_cents * coalesce((SELECT f.rate FROM
 _PNL = _EUR + """, s AS (SELECT tenant_vehicle, CAST(sum(CASE WHEN type <> 'sale' THEN eur_cents ELSE 0 END) AS BIGINT) AS cost_cents, CAST(sum(CASE WHEN type = 'sale' THEN eur_cents ELSE 0 END) AS BIGINT) AS revenue_cents, min(CASE WHEN type = 'purchase' THEN day END) AS bought, max(CASE WHEN type = 'sale' THEN day END) AS sold,
  CAST(sum(CASE WHEN type = 'purchase' THEN amount_cents ELSE 0 END) AS BIGINT) AS buy_cents, CAST(sum(CASE WHEN type = 'reconditioning' THEN amount_cents ELSE 0 END) AS BIGINT) AS recon_cents FROM e GROUP BY 1),
 p AS (SELECT *, revenue_cents - cost_cents AS margin_cents, CASE WHEN bought IS NULL THEN 0 ELSE greatest(0, date_diff('day', bought, coalesce(sold, DATE '2001-09-30'))) END AS days FROM s),
-q AS (SELECT *, coalesce(round(margin_cents * 100.0::DOUBLE / nullif(revenue_cents, 0), 4), 0) AS margin_pct, CASE WHEN days > 0 THEN CAST(trunc(cost_cents / days) AS BIGINT) ELSE 0 END AS cost_per_day FROM p)"""
-_OUT = ["tenant_vehicle", "cost_cents", "revenue_cents", "margin_cents", "margin_pct", "days", "cost_per_day"]
+q AS (SELECT *, coalesce(round(margin_cents * 100.0::DOUBLE / nullif(greatest(revenue_cents, 0), 0), 4), 0) AS margin_pct, coalesce(round(margin_cents * 100.0::DOUBLE / nullif(greatest(cost_cents, 0), 0), 4), 0) AS roi_pct, CASE WHEN days > 0 THEN CAST(trunc(cost_cents / days) AS BIGINT) ELSE 0 END AS cost_per_day FROM p)"""
+_OUT = ["tenant_vehicle", "cost_cents", "revenue_cents", "margin_cents", "margin_pct", "roi_pct", "days", "cost_per_day"]
 frame("agg22_vehicle_pnl", ["ledger", "fx"], lambda d: f"WITH {_PNL} SELECT {', '.join(_OUT)} FROM q")(lambda ledger, fx: vehicle_pnl(in_euro(ledger, fx)).select(_OUT))
-frame("sco10_alerts", ["ledger", "fx"], lambda d: f"WITH {_PNL} SELECT tenant_vehicle, 'negative_margin' AS alert FROM q WHERE revenue_cents > 0 AND margin_cents < 0 UNION ALL SELECT tenant_vehicle, 'stock_too_long' FROM q WHERE revenue_cents = 0 AND days >= 60 UNION ALL SELECT tenant_vehicle, 'reconditioning_high' FROM q WHERE buy_cents > 0 AND recon_cents * 100.0 / buy_cents > 15")(
-    lambda ledger, fx: alerts(vehicle_pnl(in_euro(ledger, fx)))
+_YEAR = _PNL.replace("FROM ledger l)", "FROM ledger l WHERE day BETWEEN DATE '2000-09-30' AND DATE '2001-09-30')")
+frame("sco10_alerts", ["ledger", "fx"], lambda d: f"WITH {_YEAR} SELECT tenant_vehicle, 'negative_margin' AS alert FROM q WHERE revenue_cents > 0 AND margin_cents < 0 UNION ALL SELECT tenant_vehicle, 'stock_too_long' FROM q WHERE revenue_cents = 0 AND days >= 60 UNION ALL SELECT tenant_vehicle, 'reconditioning_high' FROM q WHERE buy_cents > 0 AND recon_cents * 100.0 / buy_cents > 15")(
+    lambda ledger, fx: alerts(vehicle_pnl(in_euro(trailing_year(ledger), fx)))
 )
 
 
@@ -68,10 +81,35 @@ frame("agg23_fleet_pnl", ["ledger", "fx"], lambda d: f"WITH {_PNL} SELECT count(
     lambda ledger, fx: fleet_pnl(vehicle_pnl(in_euro(ledger, fx)))
 )
 both("agg23_cost_by_type", lambda d: "SELECT type, CAST(sum(amount_cents) AS BIGINT) AS cents, count(*) AS n FROM ledger WHERE type <> 'sale' GROUP BY type")
-both("agg24_monthly_pnl", lambda d: f"""WITH m AS (SELECT year(day) * 12 + month(day) - 1 AS mth, CAST(sum(CASE WHEN type <> 'sale' THEN amount_cents ELSE 0 END) AS BIGINT) AS cost, CAST(sum(CASE WHEN type = 'sale' THEN amount_cents ELSE 0 END) AS BIGINT) AS rev FROM ledger GROUP BY 1),
-b AS (SELECT min(mth) AS a, max(mth) AS z FROM m), spine AS (SELECT {'explode(sequence(a, z))' if d.name == 'spark' else 'unnest(range(a, z + 1))'} AS mth FROM b),
-f AS (SELECT s.mth, coalesce(cost, 0) AS cost, coalesce(rev, 0) AS rev FROM spine s LEFT JOIN m ON s.mth = m.mth), g AS (SELECT *, lag(rev) OVER (ORDER BY mth) AS prev_rev, lag(rev - cost) OVER (ORDER BY mth) AS prev_margin FROM f)
-SELECT mth, cost AS cost_cents, rev AS revenue_cents, rev - cost AS margin_cents, CASE WHEN prev_rev > 0 THEN round(CAST(rev - prev_rev AS DOUBLE) / prev_rev * 100, 4) ELSE 0 END AS rev_growth_pct, CASE WHEN prev_margin <> 0 THEN round(CAST(rev - cost - prev_margin AS DOUBLE) / abs(prev_margin) * 100, 4) ELSE 0 END AS margin_growth_pct FROM g""")
+
+def monthly_pnl(euro: DataFrame) -> DataFrame:
+    """Sums of each month in euro cents from the first to the last month with entries, months without any as zeros, with the month before. Growth is a share of the
+    month before: of its revenue, where that is positive, and of the absolute value of its margin, where there is one; else 0. Entries without a
+    day count nowhere. Entries are summed by month first; what follows has a row a month."""
+    c, month = F.col, F.year("day") * 12 + F.month("day") - 1
+    sums = euro.where("day is not null").groupBy(month.alias("mth")).agg(F.sum(F.when(c("type") == "sale", 0).otherwise(c("eur_cents"))).alias("cost"), F.sum(F.when(c("type") == "sale", c("eur_cents")).otherwise(0)).alias("rev"))
+    # A month's row gives the sums to its own month and, as those before, to the next one; the months between come from the next month that is there.
+    following = F.lead("mth").over(Window.orderBy("mth"))
+    spine = sums.withColumn("next", following).select(F.explode(F.sequence("mth", F.coalesce(c("next") - 1, c("mth")))).alias("at"), "mth", "cost", "rev")
+    zero = {k: F.when(c("at") == c("mth"), c(k)).otherwise(0) for k in ("cost", "rev")}
+    full = spine.select(c("at").alias("mth"), zero["cost"].alias("cost_cents"), zero["rev"].alias("revenue_cents")).withColumn("margin_cents", c("revenue_cents") - c("cost_cents"))
+    before = Window.orderBy("mth")
+    for k in ("cost", "revenue", "margin"):
+        full = full.withColumn(f"prev_{k}_cents", F.coalesce(F.lag(f"{k}_cents").over(before), F.lit(0)))
+    share = {"margin_pct": ("margin_cents", c("revenue_cents")), "rev_growth_pct": (c("revenue_cents") - c("prev_revenue_cents"), c("prev_revenue_cents")), "margin_growth_pct": (c("margin_cents") - c("prev_margin_cents"), F.abs("prev_margin_cents"))}
+    for k, (part, whole) in share.items():
+        full = full.withColumn(k, F.when(whole > 0, F.round((part if not isinstance(part, str) else c(part)).cast("double") / whole * 100, 4)).otherwise(0.0))
+    return full
+
+
+frame("agg24_monthly_pnl", ["ledger", "fx"], lambda d: f"""WITH {_EUR}, m AS (SELECT date_trunc('month', day) AS mo, sum(CASE WHEN type <> 'sale' THEN eur_cents ELSE 0 END) AS cost, sum(CASE WHEN type = 'sale' THEN eur_cents ELSE 0 END) AS rev FROM e GROUP BY 1),
+s AS (SELECT unnest(generate_series((SELECT min(mo) FROM m)::TIMESTAMP, (SELECT max(mo) FROM m)::TIMESTAMP, INTERVAL 1 MONTH)) AS mo),
+f AS (SELECT s.mo, CAST(coalesce(cost, 0) AS BIGINT) AS cost, CAST(coalesce(rev, 0) AS BIGINT) AS rev FROM s LEFT JOIN m ON m.mo = s.mo),
+g AS (SELECT a.mo, a.cost, a.rev, coalesce(b.cost, 0) AS pc, coalesce(b.rev, 0) AS pr FROM f a LEFT JOIN f b ON b.mo = a.mo - INTERVAL 1 MONTH)
+SELECT year(mo) * 12 + month(mo) - 1 AS mth, cost AS cost_cents, rev AS revenue_cents, rev - cost AS margin_cents, pc AS prev_cost_cents, pr AS prev_revenue_cents, pr - pc AS prev_margin_cents,
+ CASE WHEN rev > 0 THEN round((rev - cost)::DOUBLE / rev * 100, 4) ELSE 0 END AS margin_pct, CASE WHEN pr > 0 THEN round((rev - pr)::DOUBLE / pr * 100, 4) ELSE 0 END AS rev_growth_pct, CASE WHEN pr <> pc THEN round((rev - cost - (pr - pc))::DOUBLE / abs(pr - pc) * 100, 4) ELSE 0 END AS margin_growth_pct FROM g""")(
+    lambda ledger, fx: monthly_pnl(in_euro(ledger, fx))
+)
 
 
 def vat_regimes(requests: DataFrame) -> DataFrame:
