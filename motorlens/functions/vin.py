@@ -49,7 +49,20 @@ def masked(vin) -> Column:
     return F.concat(F.lit("***"), F.right(vin, F.lit(4)))
 
 
+def masked_end(vin) -> Column:
+    """For logs: the last four characters hidden; of a short one all."""
+    x = F.trim(vin)
+    shown = F.greatest(F.length(x) - 4, F.lit(0))
+    return F.concat(F.substring(x, F.lit(1), shown), F.repeat(F.lit("*"), F.length(x) - shown))
+
+
 def model_year(vin) -> Column:
-    """Year of the tenth character, from 2010 on; null if it names none."""
-    at = F.position(F.substring(F.upper(vin), 10, 1), F.lit("ABCDEFGHJKLMNPRSTVWXY123456789"))
-    return F.when((F.length(vin) == 17) & (at > 0), at + 2009)
+    """Year of the tenth character: letters from 2010 on, digits 2001 to 2009; null if it names none."""
+    at = F.position(F.substring(F.upper(vin), 10, 1), F.lit("123456789ABCDEFGHJKLMNPRSTVWXY"))
+    return F.when((F.length(vin) == 17) & (at > 0), at + 2000)
+
+
+def parts(vin) -> Column:
+    """Maker's code, plant and serial number; null unless there are 17 characters."""
+    x = F.upper(F.trim(vin))
+    return F.when(F.length(x) == 17, F.struct(F.substring(x, 1, 3).alias("wmi"), F.substring(x, 11, 1).alias("plant"), F.substring(x, 12, 6).alias("serial")))

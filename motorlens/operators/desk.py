@@ -163,7 +163,7 @@ frame("srt02_dealers_by_confidence", ["trust_signal"], lambda d: f"SELECT dealer
 MARGIN_WORDS = ("§25a", "ustg", "margeregeling", "mwst nicht ausweisbar", "rebu", "margen")
 
 
-def tax_status(rows: DataFrame, cache: DataFrame) -> DataFrame:
+def tax_status(rows: DataFrame, cache: DataFrame, *keep: str) -> DataFrame:
     """Status of (id, text, seller, vies): private sellers and margin words give REBU; else what the cache (id, status, confidence)
     is sure of, or an audit where it isn't; else what the VAT register says of a business; else pending."""
     low = F.lower(F.coalesce("text", F.lit("")))
@@ -171,12 +171,22 @@ def tax_status(rows: DataFrame, cache: DataFrame) -> DataFrame:
     met = rows.join(cache.select(F.col("id").alias("__id"), F.col("status").alias("__status"), "confidence"), F.col("id") == F.col("__id"), "left")
     business = F.when(F.col("vies") == "valid", "DEDUCTIBLE").when(F.col("vies") == "invalid", "REBU").when(F.col("vies") == "timeout", "PENDING_VIES_OPTIMISTIC")
     out = F.when((F.col("seller") == "PRIVATE") | said, "REBU").when(F.col("__id").isNotNull(), F.when(F.col("confidence") >= 0.95, F.col("__status")).otherwise("REQUIRES_HUMAN_AUDIT")).otherwise(F.coalesce(business, F.lit("PENDING")))
-    return met.select("id", out.alias("tax_status"))
+    return met.select("id", out.alias("tax_status"), *keep)
 
 
 VIEWS["sale_text"] = lambda d: f"SELECT doc_id AS id, CASE doc_id % 9 WHEN 0 THEN concat(text, ' Differenzbesteuert nach §25a UStG') WHEN 1 THEN concat(text, ' MARGEREGELING') ELSE text END AS text, CASE doc_id % 6 WHEN 0 THEN 'PRIVATE' ELSE 'B2B' END AS seller, CASE doc_id % 4 WHEN 0 THEN 'valid' WHEN 1 THEN 'invalid' WHEN 2 THEN 'timeout' END AS vies FROM {d.base('documents')}"
 VIEWS["tax_cache"] = lambda d: f"SELECT doc_id AS id, CASE doc_id % 2 WHEN 0 THEN 'DEDUCTIBLE' ELSE 'REBU' END AS status, CAST(90 + doc_id % 10 AS DOUBLE) / 100 AS confidence FROM {d.base('documents')} WHERE doc_id % 5 < 2"
 frame("sco17_tax_cascade", ["sale_text", "tax_cache"], lambda d: r"SELECT s.id, CASE WHEN seller = 'PRIVATE' OR regexp_matches(lower(text), '§25a|ustg|margeregeling|mwst nicht ausweisbar|rebu|margen') THEN 'REBU' WHEN c.confidence >= 0.95 THEN c.status WHEN c.id IS NOT NULL THEN 'REQUIRES_HUMAN_AUDIT' WHEN vies = 'valid' THEN 'DEDUCTIBLE' WHEN vies = 'invalid' THEN 'REBU' WHEN vies = 'timeout' THEN 'PENDING_VIES_OPTIMISTIC' ELSE 'PENDING' END AS tax_status FROM sale_text s LEFT JOIN tax_cache c ON c.id = s.id")(tax_status)
+VIEWS["sale_listing"] = lambda d: "SELECT vehicle_id AS id, CAST(indexed_at AS DATE) AS day, country_code AS country, CASE lot % 9 WHEN 0 THEN 'Differenzbesteuert nach §25a UStG' WHEN 1 THEN 'MARGEREGELING' ELSE model END AS text, CASE lot % 6 WHEN 0 THEN 'PRIVATE' ELSE 'B2B' END AS seller, CASE v.vies_status WHEN 'unchecked' THEN 'timeout' WHEN 'none' THEN NULL ELSE v.vies_status END AS vies FROM listing l JOIN (SELECT dealer_id, vies_status FROM dealer) v ON v.dealer_id = l.dealer_id"
+VIEWS["sale_cache"] = lambda d: "SELECT vehicle_id AS id, CASE lot % 2 WHEN 0 THEN 'DEDUCTIBLE' ELSE 'REBU' END AS status, confidence_score AS confidence FROM vehicle WHERE photo_count = 2"
+
+
+def tax_distribution(sales: DataFrame, cache: DataFrame) -> DataFrame:
+    """Listings by day, tax status (of the cascade) and country."""
+    return tax_status(sales, cache, "day", "country").groupBy("day", "tax_status", "country").agg(F.count("*").alias("n")).withColumn("day", F.col("day").cast("string"))
+
+
+frame("agg31_tax_distribution", ["sale_listing", "sale_cache"], lambda d: r"SELECT CAST(day AS VARCHAR) AS day, CASE WHEN seller = 'PRIVATE' OR regexp_matches(lower(text), '§25a|ustg|margeregeling|mwst nicht ausweisbar|rebu|margen') THEN 'REBU' WHEN c.confidence >= 0.95 THEN c.status WHEN c.id IS NOT NULL THEN 'REQUIRES_HUMAN_AUDIT' WHEN vies = 'valid' THEN 'DEDUCTIBLE' WHEN vies = 'invalid' THEN 'REBU' WHEN vies = 'timeout' THEN 'PENDING_VIES_OPTIMISTIC' ELSE 'PENDING' END AS tax_status, country, count(*) AS n FROM sale_listing s LEFT JOIN sale_cache c ON c.id = s.id GROUP BY 1, 2, 3")(tax_distribution)
 both("sco14_nlc_taxes", lambda d: "SELECT vehicle_id, CASE WHEN rebu THEN 0 ELSE round(CASE WHEN co2 > 117 THEN least(power(co2 - 117, 2) * 10, 60000) * (1 - 0.10 * age) ELSE 0 END, 2) END AS fr_malus, CASE WHEN rebu THEN 0 ELSE cents * CASE WHEN co2 >= 200 THEN 1475 WHEN co2 >= 160 THEN 975 WHEN co2 >= 120 THEN 475 ELSE 0 END DIVIDE 10000 END AS es_cents, CASE WHEN rebu THEN 0 ELSE round(co2 * 130 * (1 - least(age * 12 * 0.01, 0.90)), 2) END AS nl_bpm FROM (SELECT vehicle_id, CAST(round(price_gross_eur * 100) AS BIGINT) AS cents, CAST(90 + CAST(mileage_km / 1000 AS INT) % 150 AS DOUBLE) AS co2, CAST(2021 - year AS DOUBLE) AS age, lot % 10 = 0 AS rebu FROM vehicle) x".replace("DIVIDE", d.div))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,15 +100,33 @@ both("agg03_daily_series", lambda d: f"""SELECT country_code, make, model, year_
 FROM listing WHERE price_gross_eur > 500 AND price_gross_eur < 500000 AND year >= 1990 GROUP BY 1, 2, 3, 4, 5) x""")
 both("agg04_long_series", lambda d: "SELECT country_code, make, n_days FROM (SELECT country_code, make, count(DISTINCT CAST(indexed_at AS DATE)) AS n_days FROM listing GROUP BY country_code, make) x WHERE n_days >= 30")
 both("agg06_active_dealers", lambda d: "SELECT country_code, count(*) AS n FROM dealer WHERE status = 'ACTIVE' GROUP BY country_code")
-both("agg26_field_coverage", lambda d: "SELECT coalesce(country_code, 'all') AS country, count(*) AS n, count(CASE WHEN price_gross_eur > 0 THEN 1 END) AS with_price, count(CASE WHEN sold_at IS NOT NULL THEN 1 END) AS with_sale, count(CASE WHEN photo_count >= 3 THEN 1 END) AS with_photos FROM listing GROUP BY ROLLUP (country_code)")
+#: Fields whose presence is counted, those that must all be there first; an empty text or a zero is none.
+_FIELDS = ("make", "model", "price_eur", "year", "mileage_km", "fuel_type", "transmission")
+_NONE = {"price_eur": "0", "year": "0", "mileage_km": "0"}
+
+
+def field_coverage(listings: DataFrame) -> DataFrame:
+    """Listings with each field, and with all five critical ones, by country and for all ('all'); one aggregation."""
+    there = {f: F.coalesce(F.col(f) != (0 if f in _NONE else ""), F.lit(False)) for f in _FIELDS}
+    critical = reduce(lambda a, b: a & b, [there[f] for f in _FIELDS[:5]])
+    out = listings.rollup("source_country").agg(F.grouping("source_country").alias("g"), F.count("*").alias("n"), *(F.count_if(x).alias(f) for f, x in there.items()), F.count_if(critical).alias("all_5_critical"))
+    return out.select(F.when(F.col("g") == 1, "all").otherwise(F.col("source_country")).alias("country"), "n", *_FIELDS, "all_5_critical")
+
+
+def _coverage_sql(d) -> str:
+    counts = ", ".join(f"count(nullif({f}, {_NONE.get(f, repr(''))})) AS {f}" for f in _FIELDS)
+    whole = f"SELECT %s AS country, count(*) AS n, {counts}, count(*) FILTER (WHERE nullif(make, '') IS NOT NULL AND nullif(model, '') IS NOT NULL AND nullif(price_eur, 0) IS NOT NULL AND nullif(year, 0) IS NOT NULL AND nullif(mileage_km, 0) IS NOT NULL) AS all_5_critical FROM quality_listing"
+    return f"{whole % 'source_country'} GROUP BY source_country UNION ALL {whole % repr('all')}"
+
+
+frame("agg26_field_coverage", ["quality_listing"], _coverage_sql)(field_coverage)
 both("agg27_success_class", lambda d: "SELECT dealer_id, CASE WHEN r >= 0.8 THEN 'full' WHEN r > 0 THEN 'partial' ELSE 'failed' END AS class FROM (SELECT dealer_id, avg(CASE WHEN photo_count >= 2 AND price_gross_eur > 1000 THEN 1.0 ELSE 0.0 END) AS r FROM vehicle GROUP BY dealer_id) x")
 both("agg28_modal_value", lambda d: "SELECT dealer_id, mileage_km FROM (SELECT dealer_id, mileage_km, row_number() OVER (PARTITION BY dealer_id ORDER BY n DESC, mileage_km) AS r FROM (SELECT dealer_id, mileage_km, count(*) AS n FROM vehicle GROUP BY dealer_id, mileage_km) x) y WHERE r = 1")
 both("agg30_daily_volume", lambda d: "SELECT country_code, CAST(CAST(indexed_at AS DATE) AS STRING) AS day, count(*) AS n, round(sum(price_gross_eur), 2) AS price_sum, round(avg(price_gross_eur) + 0.0000001, 4) AS price_avg FROM listing GROUP BY 1, 2")
-both("agg31_tax_distribution", lambda d: "SELECT country_code, CASE WHEN confidence_score >= 0.95 THEN 'deductible' ELSE 'margin' END AS tax_status, count(*) AS n FROM listing GROUP BY 1, 2")
 both("agg32_platform_coverage", lambda d: "SELECT source_platform, country_code, count(*) AS n, count(CASE WHEN sold_at IS NOT NULL THEN 1 END) AS sold FROM listing GROUP BY 1, 2")
 both("agg33_volatility", lambda d: "SELECT make, model, year(w) * 10000 + month(w) * 100 + day(w) AS week, n, round(CASE WHEN m > 0 THEN s / m ELSE 0 END, 6) AS volatility FROM (SELECT make, model, date_trunc('week', indexed_at + INTERVAL 1 DAY) - INTERVAL 1 DAY AS w, count(*) AS n, avg(price_gross_eur) AS m, stddev_pop(price_gross_eur) AS s FROM vehicle GROUP BY 1, 2, 3) x WHERE n > 1")
 _SHARES = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
-both("agg34_price_index", lambda d: "SELECT make, model, year, band, country_code, volume, " + ", ".join(f"round({d.item('q', i)}, 4) AS p{int(100 * p)}" for i, p in enumerate(_SHARES)) + f", price_avg FROM (SELECT make, model, year, CASE WHEN mileage_km < 50000 THEN '0-50' WHEN mileage_km < 100000 THEN '50-100' WHEN mileage_km < 150000 THEN '100-150' ELSE '150+' END AS band, country_code, count(*) AS volume, {d.pcts('price_gross_eur', _SHARES)} AS q, round(avg(price_gross_eur) + 0.0000001, 4) AS price_avg FROM listing GROUP BY 1, 2, 3, 4, 5) x")
+both("agg34_price_index", lambda d: "SELECT make, model, year, band, country_code, volume, " + ", ".join(f"round({d.item('q', i)}, 4) AS p{int(100 * p)}" for i, p in enumerate(_SHARES)) + f", price_avg, round({d.item('m', 0)}, 4) AS dom_median, dom_avg FROM (SELECT make, model, year, CASE WHEN mileage_km < 50000 THEN '0-50' WHEN mileage_km < 100000 THEN '50-100' WHEN mileage_km < 150000 THEN '100-150' ELSE '150+' END AS band, country_code, count(*) AS volume, {d.pcts('price_gross_eur', _SHARES)} AS q, {d.pcts('dom', (0.5,))} AS m, round(avg(dom), 4) AS dom_avg, round(avg(price_gross_eur) + 0.0000001, 4) AS price_avg FROM (SELECT *, {d.between_days('indexed_at', 'coalesce(sold_at, indexed_at + INTERVAL 60 DAY)')} AS dom FROM listing) l GROUP BY 1, 2, 3, 4, 5) x")
 both("agg35_market_depth", lambda d: "SELECT make, country_code, CAST(floor(price_gross_eur / 1000) * 1000 AS BIGINT) AS tier, count(*) AS n FROM listing WHERE status = 'ACTIVE' GROUP BY 1, 2, 3")
 both("agg36_days_on_market", lambda d: f"SELECT make, country_code, count(*) AS n, round({d.pct}(dom, 0.5), 4) AS dom_p50, round({d.pct}(dom, 0.9), 4) AS dom_p90 FROM (SELECT make, country_code, {d.between_days('indexed_at', 'coalesce(sold_at, indexed_at + INTERVAL 60 DAY)')} AS dom FROM listing) x GROUP BY 1, 2")
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import explain
 from ..plans.domain import TRANSPORT, VAT
 from ..plans.registry import both, frame
 from .joins import interval_asof
@@ -112,8 +113,9 @@ SELECT year(mo) * 12 + month(mo) - 1 AS mth, cost AS cost_cents, rev AS revenue_
 )
 
 
-def vat_regimes(requests: DataFrame) -> DataFrame:
-    """VAT routes of each request (origin, dest, price_cents, margin_cents, ids_valid, age_months, km), ranked by total cost."""
+def vat_regimes(requests: DataFrame, *keep: str) -> DataFrame:
+    """VAT routes of each request (origin, dest, price_cents, margin_cents, ids_valid, age_months, km), ranked by total cost; ``keep``: columns of
+    the request to return as well."""
     c = F.col
     rate = {x: F.coalesce(*(F.when(c(x) == k, F.lit(v)) for k, v in VAT.items())) for x in ("origin", "dest")}
     new = ((c("age_months") > 0) & (c("age_months") <= 6)) | ((c("km") > 0) & (c("km") <= 6000))
@@ -128,16 +130,17 @@ def vat_regimes(requests: DataFrame) -> DataFrame:
         F.when(eu & new, route("INTRA_COMMUNITY", full, price + full)), F.when(eu & ~new & c("ids_valid"), route("INTRA_COMMUNITY", F.lit(0), price)),
         F.when(eu & ~new, route("MARGIN_SCHEME", (margin * rate["origin"] / (1 + rate["origin"])).cast("long"), price)), F.when(~eu & (c("origin") != c("dest")), route("EXPORT_IMPORT", full, price + full)),
     ))
-    opened = requests.select("id", "origin", "dest", F.posexplode(routes).alias("ord", "r")).select("id", "origin", "dest", "ord", "r.*")
+    opened = requests.select("id", "origin", "dest", *keep, F.posexplode(routes).alias("ord", "r")).select("id", "origin", "dest", *keep, "ord", "r.*")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("total_cents", "vat_cents", "ord"))
     worst = F.max("vat_cents").over(Window.partitionBy("id"))
-    return opened.select("id", "origin", "dest", "regime", "vat_cents", "total_cents", rank.alias("place"), (worst - F.col("vat_cents")).alias("saving_cents"))
+    return opened.select("id", "origin", "dest", "regime", "vat_cents", "total_cents", rank.alias("place"), (worst - F.col("vat_cents")).alias("saving_cents"), *keep)
 
 
-frame("sco09_vat_regimes", ["tax_request"], lambda d: """WITH q AS (SELECT r.*, a.rate AS ra, b.rate AS rb, (age_months BETWEEN 1 AND 6 OR km BETWEEN 1 AND 6000) AS new, origin <> 'CH' AND dest <> 'CH' AS eu, CASE WHEN margin_cents > 0 THEN margin_cents ELSE CAST(trunc(price_cents * 0.15::DOUBLE) AS BIGINT) END AS m FROM tax_request r JOIN vat a ON a.country = origin JOIN vat b ON b.country = dest),
+_REGIMES = """WITH q AS (SELECT r.*, a.rate AS ra, b.rate AS rb, (age_months BETWEEN 1 AND 6 OR km BETWEEN 1 AND 6000) AS new, origin <> 'CH' AND dest <> 'CH' AS eu, CASE WHEN margin_cents > 0 THEN margin_cents ELSE CAST(trunc(price_cents * 0.15::DOUBLE) AS BIGINT) END AS m FROM tax_request r JOIN vat a ON a.country = origin JOIN vat b ON b.country = dest),
 o AS (SELECT id, origin, dest, 0 AS ord, 'INTRA_COMMUNITY' AS regime, CAST(trunc(price_cents * rb::DOUBLE) AS BIGINT) AS vat_cents, price_cents + CAST(trunc(price_cents * rb::DOUBLE) AS BIGINT) AS total_cents FROM q WHERE eu AND new UNION ALL SELECT id, origin, dest, 0, 'INTRA_COMMUNITY', 0, price_cents FROM q WHERE eu AND NOT new AND ids_valid
  UNION ALL SELECT id, origin, dest, 1, 'MARGIN_SCHEME', CAST(trunc(m * ra::DOUBLE / (1 + ra::DOUBLE)) AS BIGINT), price_cents FROM q WHERE eu AND NOT new UNION ALL SELECT id, origin, dest, 0, 'EXPORT_IMPORT', CAST(trunc(price_cents * rb::DOUBLE) AS BIGINT), price_cents + CAST(trunc(price_cents * rb::DOUBLE) AS BIGINT) FROM q WHERE NOT eu AND origin <> dest)
-SELECT id, origin, dest, regime, vat_cents, total_cents, row_number() OVER (PARTITION BY id ORDER BY total_cents, vat_cents, ord) AS place, max(vat_cents) OVER (PARTITION BY id) - vat_cents AS saving_cents FROM o""")(vat_regimes)
+SELECT id, origin, dest, regime, vat_cents, total_cents, row_number() OVER (PARTITION BY id ORDER BY total_cents, vat_cents, ord) AS place, max(vat_cents) OVER (PARTITION BY id) - vat_cents AS saving_cents FROM o"""
+frame("sco09_vat_regimes", ["tax_request"], lambda d: _REGIMES)(vat_regimes)
 
 
 def disposition(vehicles: DataFrame, prices: DataFrame, dealers: DataFrame) -> DataFrame:
@@ -174,6 +177,39 @@ frame("sco07_disposition", ["stock", "price", "dealer"], lambda d: _ROUTES)(disp
 frame("srt04_best_routes", ["stock", "price", "dealer"], lambda d: f"SELECT vehicle_id, country, channel, net_cents, uplift_cents FROM ({_ROUTES}) WHERE place = 1")(
     lambda s, p, d: disposition(s, p, d).where("place = 1").select("vehicle_id", "country", "channel", "net_cents", "uplift_cents")
 )
+
+
+def explained_routes(routes: DataFrame) -> DataFrame:
+    c = F.col
+    price = c("net_cents") + c("vat_cents") + c("transport_cents")
+    return routes.select("vehicle_id", "country", "channel", explain.route(c("country"), c("channel"), price, c("vat_cents"), c("transport_cents"), c("net_cents")).alias("explanation"))
+
+
+_EURO0 = "printf('%.0f', {} / 100.0::DOUBLE)".format
+frame("str_route_explanations", ["stock", "price", "dealer"], lambda d: f"""SELECT vehicle_id, country, channel, 'Market price in ' || country || ': €' || {_EURO0("(net_cents + vat_cents + transport_cents)")} || ' | ' || CASE WHEN vat_cents > 0 THEN 'VAT/customs cost: −€' || {_EURO0("vat_cents")} ELSE 'Intra-EU reverse charge: €0 VAT' END
+ || CASE WHEN transport_cents > 0 THEN ' | Transport cost: −€' || {_EURO0("transport_cents")} ELSE '' END || ' | Net profit: €' || {_EURO0("net_cents")} || ' via ' || channel AS explanation FROM ({_ROUTES})""")(lambda s, p, d: explained_routes(disposition(s, p, d)))
+
+
+def explained_regimes(requests: DataFrame) -> DataFrame:
+    """Each regime open to a request with its sentence."""
+    c = F.col
+    margin = F.when(c("margin_cents") > 0, c("margin_cents")).otherwise((c("price_cents") * 0.15).cast("long"))
+    new = ((c("age_months") > 0) & (c("age_months") <= 6)) | ((c("km") > 0) & (c("km") <= 6000))
+    told = vat_regimes(requests.withColumn("taxed_margin", margin).withColumn("is_new", F.coalesce(new, F.lit(False))), "price_cents", "taxed_margin", "is_new")
+    return told.select("id", "regime", "place", explain.tax(c("regime"), c("origin"), c("dest"), c("is_new"), c("price_cents"), c("taxed_margin"), c("vat_cents"), c("total_cents")).alias("explanation"))
+
+
+def _tax_sql(d) -> str:
+    e = "printf('%.2f', {} / 100.0::DOUBLE)".format
+    return f"""SELECT t.id, regime, place, CASE WHEN regime = 'MARGIN_SCHEME' THEN format('Régimen de margen (Art. 313 Dir. IVA): IVA {{}}% sobre margen €{{}}. IVA incorporado €{{}} no deducible por el comprador. Precio total facturado: €{{}}', printf('%.0f', a.rate * 100.0::DOUBLE), {e("CASE WHEN r.margin_cents > 0 THEN r.margin_cents ELSE CAST(trunc(r.price_cents * 0.15::DOUBLE) AS BIGINT) END")}, {e("vat_cents")}, {e("r.price_cents")})
+ WHEN regime = 'INTRA_COMMUNITY' AND total_cents = r.price_cents THEN format('Adquisición intracomunitaria 0% (Art. 20 Dir. IVA): factura sin IVA. Comprador aplica reverse-charge {{}}% en {{}} y deduce íntegramente. Coste IVA neto: €0,00. Precio neto: €{{}}', printf('%.0f', b.rate * 100.0::DOUBLE), t.dest, {e("r.price_cents")})
+ WHEN regime = 'INTRA_COMMUNITY' THEN format('Vehículo nuevo Art. 2(2)(b): IVA {{}}% OBLIGATORIO en destino {{}}. IVA sobre precio íntegro €{{}} = €{{}}. Total bruto: €{{}}. Sujeto pasivo en {{}}: IVA recuperable como input tax.', printf('%.0f', b.rate * 100.0::DOUBLE), t.dest, {e("r.price_cents")}, {e("vat_cents")}, {e("total_cents")}, t.dest)
+ WHEN t.dest = 'CH' THEN format('Exportación UE→CH (Art. 146 Dir. IVA): 0% IVA en origen {{}}. Importación suiza MWST {{}}% sobre valor CIF €{{}} = €{{}}. Total bruto: €{{}}. Comprador CH inscrito MWST: IVA importación recuperable.', t.origin, printf('%.1f', b.rate * 100.0::DOUBLE), {e("r.price_cents")}, {e("vat_cents")}, {e("total_cents")})
+ ELSE format('Exportación CH→UE (Art. 23 MWSTG): 0% MWST en origen. IVA importación {{}} {{}}% sobre valor declarado €{{}} = €{{}}. Total bruto: €{{}}. Comprador EU-VAT inscrito en {{}}: IVA importación recuperable como input tax.', t.dest, printf('%.0f', b.rate * 100.0::DOUBLE), {e("r.price_cents")}, {e("vat_cents")}, {e("total_cents")}, t.dest) END AS explanation
+FROM ({_REGIMES}) t JOIN tax_request r ON r.id = t.id AND r.origin = t.origin AND r.dest = t.dest JOIN vat a ON a.country = t.origin JOIN vat b ON b.country = t.dest"""
+
+
+frame("str_tax_explanations", ["tax_request"], _tax_sql)(explained_regimes)
 frame("agg29_fleet_summary", ["stock", "price", "dealer"], lambda d: f"SELECT country, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 4) AS pct FROM ({_ROUTES}) WHERE place = 1 GROUP BY country")(
     lambda s, p, d: disposition(s, p, d).where("place = 1").groupBy("country").agg(F.count("*").alias("n")).withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
 )

@@ -412,8 +412,8 @@ for _name, _id in _SINGLE.items():
 frame("v18_language", ["document"], lambda d: "SELECT lang, guess, count(*) AS n FROM (SELECT lang, (SELECT CASE WHEN max(n) >= 2 THEN arg_min(l, (-n, l)) END FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS l, len(list_intersect(list_distinct({d.words('text')}), ['" + "', '".join(v) + "'])) AS n" for k, v in sorted(text.STOPS.items())) + ")) AS guess FROM document) x GROUP BY 1, 2")(
     lambda docs: docs.select("lang", text.language("text").alias("guess")).groupBy("lang", "guess").agg(F.count("*").alias("n"))
 )
-frame("scalar_vin", ["vehicle"], lambda d: f"SELECT DISTINCT vin, {_OK} AS ok, '***' || right(vin, 4) AS masked, CASE WHEN strpos('ABCDEFGHJKLMNPRSTVWXY123456789', substr(vin, 10, 1)) > 0 THEN strpos('ABCDEFGHJKLMNPRSTVWXY123456789', substr(vin, 10, 1)) + 2009 END AS model_year FROM vehicle")(
-    lambda v: v.select("vin", vin.check_ok(F.col("vin")).alias("ok"), vin.masked(F.col("vin")).alias("masked"), vin.model_year(F.col("vin")).alias("model_year")).distinct()
+frame("scalar_vin", ["vehicle"], lambda d: f"SELECT DISTINCT vin, {_OK} AS ok, '***' || right(vin, 4) AS masked, CASE WHEN regexp_matches(substr(vin, 10, 1), '[1-9]') THEN 2000 + CAST(substr(vin, 10, 1) AS INT) WHEN strpos('ABCDEFGHJKLMNPRSTVWXY', substr(vin, 10, 1)) > 0 THEN strpos('ABCDEFGHJKLMNPRSTVWXY', substr(vin, 10, 1)) + 2009 END AS model_year, vin[1:3] AS wmi, vin[11:11] AS plant, vin[12:] AS serial, vin[1:13] || '****' AS log_form FROM vehicle")(
+    lambda v: v.select("vin", vin.check_ok(F.col("vin")).alias("ok"), vin.masked(F.col("vin")).alias("masked"), vin.model_year(F.col("vin")).alias("model_year"), vin.parts(F.col("vin")).alias("p"), vin.masked_end(F.col("vin")).alias("log_form")).select("vin", "ok", "masked", "model_year", "p.*", "log_form").distinct()
 )
 frame("scalar_redaction", ["document"], lambda d: "SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}', '[email]', 'g') <> text AS has_email FROM document")(
     lambda docs: docs.select("doc_id", (F.regexp_replace("text", text.EMAIL, "[email]") != F.col("text")).alias("has_email"))
