@@ -1,5 +1,10 @@
 """Results that must not depend on the order of rows or on how a database rounds."""
 
+import math
+
+from pyspark.sql import functions as F
+
+from motorlens.operators import dealers
 from motorlens.plans.dialect import SPARK
 
 
@@ -10,3 +15,15 @@ def test_percent_is_exact_at_halves(spark):
         spark.createDataFrame(rows, "k int, x double").createOrReplaceTempView("shares_of_test")
         got = spark.sql(f"SELECT k, {SPARK.percent('x')} AS p FROM shares_of_test GROUP BY k").collect()
         assert {r["k"]: r["p"] for r in got} == {1: 94.98, 2: 94.99, 3: None}
+
+
+def test_health_rounds_as_its_sql_does(spark):
+    listings = spark.createDataFrame([(x,) for x in (3205.945, 1.005, -2.675, 0.125, -0.125)], "x double")
+    # 3205.945 is stored a little below, but 100 times it is 320594.49999999994; 1.005 * 100 is 100.49999999999999; 2.675 * 100 is 267.5.
+    assert [r[0] for r in listings.select(dealers.rounded(F.col("x"))).collect()] == [round_as_c(x) for x in (3205.945, 1.005, -2.675, 0.125, -0.125)]
+
+
+def round_as_c(x: float) -> float:
+    y = abs(x) * 100.0
+    whole = math.floor(y) + (1 if y - math.floor(y) >= 0.5 else 0)
+    return math.copysign(whole / 100.0, x)
