@@ -4,8 +4,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from motorlens.operators import dealers
+from motorlens.operators import dealers, money
+from motorlens.plans import registry
 from motorlens.plans.dialect import SPARK
+from motorlens.plans.domain import view
 
 
 def test_percent_is_exact_at_halves(spark):
@@ -27,3 +29,12 @@ def round_as_c(x: float) -> float:
     y = abs(x) * 100.0
     whole = math.floor(y) + (1 if y - math.floor(y) >= 0.5 else 0)
     return math.copysign(whole / 100.0, x)
+
+
+def test_alerts_look_at_all_entries(spark, data):
+    """A vehicle whose entries all lie before the last year is looked at like any other."""
+    ledger, fx = view(spark, data, "ledger"), view(spark, data, "fx")
+    old = ledger.groupBy("tenant_vehicle").agg(F.max("day").alias("last")).where("last < DATE'2000-01-01'").select("tenant_vehicle")
+    want = money.alerts(money.vehicle_pnl(money.in_euro(ledger.join(old, "tenant_vehicle"), fx))).count()
+    got = registry.QUERIES["sco10_alerts"](spark, data).join(old, "tenant_vehicle").count()
+    assert got == want > 0
