@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -161,26 +164,82 @@ def name_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "dealer").select("dealer_id", text.trigram_vector("canonical_name").alias("vector"))
 
 
-def similar(names: DataFrame, least: float = 0.85, key: str = "dealer_id", block: str = "country_code", name: str = "canonical_name") -> DataFrame:
+#: Vectors of one side of a comparison, about: what a task holds, twice. Products in single precision are this near to the exact ones, at least.
+SIDE, NEAR = 4096, 4e-5
+
+
+def _packed(batches):
+    """Vectors (``v``) as their components that aren't 0: places, then values."""
+    for batch in batches:
+        own = [np.asarray(v, np.float32) for v in batch.column("v").to_pylist()]
+        at = [np.flatnonzero(v) for v in own]
+        packed = [i.astype(np.uint8).tobytes() + v[i].tobytes() for i, v in zip(at, own)]
+        yield pa.RecordBatch.from_arrays([batch.column("b"), batch.column("first"), pa.array(packed, pa.binary())], names=["b", "first", "packed"])
+
+
+def _unpacked(packed: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(packed), 256), np.float32)
+    for row, p in zip(out, packed):
+        n = len(p) // 5
+        row[np.frombuffer(p, np.uint8, n)] = np.frombuffer(p[n:], np.float32)
+    return out
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Six decimals, halves up, as Spark rounds."""
+    scaled = x * 1e6
+    out = np.rint(scaled) / 1e6
+    for i in np.flatnonzero(np.abs(scaled - np.floor(scaled) - 0.5) < 1e-4):
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    return out
+
+
+def _best(x: np.ndarray, x_key: np.ndarray, y: np.ndarray, y_key: np.ndarray, least: float) -> pa.Table:
+    """(x, y, cosine): for each row of ``x`` the best other row of ``y``, ``least`` or more. Products in single precision leave out what can't be the best;
+    the others are summed exactly, component by component."""
+    held = []
+    for at in range(0, len(x), 1024):
+        about = x[at : at + 1024] @ y.T
+        about[x_key[at : at + 1024, None] == y_key[None, :]] = -1
+        i, j = np.nonzero(about >= np.maximum(about.max(1, initial=-1), least)[:, None] - NEAR)
+        for to in range(0, len(i), 8192):
+            p, q = i[to : to + 8192] + at, j[to : to + 8192]
+            products = x[p].astype(np.float64) * y[q].astype(np.float64)
+            cosine = np.zeros(len(p))
+            for column in np.flatnonzero(products.any(0)):
+                cosine += products[:, column]
+            cosine = rounded(cosine)
+            keep = np.flatnonzero((cosine >= least) & (x_key[p] != y_key[q]))
+            keep = keep[np.lexsort((y_key[q[keep]], -cosine[keep], p[keep]))]
+            keep = keep[np.flatnonzero(np.diff(p[keep], prepend=-1))]
+            held.append(pa.table({"x": x_key[p[keep]], "y": y_key[q[keep]], "cosine": cosine[keep]}))
+    return pa.concat_tables(held) if held else pa.table({"x": pa.array([], pa.int64()), "y": pa.array([], pa.int64()), "cosine": pa.array([], pa.float64())})
+
+
+def similar(names: DataFrame, least: float = 0.85, key: str = "dealer_id", block: str = "country_code", name: str = "canonical_name", side: int = SIDE) -> DataFrame:
     """(key, match, cosine): the most similar other row of the block by the cosine of name vectors, ``least`` or more; ties to the
     smaller key.
 
-    Equal vectors are one class. Two classes can only be that similar if they share one of the components at the head of either
-    vector, taken from the rarest on until what is left of it is shorter than ``least``: rows meet by these components, and no
-    pair is lost. Scores are exact."""
+    Equal vectors are one class. A block's classes are dealt to parts of about ``side``; each two parts meet in one task as two matrices, which gives
+    the best match of each row there. All pairs are compared, and scores are exact; a task holds two parts, however large the block."""
     rows = stored(names.select(F.col(key).alias("k"), F.col(block).alias("b"), text.trigram_vector(name).alias("v")), "names")
     classes = rows.groupBy("b", "v").agg(F.min("k").alias("first"))
     second = rows.join(classes.select("b", "v", "first"), ["b", "v"]).where("k <> first").groupBy("b", "v").agg(F.min("k").alias("second"))
     classes = stored(classes.join(second, ["b", "v"], "left").select("b", "v", "first", "second"), "classes")
-    parts = classes.select("b", "first", F.posexplode("v").alias("i", "w")).where("w <> 0").withColumn("w", F.col("w").cast("double"))
-    common = parts.groupBy("i").agg(F.count("*").alias("df"))  # a row for each of the vector's places
-    tail = Window.partitionBy("b", "first").orderBy("df", "i").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    head = parts.join(F.broadcast(common), "i").withColumn("left", F.sum(F.col("w") * F.col("w")).over(tail)).where(F.col("left") >= least * least - 1e-6)
-    met = head.select("b", "i", F.col("first").alias("x")).join(parts.select("b", "i", F.col("first").alias("y")), ["b", "i"]).where("x <> y").select("b", "x", "y").distinct()
-    v = lambda a: classes.select(F.col("first").alias(a), F.col("v").alias("v_" + a))
-    dot = F.aggregate(F.zip_with("v_x", "v_y", lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    near = met.join(v("x"), "x").join(v("y"), "y").select("x", "y", F.round(dot, 6).alias("cosine")).where(F.col("cosine") >= least)
-    near = near.unionByName(near.select(F.col("y").alias("x"), F.col("x").alias("y"), "cosine")).distinct()
+    sizes = classes.where("b is not null").groupBy("b").agg(F.ceil(F.count("*") / side).alias("parts"))
+    kinds = f"b {classes.schema['b'].dataType.simpleString()}, first long, packed binary"
+    own = classes.select("b", F.col("first").cast("long").alias("first"), "v").mapInArrow(_packed, kinds).join(sizes, "b").withColumn("part", F.pmod(F.xxhash64("first"), "parts"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = own.select("b", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "first", "packed")
+
+    def compare(group: pa.Table) -> pa.Table:
+        vectors, keys, part = _unpacked(group.column("packed").to_pylist()), group.column("first").to_numpy(), group.column("part").to_numpy()
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        a, b = part == lo, part == hi
+        found = _best(vectors[a], keys[a], vectors[b], keys[b], least)
+        return found if lo == hi else pa.concat_tables([found, _best(vectors[b], keys[b], vectors[a], keys[a], least)])
+
+    near = dealt.groupBy("b", "lo", "hi").applyInArrow(compare, "x long, y long, cosine double")
     best = near.groupBy("x").agg(F.min_by("y", F.struct(-F.col("cosine"), "y")).alias("match"), F.max("cosine").alias("cosine"))
     own = rows.join(classes, ["b", "v"]).join(best.withColumnRenamed("x", "first"), "first", "left")
     twin = F.when(F.col("k") == F.col("first"), F.col("second")).otherwise(F.col("first"))

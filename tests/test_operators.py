@@ -306,6 +306,16 @@ def test_similar_names_against_all_pairs(spark):
         assert abs(cosine + want[i][0]) < 2e-5 and (match == want[i][1] or abs(np.dot(vectors[i], vectors[match]) + want[i][0]) < 2e-5)
 
 
+def test_similar_names_meet_in_parts_of_bounded_size(spark):
+    table = spark.createDataFrame([(i, "DE" if i % 4 else None, f"Supplier#{i * 37 % 1000:09d}") for i in range(300)], "dealer_id long, country_code string, canonical_name string")
+    whole = sorted(map(tuple, feeds.similar(table).collect()))
+    assert whole == sorted(map(tuple, feeds.similar(table, side=40).collect()))
+    vectors = {r["dealer_id"]: np.array(r["v"], np.float64) for r in table.where("country_code is not null").select("dealer_id", text.trigram_vector("canonical_name").alias("v")).collect()}
+    for i, match, cosine in whole:
+        best = min((-round(sum((vectors[i] * v).tolist()), 6), j) for j, v in vectors.items() if j != i)
+        assert (-cosine, match) == best if cosine < 1 else best[0] > -1.000001
+
+
 def test_rate_limits(spark):
     def allowed(batches, limit=1000, seconds=60):
         start, used, out = None, 0, []
