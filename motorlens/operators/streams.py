@@ -19,7 +19,7 @@ def in_files(rows: DataFrame, by: str, n: int, folder: str) -> DataFrame:
     low, high = rows.agg(F.min(F.unix_micros(F.col(by).cast("timestamp"))), F.max(F.unix_micros(F.col(by).cast("timestamp")))).first()
     place = F.floor((F.unix_micros(F.col(by).cast("timestamp")) - F.lit(low)) * n / F.lit(high - low + 1)) if low is not None else F.lit(0)
     for i in range(n):
-        rows.where(place == i).coalesce(1).write.mode("append").parquet(folder)
+        rows.where(place == i).repartition(1).write.mode("append").parquet(folder)
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 

@@ -3,12 +3,13 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from motorlens.operators import graph, inbox
 from motorlens.operators.streams import in_files
-from motorlens.streaming.lifecycle import lifecycle, with_provider
+from motorlens.streaming.lifecycle import Lifecycle, lifecycle, with_provider
 from motorlens.streaming.state import BucketedState
 
 
@@ -104,6 +105,56 @@ def test_lives_over_batches_and_a_restart(spark, tmp_path):
     assert in_files(spark.createDataFrame([], "ts timestamp"), "ts", 2, f"file://{tmp_path}/none").isStreaming
 
 
+class FakeHandle:
+    """State and timers of one group, counting the calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name == "exists":
+                return self.value is not None
+            if name in ("update", "clear"):
+                self.value = args[0] if args else None
+            elif name == "registerTimer":
+                self.timers.add(args[0])
+            elif name == "deleteTimer":
+                self.timers.remove(args[0])
+            return self if name == "getValueState" else self.value
+
+        return call
+
+
+def test_listings_of_a_group_share_a_row_of_state_and_a_timer():
+    handle, own, rng = FakeHandle(), Lifecycle(50), random.Random(9)
+    own.init(handle)
+    got, sights = [], []
+    for step in range(4):
+        rows = [(f"k{rng.randrange(400)}" if rng.random() < 0.99 else None, 100 * step + rng.randrange(100), n, rng.choice(["a", "b", None])) for n in range(1500)]
+        sights += sorted(rows, key=lambda r: (r[1], r[2]))
+        got += [r for part in own.handleInputRows((0,), iter([pd.DataFrame(rows, columns=["k", "ms", "nth", "content"])]), None) for r in part.itertuples(index=False)]
+        assert len(handle.timers) == 1
+    last, want = {}, []
+    for k, ms, _, content in sights:
+        before = last.get(k)
+        if before and ms - before[0] >= 50:
+            want.append((k, "GONE", before[0] + 50))
+        if not before or ms - before[0] >= 50:
+            want.append((k, "SEEN", ms))
+        elif before[1] != content:
+            want.append((k, "ENRICHED", ms))
+        last[k] = (ms, content)
+    due = handle.timers.pop()
+    now = type("Times", (), {"getExpiryTimeInMs": lambda _: due, "getCurrentWatermarkInMs": lambda _: 420})()
+    got += [r for part in own.handleExpiredTimer((0,), now, now) for r in part.itertuples(index=False)]
+    want += [(k, "GONE", ms + 50) for k, (ms, _) in last.items() if ms + 50 <= 420]
+    plain = lambda k: "" if k is None or k != k else k
+    assert sorted((plain(k), e, at.value // 1_000_000) for k, e, at in got) == sorted((plain(k), e, at) for k, e, at in want)
+    assert len(handle.timers) == 1 and handle.calls < 40
+
+
 def test_layers_equal_plain_sums(spark):
     rng = np.random.default_rng(1)
     x = {i: rng.normal(size=5) for i in range(30)}
