@@ -58,15 +58,16 @@ def load(streams: list[bytes]) -> tuple[list[tuple[int, bytes]], np.ndarray, jpe
     return out, coefficients, grid
 
 
-def feature_sums(pixels: np.ndarray, grid: jpeg.Grid) -> np.ndarray:
-    """For each image: sums of the channels, of brightness and its square, and a histogram of brightness in 8 bins."""
-    first = np.cumsum(grid.mcus) - grid.mcus
-    sums = np.add.reduceat(pixels.reshape(len(pixels), 256, 3).sum(1, dtype=np.int64), first, axis=0)
-    light = (pixels.reshape(-1, 3).astype(np.uint16) @ np.array([77, 150, 29], np.uint16) >> 8).reshape(len(pixels), 256)
-    bins = np.bincount(((light >> 5) + 8 * np.arange(len(pixels))[:, None]).ravel(), minlength=8 * len(pixels)).reshape(-1, 8)
-    bins = np.add.reduceat(bins, first, axis=0)
-    total = np.add.reduceat(light.sum(1, dtype=np.int64), first)
-    square = np.add.reduceat((light.astype(np.int64) ** 2).sum(1), first)
+def feature_sums(images: list[np.ndarray]) -> np.ndarray:
+    """For each tensor (height, width, 3): sums of the channels, of brightness and its square, and a histogram of brightness in 8 bins."""
+    flat = np.concatenate([x.reshape(-1, 3) for x in images])
+    size = np.array([x.shape[0] * x.shape[1] for x in images])
+    first = np.cumsum(size) - size
+    sums = np.add.reduceat(flat, first, axis=0, dtype=np.int64)
+    light = flat.astype(np.uint16) @ np.array([77, 150, 29], np.uint16) >> 8
+    bins = np.bincount((light >> 5) + np.repeat(8 * np.arange(len(images)), size), minlength=8 * len(images)).reshape(-1, 8)
+    total = np.add.reduceat(light, first, dtype=np.int64)
+    square = np.add.reduceat(light.astype(np.uint32) ** 2, first, dtype=np.int64)
     return np.concatenate([sums, total[:, None], square[:, None], bins], 1)
 
 
@@ -125,19 +126,19 @@ def _regrouped(batches):
 
 
 def _read_back(media):
-    """For each group of images of a column of streams: (rows, streams, payloads, pixels, grid)."""
+    """For each group of images of a column of streams: (rows, streams, payloads, tensors)."""
     lists = media.combine_chunks() if isinstance(media, pa.ChunkedArray) else media
     rows = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
     streams = lists.flatten()
     for at, to in _groups(np.array([len(x.as_buffer()) for x in streams], np.int64), BYTES):
         own = [x.as_py() for x in streams.slice(at, to - at)]
         found, coefficients, grid = load(own)
-        yield rows[at:to].tolist(), own, found, jpeg.mcu_pixels(coefficients, grid), grid
+        yield rows[at:to].tolist(), own, found, jpeg.tensors(jpeg.mcu_pixels(coefficients, grid), grid)
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """Digests of what is read back from (doc_id, n_bytes, media): the payload, its last 64 bytes, the streams, and the feature of
-    the images."""
+    the images' tensors at full resolution, those that ``tensors`` gives."""
     small_batches(media.sparkSession)
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
@@ -146,12 +147,12 @@ def media_features(media: DataFrame) -> DataFrame:
             n = batch.num_rows
             payload, stream = [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
             size, stored, n_bytes, tail, shapes, sums = [0] * n, [0] * n, [0] * n, [b""] * n, [[] for _ in range(n)], np.zeros((n, 13), np.int64)
-            for rows, own, found, pixels, grid in _read_back(batch.column("media")):
-                for i, s, (k, p), w, h, x in zip(rows, own, found, grid.across.tolist(), grid.down.tolist(), feature_sums(pixels, grid)):
+            for rows, own, found, images in _read_back(batch.column("media")):
+                for i, s, (k, p), image, x in zip(rows, own, found, images, feature_sums(images)):
                     payload[i].update(p)
                     stream[i].update(s)
                     size[i], stored[i], n_bytes[i], tail[i] = size[i] + len(p), stored[i] + len(s), n_bytes[i] + k, p[-64:]
-                    shapes[i].append((16 * w, 16 * h))
+                    shapes[i].append((image.shape[1], image.shape[0]))
                     sums[i] += x
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n_bytes": pa.array(n_bytes, pa.int64()), "payload_bytes": pa.array(size, pa.int64()), "payload_sha256": pa.array([x.hexdigest() for x in payload], pa.string()), "tail_crc32": pa.array(list(map(zlib.crc32, tail)), pa.int64()),
@@ -180,7 +181,7 @@ def payloads(media: DataFrame) -> DataFrame:
     def run(batches):
         for batch in _regrouped(batches):
             number = _Numbers()
-            for rows, _, found, _, _ in _read_back(batch.column("media")):
+            for rows, _, found, _ in _read_back(batch.column("media")):
                 part = list(map(number, rows))
                 take = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(take), "n_bytes": batch.column("n_bytes").take(take), "part": pa.array(part, pa.int32()), "payload": pa.array([p for _, p in found], pa.binary())})
@@ -195,9 +196,8 @@ def tensors(media: DataFrame) -> DataFrame:
     def run(batches):
         for batch in _regrouped(batches):
             number = _Numbers()
-            for rows, _, _, pixels, grid in _read_back(batch.column("media")):
+            for rows, _, _, images in _read_back(batch.column("media")):
                 part = list(map(number, rows))
-                images = jpeg.tensors(pixels, grid)
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(rows, pa.int64())), "part": pa.array(part, pa.int32()), "height": pa.array([x.shape[0] for x in images], pa.int32()), "width": pa.array([x.shape[1] for x in images], pa.int32()), "rgb": pa.array([x.tobytes() for x in images], pa.binary())})
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, part int, height int, width int, rgb binary")

@@ -301,6 +301,15 @@ def test_media_round_trip(spark, docs, empty, part):
     assert op3_media.media_features(op3_media.saved(op3_media.media_streams(empty), "t")).count() == 0
 
 
+def test_features_are_sums_over_tensors():
+    rng = np.random.default_rng(3)
+    images = [rng.integers(0, 256, (16 * h, 16 * w, 3), np.uint8) for h, w in ((1, 1), (2, 3), (1, 5))] + [np.full((16, 16, 3), 255, np.uint8)]
+    for image, got in zip(images, op3_media.feature_sums(images)):
+        rgb = image.reshape(-1, 3).astype(np.int64)
+        light = rgb @ np.array([77, 150, 29]) >> 8
+        assert got.tolist() == [*rgb.sum(0), light.sum(), (light**2).sum(), *np.bincount(light >> 5, minlength=8)]
+
+
 def scalar_refinement(new, old, ss, se):
     """Bits of one block of a refining scan, as the standard's procedure says; all signs positive."""
     out, run, pending = [], 0, []
