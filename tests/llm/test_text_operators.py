@@ -519,6 +519,35 @@ def test_classifiers_hold_up_on_rows_they_never_saw(spark):
         assert auc > least and ((got.predicted == got[label]).mean() > least), (label, auc)
 
 
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_all_labelled_rows_are_learned_from_in_shards(spark, monkeypatch, few):
+    monkeypatch.setattr(op8_toxicity, "SHARD_ROWS", 150)
+    monkeypatch.setattr(op8_toxicity, "FEW", few)
+    rng = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(60)]
+    bad = rng.random(700) < 0.3
+    # Each doc_id has a word of its own; what is learned shows which rows were read.
+    rows = [(i, " ".join([*rng.choice(words, 12), *(["vile"] if b else []), f"own{i}"]), "en") for i, b in enumerate(bad)]
+    docs = spark.createDataFrame([*rows, (700, None, "en")], "doc_id long, text string, lang string").repartition(3)
+    marks = spark.createDataFrame([(i, int(b)) for i, b in enumerate(bad)] + [(700, 1), (999, 1)], "doc_id long, toxic int")
+    held = {r[0] for r in docs.select("doc_id", held_out().alias("h")).collect() if r[1]}
+    found = op8_toxicity.labelled(docs, op8_toxicity.marked(docs, marks.where("doc_id % 7 <> 0"), "toxic").select("id", "y"), 5, few > 0)
+    assert sorted((r["id"], r["text"], r["y"]) for r in found.collect()) == [(i, rows[i][1], int(bad[i])) for i in range(700) if i % 7 and i not in held]
+    found = op8_toxicity.marked(docs, marks, "toxic")
+    assert {r["id"] for r in found.collect()} == set(range(700)) - held
+    model, again = op8_toxicity.train(docs, marks), op8_toxicity.train(docs.repartition(5), marks)
+    assert model.fitted and (model.table == again.table).all() and all((a == b).all() for a, b in zip(model.small(), again.small())) and model.thresholds == again.thresholds
+    checked = {r["id"] for r in found.where(F.pmod(F.xxhash64("id", F.lit("toxic")), F.lit(5)) == 0).select("id").collect()}
+    first, fresh = op8_toxicity.Model(), {}
+    for i in range(700):
+        slots, _ = op8_toxicity.word_slots(np.frombuffer(f"own{i}".encode(), np.uint8), np.array([0, len(f"own{i}")]))
+        fresh[i] = bool((model.table[slots[0, 0]] != first.table[slots[0, 0]]).any())
+    learned = {i for i, f in fresh.items() if f}
+    assert len(learned & held) < 5 and len(learned & checked) < 5 and len(learned) > 0.8 * len(set(range(700)) - held - checked)
+    scores = {r["doc_id"]: r["score"] for r in op8_toxicity.scored(docs, model).collect()}
+    assert np.mean([scores[i] for i in held if i < 700 and bad[i]]) > np.mean([scores[i] for i in held if i < 700 and not bad[i]]) + 0.1
+
+
 def test_long_labelled_texts_are_learned_from_in_chunks(spark):
     docs = spark.createDataFrame([(1, "begin " + "x" * 50_000 + " end", "en"), (3, "short", "en"), (4, None, "en")], "doc_id long, text string, lang string")
     marks = spark.createDataFrame([(1, 1), (3, 0), (4, 1), (99, 1)], "doc_id long, toxic int")
