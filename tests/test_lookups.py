@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from motorlens.operators import desk, joins, money, quality  # noqa: F401  (desk registers its queries)
+from motorlens.operators import desk, joins, money, more, quality  # noqa: F401  (desk registers its queries)
 from motorlens.plans import registry
 from motorlens.plans.domain import view
 
@@ -62,3 +62,15 @@ def test_routes_are_ranked_once_for_vehicles_alike(spark):
         got.setdefault(r["vehicle_id"], []).append((r["place"], r["country"], r["channel"], r["net_cents"]))
     assert sorted(got["v0"]) == sorted(got["v1"]) and [p for p, *_ in sorted(got["v0"])] == [1, 2, 3, 4, 5] and len(got["v3"]) == 6
     assert min(got["v2"])[1:] == ("FR", "dealer_direct", 2_100_000)
+
+
+def test_savings_gather_requests_before_countries(spark):
+    """Requests of one id count together, and what is shuffled is requests, not their product with countries."""
+    rates = [("DE", 0.19), ("FR", 0.20), ("ES", 0.21), ("NL", 0.21)]
+    requests = [(1, "DE", 10_001), (2, "ES", 777), (2, "FR", 999), (3, "CH", -5), (None, "NL", 100)]
+    got = sorted(map(tuple, more.net_savings(spark.createDataFrame(requests, "id long, origin string, price_cents long"), spark.createDataFrame(rates, "country string, rate double")).collect()), key=str)
+    want = []
+    for i in {r[0] for r in requests}:
+        own = sorted((rate, c, int(p * rate)) for k, o, p in requests if k == i for c, rate in rates if c != o)
+        want += [(i, c, cents, max(x[2] for x in own) - cents, n + 1) for n, (_, c, cents) in enumerate(own)]
+    assert got == sorted(want, key=str)
