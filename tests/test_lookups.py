@@ -74,3 +74,14 @@ def test_savings_gather_requests_before_countries(spark):
         own = sorted((rate, c, int(p * rate)) for k, o, p in requests if k == i for c, rate in rates if c != o)
         want += [(i, c, cents, max(x[2] for x in own) - cents, n + 1) for n, (_, c, cents) in enumerate(own)]
     assert got == sorted(want, key=str)
+
+
+def test_percent_ranks_within_ranges_of_prices(spark):
+    rows = [(f"v{i}", "BMW" if i % 5 else None, 2018 + i % 2, float((i * 733) % 4000) if i % 7 else 1500.0, 0.5, i % 8, None) for i in range(200)] + [("alone", "Audi", 2018, 9.0, 0.5, 1, None), ("below", "BMW", 2018, -20.0, 0.5, 1, None)]
+    cars = spark.createDataFrame(rows, "vehicle_id string, make string, year int, price_gross_eur double, confidence_score double, photo_count int, sold_at timestamp")
+    for r in money.composite(cars).collect():
+        _, make, year, price, *_ = own = next(x for x in rows if x[0] == r["vehicle_id"])
+        group = [x[3] for x in rows if x[1:3] == (make, year)]
+        m = sum(p < price for p in group) / (len(group) - 1) if len(group) > 1 else 0.0
+        assert abs(r["score"] - (0.35 * m + 0.125 + 0.25 * own[5] / 7 + 0.15)) < 6e-5
+    assert money.composite(cars).count() == len(rows)
