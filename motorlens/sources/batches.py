@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -17,18 +19,23 @@ POINTER = ("url_hash", "url_original", "source_domain", "country", "titulo_model
 
 @dataclass
 class Written(WriterCommitMessage):
+    attempt: str
     files: list[str]
     pushed: int
     deleted: int
 
 
+#: The column in which a document travels to the writer, as JSON.
+_BODY = "__document"
+
+
 class DocumentBatches(DataSource):
-    """``df.write.format("document_batches")``: rows with ``op`` ('push' or 'delete') go into files of at most ``batch`` documents, each one
-    request of an index: an array of documents to push, or an array of keys to delete.
+    """``df.write.format("document_batches")``: rows of ``op`` ('push' or 'delete'), the key and ``__document`` (what to push, as JSON) go into
+    files of at most ``batch`` documents, each one request of an index: an array of documents to push, or an array of keys to delete.
 
     Options: ``path`` (a folder that driver and executors share), ``key`` (the documents' key column), ``version`` (number of the write),
-    ``batch`` (1000). Each attempt of a task writes files of its own name; the driver's commit then puts one list of the winning attempts'
-    files in place, by a rename, under the write's version. A failed task or write leaves nothing that ``committed`` would read, and a write
+    ``batch`` (1000). Each attempt of a task writes files of its own name; the driver's commit then puts one list of the winning attempts
+    (a row for each task that wrote something) in place, by a rename, under the write's version. A failed task or write leaves nothing that ``committed`` would read, and a write
     that is run again with its version replaces its list, so nothing counts twice. A row with a null key or another ``op`` fails the write.
     """
 
@@ -53,27 +60,33 @@ class BatchWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator) -> Written:
         system, root = self._open()
         system.create_dir(f"{root}/parts", recursive=True)
-        attempt, out, waiting = uuid.uuid4().hex, Written([], 0, 0), {"push": [], "delete": []}
+        attempt, waiting = uuid.uuid4().hex, {"push": [], "delete": []}
+        out = Written(attempt, [], 0, 0)
 
-        def send(op: str) -> None:
+        def send(op: str, most: int) -> None:
+            now, waiting[op] = waiting[op][:most], waiting[op][most:]
             name = f"{self.version}-{attempt}-{len(out.files)}-{op}.json"
             with system.open_output_stream(f"{root}/parts/{name}") as stream:
-                stream.write(json.dumps(waiting[op], ensure_ascii=False, default=str).encode())
+                body = f"[{', '.join(now)}]" if op == "push" else json.dumps(now, ensure_ascii=False, default=str)
+                stream.write(body.encode())
             out.files.append(name)
-            waiting[op] = []
 
         for block in iterator:
-            for row in block.to_pylist():
-                op, key = row.pop("op"), row[self.key]
-                if key is None or op not in waiting:
-                    raise ValueError(f"row without a key or with the operation {op!r}")
-                waiting[op].append(row if op == "push" else key)
-                out.pushed, out.deleted = out.pushed + (op == "push"), out.deleted + (op == "delete")
-                if len(waiting[op]) >= self.batch:
-                    send(op)
-        for op in ("push", "delete"):
-            if waiting[op]:
-                send(op)
+            op, key, body = (block.column(c) for c in ("op", self.key, _BODY))
+            fine = pc.and_(pc.is_valid(key), pc.fill_null(pc.is_in(op, pa.array(["push", "delete"])), False))
+            if not pc.all(fine, min_count=0).as_py():
+                raise ValueError(f"row without a key or with an operation other than push and delete, one of {pc.unique(op).to_pylist()}")
+            push = pc.equal(op, "push")
+            waiting["push"] += body.filter(push).to_pylist()
+            waiting["delete"] += key.filter(pc.invert(push)).to_pylist()
+            pushed = pc.sum(push).as_py() or 0
+            out.pushed, out.deleted = out.pushed + pushed, out.deleted + block.num_rows - pushed
+            for kind in waiting:
+                while len(waiting[kind]) >= self.batch:
+                    send(kind, self.batch)
+        for kind in waiting:
+            if waiting[kind]:
+                send(kind, self.batch)
         return out
 
     def commit(self, messages: list) -> None:
@@ -83,8 +96,8 @@ class BatchWriter(DataSourceArrowWriter):
         hidden = f"{root}/commits/.{uuid.uuid4().hex}"
         with system.open_output_stream(hidden) as stream:
             for m in done:
-                for name in m.files:
-                    stream.write((json.dumps({"version": self.version, "file": name}) + "\n").encode())
+                if m.files:
+                    stream.write((json.dumps({"version": self.version, "attempt": m.attempt}) + "\n").encode())
         system.move(hidden, f"{root}/commits/{self.version}.json")
 
     def abort(self, messages: list) -> None:
@@ -97,26 +110,32 @@ class BatchWriter(DataSourceArrowWriter):
 def write_batches(rows: DataFrame, path: str, key: str, version: int, batch: int = 1000) -> None:
     """Writes ``rows`` (``op`` and a document's columns) as the batches of one version."""
     rows.sparkSession.dataSource.register(DocumentBatches)
+    document = F.to_json(F.struct(*(c for c in rows.columns if c != "op")), {"ignoreNullFields": "false"})
+    rows = rows.select("op", key, F.when(F.col("op") == "push", document).alias(_BODY))
     rows.write.format("document_batches").options(path=path, key=key, version=version, batch=batch).mode("append").save()
 
 
 def committed(spark: SparkSession, path: str) -> DataFrame:
-    """(version, op, body) of each batch that a commit lists; files that none lists are left out by a join on their names."""
-    lists = spark.read.schema("version long, file string").json(f"{path}/commits")
-    bodies = spark.read.text(f"{path}/parts", wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("body"))
-    return bodies.join(lists, "file").select("version", F.regexp_extract("file", r"-(push|delete)\.json$", 1).alias("op"), "body")
+    """(version, op, body) of each batch of the attempts that a commit lists; other files are left out by a join on the attempts."""
+    lists = spark.read.schema("version long, attempt string").json(f"{path}/commits")
+    name = F.split(F.col("_metadata.file_name"), "-")
+    bodies = spark.read.format("binaryFile").load(f"{path}/parts").select(F.element_at(name, -3).alias("attempt"), F.split_part(F.element_at(name, -1), F.lit("."), F.lit(1)).alias("op"), F.decode("content", "UTF-8").alias("body"))
+    return bodies.join(F.broadcast(lists), "attempt").select("version", "op", "body")  # a row for each task of a write
 
 
 def index_state(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
     """Documents (``schema``) that the index holds once all committed batches are applied by version: a key's last version counts, and within
-    one a delete after the pushes; of several pushes of a key in one version the one that is greatest by its JSON."""
+    one a delete after the pushes; of several pushes of a key in one version the one that is greatest by its JSON.
+
+    Documents move once, by key: what a delete takes away and which push is the last are seen in the same partitions."""
     told = committed(spark, path)
     document = F.explode(F.from_json("body", f"array<struct<{schema}>>"))
-    pushed = told.where("op = 'push'").select("version", document.alias("doc")).select("version", F.lit(0).alias("gone"), F.col("doc")[key].alias("k"), "doc")
-    gone = told.where("op = 'delete'").select("version", F.lit(1).alias("gone"), F.explode(F.from_json("body", "array<string>")).alias("k"))
-    all_ = pushed.unionByName(gone, allowMissingColumns=True)
-    last = all_.groupBy("k").agg(F.max_by(F.struct("gone", "doc"), F.struct("version", "gone", F.coalesce(F.to_json("doc"), F.lit("")))).alias("r"))
-    return last.where("r.gone = 0").select("r.doc.*")
+    pushed = told.where("op = 'push'").select("version", document.alias("doc")).select("version", F.col("doc")[key].alias("k"), "doc")
+    gone = told.where("op = 'delete'").select("version", F.explode(F.from_json("body", "array<string>")).alias("__k"))
+    gone = gone.groupBy("__k").agg(F.max("version").alias("gone"))
+    there = pushed.join(gone.hint("merge"), F.col("k").cast("string") == F.col("__k"), "left").where("gone is null or gone < version")
+    last = there.groupBy("k").agg(F.max_by("doc", F.struct("version", F.to_json("doc"))).alias("doc"))
+    return last.select("doc.*")
 
 
 def pointer_line(values: dict[str, Column]) -> Column:

@@ -47,3 +47,25 @@ def test_empty_write_and_pointer_lines(spark, tmp_path):
     assert state(spark, path) == {"x": 1}
     line = spark.range(1).select(batches.pointer_line({"url_hash": F.lit("h"), "titulo_modelo": F.lit("a\tb\\c\nd"), "anio": F.lit(2020)}).alias("v")).first()["v"]
     assert line.split("\t") == ["h", "", "", "", "a\\tb\\\\c\\nd", "0", "EUR", "0", "2020", "", "1"]
+
+
+def test_documents_move_once_and_versions_decide(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    frame = lambda rows: spark.createDataFrame(rows, "id string, a long, op string")
+    batches.write_batches(frame([("x", 1, "push"), ("x", 3, "push"), ("x", 2, "push"), ("y", 1, "push"), ("z", None, "push"), ('"w-é', 7, "push")]), path, "id", 0, batch=2)
+    batches.write_batches(frame([("y", None, "delete"), ("y", 9, "push"), ("z", None, "delete")]), path, "id", 1, batch=2)
+    batches.write_batches(frame([("z", 5, "push")]), path, "id", 2)
+    Path(f"{tmp_path}/index/parts/1-feed-0-push.json").write_text('[{"id": "lost", "a": 1}]')  # of an attempt that no commit lists
+    assert state(spark, path) == {"x": 3, "z": 5, '"w-é': 7}
+    plan = batches.index_state(spark, path, "id", SCHEMA)._jdf.queryExecution().executedPlan().toString()
+    moved = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(moved) == 2, plan  # documents, and the keys of deletes
+
+
+def test_a_write_lists_its_attempts(spark, tmp_path):
+    path = f"file://{tmp_path}/index"
+    rows = spark.range(0, 200, 1, 2).select(F.col("id").cast("string").alias("id"), F.col("id").alias("a"), F.lit("push").alias("op"))
+    batches.write_batches(rows, path, "id", 0, batch=10)
+    assert len(list(Path(f"{tmp_path}/index/parts").glob("*.json"))) == 20
+    assert len(Path(f"{tmp_path}/index/commits/0.json").read_text().splitlines()) == 2
+    assert len(state(spark, path)) == 200
