@@ -6,6 +6,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from motorlens.operators import indexing, storage  # noqa: F401  (they register their queries)
+from motorlens.plans import registry
 from motorlens.sources import batches
 
 SCHEMA = "id string, a long"
@@ -69,3 +71,16 @@ def test_a_write_lists_its_attempts(spark, tmp_path):
     assert len(list(Path(f"{tmp_path}/index/parts").glob("*.json"))) == 20
     assert len(Path(f"{tmp_path}/index/commits/0.json").read_text().splitlines()) == 2
     assert len(state(spark, path)) == 200
+
+
+def test_lines_are_counted_whatever_they_begin_with(spark):
+    head = "0123456789abcdef" * 4
+    lines = [head + "\ta", head + "\ta", head.upper() + "\ta", head, head[:7], head[:8], "", "", "zz" + head, head[:-1] + "é", head + "b", None]
+    got = {r["line"]: r["n"] for r in indexing.counted(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}
+    assert got == {x: lines.count(x) for x in lines}
+
+
+def test_pointer_lines_and_feeds_are_written_compressed(spark, data, tmp_path):
+    for name, form in (("snk13_pointer_lines", "txt"),):
+        files = registry.QUERIES[name](spark, data).inputFiles()
+        assert files and all(f.endswith(f".{form}.gz") for f in files)
