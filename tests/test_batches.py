@@ -81,6 +81,6 @@ def test_lines_are_counted_whatever_they_begin_with(spark):
 
 
 def test_pointer_lines_and_feeds_are_written_compressed(spark, data, tmp_path):
-    for name, form in (("snk13_pointer_lines", "txt"),):
+    for name, form in (("snk13_pointer_lines", "txt"), ("snk10_feed_columns", "csv")):
         files = registry.QUERIES[name](spark, data).inputFiles()
         assert files and all(f.endswith(f".{form}.gz") for f in files)
