@@ -113,13 +113,15 @@ def found_vehicles(refs: DataFrame, vehicles: DataFrame) -> DataFrame:
 
     The third tier compares different (make, word) pairs with different (make, model) pairs, never references with vehicles."""
     asked = refs.where("ref <> ''").select("ref_id", "ref")
+    vehicles = stored(vehicles.select("vehicle_id", "external_id", "vin", "make", "model", "year"), "vehicles")  # read for three aggregations
     one = lambda key: vehicles.where(F.col(key) != "").groupBy(F.col(key).alias("ref")).agg(F.min("vehicle_id").alias(key))
     met = asked.join(one("external_id"), "ref", "left").join(one("vin"), "ref", "left")
     words = F.split(F.trim(F.regexp_replace("ref", r"\s+", " ")), " ")
     met = stored(met.withColumn("make", F.lower(F.get(words, F.lit(0)))).withColumn("part", F.lower(F.get(words, F.lit(1)))), "references")
     pairs = met.where("external_id is null AND vin is null AND part is not null").select("make", "part").distinct()
-    models = vehicles.groupBy(F.lower("make").alias("make"), F.lower("model").alias("model")).agg(F.max(F.struct("year", F.struct(F.lit(0)))).getField("year").alias("year"))
-    models = models.join(vehicles.groupBy(F.lower("make").alias("make"), F.lower("model").alias("model"), "year").agg(F.min("vehicle_id").alias("third")), ["make", "model", "year"])
+    # Of each make and model the newest year's, one pass over the vehicles: the rest is as small as the number of models and years.
+    years = vehicles.where("year is not null").groupBy("make", "model", "year").agg(F.min("vehicle_id").alias("third")).groupBy(F.lower("make").alias("make"), F.lower("model").alias("model"), "year").agg(F.min("third").alias("third"))
+    models = years.groupBy("make", "model").agg(F.min_by("third", F.struct((-F.col("year")).alias("y"))).alias("third"), F.max("year").alias("year"))
     best = pairs.join(models, "make").where(F.contains("model", "part")).groupBy("make", "part").agg(F.min_by("third", F.struct((-F.col("year")).alias("y"), "third")).alias("third"))
     out = met.join(best, ["make", "part"], "left")
     tier = F.when(F.col("external_id").isNotNull(), 1).when(F.col("vin").isNotNull(), 2).otherwise(3)

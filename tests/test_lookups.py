@@ -6,6 +6,8 @@ import random
 
 import pytest
 
+from motorlens.operators import inbox
+from motorlens.plans import shared
 from motorlens.operators import desk, joins, money, more, quality  # noqa: F401  (desk registers its queries)
 from motorlens.plans import registry
 from motorlens.plans.domain import view
@@ -85,3 +87,13 @@ def test_percent_ranks_within_ranges_of_prices(spark):
         m = sum(p < price for p in group) / (len(group) - 1) if len(group) > 1 else 0.0
         assert abs(r["score"] - (0.35 * m + 0.125 + 0.25 * own[5] / 7 + 0.15)) < 6e-5
     assert money.composite(cars).count() == len(rows)
+
+
+def test_vehicles_are_read_once_for_references(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(inbox, "stored", lambda df, label: seen.append(label) or shared.stored(df, label))
+    cars = [("a", "1", "W1", "BMW", "M1", None), ("b", "2", "W2", "BMW", "m1 sport", 2019), ("c", "3", "W3", "bmw", "M1", 2019), ("d", "4", "W4", "Audi", "M1", None), ("e", "5", "W5", "BMW", "M1", 2018)]
+    cars = spark.createDataFrame(cars, "vehicle_id string, external_id string, vin string, make string, model string, year int")
+    refs = spark.createDataFrame([(1, "2"), (2, "W5"), (3, "bmw  M1 x"), (4, "Audi M1"), (5, "BMW sport")], "ref_id long, ref string")
+    assert {r["ref_id"]: (r["tier"], r["vehicle_id"]) for r in inbox.found_vehicles(refs, cars).collect()} == {1: (1, "b"), 2: (2, "e"), 3: (3, "b"), 5: (3, "b")}
+    assert seen == ["vehicles", "references"]
