@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from motorlens.operators import inbox
+from motorlens.operators import graph, inbox
 from motorlens.plans import shared
 from motorlens.operators import desk, joins, money, more, quality  # noqa: F401  (desk registers its queries)
 from motorlens.plans import registry
@@ -97,3 +97,16 @@ def test_vehicles_are_read_once_for_references(spark, monkeypatch):
     refs = spark.createDataFrame([(1, "2"), (2, "W5"), (3, "bmw  M1 x"), (4, "Audi M1"), (5, "BMW sport")], "ref_id long, ref string")
     assert {r["ref_id"]: (r["tier"], r["vehicle_id"]) for r in inbox.found_vehicles(refs, cars).collect()} == {1: (1, "b"), 2: (2, "e"), 3: (3, "b"), 5: (3, "b")}
     assert seen == ["vehicles", "references"]
+
+
+def test_a_graph_of_dealers_reads_its_listings_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(graph, "stored", lambda df, label: seen.append(label) or shared.stored(df, label))
+    rows = [(d, f"V{v}", "BMW", 100.0 * d, 10 * v, 0.5, f"2001-01-{d:02d}", d) for d, vins in ((1, (1, 2, 3)), (2, (1, 2)), (3, (3,))) for v in vins]
+    listings = spark.createDataFrame(rows, "dealer_id long, vin string, make string, price_gross_eur double, mileage_km int, confidence_score double, at string, other long").selectExpr("*", "to_timestamp(at) AS indexed_at")
+    nodes, edges = graph.dealer_graph(listings)
+    assert seen[:3] == ["listings", "dealers", "shared"]
+    got = {r["id"]: r["x"] for r in nodes.collect()}
+    assert set(got) == {1, 2, 3} and all(len(x) == graph.FEATURES for x in got.values())
+    assert abs(sum(x[1] for x in got.values())) < 1e-9 and got[1][1] < got[2][1] < got[3][1]
+    assert [(r["a"], r["b"]) for r in edges.collect()] == [(1, 2)]
