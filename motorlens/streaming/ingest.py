@@ -19,7 +19,8 @@ _BROKEN = "_broken"
 
 def decoded(raw: DataFrame, broken: bool = False) -> DataFrame:
     """Payloads of a ``value`` column; what isn't JSON of this shape is dropped, or is all that is given (``broken``)."""
-    read = raw.select("value", F.from_json("value", f"{PAYLOAD}, {_BROKEN} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}).alias("p"))
+    # Exploded, so that no condition on a field moves below and parses the text once more for itself.
+    read = raw.select("value", F.explode(F.array(F.from_json("value", f"{PAYLOAD}, {_BROKEN} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}))).alias("p"))
     bad = F.col("p").isNull() | F.col(f"p.{_BROKEN}").isNotNull()
     return read.where(bad).select("value") if broken else read.where(~bad).select("p.*").drop(_BROKEN)
 
@@ -95,7 +96,8 @@ class Ingest:
         fresh = batch.select("fingerprint", "vin", "url", "make", "model", "year", "mileage_km", "price_eur", F.coalesce("status", F.lit("ACTIVE")).alias("status"), grid_key("lat", "lng", 0.5).alias("cell"), "photo", "source", "ts")
         fresh.write.mode("overwrite").parquet(path)
         fresh = spark.read.schema(fresh.schema).parquet(path)
-        old = self.store.read(self.store.before(number), self.store.touched(fresh))
+        touched_buckets = self.store.touched(fresh)
+        old = self.store.read(self.store.before(number), touched_buckets)
         # Written once, read by all sinks; a persisted copy would be lost with its executors.
         path = f"{self.folder}/merged/batch={number}"
         prior = old.withColumn("__before", F.col("last_price_eur"))
@@ -106,7 +108,7 @@ class Ingest:
         merged.write.mode("overwrite").parquet(path)
         merged = spark.read.schema(merged.schema).parquet(path)
         names = [f.split(" ")[0] for f in STATE.split(", ")]
-        self.store.write(number, merged.select(*names))
+        self.store.write(number, merged.select(*names), touched_buckets)
         touched = merged.where("__state <> 'kept'")
         outs = {
             "db_write": touched.select("fingerprint"), "search_sync": touched.select("fingerprint", F.to_json(F.struct("make", "model", "year", "mileage_km", "price_eur", "status", "cell")).alias("payload")),

@@ -50,12 +50,12 @@ class BucketedState:
         """Buckets of a batch's keys: at most ``buckets`` numbers."""
         return [r["b"] for r in keys.select(self.bucket().alias("b")).distinct().collect()]
 
-    def write(self, number: int, rows: DataFrame) -> None:
-        """Makes version ``number`` of the one before and of the buckets that ``rows`` holds, whole."""
+    def write(self, number: int, rows: DataFrame, touched: list[int] | None = None) -> None:
+        """Makes version ``number`` of the one before and of the buckets that ``rows`` holds, whole. ``touched``: these buckets, where they are known."""
         own = rows.select(*self.spark.createDataFrame([], self.schema).columns, self.bucket().alias("bucket")).withColumn("batch", F.lit(number))
         out = own.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         out.partitionBy("bucket", "batch").parquet(f"{self.folder}/data")
-        places = self.places(self.before(number)) | {b: number for b in self.touched(rows)}
+        places = self.places(self.before(number)) | {b: number for b in (self.touched(rows) if touched is None else touched)}
         listed = self.spark.createDataFrame(sorted(places.items()), "bucket int, batch int")
         listed.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/versions/{number}")
 

@@ -11,6 +11,7 @@ from motorlens.plans import shared
 from motorlens.operators import desk, joins, money, more, quality  # noqa: F401  (desk registers its queries)
 from motorlens.plans import registry
 from motorlens.plans.domain import view
+from motorlens.streaming import ingest
 
 
 @pytest.mark.parametrize("n", [10, 8_400_000, 10**9])
@@ -110,3 +111,11 @@ def test_a_graph_of_dealers_reads_its_listings_once(spark, monkeypatch):
     assert set(got) == {1, 2, 3} and all(len(x) == graph.FEATURES for x in got.values())
     assert abs(sum(x[1] for x in got.values())) < 1e-9 and got[1][1] < got[2][1] < got[3][1]
     assert [(r["a"], r["b"]) for r in edges.collect()] == [(1, 2)]
+
+
+def test_a_payload_is_parsed_once(spark):
+    raw = spark.createDataFrame([('{"vin": "V", "make": "BMW", "model": "X", "year": 2000, "url": "https://x.example/1"}',), ("{broken",), ("",), (None,), ("[1]",)], "value string")
+    kept = ingest.viable(ingest.decoded(raw))
+    assert [(r["vin"], r["year"], r["ts"]) for r in kept.collect()] == [("V", 2000, None)]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    assert ingest.decoded(raw, broken=True).count() + ingest.decoded(raw).count() == 5
