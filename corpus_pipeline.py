@@ -38,7 +38,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts linked by a similarity of 0.8 or more of their five-word shingles: that with the
-    smallest doc_id. Rows without a doc_id are told apart by nothing and stay; of repeated rows of one doc_id one stays; texts without
+    smallest doc_id. Links come from operator 5 (SimHash, vantage-point trees, star contraction), each checked exactly, and an exact
+    filter finds those between texts that these leave apart. Rows without a doc_id are told apart by nothing and stay; of repeated rows of one doc_id one stays; texts without
     words are copies of each other; an empty table stays empty; a very long text's words are cut out span by span. A tie can't be: of rows
 that share a doc_id the one whose text has the smallest hash stays."""
     groups = near_copies_.near_copy_groups(docs)

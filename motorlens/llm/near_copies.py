@@ -1,12 +1,14 @@
-"""Near copies by exact Jaccard similarity of five-word shingle sets: every pair that reaches it is linked.
-
-Texts of equal sets form one class. Two sets of similarity 4/5 or more share one of their first ``n - ceil(4n/5) + 1``
-shingles in any one order of all shingles (prefix filter), so classes meet at shared prefix shingles; sizes, places in the
-prefix and counts by ranges of hashes rule out more pairs (none that are near), and the rest is compared whole. The order puts
-shingles of common hash buckets last, which only saves work. Two rounds keep large groups from pairing all with all. First, each
-shingle's classes are compared with one of them, its centre: that which holds the fewest rarer shingles, in a group of near copies
-the least changed one, so nearly all of a group are joined through few. Then only classes that no chain of links joins yet are
-compared; a common shingle's classes are split over cells.
+"""Near copies: SimHash links that hold by exact Jaccard similarity of five-word shingle sets, and every other pair that reaches it.
+
+Texts of equal sets form one class. First, operator 5: SimHashes of the classes' shingles are linked through vantage-point trees,
+each link is checked against the whole sets (a similarity of 4/5 or more), and star contraction joins classes by those that hold. A
+SimHash tells close copies only, so an exact filter compares what these links left apart. Two sets of similarity 4/5 or more share
+one of their first ``n - ceil(4n/5) + 1`` shingles in any one order of all shingles (prefix filter), so classes meet at shared prefix
+shingles; sizes, places in the prefix and counts by ranges of hashes rule out more pairs (none that are near), and the rest is
+compared whole. The order puts shingles of common hash buckets last, which only saves work. Two rounds keep large groups from pairing
+all with all. First, each shingle's classes are compared with one of them, its centre: that which holds the fewest rarer shingles, in
+a group of near copies the least changed one, so nearly all of a group are joined through few. Then only classes that no chain of
+links joins yet are compared; a common shingle's classes are split over cells.
 
 Defined results: words are told apart and lowered as by op5_simhash; a text of at most five words is one shingle; null, empty
 and blank texts are equal; sets are told apart by 64-bit hashes. Ties for a centre go to the smaller hash and change no result; repeated rows
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .op5_simhash import components, shingle_hashes
+from .op5_simhash import PART, components, linked_pairs, shingle_hashes, sim_hash
 from .op8_toxicity import _bytes
 from .store import dropped, saved, small_batches
 from .tokens import chunks
@@ -59,6 +61,11 @@ def set_id(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 42) if len(own) else 0).astype(np.int64))
 
 
+def class_print(own: np.ndarray) -> int:
+    """SimHash of the different shingles of a text, part by part."""
+    return sim_hash(own[i : i + PART] for i in range(0, len(own), PART))
+
+
 def prefix(own: np.ndarray, levels: np.ndarray) -> np.ndarray:
     """The first shingles in order (rarer buckets first): a set of similarity 4/5 has one of them among its own first ones."""
     ordered = own[np.lexsort((own, levels[own % np.uint64(len(levels))]))]
@@ -188,6 +195,22 @@ def starred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k) for k in kept], names=["token", "at", "set_id", "n", "c_at", "c_set", "c_n"])
 
 
+def alike(classes: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of classes that chain all whose SimHashes are equal or linked by operator 5."""
+    firsts = saved(classes.groupBy("fp").agg(F.min("set_id").alias("first_set")), "prints")
+    same = classes.select("fp", "set_id").join(firsts, "fp").where("set_id <> first_set").select(F.col("first_set").alias("a"), F.col("set_id").alias("b"))
+    end = lambda side: firsts.select(F.col("fp").alias(side), F.col("first_set").alias(f"{side}_set"))
+    other = linked_pairs(firsts.select("fp")).join(end("a"), "a").join(end("b"), "b")
+    return same.union(other.select(F.least("a_set", "b_set").alias("a"), F.greatest("a_set", "b_set").alias("b")))
+
+
+def still_apart(pairs: DataFrame, of_class: DataFrame) -> DataFrame:
+    """The pairs whose classes lie in different components (``of_class``: set_id, __root of those that have links)."""
+    root = lambda side: of_class.select(F.col("set_id").alias(side), F.col("__root").alias(f"__{side}"))
+    both = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+    return both.where(F.coalesce("__a", "a") != F.coalesce("__b", "b")).select("a", "b")
+
+
 def stars(shared: DataFrame) -> DataFrame:
     """(a, b), a < b: each token's classes with its centre, where they may be near."""
     own = shared.where((F.col("set_id") != F.col("c_set")) & _may_meet(F.col("n"), F.col("at"), F.col("c_n"), F.col("c_at")))
@@ -241,7 +264,7 @@ def within_counts(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def near(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose whole sets have a similarity of 4/5 or more."""
+    """The pairs whose whole sets have a similarity of 4/5 or more, stored."""
 
     def sets(batches):
         for batch in chunks(batches):
@@ -264,7 +287,10 @@ def near(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     whole = texts.mapInArrow(sets, "set_id long, own binary").join(needed.select("set_id"), "set_id", "left_semi")
     whole = saved(whole.groupBy("set_id").agg(F.first("own").alias("own")), "sets")
     both = pairs.join(whole.select(F.col("set_id").alias("a"), F.col("own").alias("x")), "a").join(whole.select(F.col("set_id").alias("b"), F.col("own").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
+    found = saved(both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"), "links")
+    dropped(needed)
+    dropped(whole)
+    return found
 
 
 def near_copy_groups(docs: DataFrame) -> DataFrame:
@@ -276,7 +302,7 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     def described(batches):
         for batch in chunks(batches):
             own = list(shingle_sets(batch.column("text")))
-            columns = {"set_id": pa.array([set_id(s) for s in own], pa.int64()), "n": pa.array([len(s) for s in own], pa.int32()), "prefix": pa.array([prefix(s, levels).tobytes() for s in own], pa.binary()), "ranges": pa.array([range_counts(s) for s in own], pa.binary())}
+            columns = {"set_id": pa.array([set_id(s) for s in own], pa.int64()), "n": pa.array([len(s) for s in own], pa.int32()), "prefix": pa.array([prefix(s, levels).tobytes() for s in own], pa.binary()), "ranges": pa.array([range_counts(s) for s in own], pa.binary()), "fp": pa.array(np.array([class_print(s) for s in own], np.uint64).view(np.int64), pa.int64())}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), **columns})
 
     def posted(batches):
@@ -292,22 +318,24 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
                 part = np.where(bits > 0, columns["set_id"] & ((1 << bits) - 1), -1)
                 yield pa.RecordBatch.from_pydict({"token": pa.array(token), "part": pa.array(part), "at": pa.array(at), **{c: pa.array(v) for c, v in columns.items()}})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(described, "doc_id long, set_id long, n int, prefix binary, ranges binary")
-    classes = saved(rows.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges")), "classes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(described, "doc_id long, set_id long, n int, prefix binary, ranges binary, fp long")
+    classes = saved(rows.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges"), F.first("fp").alias("fp")), "classes")
+    close = saved(within_counts(alike(classes), classes), "close")
+    links = near(close, classes, docs)
+    chained = saved(components(links), "chained")
     postings = classes.select("set_id", "n", "prefix").mapInArrow(posted, "token long, part long, at int, set_id long, n int")
     # The centre of a token: the class with the fewest rarer shingles, which in a group of near copies is the least changed one.
     dealt = postings.repartition("token", "part").sortWithinPartitions("token", "part", "at", "set_id")
     shared = saved(dealt.mapInArrow(starred, "token long, at int, set_id long, n int, c_at int, c_set long, c_n int"), "shared")
-    tried = saved(within_counts(stars(shared), classes), "tried")
-    links = saved(near(tried, classes, docs), "links")
+    of_class = lambda found: found.select(F.col("node").alias("set_id"), F.col("root").alias("__root"))
+    tried = saved(within_counts(still_apart(stars(shared), of_class(chained)).join(close, ["a", "b"], "left_anti"), classes), "tried")
+    links = links.union(near(tried, classes, docs))
     joined = saved(components(links), "joined")
-    of_class = joined.select(F.col("node").alias("set_id"), F.col("root").alias("__root"))
-    apart = shared.select("token", "at", "set_id", "n").join(of_class, "set_id", "left").withColumn("comp", F.coalesce("__root", "set_id"))
+    apart = shared.select("token", "at", "set_id", "n").join(of_class(joined), "set_id", "left").withColumn("comp", F.coalesce("__root", "set_id"))
     apart = apart.select("token", "at", "set_id", "n", "comp")
-    more = saved(within_counts(between(apart).join(tried, ["a", "b"], "left_anti"), classes), "more")
-    links = saved(links.union(near(more, classes, docs)), "links")
-    for used in (shared, tried, more, joined):
+    more = saved(within_counts(between(apart).join(close.union(tried), ["a", "b"], "left_anti"), classes), "more")
+    links = links.union(near(more, classes, docs))
+    for used in (shared, close, tried, more, chained, joined):
         dropped(used)
     joined = saved(components(links), "joined")
-    of_class = joined.select(F.col("node").alias("set_id"), F.col("root").alias("__root"))
-    return classes.select("set_id", "first_id").join(of_class, "set_id", "left").select("set_id", "first_id", F.coalesce("__root", "set_id").alias("group"))
+    return classes.select("set_id", "first_id").join(of_class(joined), "set_id", "left").select("set_id", "first_id", F.coalesce("__root", "set_id").alias("group"))

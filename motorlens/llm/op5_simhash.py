@@ -14,7 +14,7 @@ long text is held as bytes, its words span by span.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -72,9 +72,14 @@ def shingle_hashes(raw: bytes, shingle: int = SHINGLE) -> Iterator[np.ndarray]:
 
 
 def text_fingerprint(raw: bytes, shingle: int = SHINGLE) -> int:
-    """SimHash of one text: a bit is 1 if set in over half of the shingles' hashes."""
+    """SimHash of one text."""
+    return sim_hash(shingle_hashes(raw, shingle))
+
+
+def sim_hash(parts: Iterable[np.ndarray]) -> int:
+    """SimHash of shingles' hashes: a bit is 1 if set in over half of them; zero of none."""
     total, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(raw, shingle):
+    for hashes in parts:
         n += len(hashes)
         # Most significant byte first, so that bit 63 comes first.
         total += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
@@ -151,7 +156,8 @@ def shards_of(prints: np.ndarray, tree: dict[int, tuple[int, int]], levels: int,
     return np.concatenate(places), np.concatenate(leaves)
 
 
-def _join(parent: np.ndarray, a: int, b: int) -> None:
+def _join(parent: np.ndarray, a: int, b: int) -> bool:
+    """Unites the components of two; whether they were different ones."""
     while parent[a] != a:
         parent[a] = parent[parent[a]]
         a = parent[a]
@@ -160,10 +166,12 @@ def _join(parent: np.ndarray, a: int, b: int) -> None:
         b = parent[b]
     if a != b:
         parent[max(a, b)] = min(a, b)
+    return a != b
 
 
-def _grow(own: np.ndarray, prints: np.ndarray, parent: np.ndarray, distance: int) -> None:
-    """Components among prints[own] by comparing each one once with those not reached yet."""
+def _grow(own: np.ndarray, prints: np.ndarray, parent: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Components among prints[own] by comparing each one once with those not reached yet; the links that united them."""
+    links = []
     left = own
     while len(left):
         front, left = [left[0]], left[1:]
@@ -172,18 +180,17 @@ def _grow(own: np.ndarray, prints: np.ndarray, parent: np.ndarray, distance: int
             near = np.bitwise_count(prints[left] ^ prints[i]) <= distance
             if near.any():
                 found = left[near]
-                for k in found:
-                    _join(parent, int(i), int(k))
+                links += [(int(i), k) for k in found.tolist() if _join(parent, int(i), k)]
                 front += found.tolist()
                 left = left[~near]
+    return links
 
 
-def shard_links(prints: np.ndarray, distance: int = DISTANCE, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """(member, root) for each of the different ``prints`` that is linked to another one here, but the roots. A vantage-point
-    tree as that which deals to shards goes on down to leaves; branches farther from each other than the link distance never
-    meet. What no radius divides (a dense ball, where links are many and groups grow fast) is a leaf as well."""
-    prints = np.sort(prints.astype(np.uint64))
-    parent = np.arange(len(prints))
+def _searched(prints: np.ndarray, distance: int, leaf: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Parents in the components of the sorted ``prints``, and the links that united them. A vantage-point tree as that which deals
+    to shards goes on down to leaves; branches farther from each other than the link distance never meet. What no radius divides (a
+    dense ball, where links are many and groups grow fast) is a leaf as well."""
+    parent, links = np.arange(len(prints)), []
     todo = [np.arange(len(prints))]
     while todo:
         own = todo.pop()
@@ -194,14 +201,29 @@ def shard_links(prints: np.ndarray, distance: int = DISTANCE, leaf: int = LEAF)
             if max(len(inside), len(outside)) <= 0.8 * len(own):
                 todo += [inside, outside]
                 continue
-        _grow(own, prints, parent, distance)
-    root = parent.copy()
+        links += _grow(own, prints, parent, distance)
+    return parent, links
+
+
+def shard_links(prints: np.ndarray, distance: int = DISTANCE, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """(member, root) for each of the different ``prints`` that is linked to another one here, but the roots."""
+    prints = np.sort(prints.astype(np.uint64))
+    root, _ = _searched(prints, distance, leaf)
     while (root != (up := root[root])).any():
         root = up
     member = np.flatnonzero(root != np.arange(len(root)))
     return prints[member], prints[root[member]]
 
 
+def shard_pairs(prints: np.ndarray, distance: int = DISTANCE, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the different ``prints`` that lie within the distance of each other and chain all that are linked here: at most one
+    for each of them."""
+    prints = np.sort(prints.astype(np.uint64))
+    _, links = _searched(prints, distance, leaf)
+    ends = np.array(links, np.int64).reshape(-1, 2)
+    return prints[ends[:, 0]], prints[ends[:, 1]]
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -229,9 +251,8 @@ def components(edges: DataFrame, done_rows: int = 0) -> DataFrame:
         before = state
 
 
-def linked(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(fp, root) of all fingerprints (column ``fp``, all different, stored) that have a link within ``distance``."""
-    spark = prints.sparkSession
+def _in_shards(prints: DataFrame, distance: int, links: Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(a, b): what ``links`` finds in each shard of the fingerprints (column ``fp``, all different, stored)."""
     n = prints.count()
     levels = max(0, int(np.ceil(np.log2(max(1, n / SHARD)))))
     sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect() if levels else []
@@ -244,14 +265,26 @@ def linked(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"shard": pa.array(leaves, pa.int64()), "fp": pa.array(own[places].view(np.int64), pa.int64())})
 
     def search(shard: pd.DataFrame) -> pd.DataFrame:
-        a, b = shard_links(shard["fp"].to_numpy(np.int64).view(np.uint64), distance)
+        a, b = links(shard["fp"].to_numpy(np.int64).view(np.uint64), distance)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    edges = prints.mapInArrow(deal, "shard long, fp long").groupBy("shard").applyInPandas(search, "a long, b long")
+    return prints.mapInArrow(deal, "shard long, fp long").groupBy("shard").applyInPandas(search, "a long, b long")
+
+
+def linked(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, root) of all fingerprints (column ``fp``, all different, stored) that have a link within ``distance``."""
+    edges = _in_shards(prints, distance, shard_links)
     # Roots are the smallest fingerprints of their shard as unsigned numbers; contraction needs any one order.
     return components(edges).select(F.col("node").alias("fp"), F.col("root"))
 
 
+def linked_pairs(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): different pairs of fingerprints (column ``fp``, all different, stored) within ``distance`` of each other, which chain all
+    that ``linked`` links; for who checks each of them afterwards."""
+    found = _in_shards(prints, distance, shard_pairs)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs``: the smallest doc_id reachable through links."""
     own = saved(fingerprints(docs, shingle), "prints")

@@ -89,6 +89,57 @@ def test_a_large_group_makes_few_pairs(spark, data):
     assert sorted(got) == brute_kept(rows) and sum(tried) < 8 * 260
 
 
+def test_simhash_links_come_first(spark, data, monkeypatch):
+    """What operator 5 links through vantage-point trees is joined by those links alone where they hold; the exact filter gets the rest."""
+    rows = near_texts()
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], DOCS).repartition(3)
+    sets = {near_copies.set_id(s): s for s in (near_copies.shingle_set((t or "").encode()) for _, t in rows)}
+    prints = {k: near_copies.class_print(s) for k, s in sets.items()}
+    asked = []
+    close = near_copies.near
+    monkeypatch.setattr(near_copies, "near", lambda pairs, *rest: asked.append({(r["a"], r["b"]) for r in pairs.select("a", "b").collect()}) or close(pairs, *rest))
+    corpus_pipeline.near_copies(spark, docs, data).count()
+    first, *rest = asked
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    holds = lambda a, b: 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))
+    assert len(first) > 20 and all(a < b and (prints[a] ^ prints[b]).bit_count() <= 2 for a, b in first)
+    for a, b in first:
+        if holds(a, b):
+            root[find(a)] = find(b)
+    assert all(find(a) != find(b) for a, b in set().union(*rest))
+    assert any(holds(a, b) for a, b in set().union(*rest))  # SimHash alone would lose these
+
+
+def test_pairs_of_shards_chain_what_is_linked():
+    from motorlens.llm import op5_simhash
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    prints = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 60).astype(np.uint64)) for _ in range(6)]))
+    for leaf in (4, 512):
+        member, up = op5_simhash.shard_links(prints, leaf=leaf)
+        a, b = op5_simhash.shard_pairs(prints, leaf=leaf)
+        assert len(a) == len(member) > 100 and (np.bitwise_count(a ^ b) <= 2).all()
+        root = {int(p): int(p) for p in prints}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            x, y = sorted((find(x), find(y)))
+            root[y] = x
+        want = {int(p): int(p) for p in prints} | dict(zip(member.tolist(), up.tolist()))
+        assert {p: find(p) for p in root} == want
+
+
 def test_first_rows_of_runs():
     import pyarrow as pa
 
