@@ -321,21 +321,20 @@ def near_copy_groups(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(described, "doc_id long, set_id long, n int, prefix binary, ranges binary, fp long")
     classes = saved(rows.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges"), F.first("fp").alias("fp")), "classes")
     close = saved(within_counts(alike(classes), classes), "close")
-    links = near(close, classes, docs)
-    chained = saved(components(links), "chained")
+    chained = saved(components(near(close, classes, docs)), "chained")
     postings = classes.select("set_id", "n", "prefix").mapInArrow(posted, "token long, part long, at int, set_id long, n int")
     # The centre of a token: the class with the fewest rarer shingles, which in a group of near copies is the least changed one.
     dealt = postings.repartition("token", "part").sortWithinPartitions("token", "part", "at", "set_id")
     shared = saved(dealt.mapInArrow(starred, "token long, at int, set_id long, n int, c_at int, c_set long, c_n int"), "shared")
     of_class = lambda found: found.select(F.col("node").alias("set_id"), F.col("root").alias("__root"))
     tried = saved(within_counts(still_apart(stars(shared), of_class(chained)).join(close, ["a", "b"], "left_anti"), classes), "tried")
-    links = links.union(near(tried, classes, docs))
-    joined = saved(components(links), "joined")
+    # Components so far go on as stars, which contract in few rounds.
+    star = lambda found: found.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    joined = saved(components(star(chained).union(near(tried, classes, docs))), "joined")
     apart = shared.select("token", "at", "set_id", "n").join(of_class(joined), "set_id", "left").withColumn("comp", F.coalesce("__root", "set_id"))
     apart = apart.select("token", "at", "set_id", "n", "comp")
     more = saved(within_counts(between(apart).join(close.union(tried), ["a", "b"], "left_anti"), classes), "more")
-    links = links.union(near(more, classes, docs))
+    whole = saved(components(star(joined).union(near(more, classes, docs))), "joined")
     for used in (shared, close, tried, more, chained, joined):
         dropped(used)
-    joined = saved(components(links), "joined")
-    return classes.select("set_id", "first_id").join(of_class(joined), "set_id", "left").select("set_id", "first_id", F.coalesce("__root", "set_id").alias("group"))
+    return classes.select("set_id", "first_id").join(of_class(whole), "set_id", "left").select("set_id", "first_id", F.coalesce("__root", "set_id").alias("group"))

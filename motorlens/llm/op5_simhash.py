@@ -14,6 +14,7 @@ long text is held as bytes, its words span by span.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -174,14 +175,14 @@ def _grow(own: np.ndarray, prints: np.ndarray, parent: np.ndarray, distance: int
     links = []
     left = own
     while len(left):
-        front, left = [left[0]], left[1:]
+        front, left = deque([left[0]]), left[1:]
         while front and len(left):
-            i = front.pop()
+            i = front.popleft()  # the nearest first: chains of links stay short
             near = np.bitwise_count(prints[left] ^ prints[i]) <= distance
             if near.any():
                 found = left[near]
                 links += [(int(i), k) for k in found.tolist() if _join(parent, int(i), k)]
-                front += found.tolist()
+                front.extend(found.tolist())
                 left = left[~near]
     return links
 
