@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import pytest
 
@@ -136,3 +137,11 @@ def test_single_validators_make_listings_once(spark, data, tmp_path):
         if name in ("v09_year", "v02_decode_table"):
             plan = got._jdf.queryExecution().optimizedPlan().toString()
             assert sum("Relation" in line and "l_orderkey" in line for line in plan.split("\n")) == 1, name
+
+
+def test_keys_of_hashes_are_never_broadcast(spark):
+    """Each hash has many keys; small files of hashes would let the planner send all of them through the driver."""
+    hashes = shared.stored(spark.createDataFrame([(v, v ^ 3) for v in range(50)], "id long, h long"), "hashes")
+    for pairs in (joins.hamming_pairs(hashes), joins.hamming_pairs(hashes.select("h")), joins.hamming_pairs(hashes, plan=(3, 1))):
+        plan = pairs._jdf.queryExecution().sparkPlan().toString()
+        assert re.findall(r"(\w+) \[i#\d+L?, s#", plan) == ["SortMergeJoin"], plan
